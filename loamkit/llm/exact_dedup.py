@@ -59,6 +59,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     alone = rows.where("NOT __xd_again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = rows.where("__xd_again")
     groups = again.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("best"))
+    groups = sized(materialize(groups, "xd-groups"))
     joined = again.join(groups, "text_sha256").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256")
     return alone.unionByName(joined)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamkit.llm import bloom_cascade, exact_dedup, secret_scan, simhash_links, warc_audit
+from loamkit.llm import bloom_cascade, decontaminate, exact_dedup, pfair_mix, quality_bayes, secret_scan, simhash_links, warc_audit
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,11 +48,26 @@ WHERE page_id % 101 = 7 OR (page_id % 97 = 13 AND length(html) > 0)
 """
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in the mix for every document, sources weighted by the roots of their sizes."""
+    return pfair_mix.mix(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every document, with source as host and language as path."""
+    return quality_bayes.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents."""
     return secret_scan.scan(_read(spark, sf_dir, "documents")).drop("base_spans")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, with distance and span."""
+    return decontaminate.find_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page url."""
     return bloom_cascade.judge(_read(spark, sf_dir, "pages"))
@@ -102,7 +117,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_fixity, op6_secret_scan, op8_url_filter, op9_simhash_links, op10_exact_dedup)
+    found = (op1_warc_fixity, op4_pfair_mix, op5_quality_bayes, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_simhash_links, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 

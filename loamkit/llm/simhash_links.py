@@ -36,16 +36,27 @@ BLOCKS = 6
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of UTF-8 bytes; zero if there is no word."""
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Hashes of the table-th fingerprint; the 0th takes them as they are."""
+    if not table:
+        return hashes
+    x = hashes ^ np.uint64(table * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED, tables: int = 1) -> list[int]:
+    """The 64-bit fingerprints of UTF-8 bytes, one per table; zeros if there is no word."""
     words = text.lower().split()  # on bytes: A-Z and the white space of ASCII only
     if not words:
-        return 0
+        return [0] * tables
     if len(words) < k:
         words = [b" ".join(words)]
         k = 1
     digest = xxhash.xxh64_intdigest
-    total, counts = len(words) - k + 1, np.zeros(64, np.int64)
+    total, counts = len(words) - k + 1, np.zeros((tables, 64), np.int64)
     for at in range(0, total, CHUNK):
         part = words[at : min(at + CHUNK, total) + k - 1]
         if k == 3:
@@ -53,22 +64,25 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED) -> int:
         else:
             grams = [b" ".join(part[i : i + k]) for i in range(len(part) - k + 1)]
         hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * counts > total).astype(np.uint8), bitorder="little")
-    return int(bits.view("<u8")[0])
+        for t in range(tables):
+            bits = np.unpackbits(_mixed(hashes, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[t] += bits.sum(axis=0, dtype=np.uint32)
+    majority = np.packbits((2 * counts > total).astype(np.uint8), axis=1, bitorder="little")
+    return [int(x) for x in majority.view("<u8")[:, 0]]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        fps = np.array([fingerprint(t.as_py() or b"") for t in texts], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
+    """(doc_id, fps): the fingerprints of every whole text, as signed 64-bit integers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            fps = np.array([fingerprint(t.as_py() or b"", tables=tables) for t in texts], dtype=np.uint64).reshape(-1, tables)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(fps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "fps"])
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed 64-bit integer."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def popcounts(fp: Column) -> Column:
@@ -98,30 +112,43 @@ def _manhattan(a: str, b: str) -> Column:
     return F.bit_count(one) + 2 * F.bit_count(two.bitwiseAND(one.bitwiseXOR(low)))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct values of column fp that differ in 1 to ``max_bits`` bits."""
+def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs (t, a, b), a < b, of fingerprints fp of one table t that differ in 1 to ``max_bits``
+    bits. ``points`` has distinct (t, fp)."""
     choices = [_mask(c) for c in combinations(_bounds(blocks), blocks - max_bits)]
-    points = fps.select("fp").distinct().withColumn("v", popcounts(F.col("fp")))
-    cells = points.select("fp", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in choices])).alias("choice", "cell"))
-    left = cells.select("choice", "cell", F.col("fp").alias("a"), F.col("v").alias("va"))
-    right = cells.select("choice", "cell", F.col("fp").alias("b"), F.col("v").alias("vb"))
+    points = points.select("t", "fp", popcounts(F.col("fp")).alias("v"))
+    cells = points.select("t", "fp", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in choices])).alias("choice", "cell"))
+    left = cells.select("t", "choice", "cell", F.col("fp").alias("a"), F.col("v").alias("va"))
+    right = cells.select("t", "choice", "cell", F.col("fp").alias("b"), F.col("v").alias("vb"))
     differ = F.col("va").bitwiseXOR(F.col("vb"))
     first = F.lit(None).cast("int")
     for i in range(len(choices) - 1, -1, -1):
         first = F.when(differ.bitwiseAND(F.lit(choices[i])) == 0, F.lit(i)).otherwise(first)
     near = (F.col("a") < F.col("b")) & (_manhattan("va", "vb") <= max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return left.join(right, (left["choice"] == right["choice"]) & (left["cell"] == right["cell"]) & near & (first == left["choice"])).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (least doc_id reachable over links)."""
-    rows = materialize(fingerprints(docs, id_col, text_col), "sh-rows")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(rows))
-    owner = materialize(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "sh-owner")
-    ids = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = owner.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    same = (left["t"] == right["t"]) & (left["choice"] == right["choice"]) & (left["cell"] == right["cell"])
+    return left.join(right, same & near & (first == left["choice"])).select(left["t"], "a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (least doc_id reachable over links).
+
+    Rows with equal fingerprints are one node; nodes link when any table's fingerprints do. With
+    one table these are the links of fp itself; more tables find more near copies."""
+    rows = materialize(fingerprints(docs, id_col, text_col, tables), "sh-rows")
+    node = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
+    rows = rows.select("doc_id", F.col("fps")[0].alias("fp"), "fps", node.alias("g"))
+    nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sh-nodes")
+    points = nodes.select("g", F.posexplode("fps").alias("t", "fp"))
+    owners = materialize(points.groupBy("t", "fp").agg(F.min("g").alias("owner")), "sh-owners")
+    near = links(owners)
+    edges = near.join(owners.select("t", F.col("fp").alias("a"), F.col("owner").alias("x")), ["t", "a"]).join(owners.select("t", F.col("fp").alias("b"), F.col("owner").alias("y")), ["t", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if tables > 1:
+        edges = edges.union(points.join(owners, ["t", "fp"]).select(F.col("g").alias("a"), F.col("owner").alias("b"))).where("a <> b")
+    roots = components(edges)
+    found = materialize(nodes.select("g", "least").join(roots.withColumnRenamed("node", "g"), "g", "left").select("g", F.coalesce("root", "g").alias("root"), "least"), "sh-found")
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_node = materialize(found.join(ids, "root").select("g", "component_id"), "sh-components")
+    return rows.join(sized(by_node), "g").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: Column) -> Column:
@@ -129,11 +156,11 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """docs with one document of each component: its least id; all columns kept.
 
     Rows that repeat that id stay together; rows without an id all stay."""
-    found = near_duplicates(docs, id_col, text_col)
+    found = materialize(near_duplicates(docs, id_col, text_col, tables), "sh-verdicts")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
     drop = sized(materialize(drop.join(stay, "__sh_id", "left_anti"), "sh-drop"))
