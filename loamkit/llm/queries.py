@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamkit.llm import bloom_cascade, decontaminate, exact_dedup, pfair_mix, quality_bayes, secret_scan, simhash_links, warc_audit
+from loamkit.llm import bloom_cascade, decontaminate, exact_dedup, html_crf, pfair_mix, quality_bayes, secret_scan, simhash_links, suffix_dedup, warc_audit
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +48,16 @@ WHERE page_id % 101 = 7 OR (page_id % 97 = 13 AND length(html) > 0)
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What substring dedup leaves of every document."""
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("cuts")
+
+
+def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place in the mix for every document, sources weighted by the roots of their sizes."""
     return pfair_mix.mix(_read(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -117,7 +127,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_fixity, op4_pfair_mix, op5_quality_bayes, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_simhash_links, op10_exact_dedup)
+    found = (op1_warc_fixity, op2_suffix_dedup, op3_html_crf, op4_pfair_mix, op5_quality_bayes, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_simhash_links, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
