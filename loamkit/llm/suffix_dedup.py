@@ -46,9 +46,11 @@ K = 64
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
 SEGMENT = 1 << 20
 BLOCK_SPANS = 4_000
-HOT_SPANS = 2_000
-#: Rows of a side that is broadcast at most (ids and short lists).
-SMALL = 2_000_000
+HOT_SPANS = 16_000
+#: Distances from the anchor whose suffixes are sorted at a time.
+SLAB = 16
+#: Documents whose lists of ranges are broadcast to the texts at most; beyond, texts shuffle.
+SMALL = 250_000
 
 _ODD = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
@@ -182,26 +184,36 @@ def repeated_suffixes(spans: list[bytes], leads: np.ndarray, buckets: np.ndarray
         rank = np.unique(rank * (len(cover) + 2) + after, return_inverse=True)[1]
         known, step = step + known, 2 * step
 
-    # the suffixes, by bucket and distance from the anchor, then bytes up to the cover, then rank
+    # the suffixes, by bucket and distance from the anchor, then bytes up to the cover, then rank;
+    # only those of one distance can be equal, so a few distances at a time will do
     count = sizes - depth + 1
-    owner = np.repeat(np.arange(len(spans)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    start, before = base[owner] + offset, leads[owner] - offset
-    shift = np.array([next(x for x in range(V) if on[(r + x) % V]) for r in range(V)])[start % V]
-    group = np.unique(buckets, return_inverse=True)[1][owner] * 65_536 + before
-    heads = []
-    for j in range(4):
-        keep = np.clip(shift - 8 * j, 0, 8).astype(np.uint64) * np.uint64(8)
-        mask = np.where(keep == 64, ~np.uint64(0), ~(~np.uint64(0) >> np.minimum(keep, np.uint64(63))))
-        heads.append(words[start + 8 * j] & mask)
-    order = np.lexsort([rank[place[start + shift]], *heads[::-1], group])
-    one, two = start[order[:-1]], start[order[1:]]
-    alive = np.flatnonzero(group[order[:-1]] == group[order[1:]])
-    for j in [*range(0, depth - 7, 8), depth - 8]:
-        alive = alive[words[one[alive] + j] == words[two[alive] + j]]
-    hit = np.zeros(len(owner), bool)
-    hit[order[alive]] = hit[order[alive + 1]] = True
-    return owner[hit], offset[hit]
+    bucket = np.unique(buckets, return_inverse=True)[1]
+    shifts = np.array([next(x for x in range(V) if on[(r + x) % V]) for r in range(V)])
+    owners, offsets = [], []
+    for near in range(int((leads - count).min()) + 1, int(leads.max()) + 1, SLAB):
+        low, high = np.clip(leads - near - SLAB + 1, 0, count), np.clip(leads - near + 1, 0, count)
+        owner = np.repeat(np.arange(len(spans)), high - low)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(high - low) - high, high - low)
+        start, before = base[owner] + offset, leads[owner] - offset
+        shift = shifts[start % V]
+        group = bucket[owner] * 65_536 + before
+        heads = []
+        for j in range(4):
+            keep = np.clip(shift - 8 * j, 0, 8).astype(np.uint64) * np.uint64(8)
+            mask = np.where(keep == 64, ~np.uint64(0), ~(~np.uint64(0) >> np.minimum(keep, np.uint64(63))))
+            heads.append(words[start + 8 * j] & mask)
+        order = np.lexsort([rank[place[start + shift]], *heads[::-1], group])
+        one, two = start[order[:-1]], start[order[1:]]
+        alive = np.flatnonzero(group[order[:-1]] == group[order[1:]])
+        for j in [*range(0, depth - 7, 8), depth - 8]:
+            alive = alive[words[one[alive] + j] == words[two[alive] + j]]
+        hit = np.zeros(len(owner), bool)
+        hit[order[alive]] = hit[order[alive + 1]] = True
+        owners.append(owner[hit])
+        offsets.append(offset[hit])
+    owner, offset = np.concatenate(owners), np.concatenate(offsets)
+    order = np.lexsort([offset, owner])
+    return owner[order], offset[order]
 
 
 def _ranges(owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,19 +257,19 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, hot_spans:
     elsewhere too; ranges may touch or overlap."""
     seen = docs.mapInArrow(lambda b: _runs(b, False, depth, k), "bucket long, span long")
     shared = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("mixed")).where("n > 1").select("bucket", "mixed")
-    shared = sized(materialize(shared, "sfx-shared"), small)
+    shared = materialize(shared, "sfx-shared")
     runs = docs.mapInArrow(lambda b: _runs(b, True, depth, k), "uid long, lo long, hi long, anchor long, bucket long, span long")
     runs = materialize(runs.join(shared, "bucket"), "sfx-runs")
     whole = runs.where("NOT mixed").select("uid", "lo", "hi")
 
     mixed = runs.where("mixed")
     kinds = materialize(mixed.groupBy("bucket", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "hi", "anchor")).alias("r")), "sfx-kinds")
-    again = sized(kinds.where("n > 1").select("bucket", "span"), small)
+    again = kinds.where("n > 1").select("bucket", "span")
     whole = whole.unionByName(mixed.join(again, ["bucket", "span"], "left_semi").select("uid", "lo", "hi"))
 
-    spread = sized(materialize(kinds.groupBy("bucket").agg((F.count(F.lit(1)) > hot_spans).alias("hot")), "sfx-spread"), small)
+    spread = materialize(kinds.groupBy("bucket").agg((F.count(F.lit(1)) > hot_spans).alias("hot")), "sfx-spread")
     lists = kinds.join(spread, "bucket").groupBy("r.uid").agg(F.collect_list(F.struct("r.lo", "r.hi", "r.anchor", "bucket", "hot")).alias("runs"))
-    lists = sized(materialize(lists, "sfx-lists"), small // 8)
+    lists = sized(materialize(lists, "sfx-lists"), small)
     cut = docs.join(lists, "uid").select("uid", "text", "runs").mapInArrow(_cut(depth), "bucket long, hot boolean, lead long, bytes binary, uid long, lo long")
     cut = materialize(cut, "sfx-spans")
     cold = cut.where("NOT hot").dropDuplicates(["uid", "lo", "bucket"])
@@ -267,7 +279,7 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, hot_spans:
     dealt = cut.where("hot").dropDuplicates(["uid", "lo", "bucket"]).select("uid", "lo", "bucket", "lead", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - depth)).alias("o"))
     window = F.substring(F.col("bytes"), F.col("o") + 1, F.lit(depth))
     dealt = materialize(dealt.select("uid", (F.col("lo") + F.col("o")).alias("lo"), F.xxhash64("bucket", F.col("lead") - F.col("o"), window).alias("x"), F.xxhash64(window, F.lit(1)).alias("y")), "sfx-dealt")
-    common = sized(materialize(dealt.groupBy("x", "y").count().where("count > 1").select("x", "y"), "sfx-common"), small)
+    common = materialize(dealt.groupBy("x", "y").count().where("count > 1").select("x", "y"), "sfx-common")
     dealt = dealt.join(common, ["x", "y"], "left_semi").select("uid", "lo", F.col("lo").alias("hi"))
     return whole.unionByName(sorted_).unionByName(dealt)
 
@@ -308,5 +320,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
     ranges = materialize(repeated_ranges(rows.select("uid", "text"), depth, small=small, **settings), "sfx-ranges")
-    cuts = sized(materialize(_merged(ranges, depth), "sfx-cuts"), small // 8)
+    cuts = sized(materialize(_merged(ranges, depth), "sfx-cuts"), small)
     return rows.join(cuts, "uid", "left").select("doc_id", "text", "cuts").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, cuts array<struct<lo:long,hi:long>>")
