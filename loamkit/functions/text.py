@@ -186,3 +186,13 @@ def snippet(text: Column, terms: Column, width: int = 200) -> Column:
     part = F.substring(text, F.greatest(first - width // 2, F.lit(1)), F.lit(width))
     pattern = F.concat(F.lit("(?iU)(?<![\\p{L}\\p{N}])("), F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, "([^\\p{L}\\p{N} ])", "\\\\$1")), "|"), F.lit(")(?![\\p{L}\\p{N}])"))
     return F.when(first > 0, F.regexp_replace(part, pattern, F.lit("<b>$1</b>"))).otherwise(F.substring(text, 1, width))
+
+
+def metadata_split(metadata: Column) -> Column:
+    """TX-9: struct (editable, machine) of a JSON object's text: scalar values as text, and nested
+    values as JSON."""
+    keys = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>"))
+    parsed = F.from_json(metadata, "map<string,string>")
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.try_element_at(parsed, k).alias("value")))
+    nested = lambda p: F.coalesce(p["value"].rlike("(?s)\\A\\s*[\\[{]"), F.lit(False))
+    return F.struct(F.map_from_entries(F.filter(pairs, lambda p: ~nested(p))).alias("editable"), F.map_from_entries(F.filter(pairs, nested)).alias("machine"))

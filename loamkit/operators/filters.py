@@ -77,3 +77,10 @@ def review(entries: DataFrame, ids: DataFrame, approve: bool) -> tuple[DataFrame
     acts = hit & (F.col("status") != "classifying")
     counts = chosen.agg(F.count_if(acts).alias("changed"), F.count_if(hit & (F.col("status") == "classifying")).alias("refused"))
     return chosen.withColumn("status", F.when(acts, F.lit("approved" if approve else "rejected")).otherwise(F.col("status"))).drop("_on"), counts
+
+
+def entry_page(entries: DataFrame, order: str = "created_at", descending: bool = True, limit: int = 25, offset: int = 0) -> DataFrame:
+    """TOP-5: one page of entries by project, title or time; ties by id."""
+    if order not in ("project_id", "title", "created_at", "updated_at"):
+        raise ValueError(f"cannot order by {order}")
+    return entries.orderBy(F.desc(order) if descending else F.asc(order), "id").offset(offset).limit(limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamkit.functions import rules
+from loamkit.functions.text import normalised
 from loamkit.operators.filters import stale
 from loamkit.schemas import STATUSES
 
@@ -184,3 +185,23 @@ def project_status(entries: DataFrame, chunks: DataFrame, decisions: DataFrame,
         F.struct("in_progress", "stale").alias("queue"),
         F.struct("classified", "reviewed", "would_reject", "would_keep", "would_approve", "auto_approved").alias("shadow"),
     )
+
+
+def corpus_figures(fixtures: DataFrame | None) -> DataFrame | None:
+    """AGG-14, AGG-15: one row (vetoed, eligible): fixtures that a rule vetoes, and those with a
+    positive and no negative rule. No corpus gives no figures."""
+    if fixtures is None:
+        return None
+    r = rules.evaluate(normalised(F.col("title")), normalised(F.col("content")), F.col("entities"))
+    signs = F.exists("r.rules", lambda x: x["adjustment"] > 0) & ~F.exists("r.rules", lambda x: x["adjustment"] < 0)
+    return fixtures.withColumn("r", r).agg(F.count_if("r.vetoed").alias("vetoed"), F.count_if(signs).alias("eligible"))
+
+
+def importance_report(decisions: DataFrame, entries: DataFrame, as_of: Column, must_keep: DataFrame | None, must_reject: DataFrame | None, threshold: int = 70, auto_threshold: int | None = 90, min_sample: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """OP-14: (metrics, score distribution, gates) of every project; it changes no setting."""
+    m = review_crosstab(decisions).join(false_auto_approvals(decisions, auto_threshold), "project_id", "left").na.fill(0, ["computable", "false_approvals"])
+    m = m.join(classifying_counts(entries, as_of).drop("classifying"), "project_id", "left").na.fill(0, ["stale"])
+    for name, corpus, figure in (("must_keep_rejects", must_keep, "vetoed"), ("must_reject_eligible", must_reject, "eligible")):
+        found = corpus_figures(corpus)
+        m = m.withColumn(name, F.lit(None).cast("long")) if found is None else m.join(F.broadcast(found.select(F.col(figure).alias(name))))
+    return m, score_distribution(decisions), readiness_gates(m, min_sample, auto_threshold)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamkit.functions import replies, rules
 from loamkit.functions import text as tx
+from loamkit.functions.stem import stemmer
 from loamkit.functions.vectors import hashing_embedder
 from loamkit.operators import classify as cl
 from loamkit.operators import evaluate, filters, graph, ingest, projects, reports, search
@@ -597,3 +598,51 @@ def condensed_sessions(spark: SparkSession, d: str) -> DataFrame:
     quote = lambda c: F.to_json(F.array(F.struct(F.substring(c, 1, 40).alias("title"), F.expr("right(transcript, 200)").alias("content"))))
     kept, _ = ingest.condense(t, quote, hashing_embedder(64), m.chunks(spark, d), Settings())
     return kept.select("session_id", "title", "content", "category", "status")
+
+
+@query(with_sql("entries", "SELECT project_id, count(*) FILTER (id % 6 <> 0 AND id % 6 <> 1) AS succeeded, count(*) FILTER (id % 6 = 0) AS failed FROM entries GROUP BY project_id"))
+def assessments_by_status(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("id") % 6 == 0, "failed").when(F.col("id") % 6 == 1, "running").otherwise("succeeded")
+    return reports.assessments_by_status(m.entries(spark, d).select("project_id", status.alias("status")))
+
+
+@query(with_sql("entries", "SELECT id, project_id, title FROM entries ORDER BY title, id LIMIT 25 OFFSET 50"))
+def entry_page(spark: SparkSession, d: str) -> DataFrame:
+    return filters.entry_page(m.entries(spark, d), "title", False, 25, 50).select("id", "project_id", "title")
+
+
+@query("""SELECT event_id, k, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS even, '{"k":' || k || '}' AS inner_json FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+def metadata_split(spark: SparkSession, d: str) -> DataFrame:
+    """Event properties as entry metadata: scalars to edit, nested values for machines."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = m.table(spark, d, "events").select("event_id", k.alias("k"))
+    meta = F.to_json(F.struct((F.col("k") % 2 == 0).alias("even"), F.struct("k").alias("inner")))
+    s = e.withColumn("s", tx.metadata_split(meta))
+    return s.select("event_id", "k", F.col("s.editable")["even"].alias("even"), F.col("s.machine")["inner"].alias("inner_json"))
+
+
+@query(with_sql("entries", "SELECT id AS entry_id, 1 AS chunks FROM entries WHERE status = 'approved' AND content <> ''"))
+def reindex(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks made anew, one per approved entry, as lines are joined here."""
+    e = m.entries(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit(" ")))
+    made = ingest.reindex(e, m.chunks(spark, d), hashing_embedder(16))
+    return made.groupBy("entry_id").agg(F.count(F.lit(1)).cast("int").alias("chunks"))
+
+
+@query()
+def keyword_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search over stems in each document's language."""
+    stems = stemmer()
+    config = tx.text_config(F.col("lang"))
+    docs = m.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(stems(search.terms(F.col("text"), []), config), " ").alias("text"))
+    index = search.postings(docs, F.col("text"), [])
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.split("text", " "))).alias("mean")).first()
+    q = m.text_queries(spark, d).select("query_id", stems("terms", F.lit("english")).alias("terms"))
+    return search.keyword_search(q, index, float(size["n"]), float(size["mean"] or 1))
+
+
+@query()
+def importance_report(spark: SparkSession, d: str) -> DataFrame:
+    """Gates of every project, with entries as the must-keep corpus and no must-reject corpus."""
+    keep = _candidates(spark, d).where("id % 12 < 6")
+    return reports.importance_report(m.decisions(spark, d), m.entries(spark, d), F.lit(m.AS_OF).cast("timestamp"), keep, None)[2]
