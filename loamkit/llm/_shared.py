@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
+_OWN: list[str] = []
 #: A side is broadcast only when a count has shown it to be at most this many (narrow) rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -17,8 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loamkit-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="loamkit-"))
+        path = _OWN[0]
     return path.rstrip("/")
 
 
