@@ -32,6 +32,10 @@ SEED = 42
 MAX_BITS = 3
 #: Ranges of segments; each has 64 / BLOCKS bits, more or less.
 BLOCKS = 6
+#: For groups of similar texts: fingerprints per text, bits of a half that may differ in a
+#: candidate, ranges of a half, and the share of all bits that may differ. On prose, texts of a
+#: five-word similarity of 0.8 differ in about 0.12 of their bits, of 0.7 in 0.15.
+TABLES, HALF_BITS, HALF_BLOCKS, NEAR_RATE = 6, 2, 4, 0.135
 #: Shingles hashed at a time, so that a very long text needs no long list of hashes.
 CHUNK = 1 << 16
 
@@ -92,8 +96,8 @@ def popcounts(fp: Column) -> Column:
     return even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))
 
 
-def _bounds(blocks: int) -> list[tuple[int, int]]:
-    edges = [2 * round(i * 32 / blocks) for i in range(blocks + 1)]
+def _bounds(blocks: int, bits: int = 64) -> list[tuple[int, int]]:
+    edges = [2 * round(i * bits / 2 / blocks) for i in range(blocks + 1)]
     return list(zip(edges, edges[1:]))
 
 
@@ -112,43 +116,84 @@ def _manhattan(a: str, b: str) -> Column:
     return F.bit_count(one) + 2 * F.bit_count(two.bitwiseAND(one.bitwiseXOR(low)))
 
 
-def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Pairs (t, a, b), a < b, of fingerprints fp of one table t that differ in 1 to ``max_bits``
-    bits. ``points`` has distinct (t, fp)."""
-    choices = [_mask(c) for c in combinations(_bounds(blocks), blocks - max_bits)]
-    points = points.select("t", "fp", popcounts(F.col("fp")).alias("v"))
-    cells = points.select("t", "fp", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in choices])).alias("choice", "cell"))
-    left = cells.select("t", "choice", "cell", F.col("fp").alias("a"), F.col("v").alias("va"))
-    right = cells.select("t", "choice", "cell", F.col("fp").alias("b"), F.col("v").alias("vb"))
+def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bits: int = 64) -> DataFrame:
+    """Pairs (a, b, pa, pb), a < b, of owners of fingerprints of one table that differ in at most
+    ``max_bits`` of their ``bits`` bits. ``points`` has distinct (t, fp), their ``owner`` and a
+    ``pick``, carried as pa and pb; fingerprints of one owner are not linked."""
+    choices = [_mask(c) for c in combinations(_bounds(blocks, bits), blocks - max_bits)]
+    points = points.select("t", "fp", "owner", "pick", popcounts(F.col("fp")).alias("v"))
+    cells = points.select("t", "fp", "owner", "pick", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in choices])).alias("choice", "cell"))
+    left = cells.select("t", "choice", "cell", F.col("fp").alias("fa"), F.col("owner").alias("a"), F.col("pick").alias("pa"), F.col("v").alias("va"))
+    right = cells.select("t", "choice", "cell", F.col("fp").alias("fb"), F.col("owner").alias("b"), F.col("pick").alias("pb"), F.col("v").alias("vb"))
     differ = F.col("va").bitwiseXOR(F.col("vb"))
     first = F.lit(None).cast("int")
     for i in range(len(choices) - 1, -1, -1):
         first = F.when(differ.bitwiseAND(F.lit(choices[i])) == 0, F.lit(i)).otherwise(first)
-    near = (F.col("a") < F.col("b")) & (_manhattan("va", "vb") <= max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    near = (F.col("a") < F.col("b")) & (_manhattan("va", "vb") <= max_bits) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
     same = (left["t"] == right["t"]) & (left["choice"] == right["choice"]) & (left["cell"] == right["cell"])
-    return left.join(right, same & near & (first == left["choice"])).select(left["t"], "a", "b")
+    return left.join(right, same & near & (first == left["choice"])).select("a", "b", "pa", "pb")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
+def _rooted(nodes: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
+    """nodes with the root of column ``key``, itself if it has no edge."""
+    return nodes.join(roots.select(F.col("node").alias(key), F.col("root").alias("_root")), key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp, component_id (least doc_id reachable over links).
 
-    Rows with equal fingerprints are one node; nodes link when any table's fingerprints do. With
-    one table these are the links of fp itself; more tables find more near copies."""
-    rows = materialize(fingerprints(docs, id_col, text_col, tables), "sh-rows")
-    node = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
-    rows = rows.select("doc_id", F.col("fps")[0].alias("fp"), "fps", node.alias("g"))
-    nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sh-nodes")
-    points = nodes.select("g", F.posexplode("fps").alias("t", "fp"))
-    owners = materialize(points.groupBy("t", "fp").agg(F.min("g").alias("owner")), "sh-owners")
-    near = links(owners)
-    edges = near.join(owners.select("t", F.col("fp").alias("a"), F.col("owner").alias("x")), ["t", "a"]).join(owners.select("t", F.col("fp").alias("b"), F.col("owner").alias("y")), ["t", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if tables > 1:
-        edges = edges.union(points.join(owners, ["t", "fp"]).select(F.col("g").alias("a"), F.col("owner").alias("b"))).where("a <> b")
-    roots = components(edges)
-    found = materialize(nodes.select("g", "least").join(roots.withColumnRenamed("node", "g"), "g", "left").select("g", F.coalesce("root", "g").alias("root"), "least"), "sh-found")
-    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = materialize(found.join(ids, "root").select("g", "component_id"), "sh-components")
-    return rows.join(sized(by_node), "g").select("doc_id", "fp", "component_id")
+    Fingerprints a single bit apart are joined first: a crowd of near copies mostly hangs together
+    that way, by few links, and links of more bits are then sought between different components
+    only, so that a crowd's pairs are not listed."""
+    rows = materialize(fingerprints(docs, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp")), "sh-rows")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "sh-nodes")
+    points = nodes.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("owner"), F.col("fp").alias("pick"))
+    crowds = components(links(points, 1, 2))
+    held = materialize(_rooted(points, crowds, "pick", "crowd").select("t", "fp", F.col("crowd").alias("owner"), "pick"), "sh-held")
+    roots = components(links(held))
+    found = _rooted(_rooted(nodes, crowds, "fp", "crowd"), roots, "crowd", "root")
+    return _components_of(rows, materialize(found.select(F.col("fp").alias("g"), "least", "root"), "sh-found"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _components_of(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows with the least doc_id of their node's component; ``found`` is (g, least, root)."""
+    ids = sized(materialize(found.groupBy("root").agg(F.min("least").alias("component_id")), "sh-ids"))
+    by_node = materialize(found.join(ids, "root").select(F.col("g").alias(key), "component_id"), "sh-components")
+    return rows.join(sized(by_node), key)
+
+
+def _distance(a: str, b: str) -> Column:
+    """Differing bits over all fingerprints of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE) -> DataFrame:
+    """One row per input row: doc_id, component_id, over links of similar texts.
+
+    Texts link when at most ``rate`` of the bits of all their fingerprints differ. Candidates agree
+    but for HALF_BITS bits in some 32-bit half, found by the same grid join and verified by exact
+    distance over all fingerprints. As before, a crowd is first drawn together by few links: each
+    text is compared with the least text that shares one of its halves."""
+    rows = materialize(fingerprints(docs, id_col, text_col, tables).withColumn("g", F.xxhash64("fps")), "sg-rows")
+    nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sg-nodes")
+    low = F.lit((1 << 32) - 1)
+    halves = F.flatten(F.transform("fps", lambda x: F.array(x.bitwiseAND(low), F.shiftrightunsigned(x, 32))))
+    points = nodes.select("g", F.posexplode(halves).alias("t", "fp"))
+    owners = materialize(points.groupBy("t", "fp").agg(F.min("g").alias("owner")), "sg-owners")
+    most = int(rate * 64 * tables)
+    a, b = nodes.select(F.col("g").alias("a"), F.col("fps").alias("x")), nodes.select(F.col("g").alias("b"), F.col("fps").alias("y"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, "a").join(b, "b").where(_distance("x", "y") <= most)
+
+    stars = points.join(owners, ["t", "fp"]).where("g <> owner").select(F.col("owner").alias("a"), F.col("g").alias("b")).distinct()
+    crowds = components(verified(materialize(stars, "sg-stars")).select("a", "b"))
+    held = materialize(_rooted(owners.withColumnRenamed("owner", "pick"), crowds, "pick", "owner"), "sg-held")
+    pairs = links(held, HALF_BITS, HALF_BLOCKS, 32).groupBy("pa", "pb").agg(F.min("a").alias("ca"), F.min("b").alias("cb"))
+    pairs = materialize(pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "ca", "cb"), "sg-pairs")
+    roots = components(verified(pairs).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    found = _rooted(_rooted(nodes.select("g", "least"), crowds, "g", "crowd"), roots, "crowd", "root")
+    return _components_of(rows, materialize(found.select("g", "least", "root"), "sg-found"), "g").select("doc_id", "component_id")
 
 
 def hexed(fp: Column) -> Column:
@@ -156,11 +201,11 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
-    """docs with one document of each component: its least id; all columns kept.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE) -> DataFrame:
+    """docs with one document of each group of ``near_groups``: its least id; all columns kept.
 
     Rows that repeat that id stay together; rows without an id all stay."""
-    found = materialize(near_duplicates(docs, id_col, text_col, tables), "sh-verdicts")
+    found = materialize(near_groups(docs, id_col, text_col, tables, rate), "sh-verdicts")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
     drop = sized(materialize(drop.join(stay, "__sh_id", "left_anti"), "sh-drop"))

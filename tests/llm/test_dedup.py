@@ -3,6 +3,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loamkit.llm import exact_dedup, simhash_links, suffix_dedup
 from tests.llm.fixtures import DOCS, awkward, docs, words
@@ -89,13 +90,28 @@ def test_simhash_links_are_complete(spark):
                 x ^= 1 << r.randrange(64)
             fps[x] = x
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    points = spark.createDataFrame([(0, signed(x), signed(x)) for x in fps], "t int, fp long, owner long")
+    points = spark.createDataFrame([(0, signed(x), signed(x)) for x in fps], "t int, fp long, owner long").withColumn("pick", F.col("owner"))
     got = {frozenset((e.a % (1 << 64), e.b % (1 << 64))) for e in simhash_links.links(points).collect()}
     xs = list(fps)
     want = {frozenset((a, b)) for i, a in enumerate(xs) for b in xs[i + 1 :] if (a ^ b).bit_count() <= 3}
     assert got == want
 
 
+def test_near_groups_hold_similar_texts_only(spark):
+    import random
+
+    r = random.Random(12)
+    rows = [(i, words(250, 500 + i), "a") for i in range(30)]
+    for i in range(10):
+        for n in range(4):
+            w = rows[i][1].split(" ")
+            for _ in range(4):
+                w[r.randrange(len(w))] = "changed"
+            rows.append((100 + 10 * i + n, " ".join(w), "a"))
+    got = {x.doc_id: x.component_id for x in simhash_links.near_groups(docs(spark, rows)).collect()}
+    assert got == {i: i if i < 100 else (i - 100) // 10 for i, _, _ in rows}
+
+
 def test_simhash_edge_cases(spark):
     df = awkward(spark)
     assert simhash_links.near_duplicates(df).count() == df.count()
