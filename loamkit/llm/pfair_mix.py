@@ -31,7 +31,7 @@ RESOLUTION = 1000
 #: Sources beyond this make the schedule itself large; the operator refuses them.
 MAX_SOURCES = 1000
 #: Rows numbered in one group.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 #: Without given targets a source's weight is its number of documents to this power.
 FLATTEN = 0.5
 
