@@ -385,7 +385,7 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Entries as candidates: a marker sentence per id is put before the text, as the prose holds
     none."""
-    e = m.entries(spark, d)
+    e = m.entries(spark, d).repartition(2 * spark.sparkContext.defaultParallelism, "id")  # rules cost far more than the scan
     marks = ["We decided to keep it.", "It must stay so.", "This is because of load.", "It breaks otherwise.", "Maybe it holds.", "That is so for now.", "", "See src/app.py there.", "The limit is 3.", "Nothing more.", "We chose it because it prevents loss.", "Done."]
     content = F.when(F.col("id") % 12 == 11, F.lit("Done.")).otherwise(F.concat_ws(" ", m.pick(marks, F.col("id")), F.col("content")))
     entity = F.when(F.col("id") % 6 == 0, F.array(F.struct(F.lit("Bridge").alias("name"), F.lit("").alias("type")))).otherwise(F.array().cast("array<struct<name:string,type:string>>"))
