@@ -36,6 +36,8 @@ BLOCKS = 6
 #: candidate, ranges of a half, and the share of all bits that may differ. On prose, texts of a
 #: five-word similarity of 0.8 differ in about 0.12 of their bits, of 0.7 in 0.15.
 TABLES, HALF_BITS, HALF_BLOCKS, NEAR_RATE = 6, 2, 4, 0.135
+#: Rounds in which each text is compared with one other of its half, to draw crowds together.
+STAR_ROUNDS = 2
 #: Shingles hashed at a time, so that a very long text needs no long list of hashes.
 CHUNK = 1 << 16
 
@@ -117,9 +119,9 @@ def _manhattan(a: str, b: str) -> Column:
 
 
 def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bits: int = 64) -> DataFrame:
-    """Pairs (a, b, pa, pb), a < b, of owners of fingerprints of one table that differ in at most
-    ``max_bits`` of their ``bits`` bits. ``points`` has distinct (t, fp), their ``owner`` and a
-    ``pick``, carried as pa and pb; fingerprints of one owner are not linked."""
+    """Pairs (t, a, b, pa, pb), a < b, of owners of fingerprints of one table that differ in at most
+    ``max_bits`` of their ``bits`` bits. ``points`` has distinct (t, fp, owner) and a ``pick``,
+    carried as pa and pb; fingerprints of one owner are not linked."""
     choices = [_mask(c) for c in combinations(_bounds(blocks, bits), blocks - max_bits)]
     points = points.select("t", "fp", "owner", "pick", popcounts(F.col("fp")).alias("v"))
     cells = points.select("t", "fp", "owner", "pick", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in choices])).alias("choice", "cell"))
@@ -131,7 +133,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bit
         first = F.when(differ.bitwiseAND(F.lit(choices[i])) == 0, F.lit(i)).otherwise(first)
     near = (F.col("a") < F.col("b")) & (_manhattan("va", "vb") <= max_bits) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
     same = (left["t"] == right["t"]) & (left["choice"] == right["choice"]) & (left["cell"] == right["cell"])
-    return left.join(right, same & near & (first == left["choice"])).select("a", "b", "pa", "pb")
+    return left.join(right, same & near & (first == left["choice"])).select(left["t"], "a", "b", "pa", "pb")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
@@ -173,26 +175,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts link when at most ``rate`` of the bits of all their fingerprints differ. Candidates agree
     but for HALF_BITS bits in some 32-bit half, found by the same grid join and verified by exact
     distance over all fingerprints. As before, a crowd is first drawn together by few links: each
-    text is compared with the least text that shares one of its halves."""
+    text is compared with one text that shares one of its halves. Then every candidate pair of
+    texts that do not yet hang together is verified: texts of one half and one crowd travel as a
+    class, classes are linked, one pair of each two linked classes is compared, and where that does
+    not join them, all their pairs are."""
     rows = materialize(fingerprints(docs, id_col, text_col, tables).withColumn("g", F.xxhash64("fps")), "sg-rows")
     nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sg-nodes")
     low = F.lit((1 << 32) - 1)
     halves = F.flatten(F.transform("fps", lambda x: F.array(x.bitwiseAND(low), F.shiftrightunsigned(x, 32))))
     points = nodes.select("g", F.posexplode(halves).alias("t", "fp"))
-    owners = materialize(points.groupBy("t", "fp").agg(F.min("g").alias("owner")), "sg-owners")
     most = int(rate * 64 * tables)
     a, b = nodes.select(F.col("g").alias("a"), F.col("fps").alias("x")), nodes.select(F.col("g").alias("b"), F.col("fps").alias("y"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a, "a").join(b, "b").where(_distance("x", "y") <= most)
-
-    stars = points.join(owners, ["t", "fp"]).where("g <> owner").select(F.col("owner").alias("a"), F.col("g").alias("b")).distinct()
-    crowds = components(verified(materialize(stars, "sg-stars")).select("a", "b"))
-    held = materialize(_rooted(owners.withColumnRenamed("owner", "pick"), crowds, "pick", "owner"), "sg-held")
-    pairs = links(held, HALF_BITS, HALF_BLOCKS, 32).groupBy("pa", "pb").agg(F.min("a").alias("ca"), F.min("b").alias("cb"))
-    pairs = materialize(pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "ca", "cb"), "sg-pairs")
-    roots = components(verified(pairs).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    found = _rooted(_rooted(nodes.select("g", "least"), crowds, "g", "crowd"), roots, "crowd", "root")
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Roots of the crowds ca and cb of those texts a and b that are similar."""
+        pairs = materialize(pairs.select("a", "b", "ca", "cb"), "sg-pairs")
+        pairs = pairs.join(a, "a").join(b, "b").where(_distance("x", "y") <= most)
+        return components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+    crowds = nodes.select("g", F.col("g").alias("crowd"))
+    for n in range(STAR_ROUNDS):
+        placed = points.join(crowds, "g")
+        order = F.xxhash64("g", F.lit(n)) if n else F.col("g")
+        centre = placed.groupBy("t", "fp").agg(F.min(F.struct(order.alias("o"), F.col("g").alias("a"), F.col("crowd").alias("ca"))).alias("c")).select("t", "fp", "c.a", "c.ca")
+        stars = placed.join(centre, ["t", "fp"]).where("crowd <> ca").select("a", F.col("g").alias("b"), "ca", F.col("crowd").alias("cb")).distinct()
+        crowds = materialize(_rooted(crowds, joined(stars), "crowd", "crowd"), "sg-crowds")
+    placed = materialize(points.join(crowds, "g"), "sg-placed")
+    classes = materialize(placed.groupBy("t", "fp", F.col("crowd").alias("owner")).agg(F.min("g").alias("pick"), F.count(F.lit(1)).alias("n")), "sg-classes")
+    pairs = materialize(links(classes, HALF_BITS, HALF_BLOCKS, 32), "sg-links")
+    roots = joined(pairs.groupBy("pa", "pb").agg(F.min("a").alias("ca"), F.min("b").alias("cb")).withColumnsRenamed({"pa": "a", "pb": "b"}))
+    crowds = materialize(_rooted(crowds, roots, "crowd", "crowd"), "sg-crowds")
+    # what is left: pairs of classes that do not hang together, by all members but the two picks
+    apart = materialize(_rooted(_rooted(pairs, roots, "a", "ca"), roots, "b", "cb").where("ca <> cb").select("t", "pa", "pb", "ca", "cb"), "sg-apart")
+    large = classes.where("n > 1").select("t", "fp", F.col("owner").alias("crowd"), "pick")
+    others = materialize(placed.join(large, ["t", "fp", "crowd"]).where("g <> pick").select("t", "pick", "g"), "sg-others")
+    of_a, of_b = others.select("t", F.col("pick").alias("pa"), F.col("g").alias("a")), others.select("t", F.col("pick").alias("pb"), F.col("g").alias("b"))
+    some = apart.join(of_a, ["t", "pa"]).select("t", "a", "pb", "ca", "cb")
+    more = apart.select("t", F.col("pa").alias("a"), "pb", "ca", "cb").union(some).join(of_b, ["t", "pb"]).select("a", "b", "ca", "cb")
+    roots = joined(some.select("a", F.col("pb").alias("b"), "ca", "cb").union(more).distinct())
+    found = _rooted(nodes.join(crowds, "g").select("g", "least", "crowd"), roots, "crowd", "root")
     return _components_of(rows, materialize(found.select("g", "least", "root"), "sg-found"), "g").select("doc_id", "component_id")
 
 

@@ -169,3 +169,42 @@ def test_suffix_segments_overlap(spark, monkeypatch):
 
 def test_difference_cover_is_one():
     assert {(a - b) % suffix_dedup.V for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.V))
+
+
+@pytest.mark.parametrize("apart", [0, 1, 2])
+def test_near_groups_compare_every_pair_that_shares_a_half(spark, monkeypatch, apart):
+    """Texts of common halves, as of common boilerplate: every similar pair is found, also where
+    the texts of least hash are others."""
+    import random
+
+    r = random.Random(21 + apart)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = {}
+    common = r.getrandbits(32)
+    for i in range(40):
+        base = [r.getrandbits(64) for _ in range(6)]
+        for n in range(3):
+            own = [x ^ sum(1 << b for b in r.sample(range(64), 4)) for x in base]
+            half = common ^ sum(1 << b for b in r.sample(range(32), apart if n else 0))
+            fps[3 * i + n] = [own[0] >> 32 << 32 | half, *own[1:]]
+    most = int(simhash_links.NEAR_RATE * 384)
+    parent = {i: i for i in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    halves = lambda x: [h for f in x for h in (f & (1 << 32) - 1, f >> 32)]
+    for i in fps:
+        for j in range(i):
+            candidate = any((a ^ b).bit_count() <= simhash_links.HALF_BITS for a, b in zip(halves(fps[i]), halves(fps[j])))
+            if candidate and sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j])) <= most:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in fps}
+    assert len(set(want.values())) < 60
+    given = spark.createDataFrame([(i, [signed(x) for x in f]) for i, f in fps.items()], "doc_id long, fps array<long>")
+    monkeypatch.setattr(simhash_links, "fingerprints", lambda *_, **__: given)
+    got = {x.doc_id: x.component_id for x in simhash_links.near_groups(docs(spark, [])).collect()}
+    assert got == want
