@@ -4,103 +4,146 @@ Every source's documents are cut into blocks. With target weight w, the source's
 released at slot floor(j / w) and due at slot ceil((j + 1) / w); one block runs per slot, among
 released blocks the one due first. On one processor with weights that sum to one this
 earliest-deadline-first order meets every deadline, so that after any number of slots a source has
-had its weight's share of blocks to within less than one block. Integer weights repeat after as
-many slots as they sum to, so the driver schedules one such period per phase, of at most
-RESOLUTION slots or so; a new phase starts where a source runs out, with the weights of those
-left. Every document keeps a place: nothing is dropped or repeated.
+had its weight's share of blocks to within less than one block. Weights are integers that sum to
+SCALE over the number of slots, so that over the whole schedule their rounding moves no source by
+a thousandth of a block at up to 10^7 slots. A new phase starts where a source runs out, with the
+weights of those left. The driver takes one step per block and holds a phase's slots, 8 bytes
+each; the schedule is written in parts and joined to the documents. Every document keeps a place:
+nothing is dropped or repeated.
 
-Defined cases: a null source is a source of its own; sources without a target weight share the
-least weight; a target of zero is raised to one part in RESOLUTION; repeated rows take places of
-their own; extra columns are kept; an empty table gives an empty mix."""
+Defined cases: a null source is a source of its own; sources without a target weight, or with one
+of zero, together get one part in RESOLUTION; repeated rows take places of their own; extra columns
+are kept; an empty table gives an empty mix."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import uuid
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamkit.llm._shared import materialize, sized
+from loamkit.llm._shared import _WRITTEN, materialize, shared_dir, sized
 
 BLOCK_DOCS = 16
 RESOLUTION = 1000
-#: Sources beyond this make the schedule itself large; the operator refuses them.
-MAX_SOURCES = 1000
+#: Weights times slots; products with block numbers stay within 64 bits.
+SCALE = 1 << 61
+#: Rows of the schedule written at a time.
+PART_ROWS = 1_000_000
 #: Rows numbered in one group.
 BUCKET_ROWS = 1_000
 #: Without given targets a source's weight is its number of documents to this power.
 FLATTEN = 0.5
 
 
-def period(weights: list[int]) -> list[np.ndarray]:
-    """Slots of each source's blocks over one period of sum(weights) slots."""
-    total, out = sum(weights), [np.zeros(w, np.int64) for w in weights]
+def whole_weights(raw: list[float], total: int, resolution: int = RESOLUTION) -> list[int]:
+    """Weights as integers that sum to ``total``, by largest remainders."""
+    exact = [Fraction(max(w, 0.0)) for w in raw]
+    given, absent = sum(exact), sum(not w for w in exact)
+    if absent:
+        least = (given / (resolution - 1) or Fraction(1)) / absent
+        exact = [w or least for w in exact]
+    scale = Fraction(total) / (sum(exact) or 1)
+    out = [max(1, int(w * scale)) for w in exact]
+    for s in sorted(range(len(out)), key=lambda s: out[s] - exact[s] * scale)[: max(0, total - sum(out))]:
+        out[s] += 1
+    return out
+
+
+def _earliest(weights: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, block) of slots 0, 1 and so on: of the released blocks the one due first."""
+    total, slot = sum(weights), 0
     coming = [(0, s, 0) for s, w in enumerate(weights) if w]
     heapq.heapify(coming)
     ready: list[tuple[int, int, int]] = []
-    for slot in range(total):
+    while True:
         while coming and coming[0][0] <= slot:
             _, s, j = heapq.heappop(coming)
             heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
         due, s, j = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a deadline was missed")
+        yield s, j
+        heapq.heappush(coming, ((j + 1) * total // weights[s], s, j + 1))
+        slot += 1
+
+
+def period(weights: list[int]) -> list[np.ndarray]:
+    """Slots of each source's blocks over one period of sum(weights) slots."""
+    out = [np.zeros(w, np.int64) for w in weights]
+    for slot, (s, j) in zip(range(sum(weights)), _earliest(weights)):
         out[s][j] = slot
-        if j + 1 < weights[s]:
-            heapq.heappush(coming, ((j + 1) * total // weights[s], s, j + 1))
     return out
 
 
 class Phase:
-    """While the same sources are live: first slot, weights, period, blocks done before it."""
+    """Until a source runs out: first slot, weights, blocks done before it, slots of blocks."""
 
-    def __init__(self, start: int, weights: list[int], done: list[int]):
+    def __init__(self, start: int, weights: list[int], done: list[int], blocks: list[int]):
         self.start, self.weights, self.done = start, weights, np.array(done, np.int64)
-        self.total, self.slots = sum(weights), period(weights)
+        self.total, self.length = sum(weights), 0
+        self.slots = {s: array("q") for s, w in enumerate(weights) if w}
+        for s, j in _earliest(weights):
+            self.slots[s].append(self.length)
+            self.length += 1
+            if done[s] + j + 1 == blocks[s]:
+                break
 
     def slot(self, source: int, block: np.ndarray) -> np.ndarray:
         """Slots, from the phase's start, of a source's blocks counted from the phase's start."""
-        w = self.weights[source]
-        return block // w * self.total + self.slots[source][block % w]
+        return np.frombuffer(self.slots[source], np.int64)[block]
+
+    def table(self) -> Iterator[np.ndarray]:
+        """Per source the rows source, block, slot, release, deadline."""
+        for s, slots in self.slots.items():
+            j, w = np.arange(len(slots)), self.weights[s]
+            yield np.stack([np.full(len(slots), s), self.done[s] + j, self.start + np.array(slots, np.int64), self.start + j * self.total // w, self.start - (-(j + 1) * self.total // w)])
+
+
+def _phases(weights: list[int], blocks: list[int]) -> Iterator[Phase]:
+    done, start = [0] * len(blocks), 0
+    while any(d < b for d, b in zip(done, blocks)):
+        phase = Phase(start, [w if d < b else 0 for w, d, b in zip(weights, done, blocks)], done, blocks)
+        yield phase
+        for s, slots in phase.slots.items():
+            done[s] += len(slots)
+        start += phase.length
 
 
 def phases(weights: list[int], blocks: list[int]) -> list[Phase]:
     """The phases that place ``blocks[s]`` blocks of every source s."""
-    done, start, out = [0] * len(blocks), 0, []
-    while any(d < b for d, b in zip(done, blocks)):
-        live = [w if d < b else 0 for w, d, b in zip(weights, done, blocks)]
-        phase = Phase(start, live, done)
-        out.append(phase)
-        ends = {s: int(phase.slot(s, np.array([blocks[s] - done[s] - 1]))[0]) + 1 for s, w in enumerate(live) if w}
-        length = min(ends.values())
-        for s in ends:
-            rounds, rest = divmod(length, phase.total)
-            done[s] += rounds * live[s] + int((phase.slots[s] < rest).sum())
-        start += length
-    return out
+    return list(_phases(weights, blocks))
+
 
+def _scheduled(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
+    """(__pf_source, mix_block, mix_slot, mix_release, mix_deadline) of all blocks."""
+    names = ["__pf_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"]
+    path, held, rows = f"{shared_dir(spark)}/loamkit/mix-schedule-{uuid.uuid4().hex}", [np.zeros((5, 0), np.int64)], 0
 
-def _placer(found: list[Phase]) -> Callable[..., Column]:
-    @F.pandas_udf("struct<slot:long,release:long,deadline:long>")
-    def place(source: pd.Series, block: pd.Series) -> pd.DataFrame:
-        s, b = source.to_numpy(np.int64), block.to_numpy(np.int64)
-        out = np.zeros((len(s), 3), np.int64)
-        for one in np.unique(s):
-            at = np.flatnonzero(s == one)
-            which = np.searchsorted(np.array([p.done[one] for p in found]), b[at], side="right") - 1
-            for k in np.unique(which):
-                phase, rows = found[k], at[which == k]
-                j, w = b[rows] - phase.done[one], phase.weights[one]
-                out[rows, 0] = phase.start + phase.slot(int(one), j)
-                out[rows, 1] = phase.start + j * phase.total // w
-                out[rows, 2] = phase.start - (-(j + 1) * phase.total // w)
-        return pd.DataFrame(out, columns=["slot", "release", "deadline"])
+    def write() -> None:
+        table = np.concatenate(held, axis=1)
+        for at in range(0, max(1, table.shape[1]), PART_ROWS):
+            part = pa.table([pa.array(c) for c in table[:, at : at + PART_ROWS]], names=names)
+            spark.createDataFrame(part).write.mode("append").parquet(path)
 
-    return place
+    for phase in _phases(weights, blocks):
+        for part in phase.table():
+            held.append(part)
+            rows += part.shape[1]
+        if rows >= PART_ROWS:
+            write()
+            held, rows = held[:1], 0
+    if rows or len(held) == 1:
+        write()
+    _WRITTEN.append(path)
+    return spark.read.schema(", ".join(f"{n} long" for n in names)).parquet(path)
 
 
 def _numbered(docs: DataFrame, sources: DataFrame, source_col: str) -> DataFrame:
@@ -126,18 +169,14 @@ def mix(docs: DataFrame, source_col: str = "source", targets: dict[str | None, f
     Reading by mix_position gives the mix; positions of a source's last, partial block are left
     out of the sequence, so positions ascend but need not be dense."""
     spark = docs.sparkSession
-    counts = docs.groupBy(F.col(f"`{source_col}`").alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counts = docs.groupBy(F.col(f"`{source_col}`").alias("s")).count().collect()
     counts = sorted(((r["s"], r["count"]) for r in counts), key=lambda r: (r[0] is not None, r[0] or ""))
     raw = [n**FLATTEN if targets is None else float(targets.get(s, 0)) for s, n in counts]
-    whole = sum(raw) or 1
-    weights = [max(1, round(w / whole * resolution)) for w in raw]
-    found = phases(weights, [-(-n // block_docs) for _, n in counts])
+    blocks = [-(-n // block_docs) for _, n in counts]
+    weights = whole_weights(raw, SCALE // (sum(blocks) + 1), resolution)
     rows = [(s, i, max(1, -(-n // bucket_rows))) for i, (s, n) in enumerate(counts)]
-    sources = spark.createDataFrame(rows, "__pf_name string, __pf_source int, __pf_buckets long")
-    ranked = _numbered(docs, sources, source_col)
-    block = F.floor(F.col("__pf_rank") / block_docs).cast("long")
-    placed = ranked.withColumn("mix_block", block).withColumn("__pf_at", _placer(found)("__pf_source", "mix_block"))
-    position = F.col("__pf_at.slot") * block_docs + F.col("__pf_rank") % block_docs
-    return placed.withColumns({"mix_release": F.col("__pf_at.release"), "mix_deadline": F.col("__pf_at.deadline"), "mix_slot": F.col("__pf_at.slot"), "mix_position": position}).drop("__pf_at", "__pf_rank", "__pf_source")
+    sources = spark.createDataFrame(rows, "__pf_name string, __pf_source long, __pf_buckets long")
+    ranked = _numbered(docs, sources, source_col).withColumn("mix_block", F.floor(F.col("__pf_rank") / block_docs).cast("long"))
+    placed = ranked.join(sized(_scheduled(spark, weights, blocks)), ["__pf_source", "mix_block"])
+    position = F.col("mix_slot") * block_docs + F.col("__pf_rank") % block_docs
+    return placed.select(*[f"`{c}`" for c in docs.columns], "mix_block", "mix_release", "mix_deadline", "mix_slot", position.alias("mix_position"))

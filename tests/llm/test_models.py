@@ -111,3 +111,27 @@ def test_pipeline_keeps_what_it_should(spark, sf):
     texts = [docs_[i].text.lower() for i in ids]
     assert len(texts) == len(set(texts))
     assert len({r.mix_position for r in out}) == len(out) >= 0.6 * len(docs_)
+
+
+def test_mix_follows_the_targets_themselves(spark):
+    """Twenty sources of which one holds a third of the rows, over 60 000 slots, by root weights."""
+    sizes = {f"s{i:02}": 20_000 if not i else 2_105 for i in range(20)}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS doc_id")
+    got = pfair_mix.mix(df, block_docs=1).select("source", "mix_slot").toPandas()
+    whole = sum(n**0.5 for n in sizes.values())
+    first = min(got.groupby("source").mix_slot.max()) + 1  # until then all sources are live
+    for s, n in sizes.items():
+        taken = np.sort(got.mix_slot[got.source == s].to_numpy())
+        t = np.arange(1, first + 1)
+        assert np.abs(np.searchsorted(taken, t) - t * n**0.5 / whole).max() < 1.001
+
+
+def test_mix_has_no_least_weight_nor_most_sources(spark):
+    """Targets far below a thousandth keep their shares; 1200 sources get a schedule."""
+    n = 1200
+    targets = {f"s{i}": 1.0 if i % 2 else 0.25 for i in range(n)}
+    df = spark.createDataFrame([(s, 4 if t == 1 else 1) for s, t in targets.items()], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS doc_id")
+    got = pfair_mix.mix(df, targets=targets, block_docs=1).toPandas()
+    assert sorted(got.mix_slot) == list(range(600 * 5))
+    for s, slots in got[got.mix_slot < 1500].groupby("source").mix_slot:
+        assert abs(len(slots) - 1500 * targets[s] / 750) < 1.001
