@@ -14,13 +14,15 @@ empty tables give no matches."""
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamkit.llm._shared import materialize, sized, small_batches
@@ -135,19 +137,22 @@ class Matcher:
         return out
 
 
+def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[Broadcast]:
+    """Broadcasts of about ``block_items`` items each."""
+    blocks = max(1, -(-benchmark.count() // block_items))
+    for b in range(blocks):
+        mine = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()])
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, distance, start, end): for every document and item whose best match is
     within the item's budget of edits."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, item_id long, distance int, start long, end long"
-    total = benchmark.count()
-    blocks = max(1, -(-total // block_items))
     found = []
-    for b in range(blocks):
-        mine = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()])
+    for items in _blocks(benchmark, block_items):
 
         def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             matcher = Matcher(items.value, rate)
@@ -163,8 +168,28 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.unionByName, found)
 
 
+def _clean(items: Broadcast, rate: float) -> Callable[..., Column]:
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items.value, rate)
+        for texts in batches:
+            yield pd.Series([not matcher.matches(t or "") for t in texts], dtype=bool)
+
+    return clean
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """docs without the rows that hold a test item; all columns kept. Each row is judged by its own
+    text, whatever its id."""
+    small_batches(docs.sparkSession)
+    for items in _blocks(benchmark, block_items):
+        docs = docs.where(_clean(items, rate)(F.col(f"`{text_col}`")))
+    return docs
+
+
 def drop_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """docs without those that hold a test item; all columns kept. Rows without an id stay."""
+    """docs without those that hold a test item; all columns kept. Rows without an id stay, and rows
+    of one id go together; ``clean_rows`` judges each row."""
     hit = find_matches(docs, benchmark, id_col, text_col, rate).select(F.col("doc_id").alias("__dc_id")).where("__dc_id IS NOT NULL").distinct()
     hit = sized(materialize(hit, "leaks"))
     return docs.join(hit, docs[f"`{id_col}`"] == hit["__dc_id"], "left_anti")

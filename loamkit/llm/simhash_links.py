@@ -77,18 +77,20 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED, tables: i
     return [int(x) for x in majority.view("<u8")[:, 0]]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
-    """(doc_id, fps): the fingerprints of every whole text, as signed 64-bit integers."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1, uid_col: str | None = None) -> DataFrame:
+    """(doc_id, fps): the fingerprints of every whole text, as signed 64-bit integers; with the
+    row's key as ``uid`` if ``uid_col`` names one."""
+    keys = [F.col(f"`{uid_col}`").cast("long").alias("uid")] if uid_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.array([fingerprint(t.as_py() or b"", tables=tables) for t in texts], dtype=np.uint64).reshape(-1, tables)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(fps.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], names=["doc_id", "fps", *batch.schema.names[2:]])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *keys).mapInArrow(run, "doc_id long, fps array<long>" + ", uid long" * len(keys))
 
 
 def popcounts(fp: Column) -> Column:
@@ -158,9 +160,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _components_of(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """rows with the least doc_id of their node's component; ``found`` is (g, least, root)."""
+    """rows with the root and the least doc_id of their node's component; ``found`` is (g, least, root)."""
     ids = sized(materialize(found.groupBy("root").agg(F.min("least").alias("component_id")), "sh-ids"))
-    by_node = materialize(found.join(ids, "root").select(F.col("g").alias(key), "component_id"), "sh-components")
+    by_node = materialize(found.join(ids, "root").select(F.col("g").alias(key), "root", "component_id"), "sh-components")
     return rows.join(sized(by_node), key)
 
 
@@ -169,8 +171,10 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE) -> DataFrame:
-    """One row per input row: doc_id, component_id, over links of similar texts.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE, uid_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, component_id and root, over links of similar texts; with the
+    row's key as ``uid`` if ``uid_col`` names one. A root is one component's alone, also where ids
+    repeat or are missing.
 
     Texts link when at most ``rate`` of the bits of all their fingerprints differ. Candidates agree
     but for HALF_BITS bits in some 32-bit half, found by the same grid join and verified by exact
@@ -179,7 +183,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts that do not yet hang together is verified: texts of one half and one crowd travel as a
     class, classes are linked, one pair of each two linked classes is compared, and where that does
     not join them, all their pairs are."""
-    rows = materialize(fingerprints(docs, id_col, text_col, tables).withColumn("g", F.xxhash64("fps")), "sg-rows")
+    rows = materialize(fingerprints(docs, id_col, text_col, tables, uid_col).withColumn("g", F.xxhash64("fps")), "sg-rows")
     nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sg-nodes")
     low = F.lit((1 << 32) - 1)
     halves = F.flatten(F.transform("fps", lambda x: F.array(x.bitwiseAND(low), F.shiftrightunsigned(x, 32))))
@@ -214,7 +218,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = apart.select("t", F.col("pa").alias("a"), "pb", "ca", "cb").union(some).join(of_b, ["t", "pb"]).select("a", "b", "ca", "cb")
     roots = joined(some.select("a", F.col("pb").alias("b"), "ca", "cb").union(more).distinct())
     found = _rooted(nodes.join(crowds, "g").select("g", "least", "crowd"), roots, "crowd", "root")
-    return _components_of(rows, materialize(found.select("g", "least", "root"), "sg-found"), "g").select("doc_id", "component_id")
+    return _components_of(rows, materialize(found.select("g", "least", "root"), "sg-found"), "g").select("doc_id", "component_id", "root", *["uid"] * bool(uid_col))
 
 
 def hexed(fp: Column) -> Column:
@@ -223,11 +227,13 @@ def hexed(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE) -> DataFrame:
-    """docs with one document of each group of ``near_groups``: its least id; all columns kept.
-
-    Rows that repeat that id stay together; rows without an id all stay."""
-    found = materialize(near_groups(docs, id_col, text_col, tables, rate), "sh-verdicts")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
-    drop = sized(materialize(drop.join(stay, "__sh_id", "left_anti"), "sh-drop"))
-    return docs.join(drop, docs[f"`{id_col}`"] == drop["__sh_id"], "left_anti")
+    """docs with one row of each group of ``near_groups``: that of its least id; all columns kept.
+
+    A null id is the least only if all are null; of rows that repeat the least id one stays."""
+    keyed = materialize(docs.withColumn("__sh_uid", F.monotonically_increasing_id()), "sh-docs")
+    found = materialize(near_groups(keyed, id_col, text_col, tables, rate, "__sh_uid"), "sh-verdicts")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = sized(materialize(best.where("n > 1").select("root", F.col("best.uid").alias("stay")), "sh-best"))
+    drop = found.join(best, "root").where("uid <> stay").select(F.col("uid").alias("__sh_uid"))
+    drop = sized(materialize(drop, "sh-drop"))
+    return keyed.join(drop, "__sh_uid", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -208,3 +208,12 @@ def test_near_groups_compare_every_pair_that_shares_a_half(spark, monkeypatch, a
     monkeypatch.setattr(simhash_links, "fingerprints", lambda *_, **__: given)
     got = {x.doc_id: x.component_id for x in simhash_links.near_groups(docs(spark, [])).collect()}
     assert got == want
+
+
+def test_keep_one_judges_rows_without_or_with_repeated_ids(spark):
+    near, other, third = words(300, 71), words(300, 72), words(300, 73)
+    rows = [(None, near + " a", "x"), (5, near + " b", "x"), (None, other, "x"), (None, other + " tail", "x"), (7, third, "x"), (7, third + " tail", "x"), (5, words(300, 74), "x"), (9, words(300, 75), "x"), (4, words(300, 75) + " tail", "x"), (9, words(300, 76), "x")]
+    kept = [(r.doc_id, r.text) for r in simhash_links.keep_one(docs(spark, rows)).collect()]
+    assert len(kept) == 6
+    for group in ([1], [6], [8], [9], [2, 3], [4, 5]):
+        assert sum(kept.count(rows[i][:2]) for i in group) == 1

@@ -184,3 +184,12 @@ def test_html_edge_cases(spark):
     got = html_crf.extract(df).collect()
     assert len(got) == 4 and sum(r.text == "" for r in got) >= 2 and max(r.n_chars for r in got) > 10000
     assert html_crf.extract(df.limit(0)).count() == 0
+
+
+def test_clean_rows_judges_each_row(spark):
+    item = words(30, 91)
+    rows = [(None, "x " + item + " y", "a"), (None, words(40, 92), "a"), (3, item, "a"), (3, words(40, 93), "a"), (4, None, "a")]
+    items = spark.createDataFrame([(1, item), (2, words(30, 94)), (3, None)], "item_id long, text string")
+    for size in (20_000, 1):
+        kept = decontaminate.clean_rows(docs(spark, rows), items, block_items=size)
+        assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[i][:2] for i in (1, 3, 4)}
