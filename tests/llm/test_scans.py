@@ -193,3 +193,8 @@ def test_clean_rows_judges_each_row(spark):
     for size in (20_000, 1):
         kept = decontaminate.clean_rows(docs(spark, rows), items, block_items=size)
         assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[i][:2] for i in (1, 3, 4)}
+
+
+def test_long_tokens_are_parts():
+    token = "aB3dE5gH7jK9" * 40
+    assert secret_scan.find("blob", f"login=amy {token}== end") == [(10, 12 + len(token))]
