@@ -41,10 +41,15 @@ BLOCK_TAGS = frozenset(
     "select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object textarea".split())
+HIDDEN_TAGS = frozenset("script style noscript template svg iframe textarea".split())
 
+#: An element of HIDDEN_TAGS goes with its text; its name ends in white space, "/" or ">", a
+#: self-closed svg is empty, and where an end tag is missing only the start tag
+#: goes, but for script and style, which then run to the end of the page.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>"""
+    r"""|<(script|style)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
+    r"""|<(noscript|template|svg|iframe|textarea)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>.*?</\2\s*>"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -96,18 +101,18 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if not tag:
             continue
         tag = tag.lower()
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[3] else 1
         elif tag == "br":
             pieces.append(" ")
         elif tag in BLOCK_TAGS:
             flush()
             links = 0
-            if m[2]:
+            if m[3]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -115,7 +120,7 @@ def blocks(page: str) -> list[Block]:
             elif tag not in VOID_TAGS:
                 if stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] in ("li", "dt", "dd", "td", "th", "tr", "option"):
                     stack.pop()
-                stack.append((tag, _names(tag, m[4])))
+                stack.append((tag, _names(tag, m[5])))
     if at < len(page):
         add(page[at:])
     flush()

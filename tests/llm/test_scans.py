@@ -198,3 +198,14 @@ def test_clean_rows_judges_each_row(spark):
 def test_long_tokens_are_parts():
     token = "aB3dE5gH7jK9" * 40
     assert secret_scan.find("blob", f"login=amy {token}== end") == [(10, 12 + len(token))]
+
+
+def test_html_foreign_elements_leave_the_rest_of_the_page():
+    text = lambda page: " ".join(b.text for b in html_crf.blocks(page))
+    assert text('<svg-icon name="x"></svg-icon><p>Body') == "Body"
+    assert text('<svg class="i" /><p>Body') == text("<svg/><p>Body") == "Body"
+    assert text('<svg class="i"/><p>Body</p><svg><text>no</text></svg>') == "Body"
+    assert text("<p>so <math><mi>x</mi></math> and <object>picture</object> it is") == "so x and picture it is"
+    assert text("<p>a</p><svg><p>Body") == text("<p>a</p><iframe src=x><p>Body") == "a Body"
+    assert text("<p>a</p><svg><title>no</title></svg><template><p>no</p></template><p>Body") == "a Body"
+    assert text("<p>a</p><script>var t = 1; <p>Body") == "a"
