@@ -1,14 +1,15 @@
 """Exact deduplication by progressive refinement (length, prefix hash, full hash), all on the JVM.
 
-Texts are equal when identical after lower-casing A-Z; null counts as empty. The first pass reads
-only lengths and prefixes and finds the (length, prefix) classes with two rows or more; the full
-hash is then computed for rows of those classes alone. Length classes are counted first, so that
-prefix hashes are grouped only within lengths that repeat.
+Texts are equal when identical after lower-casing A-Z; null counts as empty. The first pass counts
+byte lengths alone. Only rows whose length repeats are hashed by their prefix, and only rows whose
+(length, prefix) class repeats are hashed in full and shuffled.
 
-Defined cases: null text is the empty text; empty texts form one group; rows repeated with one
-doc_id and one text count as separate rows of which exactly one stays; a null doc_id sorts below
-every other; extra columns are kept or ignored, whatever their names (work columns start with
-``__xd_``); an empty table gives an empty result."""
+Defined cases: null text is the empty text; empty texts form one group; texts may be of any
+length, as only lengths, hashes and the kept rows are shuffled; rows repeated with one doc_id and
+one text count as separate rows of which exactly one stays; a null doc_id sorts below every other;
+of rows that tie in id, ``keep_one`` keeps the one whose own text (before lower-casing) has the
+larger hash; extra columns of any type, maps too, are kept or ignored, whatever their names (work
+columns start with ``__xd_``); an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -33,12 +34,19 @@ def _prefix(text_col: str, prefix_chars: int) -> Column:
     return F.xxhash64(ascii_lower(F.coalesce(F.substring(F.col(f"`{text_col}`"), 1, prefix_chars), F.lit(""))))
 
 
+def repeated_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The byte lengths that two rows or more have: a narrow table, at most one row per length."""
+    lengths = docs.select(_length(text_col).alias("__xd_len")).groupBy("__xd_len").agg(F.count(F.lit(1)).alias("n"))
+    return lengths.where("n > 1").select("__xd_len")
+
+
 def candidate_classes(docs: DataFrame, text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The (length, prefix hash) classes that hold two rows or more."""
-    keys = docs.select(_length(text_col).alias("__xd_len"), _prefix(text_col, prefix_chars).alias("__xd_prefix"))
-    by_prefix = keys.groupBy("__xd_len", "__xd_prefix").agg(F.count(F.lit(1)).alias("n"))
-    by_length = by_prefix.groupBy("__xd_len").agg(F.sum("n").alias("m")).where("m > 1").select("__xd_len")
-    return by_prefix.where("n > 1").join(by_length, "__xd_len", "left_semi").select("__xd_len", "__xd_prefix")
+    """The (length, prefix hash) classes that hold two rows or more; prefixes are hashed only where
+    the length repeats."""
+    lengths = sized(materialize(repeated_lengths(docs, text_col), "xd-lengths"))
+    again = docs.withColumn("__xd_len", _length(text_col)).join(lengths, "__xd_len", "left_semi")
+    keys = again.select("__xd_len", _prefix(text_col, prefix_chars).alias("__xd_prefix"))
+    return keys.groupBy("__xd_len", "__xd_prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__xd_len", "__xd_prefix")
 
 
 def _flagged(docs: DataFrame, text_col: str, prefix_chars: int) -> DataFrame:
@@ -72,6 +80,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     columns = docs.columns
     rows = _flagged(docs, text_col, prefix_chars)
     alone = rows.where("NOT __xd_again").select(*[f"`{c}`" for c in columns])
-    again = rows.where("__xd_again").select(F.sha2(_norm(text_col), 256).alias("__xd_sha"), F.struct(F.col(f"`{id_col}`").alias("__xd_id"), *[F.col(f"`{c}`") for c in columns]).alias("__xd_row"))
-    best = again.groupBy("__xd_sha").agg(F.max("__xd_row").alias("__xd_row"))
+    order = F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
+    again = rows.where("__xd_again").select(F.sha2(_norm(text_col), 256).alias("__xd_sha"), order.alias("__xd_order"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__xd_row"))
+    best = again.groupBy("__xd_sha").agg(F.max_by("__xd_row", "__xd_order").alias("__xd_row"))
     return alone.union(best.select(*[F.col(f"__xd_row.`{c}`") for c in columns]))
