@@ -12,24 +12,25 @@ each; the schedule is written in parts and joined to the documents. Every docume
 nothing is dropped or repeated.
 
 Defined cases: a null source is a source of its own; sources without a target weight, or with one
-of zero, together get one part in RESOLUTION; repeated rows take places of their own; extra columns
-are kept; an empty table gives an empty mix."""
+of zero, together get one part in RESOLUTION; repeated rows take places of their own, in any order
+among themselves; texts are hashed, not moved about, so their length does not matter beyond the
+one shuffle of the rows; extra columns of any type are kept, but for those named like the mix's own
+(OUTPUTS), which are replaced; an empty table gives an empty mix."""
 
 from __future__ import annotations
 
 import heapq
-import uuid
 from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamkit.llm._shared import _WRITTEN, materialize, shared_dir, sized
+from loamkit.llm._shared import materialize, new_path, row_hash, sized
 
 BLOCK_DOCS = 16
 RESOLUTION = 1000
@@ -39,6 +40,9 @@ SCALE = 1 << 61
 PART_ROWS = 1_000_000
 #: Rows numbered in one group.
 BUCKET_ROWS = 1_000
+#: Buckets whose sizes are summed in one group; their sums are summed in a second step.
+SUM_BUCKETS = 4_096
+OUTPUTS = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 #: Without given targets a source's weight is its number of documents to this power.
 FLATTEN = 0.5
 
@@ -125,7 +129,7 @@ def phases(weights: list[int], blocks: list[int]) -> list[Phase]:
 def _scheduled(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
     """(__pf_source, mix_block, mix_slot, mix_release, mix_deadline) of all blocks."""
     names = ["__pf_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"]
-    path, held, rows = f"{shared_dir(spark)}/loamkit/mix-schedule-{uuid.uuid4().hex}", [np.zeros((5, 0), np.int64)], 0
+    path, held, rows = new_path(spark, "mix-schedule"), [np.zeros((5, 0), np.int64)], 0
 
     def write() -> None:
         table = np.concatenate(held, axis=1)
@@ -142,21 +146,34 @@ def _scheduled(spark: SparkSession, weights: list[int], blocks: list[int]) -> Da
             held, rows = held[:1], 0
     if rows or len(held) == 1:
         write()
-    _WRITTEN.append(path)
     return spark.read.schema(", ".join(f"{n} long" for n in names)).parquet(path)
 
 
+def _before(sizes: DataFrame) -> DataFrame:
+    """(__pf_source, __pf_bucket, __pf_first): the rows of a source in the buckets before a bucket,
+    summed in two steps, so that no task holds all buckets of a source."""
+    sizes = materialize(sizes.withColumn("__pf_part", F.floor(F.col("__pf_bucket") / SUM_BUCKETS)), "mix-sizes")
+
+    def running(by: list[str], order: str) -> Column:
+        window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(window), F.lit(0))
+
+    parts = sizes.groupBy("__pf_source", "__pf_part").agg(F.sum("n").alias("n"))
+    parts = parts.select("__pf_source", "__pf_part", running(["__pf_source"], "__pf_part").alias("__pf_past"))
+    inside = sizes.withColumn("__pf_near", running(["__pf_source", "__pf_part"], "__pf_bucket"))
+    found = inside.join(parts, ["__pf_source", "__pf_part"])
+    return found.select("__pf_source", "__pf_bucket", (F.col("__pf_past") + F.col("__pf_near")).alias("__pf_first"))
+
+
 def _numbered(docs: DataFrame, sources: DataFrame, source_col: str) -> DataFrame:
     """docs with __pf_source and __pf_rank, a row number within the source in hash order.
 
     Rows are numbered within buckets of about BUCKET_ROWS; a bucket's first number is the count
     of the buckets before it, so that no source meets in one task."""
-    keyed = docs.withColumn("__pf_h", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = docs.withColumn("__pf_h", row_hash(docs))
     keyed = keyed.join(F.broadcast(sources), keyed[f"`{source_col}`"].eqNullSafe(sources["__pf_name"])).drop("__pf_name")
     keyed = keyed.withColumn("__pf_bucket", F.pmod("__pf_h", F.col("__pf_buckets")))
-    sizes = keyed.groupBy("__pf_source", "__pf_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("__pf_source").orderBy("__pf_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = materialize(sizes.select("__pf_source", "__pf_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__pf_first")), "mix-firsts")
+    firsts = materialize(_before(keyed.groupBy("__pf_source", "__pf_bucket").agg(F.count(F.lit(1)).alias("n"))), "mix-firsts")
     inside = Window.partitionBy("__pf_source", "__pf_bucket").orderBy("__pf_h")
     ranked = keyed.withColumn("__pf_in", F.row_number().over(inside) - 1)
     ranked = ranked.join(sized(firsts), ["__pf_source", "__pf_bucket"])
@@ -164,11 +181,12 @@ def _numbered(docs: DataFrame, sources: DataFrame, source_col: str) -> DataFrame
 
 
 def mix(docs: DataFrame, source_col: str = "source", targets: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs with mix_block, mix_release, mix_deadline, mix_slot and mix_position.
+    """docs with mix_block, mix_release, mix_deadline, mix_slot and mix_position (OUTPUTS).
 
     Reading by mix_position gives the mix; positions of a source's last, partial block are left
     out of the sequence, so positions ascend but need not be dense."""
     spark = docs.sparkSession
+    docs = docs.drop(*OUTPUTS)
     counts = docs.groupBy(F.col(f"`{source_col}`").alias("s")).count().collect()
     counts = sorted(((r["s"], r["count"]) for r in counts), key=lambda r: (r[0] is not None, r[0] or ""))
     raw = [n**FLATTEN if targets is None else float(targets.get(s, 0)) for s, n in counts]
@@ -179,4 +197,4 @@ def mix(docs: DataFrame, source_col: str = "source", targets: dict[str | None, f
     ranked = _numbered(docs, sources, source_col).withColumn("mix_block", F.floor(F.col("__pf_rank") / block_docs).cast("long"))
     placed = ranked.join(sized(_scheduled(spark, weights, blocks)), ["__pf_source", "mix_block"])
     position = F.col("mix_slot") * block_docs + F.col("__pf_rank") % block_docs
-    return placed.select(*[f"`{c}`" for c in docs.columns], "mix_block", "mix_release", "mix_deadline", "mix_slot", position.alias("mix_position"))
+    return placed.select(*[f"`{c}`" for c in docs.columns], *OUTPUTS[:4], position.alias(OUTPUTS[4]))
