@@ -5,14 +5,18 @@ shares of symbols, capitals, separators, repeats, and how strongly its words and
 point to a lexicon. The lexicon comes from grouped document counts by label. Both are fitted on a
 bounded sample of labelled rows (FIT_ROWS); everything else covers all rows. The classifier's
 evidence, a log likelihood ratio free of any base rate, is then combined with the rate of the
-document's site: hosts shrink towards the global rate and paths towards their host by grouped
-aggregation, the more the fewer documents they have, with strengths from the spread between sites
-(method of moments).
-
-Defined cases: null or empty texts are rejected as low quality; sites may be null and are then one
-site; labels that are null or lack a document are ignored, and without labels of both kinds a head
-gives no evidence; repeated rows are judged one by one and all count; extra columns are kept by
-``keep_good`` and ignored else."""
+document's site, the document itself left out: hosts shrink towards the global rate and paths
+towards their host by grouped aggregation, the more the fewer documents they have, with strengths
+from the spread of hosts around the global rate and of paths around their hosts (method of
+moments).
+
+Defined cases: null or empty texts are rejected as low quality; very long texts count whole, one
+row at a time; sites may be null and are then one site; labels that are null or lack a document are
+ignored, labels that contradict each other all count, and without labels of both kinds a head gives
+no evidence and rejects nothing; of rows that repeat a labelled id, the one with the least text hash is fitted on;
+repeated rows are judged one by one and all count; a path's only document has its host's rate, a
+host's only document the global one; extra columns are kept by ``keep_good`` and ignored else,
+whatever their names; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 
 from loamkit.llm._shared import materialize, sized, small_batches
 
-#: Labelled rows that the classifier is fitted on, at most: those first in hash order.
+#: Labels that the classifier is fitted on, at most: those first in hash order.
 FIT_ROWS = 16_000
+#: Tasks that share the sample.
+FIT_TASKS = 32
 #: Lexicon entries at most, the strongest first.
 LEXICON = 2_000
 #: Beginnings of words that are features beside whole words.
@@ -139,7 +145,7 @@ def _dense_udf(lexicon: dict[str, float]) -> Callable[..., Column]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """The model, from at most ``fit_rows`` labelled rows.
+    """The model, from at most ``fit_rows`` labels, each with one row of its document.
 
     Two thirds of the sample, by hash, make the lexicon; the heads are fitted on the other third,
     so that they learn how far the lexicon can be trusted."""
@@ -147,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     wanted = labels.select(F.col("doc_id").alias("__qb_id"), F.col("toxic").cast("int").alias("toxic"), (F.col("quality") == 0).cast("int").alias("low")).dropna()
     wanted = wanted.withColumn("h", F.xxhash64("__qb_id", "toxic", "low")).orderBy("h").limit(fit_rows)
     wanted = F.broadcast(materialize(wanted, "fit-labels"))
-    sample = materialize(docs.select(F.col("doc_id").alias("__qb_id"), "text").join(wanted, "__qb_id").repartition("h").select("h", "toxic", "low", "text"), "fit-sample")
-    # the sample's text can recur in many rows; its order of magnitude stays fit_rows
+    found = docs.select(F.col("doc_id").alias("__qb_id"), "text").join(wanted, "__qb_id").repartition(FIT_TASKS, "h")
+    one = found.groupBy("h", "toxic", "low").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = materialize(one, "fit-sample")
     totals = {r["toxic"]: r["n"] for r in sample.where("pmod(h, 3) > 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     lexicon: dict[str, float] = {}
     if totals.get(0) and totals.get(1):
@@ -159,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         odds = F.log(shrunk / (1 - shrunk)) - math.log(base / (1 - base))
         best = per.select("f", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "f").limit(LEXICON)
         lexicon = {r["f"]: float(r["odds"]) for r in best.collect()}
-    rest = sample.where("pmod(h, 3) = 0").select("toxic", "low", _dense_udf(lexicon)("text").alias("x")).limit(4 * fit_rows).collect()
+    rest = sample.where("pmod(h, 3) = 0").select("toxic", "low", _dense_udf(lexicon)("text").alias("x")).collect()
     x = np.array([r["x"] for r in rest]).reshape(-1, WIDTH)
     return Model(lexicon, {h: fit_head(x, np.array([r[h] for r in rest], float)) for h in HEADS})
 
@@ -184,39 +191,60 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def _strength(sites: DataFrame, rate: float, n: str, total: str) -> float:
-    """How many documents the prior weighs: from the spread of rates between sites, 2 to 10000."""
-    row = sites.select(F.avg(F.pow(F.col(total) / F.col(n) - rate, 2)).alias("v"), F.avg(1 / F.col(n)).alias("inv")).first()
-    noise = rate * (1 - rate)
-    between = max((row["v"] or 0) - noise * (row["inv"] or 0), 1e-9)
-    return min(10_000.0, max(2.0, noise / between - 1))
+def _strength(sites: DataFrame, rate: Column, n: str, total: str) -> float:
+    """How many documents the prior weighs, 2 to 10000: from how far the sites' rates lie from
+    ``rate`` beyond what chance would give."""
+    rate = F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
+    row = sites.select(
+        F.avg(F.pow(F.col(total) / F.col(n) - rate, 2)).alias("v"), F.avg(rate * (1 - rate)).alias("noise"), F.avg(rate * (1 - rate) / F.col(n)).alias("chance")
+    ).first()
+    between = max((row["v"] or 0) - (row["chance"] or 0), 1e-9)
+    return min(10_000.0, max(2.0, (row["noise"] or 0) / between - 1))
+
 
+def _chances(model: Model) -> dict[str, Column]:
+    return {h: _sigmoid(F.col(f"ev.{h}") + model.heads[h].base) for h in HEADS}
 
-def posteriors(scored: DataFrame, model: Model) -> DataFrame:
-    """(site_host, site_path, <head>_host, <head>_rate): rates of every path, shrunk.
+
+def site_sums(scored: DataFrame, model: Model) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
+    """(site_host, site_path, n, host_n, <head>_sum, <head>_host_sum), and per head the global
+    rate and the strengths of host and path priors.
 
     ``scored`` has site_host, site_path (not null) and ``ev``. The sites' own tables are written,
-    as three passes read them."""
-    chances = {h: _sigmoid(F.col(f"ev.{h}") + model.heads[h].base) for h in HEADS}
-    paths = materialize(scored.groupBy("site_host", "site_path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"{h}_sum") for h, c in chances.items()]), "paths")
+    as several passes read them."""
+    paths = materialize(scored.groupBy("site_host", "site_path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"{h}_sum") for h, c in _chances(model).items()]), "paths")
     hosts = materialize(paths.groupBy("site_host").agg(F.sum("n").alias("host_n"), *[F.sum(f"{h}_sum").alias(f"{h}_host_sum") for h in HEADS]), "hosts")
     totals = hosts.agg(F.sum("host_n").alias("n"), *[F.sum(f"{h}_host_sum").alias(h) for h in HEADS]).first()
-    out = paths.join(sized(hosts), "site_host")
+    both = paths.join(sized(hosts), "site_host")
+    priors = {}
     for h in HEADS:
         rate = (totals[h] or 0.0) / totals["n"] if totals["n"] else 0.5
-        kh = _strength(hosts, rate, "host_n", f"{h}_host_sum")
-        kp = _strength(paths, rate, "n", f"{h}_sum")
-        out = out.withColumn(f"{h}_host", (F.col(f"{h}_host_sum") + kh * rate) / (F.col("host_n") + kh))
-        out = out.withColumn(f"{h}_rate", (F.col(f"{h}_sum") + kp * F.col(f"{h}_host")) / (F.col("n") + kp))
-    return out.select("site_host", "site_path", *[f"{h}_host" for h in HEADS], *[f"{h}_rate" for h in HEADS])
+        kh = _strength(hosts, F.lit(rate), "host_n", f"{h}_host_sum")
+        own_host = (F.col(f"{h}_host_sum") + kh * rate) / (F.col("host_n") + kh)
+        priors[h] = (rate, kh, _strength(both, own_host, "n", f"{h}_sum"))
+    return both, priors
 
 
-def _judged(scored: DataFrame, model: Model) -> DataFrame:
-    sites = sized(materialize(posteriors(scored, model), "sites"))
+def with_rates(scored: DataFrame, sites: DataFrame, model: Model, priors: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """scored with <head>_host and <head>_rate: the shrunk rates of a row's host and path, from all
+    rows but this one."""
     out = scored.join(sites, ["site_host", "site_path"])
+    for h, own in _chances(model).items():
+        rate, kh, kp = priors[h]
+        out = out.withColumn(f"{h}_host", (F.col(f"{h}_host_sum") - own + kh * rate) / (F.col("host_n") - 1 + kh))
+        out = out.withColumn(f"{h}_rate", (F.col(f"{h}_sum") - own + kp * F.col(f"{h}_host")) / (F.col("n") - 1 + kp))
+    return out.drop("n", "host_n", *[f"{h}_sum" for h in HEADS], *[f"{h}_host_sum" for h in HEADS])
+
+
+def _judged(scored: DataFrame, model: Model) -> DataFrame:
+    sites, priors = site_sums(scored, model)
+    out = with_rates(scored, sized(materialize(sites, "sites")), model, priors)
     for h in HEADS:
         out = out.withColumn(f"p_{h}", _sigmoid(F.col(f"ev.{h}") + _logit(F.col(f"{h}_rate"))))
-    good = (F.col("p_toxic") < 0.5) & (F.col("p_low") < 0.5) & F.col("__qb_some")
+    good = F.col("__qb_some")
+    for h in HEADS:
+        if len(model.heads[h].weights):
+            good = good & (F.col(f"p_{h}") < 0.5)
     return out.withColumn("keep", good)
 
 
