@@ -2,33 +2,43 @@
 
 Strong patterns (assignments, AWS-style access ids, long hexadecimal runs) are reported on their
 own. Weak parts (bare identifiers, high-entropy tokens, endpoints) mean nothing alone; they are
-reported only where complementary parts lie in one scope within ``reach`` code points: an
-identifier or a token needs its counterpart, an endpoint needs both. The interval join runs as one
-ordered sweep over the parts of a scope (nearest part of each role on either side), so its cost is
-linear and no pairs are listed. A scope is a paragraph: text between empty lines.
+reported only where complementary parts, disjoint from them, lie in one scope within ``reach`` code
+points: an identifier or a token needs its counterpart, an endpoint needs both, disjoint from each
+other. A scope is a paragraph: text between empty lines. The parts of a text are joined to each
+other as intervals: per scope and role they lie sorted by end and by start, and those within reach
+on either side are found by bisection. Parts of one kind do not overlap, so that these are few and
+a text of n parts takes about n log n steps. As scopes never cross documents, the join needs no
+shuffle: it runs where the text was read.
 
 Defined cases: null text is the empty text; rows without parts come out with zero counts and empty
-strings; repeated rows are scanned one by one; extra columns are ignored."""
+strings; very long texts are read whole, and tokens of any length are parts; of parts that start
+together the order is that of KINDS; one stretch of text that fits two roles does not complement
+itself; repeated rows are scanned one by one; extra columns are ignored, whatever their names; an
+empty table gives an empty result."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loamkit.llm._shared import materialize, small_batches
+from loamkit.llm._shared import small_batches
 
 #: Kinds in the order that breaks ties of start; the first three are the base.
 KINDS = ["assign", "access", "hex", "ident", "blob", "endpoint"]
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "blob": "secret", "endpoint": "endpoint"}
 #: The most code points between complementary parts.
 REACH = 200
+BREAK = re.compile(r"\n[ \t]*\n")
+#: What a weak kind needs beside it: parts of all these roles.
+NEEDS = {"ident": ("secret",), "blob": ("id",), "endpoint": ("id", "secret")}
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -70,64 +80,69 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{KINDS[k]}:{start}:{end}" for start, k, end in ordered)
 
 
-PART = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("scope", pa.int64())])
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = pc.fill_null(batch.column(1), "")
-        may = {kind: pc.match_substring_regex(texts, hint).to_pylist() for kind, hint in HINTS.items()}
-        counts: dict[str, list[int]] = {k: [] for k in KINDS[:3]}
-        digests, bases, parts = [], [], []
-        for i in range(len(texts)):
-            found: list[tuple[int, int, str]] = []
-            if any(may[k][i] for k in KINDS):
-                text = texts[i].as_py()
-                for kind in KINDS:
-                    if may[kind][i]:
-                        found += [(s, e, kind) for s, e in find(kind, text)]
-            base = [x for x in found if x[2] in KINDS[:3]]
-            for kind in KINDS[:3]:
-                counts[kind].append(sum(x[2] == kind for x in base))
-            bases.append(joined(base))
-            digests.append(hashlib.sha256(bases[-1].encode()).hexdigest())
-            if len(found) > len(base):
-                breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
-                parts.append([{"kind": k, "start": s, "end": e, "scope": sum(b < s for b in breaks)} for s, e, k in found])
-            else:
-                parts.append([])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), pa.array(digests), pa.array(bases), pa.array(parts, pa.list_(PART))],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base_spans", "parts"],
-        )
+def linked(found: list[tuple[int, int, str]], breaks: list[int], reach: int = REACH) -> list[tuple[int, int, str]]:
+    """The weak parts of a text that lie within ``reach`` of all they need. ``breaks`` are the
+    ascending places of the empty lines."""
+    by_start: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
+    by_end: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
+    for start, end, kind in found:
+        key = bisect_left(breaks, start), ROLE[kind]
+        by_start[key].append((start, end))
+        by_end[key].append((end, start))
+    for places in (*by_start.values(), *by_end.values()):
+        places.sort()
+
+    def beside(start: int, end: int, key: tuple[int, str]) -> list[tuple[int, int]]:
+        before, after = by_end.get(key, []), by_start.get(key, [])
+        near = [(s, e) for e, s in before[bisect_left(before, (start - reach, -1)) : bisect_right(before, (start, start))]]
+        return near + after[bisect_left(after, (end, -1)) : bisect_left(after, (end + reach + 1, -1))]
+
+    out = []
+    for start, end, kind in found:
+        if kind in NEEDS:
+            near = [beside(start, end, (bisect_left(breaks, start), role)) for role in NEEDS[kind]]
+            if all(near) and (len(near) == 1 or _disjoint(*near)):
+                out.append((start, end, kind))
+    return out
+
+
+def _disjoint(one: list[tuple[int, int]], two: list[tuple[int, int]]) -> bool:
+    """Whether some interval of one list lies before or after some of the other."""
+    return min(e for _, e in one) <= max(s for s, _ in two) or min(e for _, e in two) <= max(s for s, _ in one)
+
+
+def _scan(reach: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            may = {kind: pc.match_substring_regex(texts, hint).to_pylist() for kind, hint in HINTS.items()}
+            counts: dict[str, list[int]] = {k: [] for k in KINDS[:3]}
+            digests, bases, spans = [], [], []
+            for i in range(len(texts)):
+                found: list[tuple[int, int, str]] = []
+                if any(may[k][i] for k in KINDS):
+                    text = texts[i].as_py()
+                    for kind in KINDS:
+                        if may[kind][i]:
+                            found += [(s, e, kind) for s, e in find(kind, text)]
+                base = [x for x in found if x[2] in KINDS[:3]]
+                for kind in KINDS[:3]:
+                    counts[kind].append(sum(x[2] == kind for x in base))
+                bases.append(joined(base))
+                digests.append(hashlib.sha256(bases[-1].encode()).hexdigest())
+                weak = linked(found, [m.start() for m in BREAK.finditer(text)], reach) if len(found) > max(1, len(base)) else []
+                spans.append(joined(base + weak) if weak else bases[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(bases, pa.string())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "base_spans"],
+            )
+
+    return run
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """One row per input row: counts of base kinds, digest and list of base spans, and ``spans``:
-    the base spans with the linked weak parts."""
+    """One row per input row: counts of base kinds, digest of the base spans, ``spans``: the base
+    spans with the linked weak parts, and ``base_spans`` alone."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base_spans string, parts array<struct<kind:string,start:long,end:long,scope:long>>"
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_scan, schema)
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "secret-parts")
-    parts = rows.where(F.size("parts") > 0).select("uid", F.explode("parts").alias("p")).select("uid", "p.*")
-    role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])[F.col("kind")]
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    parts = parts.withColumns({"role": role, "ord": order})
-    swept = Window.partitionBy("uid", "scope").orderBy("start", "ord")
-    before, after = swept.rowsBetween(Window.unboundedPreceding, -1), swept.rowsBetween(1, Window.unboundedFollowing)
-    near = {}
-    for r in ("id", "secret"):
-        back = F.max(F.when(F.col("role") == r, F.col("end"))).over(before)
-        ahead = F.min(F.when(F.col("role") == r, F.col("start"))).over(after)
-        near[f"near_{r}"] = F.coalesce(F.col("start") - back <= reach, F.lit(False)) | F.coalesce(ahead - F.col("end") <= reach, F.lit(False))
-    linked = parts.withColumns(near).where(
-        ((F.col("kind") == "ident") & F.col("near_secret"))
-        | ((F.col("kind") == "blob") & F.col("near_id"))
-        | ((F.col("kind") == "endpoint") & F.col("near_id") & F.col("near_secret"))
-        | F.col("kind").isin(KINDS[:3])
-    )
-    listed = linked.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "end"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return rows.join(listed.select("uid", text.alias("more")), "uid", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("more", "base_spans").alias("spans"), "base_spans"
-    )
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, base_spans string"
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_scan(reach), schema)
