@@ -12,13 +12,15 @@ the chain learns to do without.
 
 Defined cases: null html is the empty page, whose text is empty; a page without content blocks has
 empty text; broken markup is read as browsers do in simple cases (a new block closes an open
-paragraph, stray end tags are skipped); repeated rows are read one by one; extra columns are
-ignored; empty tables give empty results."""
+paragraph, stray end tags are skipped); very long and deeply nested pages are read whole, in steps
+in proportion to their length; repeated rows are read one by one; extra columns are ignored,
+whatever their names; empty tables give empty results."""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -57,11 +59,28 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 PART = re.compile(r"[a-z]+|[0-9]+")
 
 
+class Node:
+    """An open element: what its names add to those of its ancestors. Paths share their nodes, so
+    that nesting costs no copies."""
+
+    __slots__ = ("names", "score", "tag", "up")
+
+    def __init__(self, tag: str, names: tuple[str, ...], up: Node | None):
+        self.tag, self.names, self.up = tag, names, up
+        self.score: tuple[float, float] | None = None
+
+    def path(self) -> set[str]:
+        found, node = set(), self
+        while node:
+            found.update(node.names)
+            node = node.up
+        return found
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # features of the open ancestors, outermost first
-    tag: str
+    node: Node
     linked: int  # characters inside links
 
 
@@ -73,11 +92,18 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+#: Tags that a tag of the same name closes.
+ALIKE = frozenset(["li", "dt", "dd", "td", "th", "tr", "option"])
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, white space squeezed, references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
     pieces: list[str] = []
+    open_tags: Counter[str] = Counter()
+    open_names: Counter[str] = Counter()
+    root = Node("", (), None)
     linked = links = 0
 
     def flush() -> None:
@@ -85,8 +111,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            tag = stack[-1][0] if stack else ""
-            out.append(Block(text, tuple(n for _, names in stack for n in names), tag, linked))
+            out.append(Block(text, stack[-1] if stack else root, linked))
         linked = 0
 
     def add(raw: str) -> None:
@@ -96,6 +121,17 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text)
 
+    def opened(tag: str, names: tuple[str, ...]) -> None:
+        stack.append(Node(tag, tuple(n for n in dict.fromkeys(names) if not open_names[n]), stack[-1] if stack else None))
+        open_names.update(stack[-1].names)
+        open_tags[tag] += 1
+
+    def closed() -> str:
+        node = stack.pop()
+        open_names.subtract(node.names)
+        open_tags[node.tag] -= 1
+        return node.tag
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -113,14 +149,12 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0
             if m[3]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                while open_tags[tag] and closed() != tag:
+                    pass
             elif tag not in VOID_TAGS:
-                if stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    stack.pop()
-                stack.append((tag, _names(tag, m[5])))
+                if stack and (stack[-1].tag == "p" or tag == stack[-1].tag and tag in ALIKE):
+                    closed()
+                opened(tag, _names(tag, m[5]))
     if at < len(page):
         add(page[at:])
     flush()
@@ -128,7 +162,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def path_features(block: Block) -> set[str]:
-    return set(block.path) | {"tag:" + block.tag}
+    return block.node.path() | {"tag:" + block.node.tag}
 
 
 def text_features(block: Block, first: bool, last: bool) -> list[str]:
@@ -183,7 +217,8 @@ def seed() -> list[tuple[list[Block], list[int]]]:
 def marked(page: str) -> tuple[list[Block], list[int]]:
     """A page with the labels that its own mark-up gives."""
     found = blocks(page)
-    return found, [int(not OUTSIDE.intersection(b.path) and bool(MARKS.intersection(b.path))) for b in found]
+    paths = [b.node.path() for b in found]
+    return found, [int(not OUTSIDE.intersection(p) and bool(MARKS.intersection(p))) for p in paths]
 
 
 @dataclass
@@ -193,7 +228,21 @@ class Chain:
     weights: dict[str, tuple[float, float]] = field(default_factory=dict)
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
-    def decode(self, found: list[Block], memo: dict[tuple, tuple[float, float]]) -> list[int]:
+    def path_score(self, node: Node) -> tuple[float, float]:
+        """The summed weights of a node's path; every node is added up once."""
+        trail: list[Node] = []
+        while node and node.score is None:
+            trail.append(node)
+            node = node.up
+        x, y = node.score if node else (0.0, 0.0)
+        for step in reversed(trail):
+            for f in step.names:
+                p, q = self.weights.get(f, (0.0, 0.0))
+                x, y = x + p, y + q
+            step.score = (x, y)
+        return x, y
+
+    def decode(self, found: list[Block]) -> list[int]:
         """Viterbi."""
         if not found:
             return []
@@ -201,11 +250,9 @@ class Chain:
         (s00, s01), (s10, s11) = self.steps.tolist()
         a = b = 0.0
         for i, block in enumerate(found):
-            key = (block.path, block.tag)
-            if (own := memo.get(key)) is None:
-                pairs = [get(f, (0.0, 0.0)) for f in path_features(block)]
-                own = memo[key] = (sum(p[0] for p in pairs), sum(p[1] for p in pairs))
-            x, y = own
+            x, y = self.path_score(block.node)
+            p, q = get("tag:" + block.node.tag, (0.0, 0.0))
+            x, y = x + p, y + q
             for f in text_features(block, i == 0, i == last):
                 p, q = get(f, (0.0, 0.0))
                 x, y = x + p, y + q
@@ -273,11 +320,21 @@ def train(labelled: list[tuple[list[Block], list[int], bool]]) -> Chain:
     return Chain({f: (float(w[i, 0]), float(w[i, 1])) for f, i in ids.items()}, steps)
 
 
+def sampled(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> list[str]:
+    """At most ``fit_pages`` different marked pages: those first in hash order. The hashes alone
+    are ordered; only the pages chosen are fetched."""
+    page = F.col(f"`{html_col}`")
+    keyed = pages.where(page.rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(f"`{id_col}`"), page).alias("h"), page.alias("html"))
+    first = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
+    if not first:
+        return []
+    rows = keyed.where(F.col("h").isin(first)).groupBy("h").agg(F.first("html").alias("html")).collect()
+    return [r["html"] for r in sorted(rows, key=lambda r: r["h"])]
+
+
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> Chain:
     """The chain, trained on a bounded sample of marked pages and the seed pages."""
-    page = F.col(f"`{html_col}`")
-    sample = pages.where(page.rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), page.alias("html")).orderBy("h").limit(fit_pages).collect()
-    labelled = [marked(r["html"]) for r in sample]
+    labelled = [marked(page) for page in sampled(pages, id_col, html_col, fit_pages)]
     seeds = seed()
     again = max(1, len(labelled) // (6 * len(seeds)))
     return train([(*x, hidden) for x in labelled for hidden in (False, True)] + [(*x, hidden) for x in seeds for hidden in (False, True) for _ in range(again)])
@@ -290,16 +347,14 @@ def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id
     shared = spark.sparkContext.broadcast(chain or fit(pages, id_col, html_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, {}
+        model = shared.value
         for batch in batches:
             texts, counts = [], []
             for page in pc.fill_null(batch.column(2), ""):
                 found = blocks(page.as_py())
-                kept = [b.text for b, label in zip(found, model.decode(found, memo)) if label]
+                kept = [b.text for b, label in zip(found, model.decode(found)) if label]
                 texts.append("\n\n".join(kept))
                 counts.append(len(kept))
-                if len(memo) > 100_000:
-                    memo.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
