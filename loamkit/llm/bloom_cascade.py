@@ -14,8 +14,9 @@ cascade, which allows all; extra columns are ignored."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from loamkit.llm._shared import ascii_lower, materialize
 #: (verdict, rule); a rule is host/path-prefix and fits the host and its subdomains.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 FALSE_RATE = 0.02
-MAX_FILTER_BYTES = 64 << 20
-MAX_LEVELS = 40
+MAX_FILTER_BYTES = 16 << 20
+MAX_LEVELS = 24
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -65,24 +66,27 @@ def positions(a: np.ndarray, b: np.ndarray, level: int, bits: int, hashes: int)
 
 
 class Cascade:
-    """The levels of one shard, as broadcast to executors: (bits, hashes, words)."""
+    """The levels of one shard: (bits, hashes, words), and the keys of the last level, if any."""
 
     def __init__(self, shards: int, shard: int):
         self.shards, self.shard = shards, shard
         self.levels: list[tuple[int, int, np.ndarray]] = []
+        self.rest: frozenset[str] = frozenset()
 
     def passes(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         bits, hashes, words = self.levels[level]
         at = positions(a, b, level, bits, hashes)
         return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool).all(axis=1)
 
-    def listed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def listed(self, a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
         out, live = np.zeros(len(a), bool), np.arange(len(a))
         for level in range(len(self.levels)):
             through = self.passes(level, a[live], b[live])
             out[live[~through]] = level % 2 == 1
             live = live[through]
         out[live] = len(self.levels) % 2 == 1
+        if self.rest:  # the set says for those left whether they are as the level before took them
+            out[live] ^= np.array([keys[i] in self.rest for i in live], bool)
         return out
 
 
@@ -94,12 +98,18 @@ def _spots(level: int, bits: int, hashes: int) -> Callable[..., Column]:
     return spots
 
 
-def _udf(shared: Broadcast, ask: Callable[[Cascade, np.ndarray, np.ndarray], np.ndarray]) -> Callable[..., Column]:
-    """A function of two hash columns that asks a broadcast cascade."""
+def _passing(shared: Broadcast, level: int) -> Callable[..., Column]:
+    @F.pandas_udf("boolean")
+    def passing(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.passes(level, a.to_numpy(), b.to_numpy()))
+
+    return passing
+
 
+def _asked(shared: Broadcast) -> Callable[..., Column]:
     @F.pandas_udf("boolean")
-    def asked(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(ask(shared.value, a.to_numpy(), b.to_numpy()))
+    def asked(a: pd.Series, b: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.listed(a.to_numpy(), b.to_numpy(), keys.to_numpy()))
 
     return asked
 
@@ -108,23 +118,26 @@ def _hashes(key: str) -> list[Column]:
     return [F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")]
 
 
-def build(keys: DataFrame, false_rate: float = FALSE_RATE, max_bytes: int = MAX_FILTER_BYTES) -> list[Cascade]:
-    """Cascades, one per shard, of the universe ``keys`` (key string, listed boolean)."""
+def build(keys: DataFrame, false_rate: float = FALSE_RATE, max_bytes: int = MAX_FILTER_BYTES, max_levels: int = MAX_LEVELS) -> Iterator[Cascade]:
+    """Cascades, one per shard and each built when it is asked for, of the universe ``keys``
+    (key string, listed boolean)."""
     spark = keys.sparkSession
     per_key = -math.log(false_rate) / math.log(2) ** 2
     hashes = max(1, round(per_key * math.log(2)))
-    hashed = materialize(keys.select(*_hashes("key"), "listed"), "cascade-keys")
+    hashed = materialize(keys.select("key", *_hashes("key"), "listed"), "cascade-keys")
     total = hashed.where("listed").count()
     shards = max(1, math.ceil(total * per_key / 8 / max_bytes))
-    out = []
     for shard in range(shards):
         cascade = Cascade(shards, shard)
         live = hashed.where(F.pmod("a", F.lit(shards)) == shard)
-        for level in range(MAX_LEVELS):
+        for level in count():
             mine = live.where(F.col("listed") == (level % 2 == 0))
             n = mine.count()
             if not n:
                 break
+            if level >= max_levels:
+                cascade.rest = frozenset(r["key"] for r in mine.select("key").collect())
+                break
             bits = max(64, math.ceil(n * per_key / 64) * 64)
 
             spot = mine.select(F.explode(_spots(level, bits, hashes)("a", "b")).alias("at"))
@@ -132,24 +145,33 @@ def build(keys: DataFrame, false_rate: float = FALSE_RATE, max_bytes: int = MAX_
             table = np.zeros(bits // 64, np.uint64)
             table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
             cascade.levels.append((bits, hashes, table))
-            through = _udf(spark.sparkContext.broadcast(cascade), lambda c, a, b, level=level: c.passes(level, a, b))
+            shared = spark.sparkContext.broadcast(cascade)
             # the encoded keys stay for the next level but one; the others stay if they got through
-            others = live.where(F.col("listed") != (level % 2 == 0)).where(through("a", "b"))
+            others = live.where(F.col("listed") != (level % 2 == 0)).where(_passing(shared, level)("a", "b"))
             live = materialize(mine.unionByName(others), "cascade-live")
-        else:
-            raise RuntimeError("the cascade did not end; raise MAX_LEVELS")
-        out.append(cascade)
-    return out
+            shared.unpersist()
+        yield cascade
+
 
+def is_listed(df: DataFrame, key: str, cascades: Iterable[Cascade], name: str = "listed") -> DataFrame:
+    """df with a boolean column: whether the key (one of the universe, not null) is listed.
 
-def is_listed(df: DataFrame, key: str, cascades: list[Cascade], name: str = "listed") -> DataFrame:
-    """df with a boolean column: whether the key (one of the universe) is listed."""
-    df = df.withColumns({"__bc_a": _hashes(key)[0], "__bc_b": _hashes(key)[1]})
-    hits = []
+    One cascade is asked lazily. With more, the rows are written once, parted by shard, and each
+    shard's rows are asked and written before the next shard is built."""
+    spark, columns = df.sparkSession, [f"`{c}`" for c in df.columns if c != name]
+    keyed = df.withColumns({"__bc_a": _hashes(key)[0], "__bc_b": _hashes(key)[1]})
+    parts: list[DataFrame] = []
     for cascade in cascades:
-        look = _udf(df.sparkSession.sparkContext.broadcast(cascade), Cascade.listed)
-        hits.append((F.pmod("__bc_a", F.lit(cascade.shards)) == cascade.shard) & look("__bc_a", "__bc_b"))
-    return df.withColumn(name, reduce(lambda x, y: x | y, hits)).drop("__bc_a", "__bc_b")
+        shared = spark.sparkContext.broadcast(cascade)
+        if cascade.shards > 1 and not parts:
+            keyed = materialize(keyed.withColumn("__bc_shard", F.pmod("__bc_a", F.lit(cascade.shards)).cast("int")), "cascade-rows", "__bc_shard")
+        mine = keyed if cascade.shards == 1 else keyed.where(F.col("__bc_shard") == cascade.shard)
+        asked = mine.withColumn("__bc_hit", _asked(shared)("__bc_a", "__bc_b", key)).select(*columns, F.col("__bc_hit").alias(name))
+        if cascade.shards > 1:
+            asked = materialize(asked, "cascade-asked")
+            shared.unpersist()
+        parts.append(asked)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
