@@ -3,12 +3,15 @@
 Records of an archive are ordered by offset. Level 0 of its tree has one node per range of
 ``LEAF_BYTES`` offsets, the SHA-256 of the digests of the records that start there; each node
 above hashes the ordered hashes of up to FANOUT nodes below. Replicas are compared by their roots,
-then level by level below mismatching nodes alone, then by record within mismatching ranges. No
-step gathers more than FANOUT nodes or one range's records in a group.
+then level by level below mismatching nodes alone, then by record within mismatching ranges. Both
+replicas' trees are built side by side, one table a level. No step gathers more than FANOUT nodes
+or one range's records in a group.
 
-Defined cases: null payloads and urls are empty; rows that repeat are records of their own, at
+Defined cases: null payloads and urls are empty; very long records are hashed whole where they are
+read, and end ranges of their own; rows that repeat are records of their own, at
 offsets of their own; records without an id go to archives by their hash; an archive that one
-replica lacks mismatches at its root; empty tables give no findings; extra columns are ignored."""
+replica lacks mismatches at its root; empty tables give no findings; extra columns are ignored,
+whatever their names."""
 
 from __future__ import annotations
 
@@ -42,40 +45,39 @@ def lay_out(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def tree(records: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
-    """Nodes (archive, node, hash) by level, ranges first, roots last."""
+    """Nodes (side, archive, node, hash) by level, ranges first, roots last."""
     ordered = F.array_sort(F.collect_list(F.struct("offset", "digest")))
     node = F.floor(F.col("offset") / leaf_bytes).cast("long")
     text = F.array_join(F.transform(ordered, lambda r: F.concat_ws(":", r["offset"].cast("string"), r["digest"])), ",")
-    out = [materialize(records.groupBy("archive", node.alias("node")).agg(F.sha2(text, 256).alias("hash")), "merkle-0")]
+    out = [materialize(records.groupBy("side", "archive", node.alias("node")).agg(F.sha2(text, 256).alias("hash")), "merkle-0")]
     for level in range(1, levels + 1):
         below = F.array_sort(F.collect_list(F.struct("node", "hash")))
         text = F.array_join(F.transform(below, lambda r: F.concat_ws(":", r["node"].cast("string"), r["hash"])), ",")
-        up = out[-1].groupBy("archive", F.floor(F.col("node") / fanout).cast("long").alias("up")).agg(F.sha2(text, 256).alias("hash"))
+        up = out[-1].groupBy("side", "archive", F.floor(F.col("node") / fanout).cast("long").alias("up")).agg(F.sha2(text, 256).alias("hash"))
         out.append(materialize(up.withColumnRenamed("up", "node"), f"merkle-{level}"))
     return out
 
 
-def _mismatching(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+def _mismatching(nodes: DataFrame) -> DataFrame:
     """(archive, node) whose hashes differ or that one side lacks."""
-    both = mine.withColumn("side", F.lit(1)).unionByName(theirs.withColumn("side", F.lit(2)))
-    found = both.groupBy("archive", "node").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count(F.lit(1)).alias("n"))
+    found = nodes.groupBy("archive", "node").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count(F.lit(1)).alias("n"))
     return found.where("n < 2 OR low <> high").select("archive", "node")
 
 
 def audit(mine: DataFrame, theirs: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """Findings (archive, node, offset, record_id, status): records that are changed, or missing
     or extra in ``theirs``, located by descending from the roots."""
-    mine, theirs = materialize(mine, "records-a"), materialize(theirs, "records-b")
-    ours, others = tree(mine, leaf_bytes, fanout, levels), tree(theirs, leaf_bytes, fanout, levels)
-    bad = materialize(_mismatching(ours[-1], others[-1]), "bad-roots")
+    names = ["archive", "offset", "length", "record_id", "digest"]
+    sides = mine.select(F.lit("a").alias("side"), *names).unionByName(theirs.select(F.lit("b").alias("side"), *names))
+    records = materialize(sides, "records")
+    nodes = tree(records, leaf_bytes, fanout, levels)
+    bad = materialize(_mismatching(nodes[-1]), "bad-roots")
     for level in range(levels - 1, -1, -1):
         above = bad.select("archive", F.col("node").alias("up"))
-        below = [t.withColumn("up", F.floor(F.col("node") / fanout).cast("long")).join(above, ["archive", "up"], "left_semi").drop("up") for t in (ours[level], others[level])]
-        bad = materialize(_mismatching(*below), f"bad-{level}")
-    ranges = []
-    for side, records in (("a", mine), ("b", theirs)):
-        keyed = records.withColumn("node", F.floor(F.col("offset") / leaf_bytes).cast("long"))
-        ranges.append(keyed.join(bad, ["archive", "node"], "left_semi").select("archive", "node", "offset", F.col("record_id").alias(f"{side}_id"), F.col("digest").alias(f"{side}_digest")))
-    both = ranges[0].join(ranges[1], ["archive", "node", "offset"], "full_outer")
+        below = nodes[level].withColumn("up", F.floor(F.col("node") / fanout).cast("long")).join(above, ["archive", "up"], "left_semi")
+        bad = materialize(_mismatching(below), f"bad-{level}")
+    held = records.withColumn("node", F.floor(F.col("offset") / leaf_bytes).cast("long")).join(bad, ["archive", "node"], "left_semi")
+    of = {x: held.where(F.col("side") == x).select("archive", "node", "offset", F.col("record_id").alias(f"{x}_id"), F.col("digest").alias(f"{x}_digest")) for x in "ab"}
+    both = of["a"].join(of["b"], ["archive", "node", "offset"], "full_outer")
     status = F.when(F.col("a_digest").isNull(), "extra").when(F.col("b_digest").isNull(), "missing").when(F.col("a_digest") != F.col("b_digest"), "changed")
     return both.select("archive", "node", "offset", F.coalesce("a_id", "b_id").alias("record_id"), status.alias("status")).where("status IS NOT NULL")
