@@ -4,12 +4,15 @@ A test item of m characters may differ from a passage by up to k edits, k being
 Cut into k + 1 pieces, at least one piece of the item must then occur unchanged, so documents are
 searched for all pieces at once (Aho-Corasick), each hit gives a stretch of text where the item
 may lie, and Myers' bit-parallel algorithm finds the item's least edit distance there. Items are a
-stated query set: they are held in blocks of BLOCK_ITEMS that are broadcast one after the other.
+stated query set: they are held in blocks of about BLOCK_BYTES of text; a block is broadcast, the
+documents are searched, and with more blocks the result is written before the next is fetched.
 
 Letters are compared in lower case and white space as spaces; spans are in code points of the
-original text. Defined cases: null texts are empty; empty items match nothing; items too short for
-an edit match exactly; repeated items and rows are matched one by one; extra columns are ignored;
-empty tables give no matches."""
+original text. Defined cases: null texts are empty; very long texts are searched whole; empty items
+match nothing; items too short for an edit match exactly; of matches of one item that tie in
+distance the first counts; repeated items and rows are matched one by one; extra columns are
+ignored by ``find_matches`` and kept by ``clean_rows``, whatever their names; empty tables give no
+matches."""
 
 from __future__ import annotations
 
@@ -25,10 +28,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamkit.llm._shared import materialize, sized, small_batches
+from loamkit.llm._shared import materialize, small_batches
 
 ERROR_RATE = 0.05
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 8 << 20
 SPACES = str.maketrans({c: " " for c in "\t\n\v\f\r   "})
 
 
@@ -137,22 +140,25 @@ class Matcher:
         return out
 
 
-def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[Broadcast]:
-    """Broadcasts of about ``block_items`` items each."""
-    blocks = max(1, -(-benchmark.count() // block_items))
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcasts of items, about ``block_bytes`` of their text each, and whether one is the last.
+    A block is fetched when it is asked for."""
+    total = benchmark.agg(F.sum(F.octet_length("text") + 64).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
         mine = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()])
+        items = [(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(items), b == blocks - 1
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, start, end): for every document and item whose best match is
     within the item's budget of edits."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, item_id long, distance int, start long, end long"
     found = []
-    for items in _blocks(benchmark, block_items):
+    for items, last in _blocks(benchmark, block_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             matcher = Matcher(items.value, rate)
@@ -164,7 +170,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        found.append(rows.mapInArrow(search, schema))
+        matched = rows.mapInArrow(search, schema)
+        if not last:
+            matched = materialize(matched, "matches")
+            items.unpersist()
+        found.append(matched)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -178,18 +188,13 @@ def _clean(items: Broadcast, rate: float) -> Callable[..., Column]:
     return clean
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold a test item; all columns kept. Each row is judged by its own
     text, whatever its id."""
     small_batches(docs.sparkSession)
-    for items in _blocks(benchmark, block_items):
+    for items, last in _blocks(benchmark, block_bytes):
         docs = docs.where(_clean(items, rate)(F.col(f"`{text_col}`")))
+        if not last:
+            docs = materialize(docs, "clean-rows")
+            items.unpersist()
     return docs
-
-
-def drop_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """docs without those that hold a test item; all columns kept. Rows without an id stay, and rows
-    of one id go together; ``clean_rows`` judges each row."""
-    hit = find_matches(docs, benchmark, id_col, text_col, rate).select(F.col("doc_id").alias("__dc_id")).where("__dc_id IS NOT NULL").distinct()
-    hit = sized(materialize(hit, "leaks"))
-    return docs.join(hit, docs[f"`{id_col}`"] == hit["__dc_id"], "left_anti")
