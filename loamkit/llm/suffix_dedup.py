@@ -14,21 +14,27 @@ bytes that the run spans), about 1.5 rows per 100 bytes of text:
    multiples of V; suffixes are sorted by their bytes up to the next position of a difference
    cover modulo V, and ties by that position's rank among all cover positions of the block, ranked
    beforehand by doubling in steps of V. Neighbours in that order are then compared byte by byte.
-   A bucket with over HOT_SPANS distinct spans (a passage that very many documents share ends in
-   one) is not given to one task: its suffixes are dealt out and counted by hashes of their DEPTH
-   bytes.
+4. A bucket with over BUCKET_SPANS distinct spans (a passage that very many documents share ends in
+   one) is first split by further bytes, as a radix sort does: its spans are cut by distance from
+   the anchor into pieces of up to WIDTHS[0] suffixes, the bytes that all suffixes of a piece share
+   join the bucket's key, equal pieces are again repeated as a whole, and the rest is sorted as in
+   3. A bucket that is too large even so is split down to single suffixes, where the key holds all
+   DEPTH bytes and nothing is left to sort.
 
-Memory is bounded by a block (BLOCK_SPANS) and by a segment of text (SEGMENT). Buckets, spans and
-dealt suffixes are compared by 64-bit hashes within their group.
+Memory is bounded by a block (about BLOCK_SPANS, and BUCKET_SPANS for its last bucket) and by a
+segment of text (SEGMENT). Buckets, spans and pieces are compared by 64-bit hashes within their
+group. Texts meet their ranges by broadcast only where these measure at most ``small`` bytes.
 
 Defined cases: null text is empty and has the hash of no bytes; texts under DEPTH bytes lose
-nothing; rows that repeat an id and a text count as two occurrences and come out twice; extra
-columns are ignored; an empty table gives an empty result."""
+nothing; very long texts are cut into overlapping segments and lose no suffix; rows that repeat an
+id and a text count as two occurrences and come out twice; extra columns are ignored, whatever
+their names; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamkit.llm._shared import materialize, sized, small_batches
+from loamkit.llm._shared import BROADCAST_BYTES, materialize, sized, small_batches
 
 DEPTH = 200
 K = 64
@@ -46,12 +52,12 @@ K = 64
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
 SEGMENT = 1 << 20
 BLOCK_SPANS = 4_000
-HOT_SPANS = 16_000
+#: Distinct spans above which a bucket is split, and the suffixes of a piece in the first and the
+#: second split.
+BUCKET_SPANS = 2_000
+WIDTHS = (16, 1)
 #: Distances from the anchor whose suffixes are sorted at a time.
 SLAB = 16
-#: Documents whose lists of ranges are broadcast to the texts at most; beyond, texts shuffle.
-SMALL = 250_000
-
 _ODD = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -244,15 +250,60 @@ def _cut(depth: int):  # noqa: ANN202
             for i in range(len(uid)):
                 raw, u = texts[i].as_py(), uid[i].as_py()
                 for x in lists[i].as_py():
-                    out.append((x["bucket"], x["hot"], x["anchor"] - x["lo"], raw[x["lo"] : x["hi"] + depth], u, x["lo"]))
-            columns = list(zip(*out)) if out else [[]] * 6
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "hot", "lead", "bytes", "uid", "lo"])
+                    out.append((x["bucket"], x["anchor"] - x["lo"], raw[x["lo"] : x["hi"] + depth], u, x["lo"]))
+            columns = list(zip(*out)) if out else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "lead", "bytes", "uid", "lo"])
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, hot_spans: int = HOT_SPANS, block_spans: int = BLOCK_SPANS, small: int = SMALL) -> DataFrame:
+def _pieces(spans: DataFrame, depth: int, width: int) -> DataFrame:
+    """Spans cut into pieces of up to ``width`` suffixes by distance from the anchor; a piece's
+    bucket is that of its span with the bytes that all suffixes of such a piece share."""
+    near, far = F.col("lead") - (F.octet_length("bytes") - depth), F.col("lead")
+    cut = spans.withColumn("slab", F.explode(F.sequence(F.floor(near / width), F.floor(far / width))))
+    first = F.col("lead") - F.least(far, F.col("slab") * width + (width - 1))  # the piece's first suffix
+    last = F.col("lead") - F.greatest(near, F.col("slab") * width)
+    shared = F.substring(F.col("bytes"), (F.col("lead") - F.col("slab") * width + 1).cast("int"), F.lit(depth - width + 1))
+    return cut.select(
+        F.xxhash64("bucket", "slab", shared).alias("bucket"),
+        (F.col("lead") - first).alias("lead"),
+        F.substring(F.col("bytes"), (first + 1).cast("int"), (last - first + depth).cast("int")).alias("bytes"),
+        "uid",
+        (F.col("lo") + first).alias("lo"),
+    )
+
+
+def _sorted_spans(spans: DataFrame, depth: int, block_spans: int) -> DataFrame:
+    """(uid, lo, hi) of the suffixes of spans (bucket, lead, bytes, uid, lo) that repeat, found by
+    sorting one block of whole buckets at a time."""
+    blocks = max(1, -(-spans.count() // block_spans))
+    return spans.withColumn("block", F.pmod(F.xxhash64("bucket"), F.lit(blocks))).groupBy("block").applyInPandas(_sort_block(depth), "uid long, lo long, hi long")
+
+
+def _resolved(spans: DataFrame, depth: int, bucket_spans: int, block_spans: int, small: int) -> DataFrame:
+    """(uid, lo, hi) of all suffixes of distinct spans that repeat; large buckets are split first."""
+    out = []
+    for width in WIDTHS:
+        large = materialize(spans.groupBy("bucket").count().where(F.col("count") > bucket_spans).select("bucket"), "sfx-large")
+        if not large.limit(1).count():
+            break
+        large = sized(large, small)
+        out.append(_sorted_spans(materialize(spans.join(large, "bucket", "left_anti"), "sfx-fitting"), depth, block_spans))
+        pieces = materialize(_pieces(spans.join(large, "bucket", "left_semi"), depth, width).withColumn("x", F.xxhash64("lead", "bytes")), "sfx-pieces")
+        kinds = materialize(pieces.groupBy("bucket", "x").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("u"), F.min_by("lo", "uid").alias("l")), "sfx-piece-kinds")
+        copies = sized(materialize(kinds.where("n > 1").select("bucket", "x"), "sfx-piece-copies"), small)
+        out.append(materialize(pieces.join(copies, ["bucket", "x"], "left_semi").select("uid", "lo", (F.col("lo") + F.octet_length("bytes") - depth).alias("hi")), "sfx-piece-whole"))
+        several = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+        ones = kinds.join(several, "bucket", "left_semi").select("bucket", "x", F.col("u").alias("uid"), F.col("l").alias("lo"))
+        ones = sized(materialize(ones, "sfx-piece-ones"), small)
+        spans = materialize(pieces.join(ones, ["bucket", "x", "uid", "lo"], "left_semi").drop("x"), "sfx-split")
+    out.append(_sorted_spans(spans, depth, block_spans))
+    return reduce(DataFrame.unionByName, out)
+
+
+def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, bucket_spans: int = BUCKET_SPANS, block_spans: int = BLOCK_SPANS, small: int = BROADCAST_BYTES) -> DataFrame:
     """(uid, lo, hi): ranges of suffix starts in docs (uid, text) whose first ``depth`` bytes start
     elsewhere too; ranges may touch or overlap."""
     seen = docs.mapInArrow(lambda b: _runs(b, False, depth, k), "bucket long, span long")
@@ -262,26 +313,18 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, hot_spans:
     runs = materialize(runs.join(shared, "bucket"), "sfx-runs")
     whole = runs.where("NOT mixed").select("uid", "lo", "hi")
 
+    # of equal spans, all of which are repeated, one is sorted among the others of its bucket
     mixed = runs.where("mixed")
     kinds = materialize(mixed.groupBy("bucket", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "hi", "anchor")).alias("r")), "sfx-kinds")
-    again = kinds.where("n > 1").select("bucket", "span")
-    whole = whole.unionByName(mixed.join(again, ["bucket", "span"], "left_semi").select("uid", "lo", "hi"))
+    again = sized(materialize(kinds.where("n > 1").select("bucket", "span"), "sfx-again"), small)
+    copies = materialize(mixed.join(again, ["bucket", "span"], "left_semi").select("uid", "lo", "hi"), "sfx-copies")
 
-    spread = materialize(kinds.groupBy("bucket").agg((F.count(F.lit(1)) > hot_spans).alias("hot")), "sfx-spread")
-    lists = kinds.join(spread, "bucket").groupBy("r.uid").agg(F.collect_list(F.struct("r.lo", "r.hi", "r.anchor", "bucket", "hot")).alias("runs"))
+    lists = kinds.groupBy("r.uid").agg(F.collect_list(F.struct("r.lo", "r.hi", "r.anchor", "bucket")).alias("runs"))
     lists = sized(materialize(lists, "sfx-lists"), small)
-    cut = docs.join(lists, "uid").select("uid", "text", "runs").mapInArrow(_cut(depth), "bucket long, hot boolean, lead long, bytes binary, uid long, lo long")
-    cut = materialize(cut, "sfx-spans")
-    cold = cut.where("NOT hot").dropDuplicates(["uid", "lo", "bucket"])
-    blocks = max(1, -(-cold.count() // block_spans))
-    sorted_ = cold.withColumn("block", F.pmod(F.xxhash64("bucket"), F.lit(blocks))).groupBy("block").applyInPandas(_sort_block(depth), "uid long, lo long, hi long")
-
-    dealt = cut.where("hot").dropDuplicates(["uid", "lo", "bucket"]).select("uid", "lo", "bucket", "lead", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - depth)).alias("o"))
-    window = F.substring(F.col("bytes"), F.col("o") + 1, F.lit(depth))
-    dealt = materialize(dealt.select("uid", (F.col("lo") + F.col("o")).alias("lo"), F.xxhash64("bucket", F.col("lead") - F.col("o"), window).alias("x"), F.xxhash64(window, F.lit(1)).alias("y")), "sfx-dealt")
-    common = materialize(dealt.groupBy("x", "y").count().where("count > 1").select("x", "y"), "sfx-common")
-    dealt = dealt.join(common, ["x", "y"], "left_semi").select("uid", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(sorted_).unionByName(dealt)
+    spans = docs.join(lists, "uid").select("uid", "text", "runs").mapInArrow(_cut(depth), "bucket long, lead long, bytes binary, uid long, lo long")
+    # a row that is there twice comes out twice here, and all of it is in ``copies`` already
+    spans = materialize(spans, "sfx-spans")
+    return whole.unionByName(copies).unionByName(_resolved(spans, depth, bucket_spans, block_spans, small))
 
 
 def _merged(ranges: DataFrame, depth: int) -> DataFrame:
@@ -313,7 +356,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "cuts"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, small: int = SMALL, **settings: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, small: int = BROADCAST_BYTES, **settings: int) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``cuts``, the
     removed byte ranges."""
     small_batches(docs.sparkSession)
