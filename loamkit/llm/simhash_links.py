@@ -10,12 +10,20 @@ choice of BLOCKS - MAX_BITS ranges. Candidates are cut by the Manhattan lower bo
 verified by exact Hamming distance. Only distinct fingerprints are joined, and a pair comes out
 of one cell alone, so that copies do not multiply.
 
-Defined cases: null text is the empty text, whose fingerprint is zero; texts under three words
-hash as one shingle; repeated rows share their fingerprint and component; a null id is never the
-least id of a component unless all are null; extra columns are ignored."""
+``near_groups`` uses the same embedding and join for groups of similar texts, with several
+fingerprints of five-word shingles a text: the grid cells are then bands of segments drawn from all
+of them, as many and as wide as the number of texts asks for.
+
+Defined cases: null text is the empty text, whose fingerprint is zero; texts of fewer words than a
+shingle hash as one; very long texts are read whole, CHUNK shingles at a time; a bit set in exactly
+half of the shingles is 0; repeated rows share their fingerprint and component; a null id is never
+the least id of a component unless all are null; extra columns are ignored, and kept by
+``keep_one``, whatever their names (work columns start with ``__sh_``); an empty table gives an
+empty result."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,10 +40,17 @@ SEED = 42
 MAX_BITS = 3
 #: Ranges of segments; each has 64 / BLOCKS bits, more or less.
 BLOCKS = 6
-#: For groups of similar texts: fingerprints per text, bits of a half that may differ in a
-#: candidate, ranges of a half, and the share of all bits that may differ. On prose, texts of a
-#: five-word similarity of 0.8 differ in about 0.12 of their bits, of 0.7 in 0.15.
-TABLES, HALF_BITS, HALF_BLOCKS, NEAR_RATE = 6, 2, 4, 0.135
+#: For groups of similar texts: words of a shingle, fingerprints per text, and the share of all
+#: bits that may differ. Texts with a share J of common shingles differ in about
+#: acos(2 J / (1 + J)) / pi of their bits: 0.152 at 0.8, 0.172 at 0.75.
+NEAR_WORDS, TABLES, NEAR_RATE = 5, 8, 0.173
+#: A candidate pair shares a band of segments. Bands are so wide that a text meets CELL_MATES texts
+#: in a cell by chance, and so many that a pair that differs in BAND_RATE of its bits shares one
+#: with a chance of BAND_RECALL.
+CELL_MATES, BAND_RATE, BAND_RECALL = 16, 0.152, 0.95
+#: Fingerprints that travel with a cell, and the share of their bits in which a pair may differ
+#: before it is dropped unverified (four deviations above BAND_RATE).
+SEEN, SEEN_RATE = 2, 0.28
 #: Rounds in which each text is compared with one other of its half, to draw crowds together.
 STAR_ROUNDS = 2
 #: Shingles hashed at a time, so that a very long text needs no long list of hashes.
@@ -65,10 +80,7 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED, tables: i
     total, counts = len(words) - k + 1, np.zeros((tables, 64), np.int64)
     for at in range(0, total, CHUNK):
         part = words[at : min(at + CHUNK, total) + k - 1]
-        if k == 3:
-            grams = [b"%b %b %b" % g for g in zip(part, part[1:], part[2:])]
-        else:
-            grams = [b" ".join(part[i : i + k]) for i in range(len(part) - k + 1)]
+        grams = [b" ".join(g) for g in zip(*(part[i:] for i in range(k)))]
         hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
         for t in range(tables):
             bits = np.unpackbits(_mixed(hashes, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -77,7 +89,7 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED, tables: i
     return [int(x) for x in majority.view("<u8")[:, 0]]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1, uid_col: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1, uid_col: str | None = None, k: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fps): the fingerprints of every whole text, as signed 64-bit integers; with the
     row's key as ``uid`` if ``uid_col`` names one."""
     keys = [F.col(f"`{uid_col}`").cast("long").alias("uid")] if uid_col else []
@@ -85,7 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            fps = np.array([fingerprint(t.as_py() or b"", tables=tables) for t in texts], dtype=np.uint64).reshape(-1, tables)
+            fps = np.array([fingerprint(t.as_py() or b"", k, tables=tables) for t in texts], dtype=np.uint64).reshape(-1, tables)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(fps.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], names=["doc_id", "fps", *batch.schema.names[2:]])
 
@@ -100,8 +112,8 @@ def popcounts(fp: Column) -> Column:
     return even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))
 
 
-def _bounds(blocks: int, bits: int = 64) -> list[tuple[int, int]]:
-    edges = [2 * round(i * bits / 2 / blocks) for i in range(blocks + 1)]
+def _bounds(blocks: int) -> list[tuple[int, int]]:
+    edges = [2 * round(i * 32 / blocks) for i in range(blocks + 1)]
     return list(zip(edges, edges[1:]))
 
 
@@ -110,9 +122,9 @@ def _mask(blocks: tuple[tuple[int, int], ...]) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-def _manhattan(a: str, b: str) -> Column:
+def _manhattan(x: Column, y: Column) -> Column:
     """Sum over segments of the difference of counts, each 0 to 2, packed two bits apart."""
-    x, y, low = F.col(a), F.col(b), F.lit(0x5555555555555555)
+    low = F.lit(0x5555555555555555)
     ones_x, ones_y = x.bitwiseAND(low), y.bitwiseAND(low)
     twos_x, twos_y = F.shiftrightunsigned(x, 1).bitwiseAND(low), F.shiftrightunsigned(y, 1).bitwiseAND(low)
     one, two = ones_x.bitwiseXOR(ones_y), twos_x.bitwiseXOR(twos_y)
@@ -120,22 +132,21 @@ def _manhattan(a: str, b: str) -> Column:
     return F.bit_count(one) + 2 * F.bit_count(two.bitwiseAND(one.bitwiseXOR(low)))
 
 
-def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bits: int = 64) -> DataFrame:
-    """Pairs (t, a, b, pa, pb), a < b, of owners of fingerprints of one table that differ in at most
-    ``max_bits`` of their ``bits`` bits. ``points`` has distinct (t, fp, owner) and a ``pick``,
-    carried as pa and pb; fingerprints of one owner are not linked."""
-    choices = [_mask(c) for c in combinations(_bounds(blocks, bits), blocks - max_bits)]
-    points = points.select("t", "fp", "owner", "pick", popcounts(F.col("fp")).alias("v"))
-    cells = points.select("t", "fp", "owner", "pick", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in choices])).alias("choice", "cell"))
-    left = cells.select("t", "choice", "cell", F.col("fp").alias("fa"), F.col("owner").alias("a"), F.col("pick").alias("pa"), F.col("v").alias("va"))
-    right = cells.select("t", "choice", "cell", F.col("fp").alias("fb"), F.col("owner").alias("b"), F.col("pick").alias("pb"), F.col("v").alias("vb"))
+def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs (a, b), a < b, of owners of fingerprints that differ in at most ``max_bits`` bits.
+    ``points`` has distinct (fp, owner); fingerprints of one owner are not linked."""
+    choices = [_mask(c) for c in combinations(_bounds(blocks), blocks - max_bits)]
+    points = points.select("fp", "owner", popcounts(F.col("fp")).alias("v"))
+    placed = points.select("fp", "owner", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in choices])).alias("choice", "cell"))
+    left = placed.select("choice", "cell", F.col("fp").alias("fa"), F.col("owner").alias("a"), F.col("v").alias("va"))
+    right = placed.select("choice", "cell", F.col("fp").alias("fb"), F.col("owner").alias("b"), F.col("v").alias("vb"))
     differ = F.col("va").bitwiseXOR(F.col("vb"))
     first = F.lit(None).cast("int")
     for i in range(len(choices) - 1, -1, -1):
         first = F.when(differ.bitwiseAND(F.lit(choices[i])) == 0, F.lit(i)).otherwise(first)
-    near = (F.col("a") < F.col("b")) & (_manhattan("va", "vb") <= max_bits) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
-    same = (left["t"] == right["t"]) & (left["choice"] == right["choice"]) & (left["cell"] == right["cell"])
-    return left.join(right, same & near & (first == left["choice"])).select(left["t"], "a", "b", "pa", "pb")
+    near = (F.col("a") < F.col("b")) & (_manhattan(F.col("va"), F.col("vb")) <= max_bits) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
+    same = (left["choice"] == right["choice"]) & (left["cell"] == right["cell"])
+    return left.join(right, same & near & (first == left["choice"])).select("a", "b")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
@@ -151,9 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only, so that a crowd's pairs are not listed."""
     rows = materialize(fingerprints(docs, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp")), "sh-rows")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "sh-nodes")
-    points = nodes.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("owner"), F.col("fp").alias("pick"))
+    points = nodes.select("fp", F.col("fp").alias("owner"))
     crowds = components(links(points, 1, 2))
-    held = materialize(_rooted(points, crowds, "pick", "crowd").select("t", "fp", F.col("crowd").alias("owner"), "pick"), "sh-held")
+    held = materialize(_rooted(points, crowds, "owner", "crowd").select("fp", F.col("crowd").alias("owner")), "sh-held")
     roots = components(links(held))
     found = _rooted(_rooted(nodes, crowds, "fp", "crowd"), roots, "crowd", "root")
     return _components_of(rows, materialize(found.select(F.col("fp").alias("g"), "least", "root"), "sh-found"), "fp").select("doc_id", "fp", "component_id")
@@ -171,52 +182,116 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def band_shape(texts: int, mates: float = CELL_MATES, rate: float = BAND_RATE, recall: float = BAND_RECALL) -> tuple[int, int]:
+    """(segments of a band, bands) for a number of different texts."""
+    by_chance = 6 / 16  # that two random segments have equal counts
+    alike = (1 - rate) ** 2 + rate**2 / 2
+    width = max(4, round(math.log(max(texts, 1) / mates + 1) / -math.log(by_chance)))
+    return width, math.ceil(math.log(1 - recall) / math.log1p(-(alike**width)))
+
+
+def _band_masks(width: int, bands: int, tables: int) -> np.ndarray:
+    """(bands, tables) masks of embedded fingerprints: each band has ``width`` of their segments."""
+    draw = np.random.default_rng(width * 1_000_003 + bands)
+    masks = np.zeros((bands, tables), np.uint64)
+    for band in masks:
+        for segment in draw.choice(32 * tables, min(width, 32 * tables), replace=False).tolist():
+            band[segment // 32] |= np.uint64(3 << 2 * (segment % 32))
+    return masks
+
+
+def cells(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
+    """(key, g, crowd, seen): a row for each band of each of nodes (g, crowd, fps), keyed by the
+    band and the counts of its segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64(0x5555555555555555)
+        for batch in batches:
+            fps = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            even, odd = fps & low, (fps >> np.uint64(1)) & low
+            counts = (even ^ odd) | ((even & odd) << np.uint64(1))
+            keys = np.tile(np.arange(len(masks), dtype=np.uint64), (batch.num_rows, 1))
+            for t in range(fps.shape[1]):
+                keys = _mixed((counts[:, t, None] & masks[None, :, t]) ^ keys, t + 1)
+            owner = np.repeat(np.arange(batch.num_rows), len(masks))
+            seen = [pa.array(np.repeat(fps[:, t].view(np.int64), len(masks))) for t in range(SEEN)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), *seen], names=["key", "g", "crowd", *_seen()])
+
+    small_batches(nodes.sparkSession)
+    return nodes.select("g", "crowd", "fps").mapInArrow(run, "key long, g long, crowd long, " + ", ".join(f"{n} long" for n in _seen()))
+
+
+def _seen(side: str = "") -> list[str]:
+    return [f"w{t}{side}" for t in range(SEEN)]
+
+
+def _may_be_near(a: list[str], b: list[str]) -> Column:
+    """The Manhattan distance of the embeddings, then the exact distance, of the fingerprints that
+    travel along."""
+    most = int(SEEN_RATE * 64 * SEEN)
+    bound = sum((_manhattan(popcounts(F.col(x)), popcounts(F.col(y))) for x, y in zip(a, b)), F.lit(0))
+    exact = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
+    return (bound <= most) & (exact <= most)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE, uid_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, component_id and root, over links of similar texts; with the
     row's key as ``uid`` if ``uid_col`` names one. A root is one component's alone, also where ids
     repeat or are missing.
 
-    Texts link when at most ``rate`` of the bits of all their fingerprints differ. Candidates agree
-    but for HALF_BITS bits in some 32-bit half, found by the same grid join and verified by exact
-    distance over all fingerprints. As before, a crowd is first drawn together by few links: each
-    text is compared with one text that shares one of its halves. Then every candidate pair of
-    texts that do not yet hang together is verified: texts of one half and one crowd travel as a
-    class, classes are linked, one pair of each two linked classes is compared, and where that does
-    not join them, all their pairs are."""
-    rows = materialize(fingerprints(docs, id_col, text_col, tables, uid_col).withColumn("g", F.xxhash64("fps")), "sg-rows")
+    Texts link when at most ``rate`` of the bits of all their fingerprints differ. A crowd of near
+    copies is first drawn together by few links: each text is compared with one text that shares
+    a half of one of its fingerprints. Then the grid join lists pairs that share a band of segments
+    and do not yet hang together; they are cut by Manhattan distance and verified exactly. Texts of
+    one cell and one crowd travel as a class; of two classes one pair is compared first, and where
+    that does not join them, all their pairs are."""
+    rows = materialize(fingerprints(docs, id_col, text_col, tables, uid_col, NEAR_WORDS).withColumn("g", F.xxhash64("fps")), "sg-rows")
     nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sg-nodes")
     low = F.lit((1 << 32) - 1)
     halves = F.flatten(F.transform("fps", lambda x: F.array(x.bitwiseAND(low), F.shiftrightunsigned(x, 32))))
-    points = nodes.select("g", F.posexplode(halves).alias("t", "fp"))
     most = int(rate * 64 * tables)
     a, b = nodes.select(F.col("g").alias("a"), F.col("fps").alias("x")), nodes.select(F.col("g").alias("b"), F.col("fps").alias("y"))
 
     def joined(pairs: DataFrame) -> DataFrame:
         """Roots of the crowds ca and cb of those texts a and b that are similar."""
         pairs = materialize(pairs.select("a", "b", "ca", "cb"), "sg-pairs")
-        pairs = pairs.join(a, "a").join(b, "b").where(_distance("x", "y") <= most)
-        return components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        near = pairs.join(a, "a").join(b, "b").where(_distance("x", "y") <= most)
+        return components(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
+    # only the halves that several texts share are of use
+    points = nodes.select("g", F.posexplode(halves).alias("t", "fp")).select("g", F.xxhash64("t", "fp").alias("half"))
+    shared = materialize(points.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "sg-halves")
+    points = materialize(points.join(sized(shared), "half", "left_semi"), "sg-points")
     crowds = nodes.select("g", F.col("g").alias("crowd"))
     for n in range(STAR_ROUNDS):
         placed = points.join(crowds, "g")
         order = F.xxhash64("g", F.lit(n)) if n else F.col("g")
-        centre = placed.groupBy("t", "fp").agg(F.min(F.struct(order.alias("o"), F.col("g").alias("a"), F.col("crowd").alias("ca"))).alias("c")).select("t", "fp", "c.a", "c.ca")
-        stars = placed.join(centre, ["t", "fp"]).where("crowd <> ca").select("a", F.col("g").alias("b"), "ca", F.col("crowd").alias("cb")).distinct()
+        centre = placed.groupBy("half").agg(F.min(F.struct(order.alias("o"), F.col("g").alias("a"), F.col("crowd").alias("ca"))).alias("c")).select("half", "c.a", "c.ca")
+        stars = placed.join(centre, "half").where("crowd <> ca").select("a", F.col("g").alias("b"), "ca", F.col("crowd").alias("cb")).distinct()
         crowds = materialize(_rooted(crowds, joined(stars), "crowd", "crowd"), "sg-crowds")
-    placed = materialize(points.join(crowds, "g"), "sg-placed")
-    classes = materialize(placed.groupBy("t", "fp", F.col("crowd").alias("owner")).agg(F.min("g").alias("pick"), F.count(F.lit(1)).alias("n")), "sg-classes")
-    pairs = materialize(links(classes, HALF_BITS, HALF_BLOCKS, 32), "sg-links")
-    roots = joined(pairs.groupBy("pa", "pb").agg(F.min("a").alias("ca"), F.min("b").alias("cb")).withColumnsRenamed({"pa": "a", "pb": "b"}))
+
+    placed = materialize(nodes.join(crowds, "g").select("g", "crowd", "fps"), "sg-placed")
+    masks = _band_masks(*band_shape(placed.count()), tables)
+    classes = cells(placed, masks).groupBy("key", "crowd").agg(F.min("g").alias("pick"), F.count(F.lit(1)).alias("n"), *[F.min(w).alias(w) for w in _seen()])
+    left = classes.select("key", F.col("crowd").alias("ca"), F.col("pick").alias("a"), F.col("n").alias("na"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("a"))])
+    right = classes.select("key", F.col("crowd").alias("cb"), F.col("pick").alias("b"), F.col("n").alias("nb"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("b"))])
+    single = (F.col("na") == 1) & (F.col("nb") == 1)
+    may = F.when(single, _may_be_near(_seen("a"), _seen("b"))).otherwise(F.lit(True))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & may)
+    pairs = materialize(pairs.select(left["key"], "a", "b", "ca", "cb", single.alias("single")), "sg-links")
+    roots = joined(pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb")))
     crowds = materialize(_rooted(crowds, roots, "crowd", "crowd"), "sg-crowds")
-    # what is left: pairs of classes that do not hang together, by all members but the two picks
-    apart = materialize(_rooted(_rooted(pairs, roots, "a", "ca"), roots, "b", "cb").where("ca <> cb").select("t", "pa", "pb", "ca", "cb"), "sg-apart")
-    large = classes.where("n > 1").select("t", "fp", F.col("owner").alias("crowd"), "pick")
-    others = materialize(placed.join(large, ["t", "fp", "crowd"]).where("g <> pick").select("t", "pick", "g"), "sg-others")
-    of_a, of_b = others.select("t", F.col("pick").alias("pa"), F.col("g").alias("a")), others.select("t", F.col("pick").alias("pb"), F.col("g").alias("b"))
-    some = apart.join(of_a, ["t", "pa"]).select("t", "a", "pb", "ca", "cb")
-    more = apart.select("t", F.col("pa").alias("a"), "pb", "ca", "cb").union(some).join(of_b, ["t", "pb"]).select("a", "b", "ca", "cb")
-    roots = joined(some.select("a", F.col("pb").alias("b"), "ca", "cb").union(more).distinct())
+
+    # what is left: classes of several texts that do not hang together, by all their members
+    apart = _rooted(_rooted(pairs.where("NOT single").withColumns({"oa": F.col("ca"), "ob": F.col("cb")}), roots, "ca", "ca"), roots, "cb", "cb").where("ca <> cb")
+    apart = materialize(apart.select("key", "oa", "ob", "ca", "cb").distinct(), "sg-apart")
+    wanted = sized(materialize(apart.select(F.col("oa").alias("crowd")).union(apart.select("ob")).distinct(), "sg-wanted"))
+    members = cells(placed.join(wanted, "crowd", "left_semi"), masks)
+    members = materialize(members.join(sized(materialize(apart.select("key").distinct(), "sg-keys")), "key", "left_semi"), "sg-members")
+    of_a = members.select("key", F.col("crowd").alias("oa"), F.col("g").alias("a"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("a"))])
+    of_b = members.select("key", F.col("crowd").alias("ob"), F.col("g").alias("b"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("b"))])
+    more = apart.join(of_a, ["key", "oa"]).join(of_b, ["key", "ob"]).where(_may_be_near(_seen("a"), _seen("b")))
+    roots = joined(more.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb")))
     found = _rooted(nodes.join(crowds, "g").select("g", "least", "crowd"), roots, "crowd", "root")
     return _components_of(rows, materialize(found.select("g", "least", "root"), "sg-found"), "g").select("doc_id", "component_id", "root", *["uid"] * bool(uid_col))
 
