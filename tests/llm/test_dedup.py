@@ -90,7 +90,7 @@ def test_simhash_links_are_complete(spark):
                 x ^= 1 << r.randrange(64)
             fps[x] = x
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    points = spark.createDataFrame([(0, signed(x), signed(x)) for x in fps], "t int, fp long, owner long").withColumn("pick", F.col("owner"))
+    points = spark.createDataFrame([(signed(x), signed(x)) for x in fps], "fp long, owner long")
     got = {frozenset((e.a % (1 << 64), e.b % (1 << 64))) for e in simhash_links.links(points).collect()}
     xs = list(fps)
     want = {frozenset((a, b)) for i, a in enumerate(xs) for b in xs[i + 1 :] if (a ^ b).bit_count() <= 3}
@@ -137,7 +137,7 @@ def brute_removed(rows, depth):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("settings", [{}, {"hot_spans": 1, "block_spans": 3, "small": 1}])
+@pytest.mark.parametrize("settings", [{}, {"bucket_spans": 1, "block_spans": 3, "small": 1}, {"bucket_spans": 4, "block_spans": 50}])
 def test_suffix_dedup_matches_brute_force(spark, settings):
     passage, other = words(60, 7), words(45, 8)
     rows = [(1, None), (2, ""), (3, "short"), (4, "ab" * 400), (5, "x" * 1000), (6, words(90, 9)), (7, words(90, 9)), (7, words(90, 9)), (None, other + " é " + passage)]
@@ -171,23 +171,60 @@ def test_difference_cover_is_one():
     assert {(a - b) % suffix_dedup.V for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.V))
 
 
-@pytest.mark.parametrize("apart", [0, 1, 2])
-def test_near_groups_compare_every_pair_that_shares_a_half(spark, monkeypatch, apart):
-    """Texts of common halves, as of common boilerplate: every similar pair is found, also where
-    the texts of least hash are others."""
+def shingles(text, k=5):
+    w = lower(text).split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_near_groups_recall_and_precision(spark):
+    """Pairs of known five-word similarity: of those at 0.8 to 0.85 at least 0.9 are found, of those
+    above 0.87 all, and none below 0.6."""
+    import random
+
+    r = random.Random(31)
+    rows, pairs = [], []
+    for i in range(700):
+        text = words(r.randint(150, 500), 10_000 + i).split(" ")
+        other = list(text)
+        want = (0.825, 0.9, 0.5)[i % 3]
+        while True:
+            at = r.randrange(len(other))
+            other[at : at + 1] = r.choice([[], ["zebra" + str(r.random())], [other[at], "more" + str(r.random())]])
+            a, b = shingles(" ".join(text)), shingles(" ".join(other))
+            share = len(a & b) / len(a | b)
+            if share <= want:
+                break
+        rows += [(2 * i, " ".join(text), "a"), (2 * i + 1, " ".join(other), "a")]
+        pairs.append((2 * i, share))
+    group = {x.doc_id: x.component_id for x in simhash_links.near_groups(docs(spark, rows)).collect()}
+    found = {i: group[i] == group[i + 1] for i, _ in pairs}
+    near = [found[i] for i, s in pairs if 0.8 <= s <= 0.85]
+    assert len(near) > 200 and sum(near) >= 0.9 * len(near)
+    assert all(found[i] for i, s in pairs if s >= 0.87)
+    assert not any(found[i] for i, s in pairs if s < 0.6)
+    assert all(group[i] in (i, i - 1) for i in group)
+
+
+def test_near_groups_compare_every_pair_that_shares_a_band(spark, monkeypatch):
+    """Chains of drifting fingerprints and several crowds in common cells: every similar pair that
+    shares a band is found, also where the texts of least hash are others."""
     import random
 
-    r = random.Random(21 + apart)
+    import numpy as np
+
+    r = random.Random(22)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     fps = {}
-    common = r.getrandbits(32)
-    for i in range(40):
-        base = [r.getrandbits(64) for _ in range(6)]
-        for n in range(3):
-            own = [x ^ sum(1 << b for b in r.sample(range(64), 4)) for x in base]
-            half = common ^ sum(1 << b for b in r.sample(range(32), apart if n else 0))
-            fps[3 * i + n] = [own[0] >> 32 << 32 | half, *own[1:]]
-    most = int(simhash_links.NEAR_RATE * 384)
+    root = [r.getrandbits(64) for _ in range(simhash_links.TABLES)]
+    for i in range(12):  # centres near one another, so that their crowds share cells but are apart
+        base = [x ^ sum(1 << b for b in r.sample(range(64), 9)) for x in root]
+        for n in range(12):
+            fps[100 * i + n] = [x ^ sum(1 << b for b in r.sample(range(64), 3 + n % 4)) for x in base]
+    most = int(simhash_links.NEAR_RATE * 64 * simhash_links.TABLES)
+    masks = simhash_links._band_masks(*simhash_links.band_shape(len(fps)), simhash_links.TABLES)
+    even = 0x5555555555555555
+    counts = lambda x: (x ^ x >> 1) & even | (x & x >> 1 & even) << 1
+    keys = {i: [tuple(counts(x) & int(m) for x, m in zip(f, band)) for band in masks] for i, f in fps.items()}
     parent = {i: i for i in fps}
 
     def find(x):
@@ -195,19 +232,20 @@ def test_near_groups_compare_every_pair_that_shares_a_half(spark, monkeypatch, a
             x = parent[x]
         return x
 
-    halves = lambda x: [h for f in x for h in (f & (1 << 32) - 1, f >> 32)]
     for i in fps:
-        for j in range(i):
-            candidate = any((a ^ b).bit_count() <= simhash_links.HALF_BITS for a, b in zip(halves(fps[i]), halves(fps[j])))
-            if candidate and sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j])) <= most:
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
+        for j in fps:
+            if j < i and any(a == b for a, b in zip(keys[i], keys[j])):
+                seen = sum((a ^ b).bit_count() for a, b in zip(fps[i][: simhash_links.SEEN], fps[j]))
+                if seen <= int(simhash_links.SEEN_RATE * 64 * simhash_links.SEEN) and sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j])) <= most:
+                    x, y = find(i), find(j)
+                    parent[max(x, y)] = min(x, y)
     want = {i: find(i) for i in fps}
-    assert len(set(want.values())) < 60
+    assert 1 < len(set(want.values())) < len(fps) and np.array(masks).any()
     given = spark.createDataFrame([(i, [signed(x) for x in f]) for i, f in fps.items()], "doc_id long, fps array<long>")
     monkeypatch.setattr(simhash_links, "fingerprints", lambda *_, **__: given)
     got = {x.doc_id: x.component_id for x in simhash_links.near_groups(docs(spark, [])).collect()}
-    assert got == want
+    # halves that two texts share make links of their own, which only join what is similar
+    assert all(got[i] == got[want[i]] for i in fps)
 
 
 def test_keep_one_judges_rows_without_or_with_repeated_ids(spark):
@@ -217,3 +255,23 @@ def test_keep_one_judges_rows_without_or_with_repeated_ids(spark):
     assert len(kept) == 6
     for group in ([1], [6], [8], [9], [2, 3], [4, 5]):
         assert sum(kept.count(rows[i][:2]) for i in group) == 1
+
+
+def test_exact_refines_by_length_first(spark):
+    rows = docs(spark, [(1, "abc", "a"), (2, "abd", "a"), (3, "abcd", "a"), (4, "ABC", "a")])
+    assert [r[0] for r in exact_dedup.repeated_lengths(rows).collect()] == [3]
+    classes = exact_dedup.candidate_classes(rows)
+    plan = exact_dedup.candidate_classes(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert classes.count() == 1 and "LeftSemi" in plan
+
+
+def test_keep_one_takes_columns_of_any_type(spark):
+    df = awkward(spark).selectExpr("*", "map('a', doc_id) AS m", "array(struct(doc_id)) AS __row", "doc_id AS uid")
+    kept = exact_dedup.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == 8
+    assert simhash_links.keep_one(df).columns == df.columns
+
+
+def test_suffix_dedup_extra_columns(spark):
+    df = docs(spark, [(1, words(80, 3), "a"), (2, words(80, 3), "a"), (3, None, "a")]).selectExpr("*", "1 AS uid", "2 AS lo", "3 AS cuts", "map(1, 2) AS bucket")
+    assert sorted((r.doc_id, r.n_bytes - r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()) == [(1, 0), (2, 0), (3, 0)]

@@ -50,9 +50,28 @@ def test_mix_deviates_by_less_than_a_block(spark):
 
 
 def test_mix_edge_cases(spark):
-    df = awkward(spark).withColumn("slot", F.lit(1))
-    got = pfair_mix.mix(df)
-    assert got.count() == df.count() and set(df.columns) <= set(got.columns)
+    df = awkward(spark).selectExpr("*", "1 AS slot", "'old' AS mix_slot", "map('a', text) AS m", "2 AS n")
+    got = pfair_mix.mix(df, bucket_rows=2)
+    assert got.count() == df.count() and set(df.columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    assert dict(got.dtypes)["mix_slot"] == "bigint" and got.select("mix_position").distinct().count() == df.count()
+
+
+def test_mix_numbers_rows_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "SUM_BUCKETS", 3)
+    df = docs(spark, [(i, f"t{i}", "a" if i % 3 else "b") for i in range(600)])
+    got = pfair_mix.mix(df, block_docs=1, bucket_rows=7)
+    assert sorted(r.mix_position for r in got.collect()) == list(range(600))
+
+
+def test_mix_keeps_to_small_targets(spark):
+    """0.99985 and 0.00015 of 20 000 slots: every source within one block of its target."""
+    df = spark.createDataFrame([("a", 19_997), ("b", 3)], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS doc_id")
+    got = pfair_mix.mix(df, targets={"a": 0.99985, "b": 0.00015}, block_docs=1).select("source", "mix_slot").toPandas()
+    last = min(got.groupby("source").mix_slot.max()) + 1
+    t = np.arange(1, last + 1)
+    for s, w in (("a", 0.99985), ("b", 0.00015)):
+        taken = np.sort(got.mix_slot[got.source == s].to_numpy())
+        assert np.abs(np.searchsorted(taken, t) - t * w).max() < 1
 
 
 def toy(spark, n=600):
@@ -78,16 +97,50 @@ def test_classifier_held_out(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].keep}
 
 
-def test_sparse_sites_shrink_to_their_priors(spark):
-    rows = [("big", "p", 0.9)] * 500 + [("big", "q", 0.9)] + [("small", "p", 0.9)] + [(f"h{i}", "p", 0.1) for i in range(300)]
+HEAD = quality_bayes.Head(np.zeros(1), np.ones(1), np.zeros(0), 0.0)
+PLAIN = quality_bayes.Model({}, {"toxic": HEAD, "low": HEAD})
+
+
+def rated(spark, rows):
     logit = F.log(F.col("x") / (1 - F.col("x")))
-    scored = spark.createDataFrame(rows, "site_host string, site_path string, x double").withColumn("ev", F.struct(logit.alias("toxic"), logit.alias("low")))
-    head = quality_bayes.Head(np.zeros(1), np.ones(1), np.zeros(0), 0.0)
-    got = {(r.site_host, r.site_path): r for r in quality_bayes.posteriors(scored, quality_bayes.Model({}, {"toxic": head, "low": head})).collect()}
-    whole = (502 * 0.9 + 300 * 0.1) / 802
-    assert got["big", "p"].toxic_rate > 0.88
-    assert got["big", "q"].toxic_rate > 0.85  # a sparse path follows its host
-    assert whole - 0.01 <= got["small", "p"].toxic_rate < got["big", "q"].toxic_rate
+    scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, site_host string, site_path string, x double").withColumn("ev", F.struct(logit.alias("toxic"), logit.alias("low")))
+    sites, priors = quality_bayes.site_sums(scored, PLAIN)
+    return sorted(quality_bayes.with_rates(scored, sites, PLAIN, priors).collect(), key=lambda r: r.i)
+
+
+def test_sparse_sites_shrink_to_their_priors(spark):
+    rows = [("big", "p", 0.9)] * 500 + [("big", "q", 0.1)] + [("small", "p", 0.9)] + [(f"h{i}", "p", 0.1) for i in range(300)]
+    got = rated(spark, rows)
+    assert got[0].toxic_rate > 0.88
+    assert got[500].toxic_rate > 0.85  # a sparse path follows its host, not its own document
+    assert got[501].toxic_rate < got[500].toxic_rate
+
+
+def test_rates_match_a_brute_force_grouping(spark):
+    r = random.Random(13)
+    rows = [(h := f"h{r.randrange(6)}", f"{h}/p{r.randrange(5)}", min(0.99, max(0.01, 0.1 * int(h[1]) + r.random() * 0.3))) for _ in range(400)]
+    got = rated(spark, rows)
+    whole = sum(x for *_, x in rows) / len(rows)
+
+    def group(key):
+        out = {}
+        for row in rows:
+            out.setdefault(key(row), []).append(row[2])
+        return out
+
+    def strength(pairs):  # (rate of the site, its size, rate expected)
+        v = np.mean([(s - e) ** 2 for s, _, e in pairs])
+        noise, chance = np.mean([e * (1 - e) for *_, e in pairs]), np.mean([e * (1 - e) / n for _, n, e in pairs])
+        return min(10_000.0, max(2.0, noise / max(v - chance, 1e-9) - 1))
+
+    hosts, paths = group(lambda x: x[0]), group(lambda x: x[:2])
+    kh = strength([(np.mean(x), len(x), whole) for x in hosts.values()])
+    prior = {h: (sum(x) + kh * whole) / (len(x) + kh) for h, x in hosts.items()}
+    kp = strength([(np.mean(x), len(x), prior[h]) for (h, _), x in paths.items()])
+    for row, (h, p, x) in zip(got, rows):
+        host = (sum(hosts[h]) - x + kh * whole) / (len(hosts[h]) - 1 + kh)
+        path = (sum(paths[h, p]) - x + kp * host) / (len(paths[h, p]) - 1 + kp)
+        assert abs(row.toxic_host - host) < 1e-9 and abs(row.low_rate - path) < 1e-9
 
 
 def test_classifier_edge_cases(spark):
@@ -98,6 +151,9 @@ def test_classifier_edge_cases(spark):
     assert {r.doc_id for r in got.where("NOT keep").collect()} >= {1, 2, 3}
     assert quality_bayes.classify(df, labels.limit(0)).count() == df.count()
     assert quality_bayes.classify(spark.createDataFrame([], DOCS), labels).count() == 0
+    more = df.selectExpr("*", "1 AS n", "2 AS site_host", "3 AS ev", "map(1, 2) AS h")
+    kept = quality_bayes.keep_good(more, labels.withColumn("text", F.lit("x")))
+    assert kept.columns == more.columns and kept.count() == quality_bayes.classify(more, labels).where("keep").count()
 
 
 def test_pipeline_keeps_what_it_should(spark, sf):
@@ -135,3 +191,51 @@ def test_mix_has_no_least_weight_nor_most_sources(spark):
     assert sorted(got.mix_slot) == list(range(600 * 5))
     for s, slots in got[got.mix_slot < 1500].groupby("source").mix_slot:
         assert abs(len(slots) - 1500 * targets[s] / 750) < 1.001
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    item = words(30, 91)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near, twin = words(300, 71), words(200, 72)
+    rows = [(None, near, "a"), (7, near + " tail", None), (7, twin, "a"), (8, twin.upper(), "a"), (None, twin, "b"), (9, words(60, 73) + " " + item, "b"), (10, None, None), (11, "", "a"), (12, words(20_000, 74), "b"), (12, words(90, 75), "b")]
+    more = docs(spark, rows).selectExpr("*", "'x' AS mix_slot", "map('a', 1) AS row", "1 AS uid")
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted([(7, near + " tail"), (8, twin.upper()), (12, rows[8][1]), (12, rows[9][1])], key=str)
+    more.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_match_brute_force(spark, sf):
+    """Each stage on what the one before kept, against plain Python on whole texts."""
+    import corpus_pipeline
+
+    read = {}
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs_ = spark.createDataFrame(stage(spark, docs_, sf).collect(), docs_.schema)
+        read[name] = {r.doc_id: r.text for r in docs_.collect()}
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    last = {}
+    for i, t in read["quality"].items():
+        last[low(t)] = max(i, last.get(low(t), i))
+    assert set(read["exact_dedup"]) == set(last.values())
+    grams = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in read["exact_dedup"].items() for w in [low(t).split()]}
+    holders = {}
+    for i, found in grams.items():
+        for g in found:
+            holders.setdefault(g, set()).add(i)
+    for i in set(grams) - set(read["near_dedup"]):  # what went has a near copy
+        others = set().union(*(holders[g] for g in grams[i])) - {i}
+        assert max((len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for j in others), default=0) >= 0.65
+    missed = 0
+    for i in read["near_dedup"]:  # of what stayed hardly any has
+        others = set().union(*(holders[g] for g in grams[i])) & set(read["near_dedup"]) - {i}
+        missed += any(len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8 for j in others)
+    assert missed <= 0.02 * len(read["near_dedup"])
+    leaks = {r.doc_id for r in queries.op7_decontaminate(spark, sf).collect()}
+    assert set(read["decontaminate"]) == set(read["near_dedup"]) - leaks

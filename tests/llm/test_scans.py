@@ -69,7 +69,7 @@ def test_url_rules(spark):
 def test_cascade_is_exact(spark, max_bytes):
     keys = [(f"host{i}.net", i % 3 == 0) for i in range(3000)]
     df = spark.createDataFrame(keys, "key string, listed boolean")
-    built = bloom_cascade.build(df, false_rate=0.2, max_bytes=max_bytes)
+    built = list(bloom_cascade.build(df, false_rate=0.2, max_bytes=max_bytes))
     assert len(built) > 1 or max_bytes > 200
     assert any(len(c.levels) > 2 for c in built)
     got = bloom_cascade.is_listed(df.withColumnRenamed("listed", "truth"), "key", built)
@@ -148,15 +148,17 @@ def test_decontamination_finds_all_within_budget(spark):
             if d <= k and d < len(p):
                 m = got[doc, item]
                 assert m.distance == d == distance(p, t[m.start : m.end])
-    more = decontaminate.find_matches(docs(spark, rows), bench, block_items=2).count()
+    more = decontaminate.find_matches(docs(spark, rows), bench, block_bytes=300).count()
     assert more == len(got)
-    left = decontaminate.drop_matches(docs(spark, rows), bench)
-    assert {x.doc_id for x in left.collect()} == {i for i, _, _ in rows} - {d for d, _ in got if d is not None}
+    left = decontaminate.clean_rows(docs(spark, rows), bench)
+    assert {x.doc_id for x in left.collect()} == {i for i, _, _ in rows} - {d for d, _ in got}
     assert decontaminate.find_matches(spark.createDataFrame([], DOCS), bench).count() == 0
     assert decontaminate.find_matches(docs(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_html_extraction_matches_marked_articles(spark, sf):
+def test_html_extraction_follows_the_marks(spark, sf):
+    """The articles that pages mark come out whole; how far the chain does without marks is
+    measured below."""
     got = {r.page_id: r for r in queries.op3_html_crf(spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
     right = 0
@@ -176,7 +178,7 @@ def test_html_held_out_layout():
     chain = html_crf.train([(*x, False) for x in html_crf.seed()])
     page = '<body><nav><a href=/>Home</a></nav><main><h1>Title here</h1><p>Some text, for reading.</p></main><div class="sidebar"><p>Popular things, to see.</p></div><footer><p>The end, all rights kept.</p></footer></body>'
     found = html_crf.blocks(page)
-    assert [b.text for b, keep in zip(found, chain.decode(found, {})) if keep] == ["Title here", "Some text, for reading."]
+    assert [b.text for b, keep in zip(found, chain.decode(found)) if keep] == ["Title here", "Some text, for reading."]
 
 
 def test_html_edge_cases(spark):
@@ -190,8 +192,8 @@ def test_clean_rows_judges_each_row(spark):
     item = words(30, 91)
     rows = [(None, "x " + item + " y", "a"), (None, words(40, 92), "a"), (3, item, "a"), (3, words(40, 93), "a"), (4, None, "a")]
     items = spark.createDataFrame([(1, item), (2, words(30, 94)), (3, None)], "item_id long, text string")
-    for size in (20_000, 1):
-        kept = decontaminate.clean_rows(docs(spark, rows), items, block_items=size)
+    for size in (1 << 20, 1):
+        kept = decontaminate.clean_rows(docs(spark, rows).withColumn("start", F.lit(1)), items, block_bytes=size)
         assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[i][:2] for i in (1, 3, 4)}
 
 
@@ -209,3 +211,102 @@ def test_html_foreign_elements_leave_the_rest_of_the_page():
     assert text("<p>a</p><svg><p>Body") == text("<p>a</p><iframe src=x><p>Body") == "a Body"
     assert text("<p>a</p><svg><title>no</title></svg><template><p>no</p></template><p>Body") == "a Body"
     assert text("<p>a</p><script>var t = 1; <p>Body") == "a"
+
+
+def test_html_held_out_pages_with_hidden_marks(spark, sf):
+    """The chain is fitted on half of the pages and asked about the other half, whose article tags
+    are taken out: precision and recall of blocks against the marks."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    chain = html_crf.fit(pages.where("page_id % 2 = 0"))
+    hits = said = true = 0
+    for p in pages.where("page_id % 2 = 1").collect():
+        labels = html_crf.marked(p.html)[1]
+        found = html_crf.blocks(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p.html))
+        assert len(found) == len(labels)
+        got = chain.decode(found)
+        hits, said, true = hits + sum(a and b for a, b in zip(got, labels)), said + sum(got), true + sum(labels)
+    assert hits >= 0.95 * said and hits >= 0.95 * true
+
+
+def test_html_sample_is_narrow_and_bounded(spark):
+    rows = [(i, "u", f"<main><p>page {i % 40}, of some.</p></main>") for i in range(200)] + [(900, "u", "<p>no mark</p>"), (901, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert len(html_crf.sampled(pages, fit_pages=25)) == 25 and len(html_crf.sampled(pages)) == 200
+    assert html_crf.sampled(pages.where("page_id >= 900")) == []
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    chain = html_crf.train([(*x, False) for x in html_crf.seed()])
+    page = "".join(f"<div class='c{i % 7}'>x{i}</b></p>" for i in range(60_000))
+    began = time.perf_counter()
+    assert len(chain.decode(html_crf.blocks(page))) == 60_000
+    assert time.perf_counter() - began < 20
+
+
+def brute_linked(found, breaks, reach=200):
+    scope = lambda s: sum(b < s for b in breaks)
+    out = []
+    for start, end, kind in found:
+        near = {"id": [], "secret": []}
+        for s, e, k in found:
+            if secret_scan.ROLE[k] in near and scope(s) == scope(start) and (e <= start and start - e <= reach or s >= end and s - end <= reach):
+                near[secret_scan.ROLE[k]].append((s, e))
+        both = any(e <= s2 or e2 <= s for s, e in near["id"] for s2, e2 in near["secret"])
+        if kind == "ident" and near["secret"] or kind == "blob" and near["id"] or kind == "endpoint" and both:
+            out.append((start, end, kind))
+    return out
+
+
+def test_linking_matches_brute_force(spark):
+    r = random.Random(9)
+    bits = ["user_name = bob42", "account_id: AbCdEfGhIjKl1234567890mn", "wJalrXUtnFEMIbPxRfiCYEXAMPLEKEY12345", "https://db.example.com", "db.local:5432", "token = aaaabbbb1", "AKIAABCDEFGHIJKL9", "0af9" * 8, "secret: AbCdEfGhIjKl1234567890mn", "plain words here"]
+    texts = [r.choice(["", " "]).join(r.choice(bits) + r.choice([" ", "\n\n", " " * r.randint(1, 260)]) for _ in range(r.randint(1, 14))) for _ in range(300)]
+    got = {x.doc_id: x.spans for x in secret_scan.scan(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]).withColumn("spans", F.lit("x"))).collect()}
+    linked = 0
+    for i, text in enumerate(texts):
+        found = [(s, e, k) for k in secret_scan.KINDS for s, e in secret_scan.find(k, text)]
+        weak = brute_linked(found, [m.start() for m in secret_scan.BREAK.finditer(text)])
+        linked += len(weak)
+        assert got[i] == secret_scan.joined([x for x in found if x[2] in secret_scan.KINDS[:3]] + weak)
+    assert linked > 200
+
+
+def test_one_token_is_no_pair(spark):
+    lone = "account_id: AbCdEfGhIjKl1234567890mn and nothing else"
+    got = [r.spans for r in secret_scan.scan(docs(spark, [(1, lone, "a"), (2, lone + " at https://db.example.com", "a")])).collect()]
+    assert got == ["", ""]
+
+
+def test_many_parts_in_one_text(spark):
+    """100 000 parts in one scope."""
+    import time
+
+    text = "user_name = bob42 wJalrXUtnFEMIbPxRfiCYEXAMPLEKEY12345 " * 50_000
+    began = time.perf_counter()
+    assert secret_scan.scan(docs(spark, [(1, text, "a")])).first().spans.count(",") == 99_999
+    assert time.perf_counter() - began < 30
+
+
+def test_cascade_ends_with_a_set_where_hashes_agree(spark):
+    """Keys that no filter parts, here as none is allowed, are told apart by the last level."""
+    df = spark.createDataFrame([(f"k{i}", i % 2 == 0) for i in range(400)], "key string, listed boolean")
+    for levels in (0, 1, 2):
+        built = list(bloom_cascade.build(df, false_rate=0.5, max_levels=levels))
+        assert len(built) == 1 and built[0].rest and len(built[0].levels) == levels
+        got = bloom_cascade.is_listed(df.withColumnRenamed("listed", "truth"), "key", built)
+        assert got.where("truth <> listed").count() == 0 and got.count() == 400
+
+
+def test_extra_columns_and_long_texts_do_no_harm(spark):
+    long = words(60_000, 17)
+    item = words(25, 301)
+    rows = docs(spark, [(1, long + " " + item, "a"), (2, None, None)]).selectExpr("*", "1 AS item_id", "2 AS parts", "3 AS uid", "4 AS start", "map('a', 1) AS m")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.distance) for r in decontaminate.find_matches(rows, items).collect()] == [(1, 0)]
+    assert secret_scan.scan(rows.withColumn("text", F.concat("text", F.lit(" AKIAABCDEFGHIJKL9")))).where("n_access = 1").count() == 1
+    pages = spark.createDataFrame([(1, "http://a.net/es/" + "x" * 200_000, long)], "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS listed", "3 AS archive", "4 AS side", "5 AS digest")
+    assert bloom_cascade.judge(pages).first().verdict == "block"
+    laid = warc_audit.lay_out(pages)
+    assert warc_audit.audit(laid, laid.withColumn("digest", F.lit("x"))).first().status == "changed"
