@@ -49,10 +49,11 @@ NEAR_WORDS, TABLES, NEAR_RATE = 5, 8, 0.173
 #: with a chance of BAND_RECALL.
 CELL_MATES, BAND_RATE, BAND_RECALL = 16, 0.152, 0.95
 #: Fingerprints that travel with a cell, and the share of their bits in which a pair may differ
-#: before it is dropped unverified (four deviations above BAND_RATE).
-SEEN, SEEN_RATE = 2, 0.28
-#: Rounds in which each text is compared with one other of its half, to draw crowds together.
-STAR_ROUNDS = 2
+#: before it is dropped unverified (2.6 deviations above BAND_RATE); and such a share for the
+#: first fingerprint's embedding alone (3.9 deviations).
+SEEN, SEEN_RATE, FIRST_RATE = 4, 0.21, 0.33
+#: Rounds in which each text is compared with one other of a half, to draw crowds together.
+STAR_ROUNDS = 3
 #: Shingles hashed at a time, so that a very long text needs no long list of hashes.
 CHUNK = 1 << 16
 
@@ -122,14 +123,12 @@ def _mask(blocks: tuple[tuple[int, int], ...]) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-def _manhattan(x: Column, y: Column) -> Column:
-    """Sum over segments of the difference of counts, each 0 to 2, packed two bits apart."""
-    low = F.lit(0x5555555555555555)
-    ones_x, ones_y = x.bitwiseAND(low), y.bitwiseAND(low)
-    twos_x, twos_y = F.shiftrightunsigned(x, 1).bitwiseAND(low), F.shiftrightunsigned(y, 1).bitwiseAND(low)
-    one, two = ones_x.bitwiseXOR(ones_y), twos_x.bitwiseXOR(twos_y)
-    # a count differs by 2 where only the twos differ, and by 1 where the ones differ
-    return F.bit_count(one) + 2 * F.bit_count(two.bitwiseAND(one.bitwiseXOR(low)))
+def _manhattan(a: Column, b: Column) -> Column:
+    """Manhattan distance of the embeddings of two fingerprints: their differing bits, less two
+    for each segment in which 01 stands against 10."""
+    differ = a.bitwiseXOR(b)
+    swapped = differ.bitwiseAND(F.shiftrightunsigned(differ, 1)).bitwiseAND(a.bitwiseXOR(F.shiftrightunsigned(a, 1))).bitwiseAND(F.lit(0x5555555555555555))
+    return F.bit_count(differ) - 2 * F.bit_count(swapped)
 
 
 def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -144,7 +143,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
     first = F.lit(None).cast("int")
     for i in range(len(choices) - 1, -1, -1):
         first = F.when(differ.bitwiseAND(F.lit(choices[i])) == 0, F.lit(i)).otherwise(first)
-    near = (F.col("a") < F.col("b")) & (_manhattan(F.col("va"), F.col("vb")) <= max_bits) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
+    near = (F.col("a") < F.col("b")) & (_manhattan(F.col("fa"), F.col("fb")) <= max_bits) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
     same = (left["choice"] == right["choice"]) & (left["cell"] == right["cell"])
     return left.join(right, same & near & (first == left["choice"])).select("a", "b")
 
@@ -226,12 +225,10 @@ def _seen(side: str = "") -> list[str]:
 
 
 def _may_be_near(a: list[str], b: list[str]) -> Column:
-    """The Manhattan distance of the embeddings, then the exact distance, of the fingerprints that
-    travel along."""
-    most = int(SEEN_RATE * 64 * SEEN)
-    bound = sum((_manhattan(popcounts(F.col(x)), popcounts(F.col(y))) for x, y in zip(a, b)), F.lit(0))
+    """The Manhattan distance of the first embedding, then the exact distance of all fingerprints
+    that travel along."""
     exact = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
-    return (bound <= most) & (exact <= most)
+    return (_manhattan(F.col(a[0]), F.col(b[0])) <= int(FIRST_RATE * 64)) & (exact <= int(SEEN_RATE * 64 * SEEN))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE, uid_col: str | None = None) -> DataFrame:
@@ -241,10 +238,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts link when at most ``rate`` of the bits of all their fingerprints differ. A crowd of near
     copies is first drawn together by few links: each text is compared with one text that shares
-    a half of one of its fingerprints. Then the grid join lists pairs that share a band of segments
+    the commonest of its fingerprints' halves. Then the grid join lists pairs that share a band of segments
     and do not yet hang together; they are cut by Manhattan distance and verified exactly. Texts of
-    one cell and one crowd travel as a class; of two classes one pair is compared first, and where
-    that does not join them, all their pairs are."""
+    one cell and one crowd travel as a class; of two crowds one pair is compared first, and where
+    that does not join them, all their pairs that share a cell are."""
     rows = materialize(fingerprints(docs, id_col, text_col, tables, uid_col, NEAR_WORDS).withColumn("g", F.xxhash64("fps")), "sg-rows")
     nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sg-nodes")
     low = F.lit((1 << 32) - 1)
@@ -258,17 +255,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = pairs.join(a, "a").join(b, "b").where(_distance("x", "y") <= most)
         return components(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
-    # only the halves that several texts share are of use
+    # only the halves that several texts share are of use; a text is compared by its commonest one
     points = nodes.select("g", F.posexplode(halves).alias("t", "fp")).select("g", F.xxhash64("t", "fp").alias("half"))
-    shared = materialize(points.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "sg-halves")
-    points = materialize(points.join(sized(shared), "half", "left_semi"), "sg-points")
+    shared = materialize(points.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sg-halves")
+    points = materialize(points.join(sized(shared), "half"), "sg-points")
     crowds = nodes.select("g", F.col("g").alias("crowd"))
     for n in range(STAR_ROUNDS):
         placed = points.join(crowds, "g")
         order = F.xxhash64("g", F.lit(n)) if n else F.col("g")
         centre = placed.groupBy("half").agg(F.min(F.struct(order.alias("o"), F.col("g").alias("a"), F.col("crowd").alias("ca"))).alias("c")).select("half", "c.a", "c.ca")
-        stars = placed.join(centre, "half").where("crowd <> ca").select("a", F.col("g").alias("b"), "ca", F.col("crowd").alias("cb")).distinct()
-        crowds = materialize(_rooted(crowds, joined(stars), "crowd", "crowd"), "sg-crowds")
+        stars = placed.join(centre, "half").where("crowd <> ca").groupBy("g").agg(F.max(F.struct("n", "a", "ca", "crowd")).alias("s"))
+        crowds = materialize(_rooted(crowds, joined(stars.select("s.a", F.col("g").alias("b"), "s.ca", F.col("s.crowd").alias("cb"))), "crowd", "crowd"), "sg-crowds")
 
     placed = materialize(nodes.join(crowds, "g").select("g", "crowd", "fps"), "sg-placed")
     masks = _band_masks(*band_shape(placed.count()), tables)
@@ -279,18 +276,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     may = F.when(single, _may_be_near(_seen("a"), _seen("b"))).otherwise(F.lit(True))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & may)
     pairs = materialize(pairs.select(left["key"], "a", "b", "ca", "cb", single.alias("single")), "sg-links")
-    roots = joined(pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb")))
+    # one pair of each two crowds first
+    one = F.struct("a", "b")
+    tried = pairs.groupBy("ca", "cb").agg(F.min(one).alias("p"), ((F.min(one) != F.max(one)) | ~F.bool_and("single")).alias("more"))
+    tried = materialize(tried.select("p.a", "p.b", "ca", "cb", "more"), "sg-tried")
+    roots = joined(tried)
     crowds = materialize(_rooted(crowds, roots, "crowd", "crowd"), "sg-crowds")
 
-    # what is left: classes of several texts that do not hang together, by all their members
-    apart = _rooted(_rooted(pairs.where("NOT single").withColumns({"oa": F.col("ca"), "ob": F.col("cb")}), roots, "ca", "ca"), roots, "cb", "cb").where("ca <> cb")
-    apart = materialize(apart.select("key", "oa", "ob", "ca", "cb").distinct(), "sg-apart")
-    wanted = sized(materialize(apart.select(F.col("oa").alias("crowd")).union(apart.select("ob")).distinct(), "sg-wanted"))
+    # then, where that has not joined them, all pairs of theirs that share a cell
+    apart = _rooted(_rooted(tried.where("more").withColumns({"oa": F.col("ca"), "ob": F.col("cb")}), roots, "ca", "ca"), roots, "cb", "cb").where("ca <> cb")
+    apart = materialize(apart.select("oa", "ob", "ca", "cb"), "sg-apart")
+    left_over = pairs.withColumnsRenamed({"ca": "oa", "cb": "ob"}).join(sized(apart), ["oa", "ob"])
+    left_over = materialize(left_over, "sg-left")
+    several = left_over.where("NOT single").select("key", "oa", "ob", "ca", "cb")
+    wanted = sized(materialize(several.select(F.col("oa").alias("crowd")).union(several.select("ob")).distinct(), "sg-wanted"))
     members = cells(placed.join(wanted, "crowd", "left_semi"), masks)
-    members = materialize(members.join(sized(materialize(apart.select("key").distinct(), "sg-keys")), "key", "left_semi"), "sg-members")
+    members = materialize(members.join(sized(materialize(several.select("key").distinct(), "sg-keys")), "key", "left_semi"), "sg-members")
     of_a = members.select("key", F.col("crowd").alias("oa"), F.col("g").alias("a"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("a"))])
     of_b = members.select("key", F.col("crowd").alias("ob"), F.col("g").alias("b"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("b"))])
-    more = apart.join(of_a, ["key", "oa"]).join(of_b, ["key", "ob"]).where(_may_be_near(_seen("a"), _seen("b")))
+    more = several.join(of_a, ["key", "oa"]).join(of_b, ["key", "ob"]).where(_may_be_near(_seen("a"), _seen("b"))).select("a", "b", "ca", "cb")
+    more = more.union(left_over.where("single").select("a", "b", "ca", "cb"))
     roots = joined(more.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb")))
     found = _rooted(nodes.join(crowds, "g").select("g", "least", "crowd"), roots, "crowd", "root")
     return _components_of(rows, materialize(found.select("g", "least", "root"), "sg-found"), "g").select("doc_id", "component_id", "root", *["uid"] * bool(uid_col))
