@@ -236,7 +236,8 @@ def test_near_groups_compare_every_pair_that_shares_a_band(spark, monkeypatch):
         for j in fps:
             if j < i and any(a == b for a, b in zip(keys[i], keys[j])):
                 seen = sum((a ^ b).bit_count() for a, b in zip(fps[i][: simhash_links.SEEN], fps[j]))
-                if seen <= int(simhash_links.SEEN_RATE * 64 * simhash_links.SEEN) and sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j])) <= most:
+                first = sum(abs((fps[i][0] >> s & 3).bit_count() - (fps[j][0] >> s & 3).bit_count()) for s in range(0, 64, 2)) <= int(simhash_links.FIRST_RATE * 64)
+                if first and seen <= int(simhash_links.SEEN_RATE * 64 * simhash_links.SEEN) and sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j])) <= most:
                     x, y = find(i), find(j)
                     parent[max(x, y)] = min(x, y)
     want = {i: find(i) for i in fps}
