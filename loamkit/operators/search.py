@@ -4,14 +4,20 @@ Queries are a frame (query_id, ...), all answered in one plan."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamkit.functions.vectors import dot, norm
 
-#: Queries that are held beside every chunk at once; more go in blocks.
-QUERY_BLOCK = 512
+#: Query vectors that are sent to the chunks at once, as one matrix; more go in blocks.
+QUERY_BLOCK = 2_048
 #: Digits to which scores are rounded before ranking, so that ranks do not hang on the last bit.
 DIGITS = 9
 
@@ -23,19 +29,52 @@ def unit(embedding: Column) -> Column:
     return F.when(fine, F.transform(embedding, lambda x: x.cast("double") / length))
 
 
+def _units(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their unit vectors as a matrix) of the lists of ``dim`` numbers that have a length and
+    are finite; by default of the commonest number."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    if dim is None:
+        dim = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+    rows = np.flatnonzero((sizes == dim) & (dim > 0))
+    flat = column.take(pa.array(rows)).flatten()
+    matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+    with np.errstate(all="ignore"):
+        length = np.sqrt((matrix * matrix).sum(axis=1))
+        fine = np.isfinite(length) & (length > 0)
+    return rows[fine], matrix[fine] / length[fine, None]
+
+
 def similarities(queries: DataFrame, chunks: DataFrame, min_score: float, block: int = QUERY_BLOCK) -> DataFrame:
     """JN-3: (query_id, entry_id, chunk_index, similarity) of pairs above the floor.
 
-    Queries, a stated set, are aggregated into blocks of at most ``block`` vectors; every chunk
-    meets a block once and keeps its pairs above the floor within the row, so that only hits are
-    exploded."""
-    q = queries.select("query_id", unit(F.col("embedding")).alias("u")).where("u IS NOT NULL")
-    blocks = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block))))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "u")).alias("qs"))
-    c = chunks.select("entry_id", "chunk_index", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
-    scored = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["u"], F.col("v")), DIGITS).alias("similarity")))
-    near = F.filter(scored, lambda x: x["similarity"] >= min_score)
-    pairs = c.crossJoin(F.broadcast(blocks)).select("entry_id", "chunk_index", F.explode(near).alias("h"))
-    return pairs.select("h.query_id", "entry_id", "chunk_index", "h.similarity")
+    Queries, a stated set, are sent to the chunks as matrices of about ``block`` vectors; every
+    batch of chunks is multiplied by one, and only pairs above the floor leave it."""
+    spark = queries.sparkSession
+    q = queries.select("query_id", "embedding")
+    kinds = {"query_id": q, "entry_id": chunks, "chunk_index": chunks}
+    schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n, df in kinds.items()) + ", similarity double"
+    parts = max(1, -(-queries.count() // block))
+    out = []
+    for part in range(parts):
+        mine = q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        table = mine.toArrow()
+        if not table.num_rows:
+            out.append(spark.createDataFrame([], schema))
+            continue
+        ids, vectors = (pa.concat_arrays(table.column(i).chunks) for i in (0, 1))
+        rows, matrix = _units(vectors)
+        shared = spark.sparkContext.broadcast((ids.take(pa.array(rows)), np.ascontiguousarray(matrix.T)))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            names, matrix = shared.value
+            for batch in batches:
+                at, units = _units(batch.column(2), len(matrix))
+                found = np.round(units @ matrix, DIGITS)
+                i, j = np.nonzero(found >= min_score)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), *(batch.column(c).take(pa.array(at[i])) for c in (0, 1)), pa.array(found[i, j])], names=["query_id", "entry_id", "chunk_index", "similarity"])
+
+        out.append(chunks.select("entry_id", "chunk_index", "embedding").mapInArrow(score, schema))
+    return reduce(DataFrame.unionByName, out)
 
 
 def best_chunks(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from loamkit.schemas import CATEGORIES, SOURCES
 
 AS_OF = "2024-01-01 12:00:00"
-N_QUERIES = 20
 THRESHOLD, AUTO = 70, 90
 
 
@@ -45,15 +44,24 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def owners(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
+    """(entry, chunk index) of a vector: two vectors an entry, over all entries, and again."""
+    n = table(spark, sf_dir, "documents").count()
+    v = F.col("vec_id")
+    return F.floor(v / 2) % max(n, 1), (v % 2 + 2 * F.floor(v / (2 * max(n, 1)))).cast("int")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as the chunks of the first 200 entries."""
+    """Vectors as the chunks of the entries."""
     e = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.col("source").alias("project_id"))
-    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 200).alias("entry_id"), F.floor(F.col("vec_id") / 200).cast("int").alias("chunk_index"), "embedding")
-    return v.join(e, "entry_id")
+    entry, index = owners(spark, sf_dir)
+    return table(spark, sf_dir, "embeddings").select(entry.alias("entry_id"), index.alias("chunk_index"), "embedding").join(e, "entry_id")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")
+    """Every hundredth vector as a query, numbered in order."""
+    v = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0)
+    return v.select(F.floor(F.col("vec_id") / 100).alias("query_id"), "embedding")
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +145,10 @@ SQL = {
          d.lang, d.n_chars, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id) AS updated_at
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
     "chunks": """chunks AS (
-  SELECT vec_id % 200 AS entry_id, CAST(vec_id // 200 AS INTEGER) AS chunk_index, CAST(embedding AS DOUBLE[]) AS embedding, d.source AS project_id
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % 200)""",
-    "vq": f"vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id < {N_QUERIES})",
+  SELECT e.entry_id, e.chunk_index, e.embedding, d.source AS project_id, e.vec_id
+  FROM (SELECT vec_id, vec_id // 2 % n AS entry_id, CAST(vec_id % 2 + 2 * (vec_id // (2 * n)) AS INTEGER) AS chunk_index, CAST(embedding AS DOUBLE[]) AS embedding
+        FROM embeddings, (SELECT count(*) AS n FROM documents)) e JOIN documents d ON d.doc_id = e.entry_id)""",
+    "vq": "vq AS (SELECT vec_id // 100 AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 100 = 0)",
     "tq": r"""tq AS (
   SELECT item_id AS query_id, unnest(ts) AS term, len(ts) AS n_terms FROM (
     SELECT item_id, list_slice(list_filter(ws, lambda w, i: list_position(ws, w) = i), 1, 3) AS ts

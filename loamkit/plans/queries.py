@@ -172,22 +172,22 @@ def top_entities(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_sql(
         "chunks",
-        """, cand AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding, source AS project_id FROM embeddings JOIN documents ON doc_id = vec_id % 200 WHERE vec_id % 100 = 0),
-hit AS (SELECT c.query_id, max(round(list_cosine_similarity(c.embedding, k.embedding), 9)) AS best FROM cand c JOIN chunks k ON c.project_id = k.project_id AND NOT (k.entry_id = c.query_id % 200 AND k.chunk_index = c.query_id // 200) GROUP BY c.query_id)
+        """, cand AS (SELECT vec_id AS query_id, embedding, project_id FROM chunks WHERE vec_id % 100 = 0),
+hit AS (SELECT c.query_id, max(round(list_cosine_similarity(c.embedding, k.embedding), 9)) AS best FROM cand c JOIN chunks k ON c.project_id = k.project_id AND k.vec_id <> c.query_id GROUP BY c.query_id)
 SELECT query_id, CASE WHEN best >= 0.25 THEN best END AS best, coalesce(best >= 0.25, false) AS duplicate FROM cand LEFT JOIN hit USING (query_id)""",
     )
 )
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Every hundredth vector as a candidate against the other chunks of its project."""
-    v = m.table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0)
-    p = m.table(spark, d, "documents").select(F.col("doc_id").alias("e"), F.col("source").alias("project_id"))
-    cand = v.withColumn("e", F.col("vec_id") % 200).join(p, "e").select(F.col("vec_id").alias("query_id"), "project_id", "embedding")
-    own = v.select((F.col("vec_id") % 200).alias("entry_id"), F.floor(F.col("vec_id") / 200).cast("int").alias("chunk_index"))
+    entry, index = m.owners(spark, d)
+    v = m.table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0).select("vec_id", entry.alias("entry_id"), index.alias("chunk_index"))
+    cand = m.chunks(spark, d).join(v, ["entry_id", "chunk_index"]).select(F.col("vec_id").alias("query_id"), "project_id", "embedding", "entry_id", "chunk_index")
+    own = v.select("entry_id", "chunk_index")
     others = m.chunks(spark, d).join(own, ["entry_id", "chunk_index"], "left_anti")
     held = m.chunks(spark, d).join(own, ["entry_id", "chunk_index"], "left_semi")
     # a candidate's own chunk is left out; the other candidates' chunks are not
-    far = search.near_duplicates(cand, others, 0.25)
-    a = cand.alias("a").join(held.alias("b"), "project_id").where(~((F.col("b.entry_id") == F.col("a.query_id") % 200) & (F.col("b.chunk_index") == F.floor(F.col("a.query_id") / 200))))
+    far = search.near_duplicates(cand.select("query_id", "project_id", "embedding"), others, 0.25)
+    a = cand.alias("a").join(held.alias("b"), "project_id").where("a.entry_id <> b.entry_id OR a.chunk_index <> b.chunk_index")
     near = a.groupBy("query_id").agg(F.max(F.round(search.dot(search.unit(F.col("a.embedding")), search.unit(F.col("b.embedding"))), search.DIGITS)).alias("near"))
     best = F.greatest("best", F.when(F.col("near") >= 0.25, F.col("near")))
     return far.join(near, "query_id", "left").select("query_id", best.alias("best")).withColumn("duplicate", F.col("best").isNotNull())

@@ -78,12 +78,36 @@ def feed(spark, path, schema, slices):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
-def test_sessions_are_taken_once(spark, tmp_path):
+def test_sessions_are_taken_once_over_restarts(spark, tmp_path):
+    """New objects take up from the folders; a session that comes twice in one batch counts once,
+    and a batch that runs again changes nothing."""
     schema = T.StructType.fromDDL("session_id string, text string")
-    stream = feed(spark, tmp_path, schema, [[("a", "1"), ("a", "2")], [("b", "1")], [("a", "1"), ("a", "2")]])
-    log = jobs.Versioned(spark, str(tmp_path / "log"), schema)
-    jobs.sessions_once(stream, log, str(tmp_path / "ckpt"))
-    assert sorted(tuple(r) for r in log.read().collect()) == [("a", "1"), ("a", "2"), ("b", "1")]
+    log = lambda: jobs.Log(spark, str(tmp_path / "log"), schema)
+    for rows in ([("a", "1"), ("a", "2"), ("a", "1"), ("a", "2")], [("b", "1"), ("a", "1")], [("a", "3"), ("c", "1")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.sessions_once(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), log(), str(tmp_path / "ckpt"))
+    want = [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")]
+    assert sorted(tuple(r) for r in log().read().collect()) == want
+    batch = spark.createDataFrame([("a", "3"), ("c", "1")], schema)
+    log().write(batch.join(log().read(2).select("session_id").distinct(), "session_id", "left_anti"), 2)
+    assert sorted(tuple(r) for r in log().read().collect()) == want
+
+
+def test_index_and_counters_follow_the_newest_state(spark, tmp_path):
+    from loamkit.functions.vectors import hashing_embedder
+
+    schema = T.StructType.fromDDL("id long, project_id string, content string, status string, updated_at timestamp")
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    chunks = lambda: jobs.Log(spark, f"{tmp_path}/chunks", T.StructType.fromDDL("entry_id long, project_id string, chunk_index int, content string, embedding array<float>"))
+    seen = lambda: jobs.Log(spark, f"{tmp_path}/seen", T.StructType.fromDDL("id long, content_hash string"))
+    states = lambda: jobs.Log(spark, f"{tmp_path}/states", T.StructType.fromDDL("id long, project_id string, status string"))
+    for rows in ([(1, "p", "one", "pending", at(0)), (2, "p", "two", "approved", at(0))], [(1, "p", "new one", "approved", at(1))], [(2, "p", "gone", "rejected", at(2)), (1, "p", "new one", "approved", at(3))]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.incremental_index(stream, chunks(), seen(), hashing_embedder(8), f"{tmp_path}/c1")
+        jobs.live_entries(stream.select("id", "project_id", "status"), states(), f"{tmp_path}/c2")
+    assert [(r.entry_id, r.content) for r in jobs.indexed(chunks(), seen()).collect()] == [(1, "new one")]
+    assert [(r.total, r.approved, r.rejected) for r in jobs.live_counts(states()).collect()] == [(2, 1, 1)]
 
 
 def test_stream_classification_matches_batch(spark, sf, tmp_path):
@@ -92,7 +116,7 @@ def test_stream_classification_matches_batch(spark, sf, tmp_path):
     c.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     none = T.StructType.fromDDL("project_id string, candidate_hash string, model string, prompt_version string, rules_version string, status string, semantic_score int")
-    cache, out = jobs.Versioned(spark, f"{tmp_path}/cache", none), jobs.Versioned(spark, f"{tmp_path}/out", T.StructType.fromDDL("id long, final_score int, status string"))
+    cache, out = jobs.Log(spark, f"{tmp_path}/cache", none), jobs.Log(spark, f"{tmp_path}/out", T.StructType.fromDDL("id long, final_score int, status string"))
     jobs.classify_stream(stream, cache, out, _judge, Settings(mode="enforce"), "m", "p", f"{tmp_path}/ckpt")
     batch, _ = classify.classify(c, spark.createDataFrame([], none), _judge, Settings(mode="enforce"), "m", "p")
     key = lambda df: sorted((r.id, r.final_score, r.status) for r in df.select("id", "final_score", "status").collect())
