@@ -192,7 +192,9 @@ def metadata_split(metadata: Column) -> Column:
     """TX-9: struct (editable, machine) of a JSON object's text: scalar values as text, and nested
     values as JSON."""
     keys = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>"))
-    parsed = F.from_json(metadata, "map<string,string>")
-    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.try_element_at(parsed, k).alias("value")))
-    nested = lambda p: F.coalesce(p["value"].rlike("(?s)\\A\\s*[\\[{]"), F.lit(False))
-    return F.struct(F.map_from_entries(F.filter(pairs, lambda p: ~nested(p))).alias("editable"), F.map_from_entries(F.filter(pairs, nested)).alias("machine"))
+    parsed, kinds = F.from_json(metadata, "map<string,string>"), F.from_json(metadata, "map<string,variant>")
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.try_element_at(parsed, k).alias("value"), F.schema_of_variant(F.try_element_at(kinds, k)).alias("kind")))
+    nested = lambda p: F.coalesce(p["kind"].startswith("ARRAY") | p["kind"].startswith("OBJECT"), F.lit(False))
+    plain = lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))
+    parts = [F.map_from_entries(F.transform(F.filter(pairs, keep), plain)) for keep in (lambda p: ~nested(p), nested)]
+    return F.struct(parts[0].alias("editable"), parts[1].alias("machine"))

@@ -331,8 +331,8 @@ def _audited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.when(kept, F.col("final_score")).alias("final_score"), F.lit(None).cast("string").alias("model"), F.lit("p1").alias("prompt_version"), F.lit(None).cast("string").alias("rules_version"), F.col("rules").cast("array<struct<id:string,adjustment:int,reason:string>>").alias("rules"),
     )
     error = F.when(F.col("id") % 9 == 0, F.struct(F.lit("timeout").alias("code"), F.lit("m0").alias("model"), F.lit("p0").alias("prompt_version"), F.lit("v5").alias("rules_version")))
-    e = dec.select("id", "project_id", (F.col("id") % 50).alias("importance_assessment_id"), own.alias("importance"), error.alias("error"))
-    a = dec.where("id < 50").select("id", F.lit(41).alias("semantic_score"), F.lit(44).alias("final_score"), F.lit("m1").alias("model"), F.lit("p1").alias("prompt_version"), F.lit("v6").alias("rules_version"), F.lit(None).cast("array<struct<id:string,adjustment:int,reason:string>>").alias("rules"))
+    e = dec.select("id", "project_id", F.col("id").alias("importance_assessment_id"), own.alias("importance"), error.alias("error"))
+    a = dec.select("id", F.lit(41).alias("semantic_score"), F.lit(44).alias("final_score"), F.lit("m1").alias("model"), F.lit("p1").alias("prompt_version"), F.lit("v6").alias("rules_version"), F.lit(None).cast("array<struct<id:string,adjustment:int,reason:string>>").alias("rules"))
     return e, a
 
 
@@ -343,9 +343,21 @@ def audit_view(spark: SparkSession, d: str) -> DataFrame:
     return reports.audit_view(*_audited(spark, d))
 
 
-@query()
+@query(
+    with_sql(
+        "entries chunks decisions",
+        f""", x AS ({_CROSS}),
+e AS (SELECT project_id, count(*) AS total, count(*) FILTER (status = 'classifying') AS classifying, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected,
+  count(*) FILTER (status = 'classifying' AND updated_at < TIMESTAMP '{m.AS_OF}' - INTERVAL 15 MINUTE) AS stale,
+  count(*) FILTER (status = 'approved' AND content <> '' AND id NOT IN (SELECT entry_id FROM chunks)) AS unindexed FROM entries GROUP BY 1),
+c AS (SELECT project_id, count(*) AS chunks FROM chunks GROUP BY 1)
+SELECT e.project_id, total, classifying, pending, e.approved, e.rejected, coalesce(chunks, 0) AS chunks, unindexed, classifying AS in_progress, stale, classified, reviewed, would_reject, would_keep, would_approve, auto_approved
+FROM e JOIN x USING (project_id) LEFT JOIN c USING (project_id)""",
+    )
+)
 def project_status(spark: SparkSession, d: str) -> DataFrame:
-    return reports.project_status(m.entries(spark, d), m.chunks(spark, d), m.decisions(spark, d), F.lit(m.AS_OF).cast("timestamp"))
+    found = reports.project_status(m.entries(spark, d), m.chunks(spark, d), m.decisions(spark, d), F.lit(m.AS_OF).cast("timestamp"))
+    return found.select("project_id", "entries.*", "index.*", "queue.*", "shadow.*")
 
 
 def _paragraphed(spark: SparkSession, d: str) -> DataFrame:
@@ -643,6 +655,8 @@ def keyword_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def importance_report(spark: SparkSession, d: str) -> DataFrame:
-    """Gates of every project, with entries as the must-keep corpus and no must-reject corpus."""
-    keep = _candidates(spark, d).where("id % 12 < 6")
-    return reports.importance_report(m.decisions(spark, d), m.entries(spark, d), F.lit(m.AS_OF).cast("timestamp"), keep, None)[2]
+    """Gates of every project, with all approved entries as the must-keep corpus and all rejected
+    ones as the must-reject corpus."""
+    c = _candidates(spark, d).join(m.entries(spark, d).select("id", "status"), "id")
+    keep, reject = (c.where(F.col("status") == s) for s in ("approved", "rejected"))
+    return reports.importance_report(m.decisions(spark, d), m.entries(spark, d), F.lit(m.AS_OF).cast("timestamp"), keep, reject)[2]

@@ -25,13 +25,15 @@ def transcript_events(lines: DataFrame) -> DataFrame:
     """SRC-3: events (path, line, role, text) of JSONL lines (path, line, value).
 
     Blank lines, lines that are not JSON and events of other types than user and assistant are
-    skipped. The text is a string content, or the text blocks of a list, joined by line ends."""
+    skipped. The text is a string content, whatever it begins with, or the text blocks of a list,
+    joined by line ends."""
     event = F.from_json("value", EVENT, {"mode": "PERMISSIVE"})
     kept = lines.where(trimmed(F.col("value")) != "").withColumn("e", event).where(F.col("e.type").isin("user", "assistant"))
     content = F.col("e.message.content")
     blocks = F.from_json(content, BLOCKS)
     listed = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    text = trimmed(F.when(content.rlike("\\A\\s*\\["), listed).otherwise(content))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.message.content", "variant"))
+    text = trimmed(F.when(kind.startswith("ARRAY"), listed).otherwise(content))
     return kept.select("path", "line", F.coalesce("e.message.role", "e.type").alias("role"), text.alias("text")).where("text <> ''")
 
 

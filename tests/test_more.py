@@ -132,3 +132,14 @@ def test_staleness_alert_fires_after_the_watermark(spark, tmp_path):
     q = alerts.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.id for r in spark.read.schema(alerts.schema).parquet(f"{tmp_path}/out").collect()] == [1]
+
+
+def test_content_is_told_by_its_json_type(spark):
+    from loamkit.functions import text as tx
+    from loamkit.sources import files
+
+    rows = [("f", 1, '{"type":"user","message":{"role":"user","content":"[INFO] up"}}'), ("f", 2, '{"type":"assistant","message":{"content":[{"type":"text","text":"yes"},{"type":"tool"}]}}')]
+    got = files.transcript_events(spark.createDataFrame(rows, "path string, line long, value string")).collect()
+    assert [(r.role, r.text) for r in got] == [("user", "[INFO] up"), ("assistant", "yes")]
+    r = spark.range(1).select(tx.metadata_split(F.lit('{"a":"[x","b":[1],"c":{"d":1},"e":3,"f":null}')).alias("s")).first().s
+    assert r.editable == {"a": "[x", "e": "3", "f": None} and r.machine == {"b": "[1]", "c": '{"d":1}'}
