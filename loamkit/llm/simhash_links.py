@@ -199,9 +199,9 @@ def _band_masks(width: int, bands: int, tables: int) -> np.ndarray:
     return masks
 
 
-def cells(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
-    """(key, g, crowd, seen): a row for each band of each of nodes (g, crowd, fps), keyed by the
-    band and the counts of its segments."""
+def cells(nodes: DataFrame, masks: np.ndarray, words: int = SEEN) -> DataFrame:
+    """(key, g, crowd, w0, w1, ...): a row for each band of each of nodes (g, crowd, fps), keyed by
+    the band and the counts of its segments, with the first ``words`` fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.uint64(0x5555555555555555)
@@ -213,22 +213,34 @@ def cells(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
             for t in range(fps.shape[1]):
                 keys = _mixed((counts[:, t, None] & masks[None, :, t]) ^ keys, t + 1)
             owner = np.repeat(np.arange(batch.num_rows), len(masks))
-            seen = [pa.array(np.repeat(fps[:, t].view(np.int64), len(masks))) for t in range(SEEN)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), *seen], names=["key", "g", "crowd", *_seen()])
+            seen = [pa.array(np.repeat(fps[:, t].view(np.int64), len(masks))) for t in range(words)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), *seen], names=["key", "g", "crowd", *_seen(words)])
 
     small_batches(nodes.sparkSession)
-    return nodes.select("g", "crowd", "fps").mapInArrow(run, "key long, g long, crowd long, " + ", ".join(f"{n} long" for n in _seen()))
+    return nodes.select("g", "crowd", "fps").mapInArrow(run, "key long, g long, crowd long, " + ", ".join(f"{n} long" for n in _seen(words)))
 
 
-def _seen(side: str = "") -> list[str]:
-    return [f"w{t}{side}" for t in range(SEEN)]
+def _seen(words: int = SEEN) -> list[str]:
+    return [f"w{t}" for t in range(words)]
 
 
-def _may_be_near(a: list[str], b: list[str]) -> Column:
-    """The Manhattan distance of the first embedding, then the exact distance of all fingerprints
-    that travel along."""
-    exact = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
-    return (_manhattan(F.col(a[0]), F.col(b[0])) <= int(FIRST_RATE * 64)) & (exact <= int(SEEN_RATE * 64 * SEEN))
+def _bits(words: int = SEEN) -> list[Column]:
+    """Aggregates: the bits that all texts of a class have set, and those that any has."""
+    return [f(w).alias(w + x) for f, x in ((F.bit_and, "all"), (F.bit_or, "any")) for w in _seen(words)]
+
+
+def _least_distance(words: int = SEEN) -> Column:
+    """The least in which two texts of two classes can differ: the bits that all of one class have
+    and none of the other. For classes of one text this is their distance."""
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    return sum((apart(w + "alla", w + "anyb") + apart(w + "allb", w + "anya") for w in _seen(words)), F.lit(0))
+
+
+def _classes_may_be_near(single: Column) -> Column:
+    """The Manhattan distance of the first embedding, where both classes are of one text, and the
+    least distance of the fingerprints that travel along."""
+    bound = _manhattan(F.col("w0alla"), F.col("w0allb")) <= int(FIRST_RATE * 64)
+    return (_least_distance() <= int(SEEN_RATE * 64 * SEEN)) & (bound | ~single)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE, uid_col: str | None = None) -> DataFrame:
@@ -269,13 +281,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     placed = materialize(nodes.join(crowds, "g").select("g", "crowd", "fps"), "sg-placed")
     masks = _band_masks(*band_shape(placed.count()), tables)
-    classes = cells(placed, masks).groupBy("key", "crowd").agg(F.min("g").alias("pick"), F.count(F.lit(1)).alias("n"), *[F.min(w).alias(w) for w in _seen()])
-    left = classes.select("key", F.col("crowd").alias("ca"), F.col("pick").alias("a"), F.col("n").alias("na"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("a"))])
-    right = classes.select("key", F.col("crowd").alias("cb"), F.col("pick").alias("b"), F.col("n").alias("nb"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("b"))])
+    # only crowds of several texts have classes to gather; a text of its own is one as it is
+    large = sized(materialize(crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("crowd"), "sg-large"))
+    alone = cells(placed.join(large, "crowd", "left_anti"), masks)
+    alone = alone.select("key", "crowd", F.col("g").alias("pick"), F.lit(1).cast("long").alias("n"), *[F.col(w).alias(w + x) for x in ("all", "any") for w in _seen()])
+    gathered = cells(placed.join(large, "crowd", "left_semi"), masks).groupBy("key", "crowd")
+    gathered = gathered.agg(F.min("g").alias("pick"), F.count(F.lit(1)).alias("n"), *_bits())
+    classes = alone.unionByName(gathered).repartition("key")  # both sides of the join read this one shuffle
+    words = [w + x for x in ("all", "any") for w in _seen()]
+    left = classes.select(F.col("key").alias("key"), F.col("crowd").alias("ca"), F.col("pick").alias("a"), F.col("n").alias("na"), *[F.col(w).alias(w + "a") for w in words])
+    right = classes.select(F.col("key").alias("kb"), F.col("crowd").alias("cb"), F.col("pick").alias("b"), F.col("n").alias("nb"), *[F.col(w).alias(w + "b") for w in words])
     single = (F.col("na") == 1) & (F.col("nb") == 1)
-    may = F.when(single, _may_be_near(_seen("a"), _seen("b"))).otherwise(F.lit(True))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & may)
-    pairs = materialize(pairs.select(left["key"], "a", "b", "ca", "cb", single.alias("single")), "sg-links")
+    pairs = left.join(right, (F.col("key") == F.col("kb")) & (F.col("ca") < F.col("cb")) & _classes_may_be_near(single))
+    pairs = materialize(pairs.select("key", "a", "b", "ca", "cb", single.alias("single")), "sg-links")
     # one pair of each two crowds first
     one = F.struct("a", "b")
     tried = pairs.groupBy("ca", "cb").agg(F.min(one).alias("p"), ((F.min(one) != F.max(one)) | ~F.bool_and("single")).alias("more"))
@@ -290,11 +308,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left_over = materialize(left_over, "sg-left")
     several = left_over.where("NOT single").select("key", "oa", "ob", "ca", "cb")
     wanted = sized(materialize(several.select(F.col("oa").alias("crowd")).union(several.select("ob")).distinct(), "sg-wanted"))
-    members = cells(placed.join(wanted, "crowd", "left_semi"), masks)
+    members = cells(placed.join(wanted, "crowd", "left_semi"), masks, tables)
     members = materialize(members.join(sized(materialize(several.select("key").distinct(), "sg-keys")), "key", "left_semi"), "sg-members")
-    of_a = members.select("key", F.col("crowd").alias("oa"), F.col("g").alias("a"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("a"))])
-    of_b = members.select("key", F.col("crowd").alias("ob"), F.col("g").alias("b"), *[F.col(w).alias(x) for w, x in zip(_seen(), _seen("b"))])
-    more = several.join(of_a, ["key", "oa"]).join(of_b, ["key", "ob"]).where(_may_be_near(_seen("a"), _seen("b"))).select("a", "b", "ca", "cb")
+    sides = [w + x for x in ("all", "any") for w in _seen(tables)]
+    # texts of one class against what all texts of the other share, then against each of them
+    class_b = members.groupBy("key", F.col("crowd").alias("ob")).agg(*_bits(tables)).withColumnsRenamed({w: w + "b" for w in sides})
+    of_a = members.select("key", F.col("crowd").alias("oa"), F.col("g").alias("a"), *[F.col(w).alias(w + x + "a") for x in ("all", "any") for w in _seen(tables)])
+    of_b = members.select("key", F.col("crowd").alias("ob"), F.col("g").alias("b"), *[F.col(w).alias(w + x + "b") for x in ("all", "any") for w in _seen(tables)])
+    within = lambda x, y, side: (x["key"] == y["key"]) & (x[side] == y[side]) & (_least_distance(tables) <= most)
+    some = several.join(class_b, ["key", "ob"])
+    some = some.join(of_a, within(some, of_a, "oa")).select(some["key"], "ob", "ca", "cb", "a", *[w + "a" for w in sides])
+    more = some.join(of_b, within(some, of_b, "ob")).select("a", "b", "ca", "cb")
     more = more.union(left_over.where("single").select("a", "b", "ca", "cb"))
     roots = joined(more.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb")))
     found = _rooted(nodes.join(crowds, "g").select("g", "least", "crowd"), roots, "crowd", "root")
