@@ -130,7 +130,16 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "entry_id", "rank", "title", "category", F.round("fusion", 12).alias("fusion"), "matched_by", "tags")
 
 
-@query()
+_WORD = r"[^\p{L}\p{N}]"
+_SNIPPET = rf""", {_KEY_OK}, asked AS (SELECT query_id, list(term) AS ts FROM tq GROUP BY query_id),
+found AS (SELECT k.query_id, k.entry_id, '[' || (rank + 1) || '] ' || title || ' (' || category || ')' AS line, content, ts,
+  coalesce(list_min(list_filter(list_transform(ts, lambda t: instr(lower(content), t)), lambda p: p > 0)), 0) AS spot
+  FROM kw k JOIN asked USING (query_id) JOIN entries e ON e.id = k.entry_id),
+spaced AS (SELECT *, regexp_replace(substring(content, greatest(spot - 100, 1), 200), '({_WORD})', chr(1) || '\1' || chr(1), 'g') AS part FROM found)
+SELECT query_id, entry_id, line, CASE WHEN spot > 0 THEN replace(regexp_replace(part, '(^|\x01)(' || array_to_string(ts, '|') || ')(\x01|$)', '<b>\2</b>', 'gi'), chr(1), '') ELSE substring(content, 1, 200) END AS snippet FROM spaced"""
+
+
+@query(with_sql("entries postings tq", _SNIPPET))
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     """Keyword hits with a highlighted snippet and a result line."""
     hits = _keyword(spark, d, True).join(m.text_queries(spark, d), "query_id").join(m.entries(spark, d).select(F.col("id").alias("entry_id"), "title", "category", "content"), "entry_id")
@@ -365,18 +374,36 @@ def _paragraphed(spark: SparkSession, d: str) -> DataFrame:
     return m.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
 
 
-@query(r"""SELECT id AS entry_id, project_id, CAST(i - 1 AS INTEGER) AS chunk_index, ps[i] AS content FROM (SELECT id, project_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (
-SELECT doc_id AS id, source AS project_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '') AS ps FROM documents))""")
+_PARAGRAPHS = r"""SELECT doc_id AS id, source AS project_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '') AS ps FROM documents"""
+
+
+@query(f"SELECT id AS entry_id, project_id, CAST(i - 1 AS INTEGER) AS chunk_index, ps[i] AS content FROM (SELECT id, project_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM ({_PARAGRAPHS}))")
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return ingest.chunk(_paragraphed(spark, d))
 
 
-@query()
+@query(rf"""WITH ps AS ({_PARAGRAPHS}),
+packed AS (SELECT id, project_id, list_reduce(list_transform(ps, lambda p: [p]), lambda x, y: CASE WHEN strlen(x[-1]) + 2 + strlen(y[1]) > 2000 THEN list_concat(x, y)
+  ELSE list_concat(x[:-2], [x[-1] || chr(10) || chr(10) || y[1]]) END) AS cs FROM ps WHERE len(ps) > 0)
+SELECT id AS entry_id, project_id, CAST(i - 1 AS INTEGER) AS chunk_index, cs[i] AS content FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM packed)""")
 def chunk_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs packed up to 2 000 bytes; the documents have no headings."""
     return ingest.chunk(_paragraphed(spark, d), 2000)
 
 
-@query()
+_SECTIONS = r"""WITH raw AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+lines AS (SELECT doc_id, i, CASE WHEN i % 4 = 1 THEN '# ' || left(ls[i + 1], 20) WHEN i % 4 = 3 THEN '## ' || left(ls[i + 1], 20) ELSE ls[i + 1] END AS line FROM raw),
+marked AS (SELECT *, regexp_full_match(line, '#\s+[^\n]+') AS one, regexp_full_match(line, '##\s+[^\n]+') AS two, trim(regexp_replace(line, '^##?\s+', ''), {edge}) AS name FROM lines),
+numbered AS (SELECT *, sum(CASE WHEN one OR two THEN 1 ELSE 0 END) OVER w AS part, last_value(CASE WHEN one THEN name END IGNORE NULLS) OVER w AS h1 FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+parts AS (SELECT doc_id, part, max(CASE WHEN one OR h1 IS NULL THEN name ELSE h1 || ' / ' || name END) FILTER (one OR two) AS title,
+  coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (one OR two)), {edge}), '') AS content FROM numbered WHERE part > 0 GROUP BY doc_id, part),
+kept AS (SELECT doc_id, title, content, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS section FROM parts WHERE content <> ''),
+whole AS (SELECT doc_id, 'Imported Document' AS title, string_agg(line, chr(10) ORDER BY i) AS content, 0 AS section FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM kept) GROUP BY doc_id)
+SELECT '/in/' || doc_id || '.md' AS path, CAST(section AS INTEGER) AS section, 'imported' AS project_id, title, content, 'documentation' AS category, 'import' AS source, 'pending' AS status
+FROM (SELECT * FROM kept UNION ALL BY NAME SELECT * FROM whole)""".replace("{edge}", "' ' || chr(9) || chr(10) || chr(13) || chr(11)")
+
+
+@query(_SECTIONS)
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose lines alternate between headings and bodies."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("# "), F.substring(x, 1, 20))).when(i % 4 == 3, F.concat(F.lit("## "), F.substring(x, 1, 20))).otherwise(x))
@@ -603,9 +630,14 @@ def normalised_texts(spark: SparkSession, d: str) -> DataFrame:
     return m.table(spark, d, "documents").select("doc_id", tx.normalised(F.col("text")).alias("text"))
 
 
-@query()
+_QUOTED = """SELECT CAST(conv_id AS VARCHAR) AS session_id, trim(left(transcript, 40), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS title, trim(right(transcript, 200), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS content,
+'insight' AS category, 'classifying' AS status FROM ({transcripts})"""
+
+
+@query(_QUOTED.format(transcripts=ORACLES["transcripts"]))
 def condensed_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations condensed by a stand-in extractor that quotes the session's end."""
+    """Conversations condensed by a stand-in extractor that quotes the session's end; no quote is
+    near any of the given vectors, so that all are kept."""
     t = transcripts(spark, d).select(F.col("conv_id").cast("string").alias("session_id"), F.lit("src0").alias("project_id"), "transcript")
     quote = lambda c: F.to_json(F.array(F.struct(F.substring(c, 1, 40).alias("title"), F.expr("right(transcript, 200)").alias("content"))))
     kept, _ = ingest.condense(t, quote, hashing_embedder(64), m.chunks(spark, d), Settings())
@@ -660,3 +692,93 @@ def importance_report(spark: SparkSession, d: str) -> DataFrame:
     c = _candidates(spark, d).join(m.entries(spark, d).select("id", "status"), "id")
     keep, reject = (c.where(F.col("status") == s) for s in ("approved", "rejected"))
     return reports.importance_report(m.decisions(spark, d), m.entries(spark, d), F.lit(m.AS_OF).cast("timestamp"), keep, reject)[2]
+
+
+_EDGE = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
+
+
+@query(r"""SELECT page_id, CASE WHEN w = '' THEN 'project' ELSE w END AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
+translate(lower(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1)), '_', '-'), '[^a-z0-9\s-]', '', 'g'), '[\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS w FROM pages)""")
+def path_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs of page urls, as of folders."""
+    return m.table(spark, d, "pages").select("page_id", tx.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 AND lang IN ('en', 'fr') THEN lang || '-X' END AS code FROM documents")
+def language_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes in other writings against a catalogue that knows two of the languages."""
+    form = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("lang"), F.lit("_x"))).when(F.col("doc_id") % 3 == 1, F.concat("lang", F.lit("-X "))).otherwise(F.col("lang"))
+    return m.table(spark, d, "documents").select("doc_id", tx.language_code(form, ["en-X", "fr-X"]).alias("code"))
+
+
+@query("""SELECT p_partkey, list_filter(named, lambda x, i: list_position(named, x) = i) AS technologies, list_filter(items, lambda x: lower(trim(x)) NOT IN ('red', 'ring', 'economy')) AS unknown
+FROM (SELECT p_partkey, items, list_transform(items, lambda x: CASE WHEN lower(trim(x)) IN ('red', 'ring', 'economy') THEN lower(trim(x)) ELSE 'other' END) AS named
+FROM (SELECT p_partkey, list_filter(string_split(p_name || ' ' || p_type || ' ' || p_type, ' '), lambda x: x <> '') AS items FROM part))""")
+def technology_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Words of part names and types against a catalogue of three."""
+    t = tx.technologies(tx.strings_only(F.split(F.concat_ws(" ", "p_name", "p_type", "p_type"), " ")), ["red", "ring", "economy"])
+    return m.table(spark, d, "part").select("p_partkey", t.alias("t")).select("p_partkey", "t.technologies", "t.unknown")
+
+
+@query("""SELECT o_orderkey, 'order ' || o_orderkey AS subject, 'has' AS predicate, o_orderpriority || ':' || o_orderstatus AS object FROM orders""")
+def csv_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Lists with one whole triple, one with an empty part and empty items."""
+    text = F.concat(F.lit(" order "), "o_orderkey", F.lit(" : has :"), "o_orderpriority", F.lit(":"), "o_orderstatus", F.lit(",, a: :c ,"))
+    rows = m.table(spark, d, "orders").select("o_orderkey", F.explode(tx.triples(tx.csv_list(text))).alias("t"))
+    return rows.select("o_orderkey", "t.subject", "t.predicate", "t.object")
+
+
+@query(with_sql("entries", "SELECT id, lower(nfc_normalize(trim(title, " + _EDGE + "))) AS title FROM entries"))
+def nfc_titles(spark: SparkSession, d: str) -> DataFrame:
+    return m.entries(spark, d).select("id", tx.nfc_title()(F.col("title")).alias("title"))
+
+
+@query("SELECT project_id, name, bool_or(part = 1) AS created FROM (SELECT source AS project_id, unnest([lang, CAST(doc_id % 10 AS VARCHAR)]) AS name, unnest([0, 1]) AS part FROM documents) GROUP BY ALL")
+def created_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags for languages, known already, and for the last digits of ids, made anew."""
+    docs = m.table(spark, d, "documents").select(F.col("source").alias("project_id"), "lang", (F.col("doc_id") % 10).cast("string").alias("digit"))
+    known = docs.select("project_id", F.col("lang").alias("name")).distinct().withColumn("id", F.abs(F.crc32(F.concat("project_id", "name"))))
+    found = graph.find_or_create_tags(docs.select("project_id", F.explode(F.array("lang", "digit")).alias("name")), known)
+    old = known.select("project_id", "name", F.col("id").alias("old"))
+    return found.join(old, ["project_id", "name"], "left").select("project_id", "name", (~F.col("id").eqNullSafe(F.col("old"))).alias("created"))
+
+
+@query(with_sql("entries", "SELECT id, CASE WHEN source IN ('condense', 'mcp', 'cli') THEN 'classifying' ELSE 'pending' END AS shadow, 'pending' AS off FROM entries"))
+def ingestion_states(spark: SparkSession, d: str) -> DataFrame:
+    return m.entries(spark, d).select("id", rules.ingestion_status(F.col("source"), "shadow").alias("shadow"), rules.ingestion_status(F.col("source"), "off").alias("off"))
+
+
+@query(f"""WITH {_FLAGS} SELECT event_id, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS kept, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS skipped FROM flags""")
+def valid_items(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of three items, of which some have a blank or missing key."""
+    k = F.col("k")
+    item = lambda name: F.struct(name.alias("name"), F.lit("x").alias("value"))
+    items = F.array(item(F.lit("a")), item(F.lit(" ")), item(F.when(k % 2 == 0, k.cast("string"))))
+    found = _flags(spark, d).select("event_id", filters.valid_items(items, ["name", "value"]).alias("v"))
+    return found.select("event_id", F.size("v.items").alias("kept"), F.col("v.skipped").alias("skipped"))
+
+
+@query("""SELECT vec_id, CAST(len(v) AS INTEGER) AS size, round(v[1] / n, 6) AS first, round(list_sum(list_transform(v, lambda x: x / n * (x / n))), 6) AS length
+FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) WHERE n > 0""")
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    u = m.table(spark, d, "embeddings").select("vec_id", search.unit(F.col("embedding")).alias("u")).where("u IS NOT NULL")
+    return u.select("vec_id", F.size("u").alias("size"), F.round(F.col("u")[0], 6).alias("first"), F.round(search.dot(F.col("u"), F.col("u")), 6).alias("length"))
+
+
+@query(with_sql("entries decisions", "SELECT id, CASE WHEN id % 4 <> 0 THEN min(id) OVER (PARTITION BY id % 50) END AS importance_assessment_id FROM decisions"))
+def linked_assessments(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions linked to the least assessment of their identity; a quarter has none."""
+    rest = {"model": F.lit("m"), "prompt_version": F.lit("p"), "rules_version": F.lit("v6"), "project_id": F.lit("p0")}
+    dec = m.decisions(spark, d).select("id", F.concat(F.when(F.col("id") % 4 == 0, "none").otherwise("h"), F.col("id") % 50).alias("candidate_hash")).withColumns(rest)
+    a = m.decisions(spark, d).select("id", F.concat(F.lit("h"), F.col("id") % 50).alias("candidate_hash")).withColumns(rest)
+    return cl.link_assessments(dec, a).select("id", "importance_assessment_id")
+
+
+_FENCED = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text, {e}) ELSE '```json' || chr(10) || text || chr(10) || '```' || ' end' END AS text FROM conversations""".format(e=_EDGE)
+
+
+@query(_FENCED)
+def unfenced_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as fenced replies; those with words after the fence stay as they are."""
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"), F.when(F.col("turn") % 2 == 0, "\n").otherwise(" end"))
+    return m.table(spark, d, "conversations").select("conv_id", "turn", replies.unfenced(fenced).alias("text"))
