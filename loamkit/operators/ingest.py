@@ -15,7 +15,7 @@ from loamkit.operators.graph import find_or_create_entities, find_or_create_tags
 from loamkit.operators.search import near_duplicates
 from loamkit.schemas import Settings
 from loamkit.sources.legacy import with_ids
-from loamkit.sources.tables import replace_chunks
+from loamkit.sources.tables import purge_chunks, replace_chunks
 
 
 def chunk(entries: DataFrame, max_bytes: int = 0) -> DataFrame:
@@ -44,28 +44,37 @@ def reindex(entries: DataFrame, chunks: DataFrame, embed: Callable[[Column], Col
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def import_documents(documents: DataFrame, project: str, category: str = "documentation") -> DataFrame:
-    """OP-8: one entry per markdown section or text file; pending and never classified."""
+def after_review(entries: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], max_bytes: int = 0) -> DataFrame:
+    """OP-16: chunks once reviewed entries have their new status: those of rejected entries are
+    purged, and approved entries that have none are indexed."""
+    kept = purge_chunks(chunks, entries)
+    due = entries.where("status = 'approved'").join(kept.select(F.col("entry_id").alias("id")), "id", "left_anti")
+    return index(due, kept, embed, max_bytes=max_bytes)
+
+
+def import_documents(documents: DataFrame, project: str, category: str = "documentation", tags: tuple[str, ...] = ()) -> DataFrame:
+    """OP-8: one entry per markdown section or text file, with the tags; pending, never classified."""
     name = F.regexp_extract("path", "([^/]*)\\z", 1)
     whole = F.array(F.struct(name.alias("title"), F.col("content").alias("content")))
     parts = F.when(F.col("extension") == "md", tx.sections(F.col("content"))).otherwise(whole)
     rows = documents.select("path", F.posexplode(parts).alias("section", "s"))
-    return rows.select("path", "section", F.lit(project).alias("project_id"), F.col("s.title").alias("title"), F.col("s.content").alias("content"), F.lit(category).alias("category"), F.lit("import").alias("source"), F.lit("pending").alias("status"))
+    return rows.select("path", "section", F.lit(project).alias("project_id"), F.col("s.title").alias("title"), F.col("s.content").alias("content"), F.lit(category).alias("category"), F.lit("import").alias("source"), F.lit("pending").alias("status"), F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"))
 
 
 def condense(transcripts: DataFrame, extract: Callable[[Column], Column], embed: Callable[[Column], Column], chunks: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """OP-9: (candidates that are no duplicates, runs).
 
     ``transcripts`` has (session_id, project_id, transcript); ``extract`` gives a model's raw
-    reply. A run is done if it made an entry, else skipped."""
-    said = transcripts.select("session_id", "project_id", F.posexplode(parse_candidates(extract(F.col("transcript")))).alias("n", "c"))
+    reply. A run is failed without a reply, done if it made an entry, else skipped."""
+    heard = transcripts.withColumn("_reply", extract(F.col("transcript")))
+    said = heard.select("session_id", "project_id", F.posexplode(parse_candidates(F.col("_reply"))).alias("n", "c"))
     found = said.select(F.concat_ws("#", "session_id", "n").alias("query_id"), "session_id", "project_id", "c.*")
     vectors = found.select("query_id", "project_id", embed(F.concat_ws("\n", "title", "content")).alias("embedding"))
     fresh = near_duplicates(vectors, chunks, settings.dedup_score).where("NOT duplicate").select("query_id")
     kept = found.join(fresh, "query_id").withColumns({"source": F.lit("condense"), "status": ingestion_status(F.lit("condense"), settings.mode)})
     counts = kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("entries_created"))
-    runs = transcripts.select("session_id", "project_id").join(counts, "session_id", "left").withColumn("entries_created", F.coalesce("entries_created", F.lit(0)))
-    return kept, runs.withColumn("status", F.when(F.col("entries_created") > 0, "done").otherwise("skipped"))
+    runs = heard.select("session_id", "project_id", F.col("_reply").isNull().alias("_none")).join(counts, "session_id", "left").withColumn("entries_created", F.coalesce("entries_created", F.lit(0)))
+    return kept, runs.withColumn("status", F.when(F.col("_none"), "failed").when(F.col("entries_created") > 0, "done").otherwise("skipped")).drop("_none")
 
 
 def store_entries(candidates: DataFrame, kb: dict[str, DataFrame], mode: str) -> dict[str, DataFrame]:

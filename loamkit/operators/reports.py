@@ -114,7 +114,7 @@ GATES = [
 
 
 def readiness_gates(metrics: DataFrame, min_sample: int = 50, auto_threshold: int | None = 90) -> DataFrame:
-    """AGG-16: rows (project_id, gate, requirement, passes, ready) from one row of metrics per
+    """AGG-16: rows (project_id, gate, requirement, actual, passes, ready) from one row of metrics per
     project: reviewed, approved, approved_would_reject, would_reject, classified, stale,
     computable, false_approvals, must_keep_rejects, must_reject_eligible. The last two are null for
     an unreadable corpus, which never passes; a rate over nothing passes neither."""
@@ -130,9 +130,18 @@ def readiness_gates(metrics: DataFrame, min_sample: int = 50, auto_threshold: in
         "false_auto_approvals": off | ((F.col("computable") >= 10) & (F.col("false_approvals") == 0)),
         "must_reject": off | (F.col("must_reject_eligible") == 0),
     }
-    rows = [F.struct(F.lit(g).alias("gate"), F.lit(need.format(min_sample=min_sample)).alias("requirement"), F.coalesce(passes[g], F.lit(False)).alias("passes")) for g, need in GATES]
+    actual = {
+        "sample": F.col("reviewed"),
+        "must_keep": F.col("must_keep_rejects"),
+        "false_rejects": F.try_divide(F.col("approved_would_reject"), F.col("approved")),
+        "reduction": F.try_divide(F.col("would_reject"), F.col("classified")),
+        "stale": F.col("stale"),
+        "false_auto_approvals": F.col("false_approvals"),
+        "must_reject": F.col("must_reject_eligible"),
+    }
+    rows = [F.struct(F.lit(g).alias("gate"), F.lit(need.format(min_sample=min_sample)).alias("requirement"), F.round(actual[g].cast("double"), 6).alias("actual"), F.coalesce(passes[g], F.lit(False)).alias("passes")) for g, need in GATES]
     listed = metrics.withColumn("gates", F.array(*rows))
-    return listed.select("project_id", F.forall("gates", lambda x: x["passes"]).alias("ready"), F.explode("gates").alias("g")).select("project_id", "g.gate", "g.requirement", "g.passes", "ready")
+    return listed.select("project_id", F.forall("gates", lambda x: x["passes"]).alias("ready"), F.explode("gates").alias("g")).select("project_id", "g.gate", "g.requirement", "g.actual", "g.passes", "ready")
 
 
 def digest(entries: DataFrame, entry_tags: DataFrame | None = None, n: int = 20) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamkit.functions.vectors import dot, norm
+from loamkit.operators.filters import entry_filter, given
 
 #: Query vectors that are sent to the chunks at once, as one matrix; more go in blocks.
 QUERY_BLOCK = 2_048
@@ -137,9 +138,11 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
     return both.select("query_id", "entry_id", (term("vrank") + term("krank")).alias("fusion"), matched.alias("matched_by"), F.coalesce("vrank", F.col("krank") + 1_000_000_000).alias("iter_order"), "chunk_index")
 
 
-def expand_graph(fused: DataFrame, entry_entities: DataFrame, relations: DataFrame, weight: float = 0.3) -> DataFrame:
+def expand_graph(fused: DataFrame, entry_entities: DataFrame, relations: DataFrame, weight: float = 0.3, project: str | None = None) -> DataFrame:
     """OP-4: fused entries and those one directed relation away, scored by the first parent in
-    walking order; entries already found keep their own score."""
+    walking order; entries already found keep their own score. A project keeps to its relations."""
+    if given(project):
+        relations = relations.where(F.col("project_id") == project)
     subject = entry_entities.select("entry_id", F.col("entity_id").alias("subject_id"))
     target = entry_entities.select(F.col("entry_id").alias("to_entry"), F.col("entity_id").alias("object_id"))
     steps = fused.join(subject, "entry_id").join(relations.select("subject_id", "object_id"), "subject_id").join(target, "object_id")
@@ -171,12 +174,16 @@ def result_line(position: str = "position") -> Column:
     return F.concat(F.format_string("[%d] %s (%s)", F.col(position), F.col("title"), F.col("category")), tag_text, F.lit(" ["), F.array_join("matched_by", "+"), F.format_string("] (%.4f)", F.col("fusion")))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, index: DataFrame, n_entries: Column | float, avg_len: Column | float, entry_entities: DataFrame, relations: DataFrame, entry_tags: DataFrame | None = None, k: int = 20, min_score: float = 0.30, limit: int = 10) -> DataFrame:
-    """OP-5: all of it; ``entries`` holds every status, the arms search approved ones."""
-    approved = entries.where("status = 'approved'")
-    vector = vector_search(queries, chunks, approved, k, min_score)
-    keyword = keyword_search(queries, index.join(approved.select(F.col("id").alias("entry_id")), "entry_id", "left_semi"), n_entries, avg_len, k)
-    return hydrate(limited(expand_graph(fuse(vector, keyword), entry_entities, relations), limit), entries, entry_tags)
+def hybrid_search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, index: DataFrame, n_entries: Column | float, avg_len: Column | float, entry_entities: DataFrame, relations: DataFrame, entry_tags: DataFrame | None = None, k: int = 20, min_score: float = 0.30, limit: int = 10, project: str | None = None, category: str | None = None) -> DataFrame:
+    """OP-5: all of it, for ``queries`` (query_id, embedding, terms), of which either may be null.
+
+    ``entries`` holds every status; the arms search approved ones of the project and category, with
+    the statistics of the whole index."""
+    wanted = entry_filter(entries, project, category, "approved")
+    vector = vector_search(queries.where("embedding IS NOT NULL"), chunks, wanted, k, min_score)
+    scored = keyword_search(queries.where("terms IS NOT NULL"), index, n_entries, avg_len, None).drop("rank")
+    keyword = ranked(scored.join(wanted.select(F.col("id").alias("entry_id")), "entry_id", "left_semi"), [F.desc("score"), F.asc("entry_id")], k)
+    return hydrate(limited(expand_graph(fuse(vector, keyword), entry_entities, relations, project=project), limit), entries, entry_tags)
 
 
 def near_duplicates(candidates: DataFrame, chunks: DataFrame, threshold: float = 0.85, block: int = QUERY_BLOCK) -> DataFrame:

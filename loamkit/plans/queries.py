@@ -83,6 +83,12 @@ def _keyword(spark: SparkSession, d: str, approved: bool) -> DataFrame:
     return search.ranked(ranked.drop("rank").join(ok, "entry_id", "left_semi"), [F.desc("score"), F.asc("entry_id")], 20)
 
 
+def _hybrid(spark: SparkSession, d: str, relations: DataFrame, **only: str) -> DataFrame:
+    """Hybrid search for vectors and benchmark items of one number."""
+    queries = m.vector_queries(spark, d).join(m.text_queries(spark, d), "query_id", "full_outer")
+    return search.hybrid_search(queries, m.chunks(spark, d), m.entries(spark, d), *_index(spark, d), m.entry_entities(spark, d), relations, m.entry_tags(spark, d), **only)
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     return search.fuse(_vector(spark, d), _keyword(spark, d, True))
 
@@ -125,11 +131,31 @@ FROM top t JOIN entries e ON e.id = t.entry_id WHERE e.status = 'approved'""",
     )
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    out = search.limited(search.expand_graph(_fused(spark, d), m.entry_entities(spark, d), m.relations(spark, d)))
-    out = search.hydrate(out, m.entries(spark, d), m.entry_tags(spark, d))
+    out = _hybrid(spark, d, m.relations(spark, d))
     return out.select("query_id", "entry_id", "rank", "title", "category", F.round("fusion", 12).alias("fusion"), "matched_by", "tags")
 
 
+def _narrowed(sql: str) -> str:
+    return sql.replace("status = 'approved'", "status = 'approved' AND project_id = 'src1' AND category = 'insight'")
+
+
+@query(
+    with_sql(
+        "entries chunks vq postings tq relations entry_entities entry_tags",
+        f""", {_narrowed(_SIM)}, {_narrowed(_KEY_OK)}, {_FUSED}, {_EXPANDED.replace("r.subject_id = e1.entity_id", "r.subject_id = e1.entity_id AND r.predicate = 'in'")},
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fusion, 12) DESC, entry_id) AS position FROM expanded) WHERE position <= 10)
+SELECT query_id, entry_id, '[' || position || '] ' || title || ' (' || category || ') [' || (SELECT string_agg(DISTINCT name, ', ' ORDER BY name) FROM entry_tags g WHERE g.entry_id = t.entry_id)
+  || '] [' || array_to_string(matched_by, '+') || '] (' || printf('%.4f', fusion) || ')' AS line
+FROM top t JOIN entries e ON e.id = t.entry_id WHERE e.status = 'approved'""",
+    )
+)
+def hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The insights of one project, which holds the relations to nations and regions, as lines."""
+    relations = m.relations(spark, d).withColumn("project_id", F.when(F.col("predicate") == "in", "src1").otherwise("src0"))
+    out = _hybrid(spark, d, relations, project="src1", category="insight").withColumn("position", F.col("rank") + 1)
+    return out.select("query_id", "entry_id", search.result_line().alias("line"))
+
+
 _WORD = r"[^\p{L}\p{N}]"
 _SNIPPET = rf""", {_KEY_OK}, asked AS (SELECT query_id, list(term) AS ts FROM tq GROUP BY query_id),
 found AS (SELECT k.query_id, k.entry_id, '[' || (rank + 1) || '] ' || title || ' (' || category || ')' AS line, content, ts,
@@ -318,10 +344,11 @@ def stale_classifying(spark: SparkSession, d: str) -> DataFrame:
         "entries decisions",
         f""", x AS ({_CROSS}), f AS ({_FALSE}), s AS (SELECT project_id, count(*) FILTER (status = 'classifying' AND updated_at < TIMESTAMP '{m.AS_OF}' - INTERVAL 15 MINUTE) AS stale FROM entries GROUP BY 1),
 g AS (SELECT x.project_id, [reviewed >= 50, true, approved > 0 AND approved_would_reject / approved <= 0.05, would_reject / classified >= 0.3, stale = 0,
-  coalesce(computable, 0) >= 10 AND coalesce(false_approvals, 0) = 0, false] AS p FROM x JOIN s USING (project_id) LEFT JOIN f USING (project_id)),
+  coalesce(computable, 0) >= 10 AND coalesce(false_approvals, 0) = 0, false] AS p,
+  [CAST(reviewed AS DOUBLE), 0, approved_would_reject / nullif(approved, 0), would_reject / nullif(classified, 0), stale, coalesce(false_approvals, 0), NULL] AS a FROM x JOIN s USING (project_id) LEFT JOIN f USING (project_id)),
 n AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS i)
 SELECT project_id, ['sample', 'must_keep', 'false_rejects', 'reduction', 'stale', 'false_auto_approvals', 'must_reject'][i] AS gate,
-  ['>= 50', '= 0', '<= 5.0%', '>= 30.0%', '= 0', '= 0 (of 10 rejections at least)', '= 0'][i] AS requirement, coalesce(p[i], false) AS passes, false AS ready FROM g, n""",
+  ['>= 50', '= 0', '<= 5.0%', '>= 30.0%', '= 0', '= 0 (of 10 rejections at least)', '= 0'][i] AS requirement, round(a[i], 6) AS actual, coalesce(p[i], false) AS passes, false AS ready FROM g, n""",
     )
 )
 def readiness_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -408,7 +435,7 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose lines alternate between headings and bodies."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("# "), F.substring(x, 1, 20))).when(i % 4 == 3, F.concat(F.lit("## "), F.substring(x, 1, 20))).otherwise(x))
     rows = m.table(spark, d, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.lit("md").alias("extension"), F.array_join(lines, "\n").alias("content"))
-    return ingest.import_documents(rows, "imported")
+    return ingest.import_documents(rows, "imported").drop("tags")
 
 
 @query("""SELECT conv_id, right(string_agg(upper(role) || ': ' || text, chr(10) || chr(10) ORDER BY turn), 24000) AS transcript
@@ -782,3 +809,14 @@ def unfenced_replies(spark: SparkSession, d: str) -> DataFrame:
     """Turns as fenced replies; those with words after the fence stay as they are."""
     fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"), F.when(F.col("turn") % 2 == 0, "\n").otherwise(" end"))
     return m.table(spark, d, "conversations").select("conv_id", "turn", replies.unfenced(fenced).alias("text"))
+
+
+@query(with_sql("entries chunks", """, now AS (SELECT id, content, CASE WHEN id % 4 = 0 AND status <> 'classifying' THEN 'rejected' ELSE status END AS status FROM entries)
+SELECT entry_id, chunk_index FROM chunks WHERE entry_id NOT IN (SELECT id FROM now WHERE status = 'rejected')
+UNION ALL SELECT id, 0 FROM now WHERE status = 'approved' AND content <> '' AND id NOT IN (SELECT entry_id FROM chunks)"""))
+def review_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth entry rejected: its chunks go; approved entries without chunks get one, as
+    lines are joined here."""
+    e = m.entries(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit(" ")))
+    reviewed, _ = filters.review(e, e.where("id % 4 = 0").select("id"), False)
+    return ingest.after_review(reviewed, m.chunks(spark, d), hashing_embedder(16)).select("entry_id", "chunk_index")

@@ -143,3 +143,10 @@ def test_content_is_told_by_its_json_type(spark):
     assert [(r.role, r.text) for r in got] == [("user", "[INFO] up"), ("assistant", "yes")]
     r = spark.range(1).select(tx.metadata_split(F.lit('{"a":"[x","b":[1],"c":{"d":1},"e":3,"f":null}')).alias("s")).first().s
     assert r.editable == {"a": "[x", "e": "3", "f": None} and r.machine == {"b": "[1]", "c": '{"d":1}'}
+
+
+def test_session_without_reply_fails(spark):
+    said = spark.createDataFrame([("a", "p", '[{"title": "T", "content": "C"}]'), ("b", "p", "[]"), ("c", "p", None)], "session_id string, project_id string, transcript string")
+    have = spark.createDataFrame([], "project_id string, entry_id long, chunk_index int, embedding array<double>")
+    _, runs = ingest.condense(said, lambda c: c, lambda c: F.array(F.lit(1.0), F.lit(0.5)), have, Settings())
+    assert {r.session_id: (r.status, r.entries_created) for r in runs.collect()} == {"a": ("done", 1), "b": ("skipped", 0), "c": ("failed", 0)}
