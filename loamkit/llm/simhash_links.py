@@ -199,7 +199,7 @@ def _band_masks(width: int, bands: int, tables: int) -> np.ndarray:
     return masks
 
 
-def cells(nodes: DataFrame, masks: np.ndarray, words: int = SEEN) -> DataFrame:
+def cells(nodes: DataFrame, masks: np.ndarray, words: int) -> DataFrame:
     """(key, g, crowd, w0, w1, ...): a row for each band of each of nodes (g, crowd, fps), keyed by
     the band and the counts of its segments, with the first ``words`` fingerprints."""
 
@@ -220,27 +220,27 @@ def cells(nodes: DataFrame, masks: np.ndarray, words: int = SEEN) -> DataFrame:
     return nodes.select("g", "crowd", "fps").mapInArrow(run, "key long, g long, crowd long, " + ", ".join(f"{n} long" for n in _seen(words)))
 
 
-def _seen(words: int = SEEN) -> list[str]:
+def _seen(words: int) -> list[str]:
     return [f"w{t}" for t in range(words)]
 
 
-def _bits(words: int = SEEN) -> list[Column]:
+def _bits(words: int) -> list[Column]:
     """Aggregates: the bits that all texts of a class have set, and those that any has."""
     return [f(w).alias(w + x) for f, x in ((F.bit_and, "all"), (F.bit_or, "any")) for w in _seen(words)]
 
 
-def _least_distance(words: int = SEEN) -> Column:
+def _least_distance(words: int) -> Column:
     """The least in which two texts of two classes can differ: the bits that all of one class have
     and none of the other. For classes of one text this is their distance."""
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
     return sum((apart(w + "alla", w + "anyb") + apart(w + "allb", w + "anya") for w in _seen(words)), F.lit(0))
 
 
-def _classes_may_be_near(single: Column) -> Column:
+def _classes_may_be_near(single: Column, words: int) -> Column:
     """The Manhattan distance of the first embedding, where both classes are of one text, and the
     least distance of the fingerprints that travel along."""
     bound = _manhattan(F.col("w0alla"), F.col("w0allb")) <= int(FIRST_RATE * 64)
-    return (_least_distance() <= int(SEEN_RATE * 64 * SEEN)) & (bound | ~single)
+    return (_least_distance(words) <= int(SEEN_RATE * 64 * words)) & (bound | ~single)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rate: float = NEAR_RATE, uid_col: str | None = None) -> DataFrame:
@@ -258,7 +258,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialize(rows.groupBy("g").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")), "sg-nodes")
     low = F.lit((1 << 32) - 1)
     halves = F.flatten(F.transform("fps", lambda x: F.array(x.bitwiseAND(low), F.shiftrightunsigned(x, 32))))
-    most = int(rate * 64 * tables)
+    most, carried = int(rate * 64 * tables), min(SEEN, tables)
     a, b = nodes.select(F.col("g").alias("a"), F.col("fps").alias("x")), nodes.select(F.col("g").alias("b"), F.col("fps").alias("y"))
 
     def joined(pairs: DataFrame) -> DataFrame:
@@ -283,16 +283,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     masks = _band_masks(*band_shape(placed.count()), tables)
     # only crowds of several texts have classes to gather; a text of its own is one as it is
     large = sized(materialize(crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("crowd"), "sg-large"))
-    alone = cells(placed.join(large, "crowd", "left_anti"), masks)
-    alone = alone.select("key", "crowd", F.col("g").alias("pick"), F.lit(1).cast("long").alias("n"), *[F.col(w).alias(w + x) for x in ("all", "any") for w in _seen()])
-    gathered = cells(placed.join(large, "crowd", "left_semi"), masks).groupBy("key", "crowd")
-    gathered = gathered.agg(F.min("g").alias("pick"), F.count(F.lit(1)).alias("n"), *_bits())
+    alone = cells(placed.join(large, "crowd", "left_anti"), masks, carried)
+    alone = alone.select("key", "crowd", F.col("g").alias("pick"), F.lit(1).cast("long").alias("n"), *[F.col(w).alias(w + x) for x in ("all", "any") for w in _seen(carried)])
+    gathered = cells(placed.join(large, "crowd", "left_semi"), masks, carried).groupBy("key", "crowd")
+    gathered = gathered.agg(F.min("g").alias("pick"), F.count(F.lit(1)).alias("n"), *_bits(carried))
     classes = alone.unionByName(gathered).repartition("key")  # both sides of the join read this one shuffle
-    words = [w + x for x in ("all", "any") for w in _seen()]
+    words = [w + x for x in ("all", "any") for w in _seen(carried)]
     left = classes.select(F.col("key").alias("key"), F.col("crowd").alias("ca"), F.col("pick").alias("a"), F.col("n").alias("na"), *[F.col(w).alias(w + "a") for w in words])
     right = classes.select(F.col("key").alias("kb"), F.col("crowd").alias("cb"), F.col("pick").alias("b"), F.col("n").alias("nb"), *[F.col(w).alias(w + "b") for w in words])
     single = (F.col("na") == 1) & (F.col("nb") == 1)
-    pairs = left.join(right, (F.col("key") == F.col("kb")) & (F.col("ca") < F.col("cb")) & _classes_may_be_near(single))
+    pairs = left.join(right, (F.col("key") == F.col("kb")) & (F.col("ca") < F.col("cb")) & _classes_may_be_near(single, carried))
     pairs = materialize(pairs.select("key", "a", "b", "ca", "cb", single.alias("single")), "sg-links")
     # one pair of each two crowds first
     one = F.struct("a", "b")
