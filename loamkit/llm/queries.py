@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamkit.llm import bloom_cascade, decontaminate, exact_dedup, html_crf, pfair_mix, quality_bayes, secret_scan, simhash_links, suffix_dedup, warc_audit
+from loamkit.llm import bloom_cascade, chebyshev_whiten, decontaminate, exact_dedup, html_crf, partition_join, pfair_mix, quality_bayes, secret_scan, simhash_links, square_catchers, suffix_dedup, warc_audit
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -126,8 +126,37 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, after a tail of words has been repeated in those whose id's
+    checksum ends in 0."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    planted = docs.withColumns({"ws": words, "g": F.floor(F.col("h") / 10)}).withColumn("n", F.size("ws"))
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    planted = planted.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("ws", lambda w, i: F.get("ws", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    found = square_catchers.periodic_runs(planted.select("doc_id", F.coalesce(F.when(F.col("n") > 0, F.array_join(again, " ")), "text").alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    length, start, period = F.col("best.length"), -F.col("best.start"), -F.col("best.period")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
+    return partition_join.similar_sets(_read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    return chebyshev_whiten.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_fixity, op2_suffix_dedup, op3_html_crf, op4_pfair_mix, op5_quality_bayes, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_simhash_links, op10_exact_dedup)
+    found = (op1_warc_fixity, op2_suffix_dedup, op3_html_crf, op4_pfair_mix, op5_quality_bayes, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_simhash_links, op10_exact_dedup, op11_periodic_runs, op12_jaccard_join, op13_whitening)
     return {f.__name__: f for f in found}
 
 
