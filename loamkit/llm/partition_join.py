@@ -15,10 +15,11 @@ over all sets. Where that would still give a set more than BUDGET candidates, it
 share these subsets are laid out again with their one-deletion neighbourhoods, and allowances of 1
 on cheap segments take the place of dear ones. Candidates are verified on the whole sets.
 
-A crowd of near copies is first drawn together by few links: each set is compared with the set that
-shares most with all others, twice. Candidates are then sought between different crowds only, and of
-two crowds one pair is compared before the others. Links within a crowd do not change components, so
-none that counts is lost.
+A crowd of near copies is first drawn together by few links: by the FEW subsets of least hash that
+a set has, it is compared with the set that shares most with all others, twice. Subsets that only one
+crowd has are then of no further use, and candidates are sought between different crowds only; of two
+crowds one pair is compared before the others. Links within a crowd do not change components, so none
+that counts is lost.
 
 Equal sets are one node. A shingle is held by 64 bits and a set by 128: different ones that agree
 would count as equal, at a chance of about 2^-64 for a pair of shingles.
@@ -51,6 +52,8 @@ WORDS, PERCENT = 5, 80
 SLACK, VISITOR_SLACK = 0.2, 0.1
 #: Candidates that a set may have before its allowances are chosen anew.
 BUDGET = 32
+#: Subsets of a band by which crowds are drawn together, and rounds of that.
+FEW, ROUNDS = 4, 2
 #: Bytes of texts in a batch, as a batch gives several times its bytes.
 SMALL_BATCH = 8 << 20
 SIDE, SPARE = 1, 27  # bits of a row's meta below the set's size
@@ -119,47 +122,59 @@ def _next_band(low: int, percent: int) -> int:
     return 100 * low // percent + 1
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, n, g1, g2, text): every row with the size and a hash of its set."""
+def _placed(tokens: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(side, spare, keys): the subsets of all segments of a set's own band, and of the next band as
+    many of the fullest as it may need; spare are those beyond its need."""
+    n = len(tokens)
+    low, own, following, h_own, h_next = layout(n, percent)
+    for side, band, segments, h in ((0, low, own, h_own), (1, _next_band(low, percent), following, h_next)):
+        if h or not side and band < _next_band(low, percent) - 1:  # a band of one size has no links of its own
+            number, content, _, _ = _laid(tokens, band, segments)
+            chosen = np.arange(segments)
+            if side:
+                wanted = min(segments, h + 3 + int(h * VISITOR_SLACK))
+                chosen = np.sort(np.argpartition(-number, wanted - 1)[:wanted])
+            yield side, len(chosen) - (h + 1) if h else len(chosen), _key(band, chosen, content[chosen])
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(uid, doc_id, n, g1, g2, own, next, text): every row with the size and a hash of its set, and
+    its subsets of least hash."""
+    lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingles(batch.column(2))
+            few: tuple[list[list[int]], list[list[int]]] = ([], [])
+            for tokens in sets:
+                least = {side: np.sort(keys)[:FEW].tolist() for side, _, keys in _placed(tokens, percent)} if len(tokens) else {}
+                for side in (0, 1):
+                    few[side].append(least.get(side, []))
             with np.errstate(over="ignore"):
                 sums = [pa.array(np.array([_mixed(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for salt in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *sums, batch.column(2)], names=["uid", "doc_id", "n", "g1", "g2", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *sums, *(pa.array(x, lists) for x in few), batch.column(2)], names=["uid", "doc_id", "n", "g1", "g2", "own", "next", "text"])
 
     small_batches(docs.sparkSession, size=SMALL_BATCH)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "uid long, doc_id long, n long, g1 long, g2 long, text string")
+    return rows.mapInArrow(run, "uid long, doc_id long, n long, g1 long, g2 long, own array<long>, next array<long>, text string")
 
 
 def _subsets(texts: DataFrame, percent: int) -> DataFrame:
-    """(key, node, meta) of each of (node, text): the subsets of all segments of its own band, and of
-    the next band as many of the fullest as it may need."""
+    """(key, node, crowd, meta) of each of (node, crowd, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners, metas, many = [np.zeros(0, np.int64)], [], [], []
-            for i, tokens in enumerate(shingles(batch.column(1))):
-                n = len(tokens)
-                low, own, following, h_own, h_next = layout(n, percent)
-                for side, band, segments, h in ((0, low, own, h_own), (1, _next_band(low, percent), following, h_next)):
-                    if h or not side and band < _next_band(low, percent) - 1:  # a band of one size has no links of its own
-                        number, content, _, _ = _laid(tokens, band, segments)
-                        chosen = np.arange(segments)
-                        if side:
-                            wanted = min(segments, h + 3 + int(h * VISITOR_SLACK))
-                            chosen = np.sort(np.argpartition(-number, wanted - 1)[:wanted])
-                        spare = len(chosen) - (h + 1) if h else len(chosen)
-                        keys.append(_key(band, chosen, content[chosen]))
-                        owners.append(i)
-                        metas.append(n << SPARE + SIDE | spare << SIDE | side)
-                        many.append(len(chosen))
-            each = [np.repeat(np.array(x, np.int64), many) for x in (owners, metas)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(each[0])), pa.array(each[1])], names=["key", "node", "meta"])
-
-    return texts.select("node", "text").mapInArrow(run, "key long, node long, meta long")
+            for i, tokens in enumerate(shingles(batch.column(2))):
+                for side, spare, found in _placed(tokens, percent):
+                    keys.append(found)
+                    owners.append(i)
+                    metas.append(len(tokens) << SPARE + SIDE | spare << SIDE | side)
+                    many.append(len(found))
+            owner, meta = (pa.array(np.repeat(np.array(x, np.int64), many)) for x in (owners, metas))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(owner), batch.column(1).take(owner), meta], names=["key", "node", "crowd", "meta"])
+
+    return texts.select("node", "crowd", "text").mapInArrow(run, "key long, node long, crowd long, meta long")
 
 
 def _neighbourhoods(texts: DataFrame, percent: int) -> DataFrame:
@@ -218,45 +233,47 @@ def _moved(crowds: DataFrame, links: DataFrame) -> DataFrame:
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, budget: int = BUDGET) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links)."""
-    rows = materialize(_sets(docs, id_col, text_col), "pj-rows")
+    rows = materialize(_sets(docs, id_col, text_col, percent), "pj-rows")
     keys = ["n", "g1", "g2"]
     nodes = materialize(rows.where("n > 0").groupBy(*keys).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "pj-nodes")
     # the one text of every different set
-    texts = rows.select(F.col("uid").alias("node"), "text").join(sized(nodes.select("node")), "node", "left_semi")
-    size, side = F.shiftrightunsigned("meta", SPARE + SIDE), F.col("meta").bitwiseAND(F.lit(1))
-    spare = F.shiftrightunsigned("meta", SIDE).bitwiseAND(F.lit((1 << SPARE) - 1))
-
-    # subsets that several sets have; counts and rows read one shuffle
-    dealt = _subsets(texts, percent).repartition("key")
-    counts = dealt.groupBy("key").agg(F.sum(1 - side).alias("owners"), F.min("node").alias("low"), F.max("node").alias("high"))
-    counts = counts.where("owners > 0 AND low <> high").select("key", "owners")
-    shared = dealt.join(counts, "key").withColumn("cost", F.col("owners") - 1 + side)
-    shared = materialize(shared.select("key", "node", size.alias("n"), side.alias("side"), spare.alias("spare"), "cost"), "pj-shared")
-    # what a set must still choose, after those that it has alone
-    whole = Window.partitionBy("node")
-    wants = shared.withColumns({"need": F.count_if(F.col("cost") > 0).over(Window.partitionBy("node", "side")) - F.col("spare"), "weight": F.sum("cost").over(whole)})
-    shared = materialize(wants.withColumn("seeks", F.max("need").over(whole) > 0).drop("spare"), "pj-wants")
-    owned = shared.where("side = 0").select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
-
+    ours = rows.withColumnRenamed("uid", "node").join(sized(nodes.select("node")), "node", "left_semi")
+    texts = ours.select("node", "text")
+
+    # crowds, by few subsets of each set
+    entry = lambda name, side: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))
+    few = materialize(ours.select("node", "n", F.explode(F.concat(entry("own", 0), entry("next", 1))).alias("f")).select("node", "n", "f.*"), "pj-few")
+    few = few.join(few.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "key")
+    few = materialize(few.withColumn("weight", F.sum("held").over(Window.partitionBy("node"))).drop("held"), "pj-met")
     crowds = nodes.select("node", F.col("node").alias("crowd"))
-    for _ in range(2):
-        placed = shared.join(crowds, "node")
+    for _ in range(ROUNDS):
+        placed = few.join(sized(crowds), "node")
         centre = placed.where("side = 0").groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("b"), F.col("crowd").alias("cb"), F.col("n").alias("nb"))).alias("c")).select("key", "c.*")
-        stars = placed.drop("weight").where("seeks AND cost > 0").join(centre, "key").where((F.col("crowd") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent))
+        stars = placed.drop("weight").join(centre, "key").where((F.col("crowd") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent))
         stars = stars.groupBy("node", F.col("crowd").alias("ca")).agg(F.max(F.struct("weight", "b", "cb")).alias("s"))
         pairs = materialize(stars.select(F.col("node").alias("a"), "s.b", "ca", "s.cb"), "pj-stars")
         crowds = _moved(crowds, _linked(pairs, texts, percent))
 
-    # the cheapest subsets of each set, by how many sets of other crowds have them
-    placed = shared.join(crowds, "node")
-    by_crowd = placed.where("side = 0").groupBy("key", "crowd").agg(F.count(F.lit(1)).alias("mine"))
-    seeking = placed.where("need > 0 AND cost > 0").join(by_crowd, ["key", "crowd"], "left").withColumn("others", F.col("cost") + 1 - F.col("side") - F.coalesce("mine", F.lit(0)))
+    # all subsets; of use are those that several crowds have. Counts and rows read one shuffle
+    size, side = F.shiftrightunsigned("meta", SPARE + SIDE), F.col("meta").bitwiseAND(F.lit(1))
+    spare = F.shiftrightunsigned("meta", SIDE).bitwiseAND(F.lit((1 << SPARE) - 1))
+    dealt = _subsets(texts.join(sized(crowds), "node"), percent).repartition("key")
+    mixed = dealt.groupBy("key").agg(F.sum(1 - side).alias("owners"), F.min("crowd").alias("low"), F.max("crowd").alias("high"), F.max("node").alias("last"))
+    mixed = mixed.where("owners > 0 AND low <> high AND last IS NOT NULL").select("key", "owners")
+    shared = dealt.join(mixed, "key").select("key", "node", "crowd", size.alias("n"), side.alias("side"), spare.alias("spare"), "owners")
+    shared = materialize(shared, "pj-shared")
+
+    # the cheapest of them for each set, by how many sets of other crowds have them
+    whole = Window.partitionBy("node")
+    by_crowd = shared.where("side = 0").groupBy("key", "crowd").agg(F.count(F.lit(1)).alias("mine"))
+    seeking = shared.join(by_crowd, ["key", "crowd"], "left").withColumn("others", F.col("owners") - F.coalesce("mine", F.lit(0))).where("others > 0")
     cheapest = Window.partitionBy("node", "side").orderBy("others", "key")
-    chosen = seeking.withColumn("rank", F.row_number().over(cheapest)).where("rank <= need AND others > 0")
+    need = F.count(F.lit(1)).over(Window.partitionBy("node", "side")) - F.col("spare")
+    chosen = seeking.withColumns({"rank": F.row_number().over(cheapest), "need": need}).where("rank <= need")
     chosen = chosen.withColumn("hard", F.sum("others").over(whole) > budget)
     chosen = materialize(chosen.select("key", F.col("node").alias("a"), F.col("n").alias("na"), "side", F.col("crowd").alias("ca"), "hard"), "pj-chosen")
 
-    index = owned.join(crowds.select(F.col("node").alias("b"), F.col("crowd").alias("cb")), "b")
+    index = shared.where("side = 0").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("crowd").alias("cb"))
     larger = (F.col("side") == 1) | (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
     apart = (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent) & larger
     pairs = chosen.where("NOT hard").join(index, "key").where(apart).select("a", "b", "ca", "cb")
