@@ -11,8 +11,8 @@ subset; one-deletion neighbours by hashes of the subset less one shingle.
 
 The allowances go where they cost least. Subsets that no other set has are free. A set with more
 than H free ones has no candidate at all; others add their cheapest shared subsets. Costs are counts
-over all sets. Where that would still give a set more than BUDGET candidates, it and all sets that
-share these subsets are laid out again with their one-deletion neighbourhoods, and allowances of 1
+over all sets. Where a set would have to choose a subset that over BUDGET others have, it and all sets
+that share its chosen subsets are laid out again with their one-deletion neighbourhoods, and allowances of 1
 on cheap segments take the place of dear ones. Candidates are verified on the whole sets.
 
 A crowd of near copies is first drawn together by few links: by the FEW subsets of least hash that
@@ -50,7 +50,8 @@ WORDS, PERCENT = 5, 80
 #: Segments beyond those that similar sets may differ in, as a part of them; for the sets of a
 #: smaller band, which look into this one, subsets laid out beyond those they need.
 SLACK, VISITOR_SLACK = 0.2, 0.1
-#: Candidates that a set may have before its allowances are chosen anew.
+#: Sets of other crowds that may have a set's dearest chosen subset before its allowances are chosen
+#: anew.
 BUDGET = 32
 #: Subsets of a band by which crowds are drawn together, and rounds of that.
 FEW, ROUNDS = 4, 2
@@ -270,7 +271,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cheapest = Window.partitionBy("node", "side").orderBy("others", "key")
     need = F.count(F.lit(1)).over(Window.partitionBy("node", "side")) - F.col("spare")
     chosen = seeking.withColumns({"rank": F.row_number().over(cheapest), "need": need}).where("rank <= need")
-    chosen = chosen.withColumn("hard", F.sum("others").over(whole) > budget)
+    chosen = chosen.withColumn("hard", F.max("others").over(whole) > budget)
     chosen = materialize(chosen.select("key", F.col("node").alias("a"), F.col("n").alias("na"), "side", F.col("crowd").alias("ca"), "hard"), "pj-chosen")
 
     index = shared.where("side = 0").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("crowd").alias("cb"))
