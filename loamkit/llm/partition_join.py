@@ -18,7 +18,8 @@ on cheap segments take the place of dear ones. Candidates are verified on the wh
 A crowd of near copies is first drawn together by few links: by the FEW subsets of least hash that
 a set has, it is compared with the set that shares most with all others, twice. Subsets that only one
 crowd has are then of no further use, and candidates are sought between different crowds only; of two
-crowds one pair is compared before the others. Links within a crowd do not change components, so none
+crowds one pair is compared before the others. A pair is a candidate only if the parities of its sets'
+shingles over 64 PARITIES places differ in no more places than the sets may in shingles. Links within a crowd do not change components, so none
 that counts is lost.
 
 Equal sets are one node. A shingle is held by 64 bits and a set by 128: different ones that agree
@@ -54,7 +55,10 @@ SLACK, VISITOR_SLACK = 0.2, 0.1
 #: anew.
 BUDGET = 32
 #: Subsets of a band by which crowds are drawn together, and rounds of that.
-FEW, ROUNDS = 4, 2
+FEW, ROUNDS = 4, 3
+#: 64-bit words of the parities of a set's shingles by places: sets differ in at least as many shingles
+#: as their parities do in places.
+PARITIES = 8
 #: Bytes of texts in a batch, as a batch gives several times its bytes.
 SMALL_BATCH = 8 << 20
 SIDE, SPARE = 1, 27  # bits of a row's meta below the set's size
@@ -138,9 +142,22 @@ def _placed(tokens: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.nda
             yield side, len(chosen) - (h + 1) if h else len(chosen), _key(band, chosen, content[chosen])
 
 
+def _parities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """For each set the parity of its shingles over 64 PARITIES places, as columns of 64 bits."""
+    odd = np.zeros((len(sets), 64 * PARITIES), np.uint8)
+    for i, tokens in enumerate(sets):
+        odd[i] = np.bincount((_mixed(tokens, 3) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    words = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+    return [pa.array(words[:, j].copy()) for j in range(PARITIES)]
+
+
+def _names(prefix: str = "p") -> list[str]:
+    return [f"{prefix}{j}" for j in range(PARITIES)]
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(uid, doc_id, n, g1, g2, own, next, text): every row with the size and a hash of its set, and
-    its subsets of least hash."""
+    """(uid, doc_id, n, g1, g2, own, next, p0 and so on, text): every row with the size and a hash of
+    its set, its subsets of least hash and its parities."""
     lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +170,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFram
                     few[side].append(least.get(side, []))
             with np.errstate(over="ignore"):
                 sums = [pa.array(np.array([_mixed(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for salt in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *sums, *(pa.array(x, lists) for x in few), batch.column(2)], names=["uid", "doc_id", "n", "g1", "g2", "own", "next", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *sums, *(pa.array(x, lists) for x in few), *_parities(sets), batch.column(2)], names=["uid", "doc_id", "n", "g1", "g2", "own", "next", *_names(), "text"])
 
     small_batches(docs.sparkSession, size=SMALL_BATCH)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "uid long, doc_id long, n long, g1 long, g2 long, own array<long>, next array<long>, text string")
+    return rows.mapInArrow(run, "uid long, doc_id long, n long, g1 long, g2 long, own array<long>, next array<long>, " + ", ".join(f"{p} long" for p in _names()) + ", text string")
 
 
 def _subsets(texts: DataFrame, percent: int) -> DataFrame:
@@ -220,9 +237,17 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return found.mapInArrow(run, "a long, b long, ca long, cb long")
 
 
-def _fits(n: Column, m: Column, percent: int) -> Column:
-    """Whether sizes allow two sets to be similar."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _may_link(percent: int) -> Column:
+    """Whether sets of the sizes na and nb and the parities a0, b0 and so on may be similar."""
+    n, m = F.col("na"), F.col("nb")
+    differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(_names("a"), _names("b"))), F.lit(0))
+    most = n + m - 2 * F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= most)
+
+
+def _as(df: DataFrame, side: str) -> DataFrame:
+    """Columns node, crowd, n and the parities under their names for one side of a pair."""
+    return df.withColumnsRenamed({"node": side, "crowd": "c" + side, "n": "n" + side, **dict(zip(_names(), _names(side)))})
 
 
 def _moved(crowds: DataFrame, links: DataFrame) -> DataFrame:
@@ -236,7 +261,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links)."""
     rows = materialize(_sets(docs, id_col, text_col, percent), "pj-rows")
     keys = ["n", "g1", "g2"]
-    nodes = materialize(rows.where("n > 0").groupBy(*keys).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "pj-nodes")
+    nodes = rows.where("n > 0").groupBy(*keys).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in _names()])
+    nodes = materialize(nodes, "pj-nodes")
+    parities = sized(nodes.select("node", *_names()))
     # the one text of every different set
     ours = rows.withColumnRenamed("uid", "node").join(sized(nodes.select("node")), "node", "left_semi")
     texts = ours.select("node", "text")
@@ -245,14 +272,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entry = lambda name, side: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))
     few = materialize(ours.select("node", "n", F.explode(F.concat(entry("own", 0), entry("next", 1))).alias("f")).select("node", "n", "f.*"), "pj-few")
     few = few.join(few.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "key")
-    few = materialize(few.withColumn("weight", F.sum("held").over(Window.partitionBy("node"))).drop("held"), "pj-met")
+    few = few.withColumn("weight", F.sum("held").over(Window.partitionBy("node"))).drop("held")
+    few = materialize(few.join(parities, "node"), "pj-met")
     crowds = nodes.select("node", F.col("node").alias("crowd"))
     for _ in range(ROUNDS):
         placed = few.join(sized(crowds), "node")
-        centre = placed.where("side = 0").groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("b"), F.col("crowd").alias("cb"), F.col("n").alias("nb"))).alias("c")).select("key", "c.*")
-        stars = placed.drop("weight").join(centre, "key").where((F.col("crowd") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent))
-        stars = stars.groupBy("node", F.col("crowd").alias("ca")).agg(F.max(F.struct("weight", "b", "cb")).alias("s"))
-        pairs = materialize(stars.select(F.col("node").alias("a"), "s.b", "ca", "s.cb"), "pj-stars")
+        centre = placed.where("side = 0").groupBy("key").agg(F.max(F.struct("weight", "node", "crowd", "n", *_names())).alias("c")).select("key", "c.*")
+        stars = _as(placed.drop("weight", "side"), "a").join(_as(centre, "b"), "key").where((F.col("ca") != F.col("cb")) & _may_link(percent))
+        stars = stars.groupBy("a", "ca").agg(F.max(F.struct("weight", "b", "cb")).alias("s"))
+        pairs = materialize(stars.select("a", "s.b", "ca", "s.cb"), "pj-stars")
         crowds = _moved(crowds, _linked(pairs, texts, percent))
 
     # all subsets; of use are those that several crowds have. Counts and rows read one shuffle
@@ -272,17 +300,17 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     need = F.count(F.lit(1)).over(Window.partitionBy("node", "side")) - F.col("spare")
     chosen = seeking.withColumns({"rank": F.row_number().over(cheapest), "need": need}).where("rank <= need")
     chosen = chosen.withColumn("hard", F.max("others").over(whole) > budget)
-    chosen = materialize(chosen.select("key", F.col("node").alias("a"), F.col("n").alias("na"), "side", F.col("crowd").alias("ca"), "hard"), "pj-chosen")
+    chosen = materialize(chosen.select("key", "node", "crowd", "n", "side", "hard"), "pj-chosen")
 
-    index = shared.where("side = 0").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("crowd").alias("cb"))
+    index = shared.where("side = 0").select("key", "node", "crowd", "n")
     larger = (F.col("side") == 1) | (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
-    apart = (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent) & larger
-    pairs = chosen.where("NOT hard").join(index, "key").where(apart).select("a", "b", "ca", "cb")
+    apart = (F.col("ca") != F.col("cb")) & larger & _may_link(percent)
+    pairs = _as(chosen.where("NOT hard").join(parities, "node"), "a").join(_as(index.join(parities, "node"), "b"), "key").where(apart).select("a", "b", "ca", "cb")
 
     # sets with many candidates, and those that share their subsets, once more with neighbourhoods
     hard = chosen.where("hard")
-    named = hard.select("key", F.lit(None).cast("long").alias("node")).distinct().join(index.select("key", "b"), "key").select(F.col("b").alias("node"), F.lit(False).alias("hard"))
-    again = named.union(hard.select("a", "hard")).groupBy("node").agg(F.bool_or("hard").alias("hard"))
+    named = index.join(hard.select("key").distinct(), "key").select("node", F.lit(False).alias("hard"))
+    again = named.union(hard.select("node", "hard")).groupBy("node").agg(F.bool_or("hard").alias("hard"))
     again = materialize(again.join(crowds, "node"), "pj-again")
     near = materialize(_neighbourhoods(again.join(texts, "node"), percent), "pj-near")
     held = near.where("side = 0")
@@ -299,8 +327,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     granted = priced.withColumn("rank", F.row_number().over(order)).where("rank <= need").groupBy("node", "side", "segment").agg(F.max("step").alias("step"))
     looks = asked.where("as_is > 0 OR one_more > 0").join(granted, ["node", "side", "segment"]).where("NOT less OR step = 2")
     kinds = F.when(F.col("less") | (F.col("step") == 1), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    looks = looks.select("key", F.explode(kinds).alias("less"), F.col("node").alias("a"), F.col("crowd").alias("ca"), F.col("n").alias("na"), "side")
-    found = looks.join(held.select("key", "less", F.col("node").alias("b"), F.col("crowd").alias("cb"), F.col("n").alias("nb")), ["key", "less"]).where(apart)
+    looks = looks.select("key", F.explode(kinds).alias("less"), "node", "crowd", "n", "side").join(parities, "node")
+    found = _as(looks, "a").join(_as(held.select("key", "less", "node", "crowd", "n").join(parities, "node"), "b"), ["key", "less"]).where(apart)
     pairs = materialize(pairs.union(found.select("a", "b", "ca", "cb")).distinct(), "pj-pairs")
 
     # one pair of each two crowds, then the others of those that it has not joined
