@@ -53,7 +53,7 @@ WORDS, PERCENT = 5, 80
 SLACK, VISITOR_SLACK = 0.2, 0.1
 #: Sets of other crowds that may have a set's dearest chosen subset before its allowances are chosen
 #: anew.
-BUDGET = 32
+BUDGET = 128
 #: Subsets of a band by which crowds are drawn together, and rounds of that.
 FEW, ROUNDS = 4, 3
 #: 64-bit words of the parities of a set's shingles by places: sets differ in at least as many shingles
@@ -196,12 +196,12 @@ def _subsets(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _neighbourhoods(texts: DataFrame, percent: int) -> DataFrame:
-    """(key, node, crowd, n, side, segment, less, need) of each of (node, crowd, hard, text): all
+    """(key, node, crowd, n, side, segment, less, need, segments) of each of (node, crowd, hard, text): all
     subsets of its band, and with ``less`` those with one shingle less; for hard ones of the next
     band too. ``need`` is the allowance that is to be given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "crowd", "n", "side", "segment", "less", "need"]
+        names = ["key", "node", "crowd", "n", "side", "segment", "less", "need", "segments"]
         for batch in batches:
             hard = batch.column(2).to_pylist()
             for i, tokens in enumerate(shingles(batch.column(3))):
@@ -213,12 +213,12 @@ def _neighbourhoods(texts: DataFrame, percent: int) -> DataFrame:
                         where = np.concatenate([np.arange(segments), place])
                         what = np.concatenate([content, content[place] - value])
                         less = np.arange(len(where)) >= segments
-                        parts.append((_key(band, where, what), where, less, np.full(len(where), side), np.full(len(where), h + 1 if h else 0)))
-                key, where, less, side, need = (np.concatenate(x) for x in zip(*parts))
+                        parts.append((_key(band, where, what), where, less, np.full(len(where), side), np.full(len(where), h + 1 if h else 0), np.full(len(where), segments)))
+                key, where, less, side, need, of = (np.concatenate(x) for x in zip(*parts))
                 whole = [pa.array(np.full(len(key), x)) for x in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *whole, pa.array(side), pa.array(where), pa.array(less), pa.array(need)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *whole, pa.array(side), pa.array(where), pa.array(less), pa.array(need), pa.array(of)], names=names)
 
-    return texts.select("node", "crowd", "hard", "text").mapInArrow(run, "key long, node long, crowd long, n long, side long, segment long, less boolean, need long")
+    return texts.select("node", "crowd", "hard", "text").mapInArrow(run, "key long, node long, crowd long, n long, side long, segment long, less boolean, need long, segments long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -232,6 +232,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 alike.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(alike, pa.bool_()))
 
+    named = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pj-named")
+    texts = texts.join(sized(named), "node", "left_semi")  # only these are dealt out
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     found = pairs.select("a", "b", "ca", "cb").join(a, "a").join(b, "b").select("a", "b", "ca", "cb", "ta", "tb")
     return found.mapInArrow(run, "a long, b long, ca long, cb long")
@@ -266,7 +268,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parities = sized(nodes.select("node", *_names()))
     # the one text of every different set
     ours = rows.withColumnRenamed("uid", "node").join(sized(nodes.select("node")), "node", "left_semi")
-    texts = ours.select("node", "text")
+    texts = rows.select(F.col("uid").alias("node"), "text")
 
     # crowds, by few subsets of each set
     entry = lambda name, side: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))
@@ -315,12 +317,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = materialize(_neighbourhoods(again.join(texts, "node"), percent), "pj-near")
     held = near.where("side = 0")
     of_crowd = held.groupBy("key", "crowd").agg(F.count_if(~F.col("less")).alias("e"), F.count_if("less").alias("d"))
-    of_all = of_crowd.groupBy("key").agg(F.sum("e").alias("all_e"), F.sum("d").alias("all_d"))
-    asked = near.where("need > 0").join(again.where("hard").select("node"), "node", "left_semi")
-    asked = asked.join(of_all, "key", "left").join(of_crowd, ["key", "crowd"], "left")
-    rest = lambda x: F.coalesce(F.col(f"all_{x}") - F.coalesce(x, F.lit(0)), F.lit(0))
+    of_all = of_crowd.groupBy("key").agg(F.sum("e").alias("all_e"), F.sum("d").alias("all_d"), F.min("crowd").alias("low"), F.max("crowd").alias("high"))
+    asked = near.where("need > 0").join(sized(again.where("hard").select("node")), "node", "left_semi")
+    asked = asked.join(of_all.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & ((F.col("low") != F.col("crowd")) | (F.col("high") != F.col("crowd")))).drop("k", "low", "high")
+    asked = asked.join(of_crowd, ["key", "crowd"], "left")
+    rest = lambda x: F.col(f"all_{x}") - F.coalesce(x, F.lit(0))
     asked = asked.withColumns({"as_is": rest("e"), "one_more": rest("d")})
-    by_segment = asked.groupBy("node", "side", "segment", "need").agg(F.sum(F.when(~F.col("less"), F.col("as_is")).otherwise(0)).alias("zero"), F.sum(F.when(F.col("less"), F.col("as_is")).otherwise(F.col("one_more"))).alias("one"))
+    by_segment = asked.groupBy("node", "side", "segment", "need", "segments").agg(F.sum(F.when(~F.col("less"), F.col("as_is")).otherwise(0)).alias("zero"), F.sum(F.when(F.col("less"), F.col("as_is")).otherwise(F.col("one_more"))).alias("one"))
+    # segments that nobody else meets take an allowance of 1 for nothing
+    others = F.count(F.lit(1)).over(Window.partitionBy("node", "side"))
+    by_segment = by_segment.withColumn("need", F.col("need") - 2 * (F.col("segments") - others)).where("need > 0")
     steps = F.array(F.struct(F.lit(1).alias("step"), F.col("zero").alias("price")), F.struct(F.lit(2).alias("step"), F.greatest("zero", "one").alias("price")))
     priced = by_segment.select("node", "side", "segment", "need", F.explode(steps).alias("s")).select("node", "side", "segment", "need", "s.*")
     order = Window.partitionBy("node", "side").orderBy("price", "step", "segment")  # a second step never comes before its first
