@@ -78,36 +78,49 @@ def feed(spark, path, schema, slices):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
-def test_sessions_are_taken_once_over_restarts(spark, tmp_path):
-    """New objects take up from the folders; a session that comes twice in one batch counts once,
-    and a batch that runs again changes nothing."""
-    schema = T.StructType.fromDDL("session_id string, text string")
+def test_turns_are_taken_once_over_restarts(spark, tmp_path):
+    """New objects take up from the folders; the rest of a session that began in an earlier batch is
+    taken, turns that come again are not, in the same batch or a later one."""
+    schema = T.StructType.fromDDL("session_id string, turn int, text string")
     log = lambda: jobs.Log(spark, str(tmp_path / "log"), schema)
-    for rows in ([("a", "1"), ("a", "2"), ("a", "1"), ("a", "2")], [("b", "1"), ("a", "1")], [("a", "3"), ("c", "1")]):
+    for rows in ([("a", 1, "x"), ("a", 2, "y"), ("a", 1, "x")], [("b", 1, "z"), ("a", 1, "x")], [("a", 3, "w"), ("c", 1, "v"), ("b", 1, "z")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
         jobs.sessions_once(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), log(), str(tmp_path / "ckpt"))
-    want = [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")]
-    assert sorted(tuple(r) for r in log().read().collect()) == want
-    batch = spark.createDataFrame([("a", "3"), ("c", "1")], schema)
-    log().write(batch.join(log().read(2).select("session_id").distinct(), "session_id", "left_anti"), 2)
-    assert sorted(tuple(r) for r in log().read().collect()) == want
+    assert sorted(tuple(r) for r in log().read().collect()) == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "w"), ("b", 1, "z"), ("c", 1, "v")]
 
 
 def test_index_and_counters_follow_the_newest_state(spark, tmp_path):
+    """Entry 1 is edited, 2 rejected, 3 approved after being classified, 4 rejected and approved
+    again unchanged; old rows that come late, and repeated ones, do nothing."""
     from loamkit.functions.vectors import hashing_embedder
 
     schema = T.StructType.fromDDL("id long, project_id string, content string, status string, updated_at timestamp")
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
     chunks = lambda: jobs.Log(spark, f"{tmp_path}/chunks", T.StructType.fromDDL("entry_id long, project_id string, chunk_index int, content string, embedding array<float>"))
-    seen = lambda: jobs.Log(spark, f"{tmp_path}/seen", T.StructType.fromDDL("id long, content_hash string"))
-    states = lambda: jobs.Log(spark, f"{tmp_path}/states", T.StructType.fromDDL("id long, project_id string, status string"))
-    for rows in ([(1, "p", "one", "pending", at(0)), (2, "p", "two", "approved", at(0))], [(1, "p", "new one", "approved", at(1))], [(2, "p", "gone", "rejected", at(2)), (1, "p", "new one", "approved", at(3))]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+    changes = lambda: jobs.Log(spark, f"{tmp_path}/changes", T.StructType.fromDDL("id long, action string"))
+    moves = lambda: jobs.Log(spark, f"{tmp_path}/moves", T.StructType.fromDDL("project_id string, status string, n long"))
+    batches = [
+        [(1, "p", "one", "pending", at(0)), (2, "p", "two", "approved", at(0)), (3, "p", "three", "classifying", at(0)), (4, "p", "four", "approved", at(0))],
+        [(1, "p", "new one", "approved", at(1)), (3, "p", "three", "approved", at(1)), (4, "p", "four", "rejected", at(1)), (1, "p", "one", "pending", at(0))],
+        [(2, "p", "gone", "rejected", at(2)), (1, "p", "new one", "approved", at(3)), (4, "p", "four", "approved", at(2)), (3, "p", "late", "classifying", at(0))],
+        [(3, "p", "three", "classifying", at(5))],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        jobs.incremental_index(stream, chunks(), seen(), hashing_embedder(8), f"{tmp_path}/c1")
-        jobs.live_entries(stream.select("id", "project_id", "status"), states(), f"{tmp_path}/c2")
-    assert [(r.entry_id, r.content) for r in jobs.indexed(chunks(), seen()).collect()] == [(1, "new one")]
-    assert [(r.total, r.approved, r.rejected) for r in jobs.live_counts(states()).collect()] == [(2, 1, 1)]
+        if n < 3:
+            jobs.incremental_index(stream, chunks(), changes(), hashing_embedder(8), f"{tmp_path}/c1")
+        jobs.live_entries(stream, moves(), f"{tmp_path}/c2")
+        if n == 1:
+            assert sorted(r.entry_id for r in jobs.indexed(chunks(), changes()).collect()) == [1, 2, 3]
+            jobs.compact(chunks(), changes())
+            assert chunks().read().count() == 3
+    want = [(1, "new one"), (3, "three"), (4, "four")]
+    assert sorted((r.entry_id, r.content) for r in jobs.indexed(chunks(), changes()).collect()) == want
+    jobs.compact(chunks(), changes())
+    assert sorted((r.entry_id, r.content) for r in chunks().read().collect()) == want
+    # an approved entry is not classified again
+    assert [(r.total, r.approved, r.rejected, r.classifying) for r in jobs.live_counts(moves()).collect()] == [(4, 3, 1, 0)]
 
 
 def test_stream_classification_matches_batch(spark, sf, tmp_path):
