@@ -13,20 +13,44 @@ def explore(seeds: DataFrame, relations: DataFrame, depth: int = 1) -> tuple[Dat
     undirected steps of each seed's entity and the relations walked. ``seeds`` has (seed,
     entity_id).
 
-    Edges are made symmetric once, so every hop is an equi-join."""
+    Edges are made symmetric once and read as distinct (src, dst), so that parallel relations do not
+    multiply the frontier. A second step takes each distinct entity of the frontier once: its
+    neighbours are joined to the entity, and the seeds that stand there last. Hot entities are spread
+    over tasks, as neither join needs all rows of an entity together."""
     depth = max(1, min(2, depth))
     edges = relations.select("id", F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
     edges = edges.unionByName(relations.select("id", F.col("object_id").alias("src"), F.col("subject_id").alias("dst")))
-    seen = seeds.select("seed", "entity_id", F.lit(0).alias("hop"))
-    frontier, walked = seen, None
+    pairs = edges.select("src", "dst").where("src <> dst").distinct()
+    reached = seeds.select("seed", "entity_id", F.lit(0).alias("hop"))
+    standing = seeds.select("seed", F.col("entity_id").alias("src")).distinct()
+    walked = standing.join(edges, "src").select("seed", "id")
+    one = standing.join(pairs, "src").select("seed", F.col("dst").alias("entity_id")).distinct()
+    reached = reached.unionByName(one.withColumn("hop", F.lit(1)))
+    if depth == 2:
+        front = one.join(seeds.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumnRenamed("entity_id", "src")
+        near = pairs.join(front.select("src").distinct(), "src", "left_semi")
+        two = front.join(near, "src").select("seed", F.col("dst").alias("entity_id"))
+        reached = reached.unionByName(two.distinct().withColumn("hop", F.lit(2)))
+        walked = walked.union(front.join(edges, "src").select("seed", "id"))
+    return reached.groupBy("seed", "entity_id").agg(F.min("hop").alias("hop")), walked.distinct()
+
+
+def explore_once(seeds: DataFrame, relations: DataFrame, depth: int = 1) -> DataFrame:
+    """(entity_id, hop, from): the entities within ``depth`` steps of any seed, each once, with the
+    least number of steps and the least seed that is so near; for exploration of a whole selection.
+
+    The frontier is the set of distinct entities that no earlier step has reached, with one seed each:
+    a step writes a row an entity, however many seeds meet in a hub, and any depth will do."""
+    edges = relations.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
+    pairs = edges.union(edges.select("dst", "src")).where("src <> dst").distinct()
+    reached = seeds.groupBy("entity_id").agg(F.lit(0).alias("hop"), F.min("seed").alias("from"))
+    frontier = reached
     for hop in range(1, depth + 1):
-        steps = frontier.select("seed", F.col("entity_id").alias("src")).join(edges, "src")
-        used = steps.select("seed", "id")
-        walked = used if walked is None else walked.union(used)
-        fresh = steps.select("seed", F.col("dst").alias("entity_id")).distinct().join(seen.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti")
-        frontier = fresh.withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen, walked.distinct()
+        steps = pairs.join(frontier.select(F.col("entity_id").alias("src"), "from"), "src")
+        fresh = steps.groupBy(F.col("dst").alias("entity_id")).agg(F.min("from").alias("from"))
+        frontier = fresh.join(reached.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(hop).alias("hop"), "from")
+        reached = reached.unionByName(frontier)
+    return reached
 
 
 def named_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:

@@ -189,6 +189,23 @@ def graph_khop(spark: SparkSession, d: str) -> DataFrame:
     return graph.explore(seeds, m.relations(spark, d), 2)[0]
 
 
+@query(
+    with_sql(
+        "relations entities",
+        """, sym AS (SELECT subject_id AS src, object_id AS dst FROM relations UNION SELECT object_id, subject_id FROM relations),
+zero AS (SELECT id AS entity_id, 0 AS hop, id AS "from" FROM entities WHERE type = 'supplier'),
+one AS (SELECT dst AS entity_id, 1 AS hop, min("from") AS "from" FROM zero JOIN sym ON src = entity_id WHERE dst NOT IN (SELECT entity_id FROM zero) GROUP BY dst),
+two AS (SELECT dst AS entity_id, 2 AS hop, min("from") AS "from" FROM one JOIN sym ON src = entity_id WHERE dst NOT IN (SELECT entity_id FROM zero UNION ALL SELECT entity_id FROM one) GROUP BY dst)
+SELECT * FROM zero UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two""",
+    )
+)
+def graph_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Entities within two steps of any supplier, each once: a nation, however many suppliers meet in
+    it, is walked once."""
+    seeds = m.entities(spark, d).where("type = 'supplier'").select(F.col("id").alias("seed"), F.col("id").alias("entity_id"))
+    return graph.explore_once(seeds, m.relations(spark, d), 2)
+
+
 @query(with_sql("relations entities", "SELECT DISTINCT s.name AS subject, predicate, o.name AS object FROM relations JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id"))
 def graph_relations(spark: SparkSession, d: str) -> DataFrame:
     return graph.named_relations(m.relations(spark, d), m.entities(spark, d))
@@ -646,6 +663,25 @@ def transition(spark: SparkSession, d: str) -> DataFrame:
     return cl.transition(e, decided.union(decided))
 
 
+@query(
+    with_sql(
+        "entries",
+        """SELECT id, CASE WHEN status = 'classifying' AND id % 3 <> 0 THEN 'pending' ELSE status END AS status, id AS k, id % 10 AS inner_k,
+  CASE WHEN status = 'classifying' AND id % 3 <> 0 THEN id * 7 % 101 WHEN id % 2 = 0 THEN 1 END AS score, CASE WHEN NOT (status = 'classifying' AND id % 3 <> 0) AND id % 2 = 0 THEN 'old' END AS note FROM entries""",
+    )
+)
+def importance_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions written to the metadata of entries, of which half hold an older record: it is
+    replaced whole where an entry is still being classified; the other keys stay."""
+    old = F.when(F.col("id") % 2 == 0, F.struct(F.lit(1).alias("score"), F.lit("old").alias("note")))
+    metadata = F.to_json(F.struct(F.col("id").alias("k"), old.alias("importance"), F.struct((F.col("id") % 10).alias("k")).alias("inner")))
+    e = m.entries(spark, d).select("id", "status", metadata.alias("metadata"))
+    decided = e.where("id % 3 <> 0").select("id", F.lit("pending").alias("status"), F.to_json(F.struct((F.col("id") * 7 % 101).alias("score"))).alias("importance"))
+    out = cl.record_decisions(e, decided.union(decided))
+    value = lambda path: F.get_json_object("metadata", path)
+    return out.select("id", "status", value("$.k").cast("long").alias("k"), value("$.inner.k").cast("long").alias("inner_k"), value("$.importance.score").cast("long").alias("score"), value("$.importance.note").alias("note"))
+
+
 @query("""SELECT lang AS code, CASE WHEN regexp_matches(lower(lang), '^pt(-|$)') THEN 'portuguese' WHEN regexp_matches(lower(lang), '^es(-|$)') THEN 'spanish' ELSE 'english' END AS config, count(*) AS documents FROM documents GROUP BY lang""")
 def text_configs(spark: SparkSession, d: str) -> DataFrame:
     n = m.table(spark, d, "documents").groupBy(F.col("lang").alias("code")).agg(F.count(F.lit(1)).alias("documents"))

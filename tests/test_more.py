@@ -163,3 +163,22 @@ def test_session_without_reply_fails(spark):
     have = spark.createDataFrame([], "project_id string, entry_id long, chunk_index int, embedding array<double>")
     _, runs = ingest.condense(said, lambda c: c, lambda c: F.array(F.lit(1.0), F.lit(0.5)), have, Settings())
     assert {r.session_id: (r.status, r.entries_created) for r in runs.collect()} == {"a": ("done", 1), "b": ("skipped", 0), "c": ("failed", 0)}
+
+
+def test_metadata_keeps_its_other_keys(spark):
+    from loamkit.operators.classify import with_key
+
+    rows = [('{"a":[1,{"b":null}],"importance":{"old":1},"z":"q"}', '{"s":2}'), ("{}", "5"), (None, "{}"), ("no object", '"x"'), ('{"importance":3}', None)]
+    got = [r.m for r in spark.createDataFrame(rows, "m string, v string").select(with_key(F.col("m"), "importance", F.col("v")).alias("m")).collect()]
+    assert got == ['{"a":[1,{"b":null}],"z":"q","importance":{"s":2}}', '{"importance":5}', '{"importance":{}}', '{"importance":"x"}', '{"importance":3}']
+
+
+def test_a_hub_is_walked_once(spark):
+    """1000 seeds around one hub with 1000 more neighbours: a row an entity, not one a pair."""
+    from loamkit.operators.graph import explore_once
+
+    n = spark.range(1, 1001)
+    relations = n.select(F.col("id").alias("subject_id"), F.lit(0).cast("long").alias("object_id")).union(n.select(F.lit(0).cast("long"), F.col("id") + 5000)).union(n.select("id", F.lit(0).cast("long")))
+    out = explore_once(n.select(F.col("id").alias("seed"), F.col("id").alias("entity_id")), relations, 2)
+    assert sorted((r.hop, r["count"]) for r in out.groupBy("hop").count().collect()) == [(0, 1000), (1, 1), (2, 1000)]
+    assert {r["from"] for r in out.where("hop > 0").collect()} == {1}
