@@ -10,7 +10,8 @@ unwanted spectrum. After DEGREE steps Q is made orthonormal (QR) and the Rayleig
 vectors of V in Q are taken, with one more pass, which also gives the residuals. It ends when the
 residuals of the wanted pairs are below TOLERANCE of the largest eigenvalue, or below ROUNDED and
 no longer falling; else it fails. The block has GUARD columns more than are wanted. The driver
-holds d x (wanted + GUARD) numbers; a pass sends it one such block, added up in the executors.
+holds d x (wanted + GUARD) numbers; a pass sends it one such block, added up in the executors, or one
+from each of FEW_PARTS partitions at most.
 
 ``whiten`` then projects every remaining row, and one more pass over the fit list measures how far
 the covariance of the whitened vectors is from the identity.
@@ -36,10 +37,12 @@ from loamkit.llm._shared import materialize
 
 SCALE, WANTED = 256, 4
 #: Columns beyond those wanted, and steps of the recurrence between two orthonormal blocks.
-GUARD, DEGREE = 28, 8
+GUARD, DEGREE = 44, 8
 #: Residuals, in parts of the largest eigenvalue, at which a pair is taken, and at which it may be
 #: taken once they no longer fall.
 TOLERANCE, ROUNDED, CYCLES = 1e-13, 1e-10, 200
+#: Partitions whose blocks the driver adds up itself; blocks of more are added up in the executors.
+FEW_PARTS = 64
 #: Eigenvalues below this part of the trace are zero.
 ZERO = 1e-12
 
@@ -55,8 +58,9 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def _passed(fit: DataFrame, mean: np.ndarray, block: np.ndarray, half: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """Sum over the fit list of Xc'(Xc block), one distributed pass; with ``half`` of half(Xc block)."""
+def _passed(fit: DataFrame, mean: np.ndarray, block: np.ndarray, half: Callable[[np.ndarray], np.ndarray] | None = None, few: bool = False) -> np.ndarray:
+    """Sum over the fit list of Xc'(Xc block), one distributed pass; with ``half`` of half(Xc block).
+    ``few`` says that there are few partitions."""
     width = block.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +75,14 @@ def _passed(fit: DataFrame, mean: np.ndarray, block: np.ndarray, half: Callable[
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), *[pa.array(c) for c in total.T.copy()]], names=["i", *[f"c{j}" for j in range(width)]])
 
-    added = fit.mapInArrow(run, "i long, " + ", ".join(f"c{j} double" for j in range(width))).groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(width)])
-    table = added.orderBy("i").toArrow()
-    return np.stack([table.column(j + 1).to_numpy() for j in range(width)], axis=1)
+    parts = fit.mapInArrow(run, "i long, " + ", ".join(f"c{j} double" for j in range(width)))
+    if not few:
+        parts = parts.groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(width)])
+    table = parts.toArrow()
+    rows = table.column(0).to_numpy()
+    total = np.zeros((int(rows.max()) + 1, width))
+    np.add.at(total, rows, np.stack([table.column(j + 1).to_numpy() for j in range(width)], axis=1))
+    return total
 
 
 def leading(apply: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int = WANTED, guard: int = GUARD, degree: int = DEGREE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,28 +91,28 @@ def leading(apply: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int = W
     width, wanted = min(dim, wanted + guard), min(dim, wanted)
     block = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, width)))[0]
 
-    def ritz(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    def ritz(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
         image = apply(q)
         small = q.T @ image
         values, turn = np.linalg.eigh((small + small.T) / 2)
         values, turn = values[::-1], turn[:, ::-1]
         rest = np.linalg.norm(image @ turn - q @ turn * values, axis=0)
-        return values, q @ turn, float(rest[:wanted].max() / max(values[0], 1e-300))
+        return values, q @ turn, float(rest[:wanted].max() / max(values[0], 1e-300)), image @ turn
 
-    values, block, rest = ritz(block)
+    values, block, rest, image = ritz(block)
     for _ in range(CYCLES):
         if rest <= TOLERANCE or width == dim or values[0] <= 0:
             return np.maximum(values[:wanted], 0), block[:, :wanted]
         before = values, block, rest
         half = max(values[-1], ZERO * values[0]) / 2  # the unwanted spectrum lies in [0, 2 half]
         grown = half / (values[0] - half)  # scaled so that the largest eigenvalue's part stays near one
-        last, now = block, (apply(block) - half * block) * (grown / half)
+        last, now = block, (image - half * block) * (grown / half)
         damp = grown
         for _ in range(degree - 1):
             step = 1 / (2 / grown - damp)
             last, now = now, (apply(now) - half * now) * (2 * step / half) - damp * step * last
             damp = step
-        values, block, rest = ritz(np.linalg.qr(now)[0])
+        values, block, rest, image = ritz(np.linalg.qr(now)[0])
         if before[2] <= ROUNDED and rest >= before[2] / 2:
             values, block, rest = min(before, (values, block, rest), key=lambda x: x[2])
             return np.maximum(values[:wanted], 0), block[:, :wanted]
@@ -125,11 +134,12 @@ def fit(x: DataFrame, wanted: int = WANTED) -> dict[str, object] | None:
         return None
     mean = np.array([s / n for s in exact])
     trace = _trace(distinct, mean) / n
-    values, vectors = leading(lambda q: _passed(distinct, mean, q) / n, dim, wanted)
+    few = distinct.rdd.getNumPartitions() <= FEW_PARTS
+    values, vectors = leading(lambda q: _passed(distinct, mean, q, few=few) / n, dim, wanted)
     real = values > ZERO * trace
     values, vectors = values[real], vectors[:, real]
     white = vectors / np.sqrt(values)
-    spread = _passed(distinct, mean, white, lambda t: t.T @ t) / n
+    spread = _passed(distinct, mean, white, lambda t: t.T @ t, few) / n
     return {"n": n, "sums": exact, "mean": mean, "values": values, "vectors": vectors, "trace": trace, "error": float(np.abs(spread - np.eye(len(values))).max(initial=0)), "dim": dim}
 
 
