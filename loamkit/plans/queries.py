@@ -573,6 +573,23 @@ def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.retrieval_summary(_metrics(spark, d))
 
 
+_TITLE = "lower(nfc_normalize(trim(title, ' ' || chr(9) || chr(10) || chr(13) || chr(11))))"
+_TITLED = f"""top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fusion, 12) DESC, entry_id) AS position FROM expanded) WHERE position <= 10),
+truths AS (SELECT DISTINCT b.item_id AS query_id, {_TITLE} AS key FROM benchmark b JOIN entries e ON contains(e.content, b.text)),
+pos AS (SELECT query_id, {_TITLE} AS key, min(position) AS position FROM top JOIN entries ON id = entry_id WHERE status = 'approved' GROUP BY ALL),
+first AS""" + _METRICS.split("first AS", 1)[1]
+
+
+@query(with_sql("entries chunks vq postings tq relations entry_entities", f", {_SIM}, {_KEY_OK}, {_FUSED}, {_EXPANDED}, {_TITLED} SELECT * FROM mets"))
+def hybrid_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search evaluated by the titles of the documents that hold a benchmark item's passage."""
+    e = m.entries(spark, d)
+    wanted = m.truths(spark, d).join(e.select(F.col("id").alias("key"), "title"), "key").groupBy("query_id").agg(F.collect_set("title").alias("expected_titles"))
+    queries = m.vector_queries(spark, d).join(m.text_queries(spark, d), "query_id", "full_outer")
+    hybrid = lambda q: search.hybrid_search(q, m.chunks(spark, d), e, *_index(spark, d), m.entry_entities(spark, d), m.relations(spark, d))
+    return evaluate.evaluate_retrieval(wanted.join(queries, "query_id", "left"), hybrid)
+
+
 @query(r"""WITH r AS (SELECT page_id, '/' || regexp_extract(url, '://([^?#]*)', 1) AS cwd FROM pages),
 p AS (SELECT DISTINCT '/' || regexp_extract(url, '://([^/?#]*)', 1) AS path FROM pages UNION SELECT DISTINCT '/' || regexp_extract(url, '://([^/?#]*/[^/?#]*)', 1) FROM pages WHERE page_id % 2 = 0),
 m AS (SELECT page_id, arg_max(path, length(path)) AS project_id FROM r, p WHERE rtrim(cwd, '/') = path OR starts_with(rtrim(cwd, '/'), path || '/') GROUP BY page_id)

@@ -182,3 +182,22 @@ def test_a_hub_is_walked_once(spark):
     out = explore_once(n.select(F.col("id").alias("seed"), F.col("id").alias("entity_id")), relations, 2)
     assert sorted((r.hop, r["count"]) for r in out.groupBy("hop").count().collect()) == [(0, 1000), (1, 1), (2, 1000)]
     assert {r["from"] for r in out.where("hop > 0").collect()} == {1}
+
+
+def test_evaluation_runs_the_search_and_matches_titles(spark):
+    """Titles match whatever their case, accents' form and white space; the first of equal ones counts."""
+    from loamkit.operators.evaluate import evaluate_retrieval
+
+    cases = spark.createDataFrame([(1, "x", ["Caf\u00e9 ", "Other"]), (2, "y", ["Nothing"])], "query_id long, terms string, expected_titles array<string>")
+    asked = []
+
+    def find(q):
+        asked.append(q.columns)
+        return spark.createDataFrame([(1, 0, "Else"), (1, 1, " cafe\u0301"), (1, 2, "CAF\u00c9"), (1, 3, "other")], "query_id long, rank int, title string")
+
+    got = {r.query_id: r for r in evaluate_retrieval(cases, find, 3).collect()}
+    assert asked == [["query_id", "terms"]]
+    assert (got[1].recall, got[1].reciprocal_rank, got[1].zero_results) == (0.5, 0.5, False)
+    assert (got[2].recall, got[2].reciprocal_rank, got[2].zero_results) == (0.0, 0.0, True)
+    with pytest.raises(ValueError):
+        evaluate_retrieval(cases, find, 11)
