@@ -5,8 +5,8 @@ their open ancestors. Features come from ancestor tags, words of class and id at
 text itself. A two-label chain (boilerplate, content) is trained by maximum likelihood on labelled
 pages and decoded by Viterbi; the text is the content blocks in page order.
 
-Labelled pages are a bounded sample of the corpus itself, FIT_PAGES pages whose authors marked the
-article (``article`` or ``main``), labelled by that mark, and SEED_PAGES, hand-labelled layouts
+Labelled pages are a bounded sample of the corpus itself, FIT_PAGES pages of at most FIT_CHARS
+characters whose authors marked the article (``article`` or ``main``), labelled by that mark, and SEED_PAGES, hand-labelled layouts
 with parts such a corpus may lack. Each sampled page is also given with its mark hidden, so that
 the chain learns to do without.
 
@@ -34,6 +34,9 @@ from loamkit.llm._shared import small_batches
 
 #: Marked pages of the corpus that the chain is trained on, at most: those first in hash order.
 FIT_PAGES = 200
+#: Characters that such a page may have; longer ones are read and extracted like all others, but
+#: nothing is learnt from them.
+FIT_CHARS = 100_000
 EPOCHS, RATE, RIDGE = 40, 0.3, 1e-3
 
 #: HTML's element classes.
@@ -45,16 +48,11 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("script style noscript template svg iframe textarea".split())
 
-#: An element of HIDDEN_TAGS goes with its text; its name ends in white space, "/" or ">", a
-#: self-closed svg is empty, and where an end tag is missing only the start tag
-#: goes, but for script and style, which then run to the end of the page.
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>"""
-    r"""|<(script|style)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(noscript|template|svg|iframe|textarea)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>.*?</\2\s*>"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
-    re.DOTALL | re.IGNORECASE,
-)
+OPENING = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What ends the plain part of a tag.
+SPECIAL = re.compile("[>\"']")
+#: End tags of HIDDEN_TAGS.
+ENDING = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in HIDDEN_TAGS}
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -92,6 +90,87 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class Scanner:
+    """Finds the ends of tags and elements in a page. Places are asked for in ascending order, and
+    what was found, or found missing, is remembered, so that all questions together take steps in
+    proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special = self.gt = -1
+        self.closing: dict[str, re.Match | None] = {}
+        self.dead: set[int] = set()  # quotes from which no tag's end is reached
+
+    def tag_end(self, at: int) -> int:
+        """The ">" outside quotes that ends a tag whose name ends before ``at``, or -1."""
+        if self.special < at:
+            found = SPECIAL.search(self.page, at)
+            self.special = found.start() if found else len(self.page)
+        place, seen = self.special, []
+        while place < len(self.page) and self.page[place] != ">" and place not in self.dead:
+            seen.append(place)
+            close = self.page.find(self.page[place], place + 1)
+            found = SPECIAL.search(self.page, close + 1) if close >= 0 else None
+            place = found.start() if found else len(self.page)
+        if place < len(self.page) and self.page[place] == ">":
+            return place
+        self.dead.update(seen)
+        return -1
+
+    def next_gt(self, at: int) -> int:
+        if self.gt < at:
+            found = self.page.find(">", at)
+            self.gt = found if found >= 0 else len(self.page)
+        return self.gt if self.gt < len(self.page) else -1
+
+    def element_end(self, tag: str, at: int) -> int:
+        """Where the next end tag of this name after ``at`` ends, or -1."""
+        known = self.closing.get(tag, self)
+        if known is self or known is not None and known.start() < at:
+            known = self.closing[tag] = ENDING[tag].search(self.page, at)
+        return known.end() if known is not None else -1
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether an end tag, attributes) of the markup of a page; comments,
+    declarations and hidden elements have no name.
+
+    An element of HIDDEN_TAGS goes with its text; a self-closed svg is empty, and where an end tag
+    is missing only the start tag goes, but for script and style, which then run to the end of the
+    page. A "<" that nothing closes is text."""
+    scanner, at = Scanner(page), page.find("<")
+    while at >= 0:
+        end, name, closes, attributes = -1, "", False, ""
+        if page.startswith("<!--", at):
+            found = page.find("-->", at + 4)
+            end = found + 3 if found >= 0 else len(page)
+        elif (m := OPENING.match(page, at)) and (gt := scanner.tag_end(m.end())) >= 0:
+            end, name, closes, attributes = gt + 1, m[2].lower(), bool(m[1]), page[m.end() : gt]
+            whole = not closes and name in HIDDEN_TAGS and (page[m.end()] in "/>" or page[m.end()].isspace())
+            if whole and not (name == "svg" and attributes.endswith("/")):
+                past = scanner.element_end(name, end)
+                if past < 0 and name in ("script", "style"):
+                    past = len(page)
+                if past >= 0:
+                    end, name = past, ""
+            elif whole:
+                name = ""
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and (gt := scanner.next_gt(at + 2)) >= 0:
+            end = gt + 1
+        if end >= 0:
+            yield at, end, name, closes, attributes
+        at = page.find("<", end if end >= 0 else at + 1)
+
+
+def decoded(raw: str) -> str:
+    """Text with its character references decoded; numbers of any length are read."""
+    try:
+        return entities.unescape(raw)
+    except ValueError:  # more digits than int() takes
+        short = re.sub(r"&#0+(?=[0-9])", "&#", raw)
+        return entities.unescape(re.sub(r"&#[0-9]{8,}+;?", "\ufffd", short))
+
+
 #: Tags that a tag of the same name closes.
 ALIKE = frozenset(["li", "dt", "dd", "td", "th", "tr", "option"])
 
@@ -116,7 +195,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        text = entities.unescape(raw) if "&" in raw else raw
+        text = decoded(raw) if "&" in raw else raw
         pieces.append(text)
         if links:
             linked += len(text)
@@ -133,28 +212,24 @@ def blocks(page: str) -> list[Block]:
         return node.tag
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[4]
-        if not tag:
-            continue
-        tag = tag.lower()
+    for start, end, tag, closes, attributes in tags(page):
+        if start > at:
+            add(page[at:start])
+        at = end
         if tag == "a":
-            links = 0 if m[3] else 1
+            links = 0 if closes else 1
         elif tag == "br":
             pieces.append(" ")
         elif tag in BLOCK_TAGS:
             flush()
             links = 0
-            if m[3]:
+            if closes:
                 while open_tags[tag] and closed() != tag:
                     pass
             elif tag not in VOID_TAGS:
                 if stack and (stack[-1].tag == "p" or tag == stack[-1].tag and tag in ALIKE):
                     closed()
-                opened(tag, _names(tag, m[5]))
+                opened(tag, _names(tag, attributes))
     if at < len(page):
         add(page[at:])
     flush()
@@ -321,10 +396,10 @@ def train(labelled: list[tuple[list[Block], list[int], bool]]) -> Chain:
 
 
 def sampled(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> list[str]:
-    """At most ``fit_pages`` different marked pages: those first in hash order. The hashes alone
-    are ordered; only the pages chosen are fetched."""
+    """At most ``fit_pages`` different marked pages of FIT_CHARS characters or fewer: those first
+    in hash order. The hashes alone are ordered; only the pages chosen are fetched."""
     page = F.col(f"`{html_col}`")
-    keyed = pages.where(page.rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(f"`{id_col}`"), page).alias("h"), page.alias("html"))
+    keyed = pages.where((F.length(page) <= FIT_CHARS) & page.rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(f"`{id_col}`"), page).alias("h"), page.alias("html"))
     first = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
     if not first:
         return []

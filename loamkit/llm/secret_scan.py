@@ -45,7 +45,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 IDENT = re.compile(r"""(?:client_?id|account_?id|key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.IGNORECASE | re.ASCII)
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
+#: A name with dots and a port begins where no name runs on before it, and gives nothing back, so
+#: that long names are read once.
+ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![A-Za-z0-9_-])(?<![A-Za-z0-9_-]\.)[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++:[0-9]{2,5}\b")
 #: What a text must match for its pattern to be tried; these may match more, never less.
 HINTS = {
     "assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]",
@@ -53,7 +55,7 @@ HINTS = {
     "hex": r"[0-9a-f]{32}",
     "ident": r"(?i)(client_?id|account_?id|key_?id|user_?name|login)[\"']? *[:=]",
     "blob": r"[A-Za-z0-9+/_-]{20}",
-    "endpoint": r"https?://|[a-z0-9]:[0-9]{2}",
+    "endpoint": r"https?://|[A-Za-z0-9_-]:[0-9]{2}",
 }
 
 

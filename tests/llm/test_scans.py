@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +311,24 @@ def test_extra_columns_and_long_texts_do_no_harm(spark):
     assert bloom_cascade.judge(pages).first().verdict == "block"
     laid = warc_audit.lay_out(pages)
     assert warc_audit.audit(laid, laid.withColumn("digest", F.lit("x"))).first().status == "changed"
+
+
+def test_markup_never_closed_is_read_once():
+    for unit in ("<svg x ", "<script x ", "<noscript>", '<a "" ', "<", "</a 'x", "&#9"):
+        for tail in ("", '"', "'>"):
+            page, start = unit * (1_000_000 // len(unit)) + tail, time.monotonic()
+            html_crf.blocks(page)
+            assert time.monotonic() - start < 8, unit
+    assert [b.text for b in html_crf.blocks("a <b 'c <p>d")] == ["a <b 'c", "d"]
+    assert [b.text for b in html_crf.blocks("<noscript>a<p>b<svg/>c<svg>d</svg >e<style>f")] == ["a", "bce"]
+    assert html_crf.decoded("&#" + "9" * 6000 + "; &#" + "0" * 6000 + "65; &amp;") == "\ufffd A &"
+
+
+def test_long_names_are_read_once():
+    for unit in ("a-", "a.", "a..", "a_", ".a:", "token ", "a:1"):
+        text, start = "https:// " + unit * (1_000_000 // len(unit)), time.monotonic()
+        for kind in secret_scan.KINDS:
+            secret_scan.find(kind, text)
+        assert time.monotonic() - start < 8, unit
+    text = "at Db_1.example.com:5432, a..b.c:80 or x.y:123456"
+    assert [text[s:e] for s, e in secret_scan.find("endpoint", text)] == ["Db_1.example.com:5432", "b.c:80"]
