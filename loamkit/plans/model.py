@@ -4,9 +4,13 @@ Each function has a SQL twin in ``SQL``; queries and their oracles build on the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamkit.operators.term_index import CONFIGS, stop_words
 from loamkit.schemas import CATEGORIES, SOURCES
 
 AS_OF = "2024-01-01 12:00:00"
@@ -17,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; a local one where none is set and the master is
+    local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loamkit-")
+    return f"{base.rstrip('/')}/loamkit-{uuid.uuid4().hex}"
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
@@ -65,8 +80,9 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as queries: their first three words of five letters or more."""
-    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 5)
+    """Benchmark items as queries: their first three words of five letters or more, by
+    definition, of those that are no stop words."""
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: (F.length(w) >= 5) & ~w.isin(*stop_words("english")))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(words), 1, 3).alias("terms")).where(F.size("terms") > 0)
 
 
@@ -135,6 +151,20 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def docterms_sql(language: str, rows: str = "documents") -> str:
+    """(entry_id, ws): the terms of title, content and tags of ``rows``, whose project has ``language``."""
+    stops = ", ".join(f"('{c}', {_listed(stop_words(c))})" for c in CONFIGS)
+    return rf"""docterms AS (
+  SELECT doc_id AS entry_id, list_filter(string_split_regex(lower(left(split_part(text, chr(10), 1), 80) || ' ' || text || ' ' || tags), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains(stops, w)) AS ws
+  FROM (SELECT doc_id, text, {language} AS language, array_to_string(list_sort(list_distinct([lang, CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END])), ' ') AS tags FROM {rows})
+  JOIN (VALUES {stops}) s(config, stops) ON config = CASE WHEN regexp_matches(lower(language), '^pt(-|$)') THEN 'portuguese' WHEN regexp_matches(lower(language), '^es(-|$)') THEN 'spanish' ELSE 'english' END),
+postings AS (SELECT entry_id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT entry_id, unnest(ws) AS term, len(ws) AS n FROM docterms) GROUP BY entry_id, term)"""
+
+
 _CAT = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
 _SRC = "[" + ", ".join(f"'{c}'" for c in SOURCES) + "]"
 SQL = {
@@ -149,15 +179,13 @@ SQL = {
   FROM (SELECT vec_id, vec_id // 2 % n AS entry_id, CAST(vec_id % 2 + 2 * (vec_id // (2 * n)) AS INTEGER) AS chunk_index, CAST(embedding AS DOUBLE[]) AS embedding
         FROM embeddings, (SELECT count(*) AS n FROM documents)) e JOIN documents d ON d.doc_id = e.entry_id)""",
     "vq": "vq AS (SELECT vec_id // 100 AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 100 = 0)",
-    "tq": r"""tq AS (
+    "tq": rf"""tq AS (
   SELECT item_id AS query_id, unnest(ts) AS term, len(ts) AS n_terms FROM (
     SELECT item_id, list_slice(list_filter(ws, lambda w, i: list_position(ws, w) = i), 1, 3) AS ts
-    FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 5) AS ws FROM benchmark)))""",
-    "postings": r"""postings AS (
-  SELECT doc_id AS entry_id, term, count(*) AS tf, any_value(n) AS len FROM (
-    SELECT doc_id, unnest(ws) AS term, len(ws) AS n FROM (
-      SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents))
-  GROUP BY doc_id, term)""",
+    FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 5 AND NOT list_contains({_listed(stop_words("english"))}, w)) AS ws FROM benchmark)))""",
+    "postings": """langs AS (SELECT source, arg_max(lang, (c, lang)) AS project_language FROM (SELECT source, lang, count(*) AS c FROM documents GROUP BY ALL) GROUP BY source),
+"""
+    + docterms_sql("project_language", "(documents JOIN langs USING (source))"),
     "entities": """entities AS (
   SELECT CAST(r_regionkey AS BIGINT) * 10 AS id, 'tpch' AS project_id, r_name AS name, 'region' AS type FROM region
   UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 10 + 1, 'tpch', n_name, 'nation' FROM nation

@@ -12,7 +12,7 @@ from loamkit.functions import text as tx
 from loamkit.functions.stem import stemmer
 from loamkit.functions.vectors import hashing_embedder
 from loamkit.operators import classify as cl
-from loamkit.operators import evaluate, filters, graph, ingest, projects, reports, search
+from loamkit.operators import evaluate, filters, graph, ingest, projects, reports, search, term_index
 from loamkit.plans import model as m
 from loamkit.plans.model import with_sql
 from loamkit.schemas import Settings
@@ -41,7 +41,7 @@ _SIM = """sims AS (
   WHERE similarity >= 0.3 AND NOT isnan(similarity)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, entry_id ORDER BY similarity DESC, chunk_index) AS r FROM sims) WHERE r = 1),
 vec AS (SELECT query_id, entry_id, chunk_index, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id, chunk_index) - 1 AS rank FROM best) WHERE rank < 20)"""
-_KEY = """stats AS (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS len FROM documents)),
+_KEY = """stats AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM docterms),
 dfs AS (SELECT term, count(*) AS df FROM postings WHERE term IN (SELECT term FROM tq) GROUP BY term),
 hits AS (
   SELECT query_id, entry_id, count(*) AS m, any_value(n_terms) AS n_terms,
@@ -68,25 +68,41 @@ def _vector(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_search(m.vector_queries(spark, d), m.chunks(spark, d), m.entries(spark, d).where("status = 'approved'"))
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, float, float]:
-    e = m.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    size = e.select(F.size(search.terms(F.col("text"), [])).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
-    return search.postings(e, F.col("text"), []), float(size["n"]), float(size["mean"] or 1)
+#: Folders of written indexes, by application, tables and stemming.
+_INDEXES: dict[tuple[str, str, bool], str] = {}
+
+
+def _index(spark: SparkSession, d: str, stemmed: bool = False) -> str:
+    """The written index of all entries, in the languages of their projects; written once."""
+    key = spark.sparkContext.applicationId, d, stemmed
+    if key not in _INDEXES:
+        path = m.scratch(spark)
+        term_index.create(spark, path)
+        term_index.update(path, m.entries(spark, d), m.entry_tags(spark, d), _projects(spark, d), stemmer() if stemmed else None)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _indexed(spark: SparkSession, d: str, queries: DataFrame, stemmed: bool = False) -> tuple[DataFrame, float, float]:
+    path = _index(spark, d, stemmed)
+    return term_index.postings(spark, path, queries), *term_index.statistics(spark, path)
 
 
 def _keyword(spark: SparkSession, d: str, approved: bool) -> DataFrame:
-    index, n, mean = _index(spark, d)
+    asked = m.text_queries(spark, d)
+    index, n, mean = _indexed(spark, d, asked)
     if not approved:
-        return search.keyword_search(m.text_queries(spark, d), index, n, mean)
-    ranked = search.keyword_search(m.text_queries(spark, d), index, n, mean, k=None)
+        return search.keyword_search(asked, index, n, mean)
+    ranked = search.keyword_search(asked, index, n, mean, k=None)
     ok = m.entries(spark, d).where("status = 'approved'").select(F.col("id").alias("entry_id"))
     return search.ranked(ranked.drop("rank").join(ok, "entry_id", "left_semi"), [F.desc("score"), F.asc("entry_id")], 20)
 
 
 def _hybrid(spark: SparkSession, d: str, relations: DataFrame, **only: str) -> DataFrame:
     """Hybrid search for vectors and benchmark items of one number."""
-    queries = m.vector_queries(spark, d).join(m.text_queries(spark, d), "query_id", "full_outer")
-    return search.hybrid_search(queries, m.chunks(spark, d), m.entries(spark, d), *_index(spark, d), m.entry_entities(spark, d), relations, m.entry_tags(spark, d), **only)
+    asked = m.text_queries(spark, d)
+    queries = m.vector_queries(spark, d).join(asked, "query_id", "full_outer")
+    return search.hybrid_search(queries, m.chunks(spark, d), m.entries(spark, d), *_indexed(spark, d, asked), m.entry_entities(spark, d), relations, m.entry_tags(spark, d), **only)
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +125,36 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     return _keyword(spark, d, False)
 
 
+_ASKED = rf""", {m.docterms_sql("lang", "(SELECT * FROM documents WHERE doc_id % 31 <> 0)")},
+held AS (SELECT id AS entry_id, project_id || '-' || lang AS project_id, category, title FROM entries WHERE status = 'approved'),
+asked AS (SELECT id AS query_id, left(title, 24) AS text, CASE WHEN id % 40 <> 0 THEN project_id || '-' || lang END AS project_id, CASE WHEN id % 60 = 20 THEN category END AS category, CASE WHEN id % 40 <> 0 AND lang = 'es' THEN 'spanish' ELSE 'english' END AS config FROM entries WHERE id % 20 = 0),
+tq AS (SELECT query_id, unnest(ts) AS term, len(ts) AS n_terms FROM (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains(CASE WHEN config = 'spanish' THEN {m._listed(term_index.stop_words("spanish"))} ELSE {m._listed(term_index.stop_words("english"))} END, w))) AS ts FROM asked)),
+{_KEY_ALL.split("kw AS", 1)[0]}
+found AS (SELECT h.query_id, h.entry_id, score, row_number() OVER (PARTITION BY h.query_id ORDER BY score DESC, h.entry_id) - 1 AS rank
+  FROM hits h JOIN asked a USING (query_id) JOIN held e USING (entry_id) WHERE m = n_terms AND (a.project_id IS NULL OR a.project_id = e.project_id) AND (a.category IS NULL OR a.category = e.category))
+SELECT query_id, entry_id, score, rank FROM found WHERE rank < 20"""
+
+
+@query(with_sql("entries", _ASKED))
+def keyword_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Beginnings of titles asked of an index that was updated: at first every project was English and
+    a fifth of the entries had other contents; then those entries and the Spanish projects were
+    indexed anew, others taken out, and the whole compacted. A project is a source's documents of one
+    language."""
+    e = m.entries(spark, d).withColumn("project_id", F.concat_ws("-", "project_id", "lang"))
+    tags = m.entry_tags(spark, d)
+    projects = e.select(F.col("project_id").alias("id"), F.col("lang").alias("language")).distinct()
+    path = m.scratch(spark)
+    term_index.create(spark, path)
+    before = e.withColumn("content", F.when(F.col("id") % 5 == 0, F.concat(F.lit("draft "), F.substring("content", 1, 100))).otherwise(F.col("content")))
+    term_index.update(path, before, tags, projects.withColumn("language", F.lit("en")))
+    changed = e.where("id % 5 = 0 OR lang = 'es'").where("id % 31 <> 0")
+    term_index.update(path, changed, tags, projects, removed=e.where("id % 31 = 0").select("id"))
+    term_index.compact(spark, path, f"{path}/compacted")
+    asked = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring("title", 1, 24).alias("text"), F.when(F.col("id") % 40 != 0, F.col("project_id")).alias("project_id"), F.when(F.col("id") % 60 == 20, F.col("category")).alias("category"))
+    return term_index.find(spark, f"{path}/compacted", term_index.query_terms(asked, projects), e)
+
+
 @query(with_sql("entries chunks vq postings tq", f", {_SIM}, {_KEY_OK}, {_FUSED} SELECT query_id, entry_id, round(fusion, 12) AS fusion, matched_by FROM fused"))
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query_id", "entry_id", F.round("fusion", 12).alias("fusion"), "matched_by")
@@ -586,7 +632,7 @@ def hybrid_evaluation(spark: SparkSession, d: str) -> DataFrame:
     e = m.entries(spark, d)
     wanted = m.truths(spark, d).join(e.select(F.col("id").alias("key"), "title"), "key").groupBy("query_id").agg(F.collect_set("title").alias("expected_titles"))
     queries = m.vector_queries(spark, d).join(m.text_queries(spark, d), "query_id", "full_outer")
-    hybrid = lambda q: search.hybrid_search(q, m.chunks(spark, d), e, *_index(spark, d), m.entry_entities(spark, d), m.relations(spark, d))
+    hybrid = lambda q: search.hybrid_search(q, m.chunks(spark, d), e, *_indexed(spark, d, m.text_queries(spark, d)), m.entry_entities(spark, d), m.relations(spark, d))
     return evaluate.evaluate_retrieval(wanted.join(queries, "query_id", "left"), hybrid)
 
 
@@ -755,14 +801,9 @@ def reindex(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def keyword_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword search over stems in each document's language."""
-    stems = stemmer()
-    config = tx.text_config(F.col("lang"))
-    docs = m.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(stems(search.terms(F.col("text"), []), config), " ").alias("text"))
-    index = search.postings(docs, F.col("text"), [])
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.split("text", " "))).alias("mean")).first()
-    q = m.text_queries(spark, d).select("query_id", stems("terms", F.lit("english")).alias("terms"))
-    return search.keyword_search(q, index, float(size["n"]), float(size["mean"] or 1))
+    """Keyword search over stems in the language of each entry's project."""
+    asked = m.text_queries(spark, d).select("query_id", stemmer()("terms", F.lit("english")).alias("terms"))
+    return search.keyword_search(asked, *_indexed(spark, d, asked, stemmed=True))
 
 
 @query()
