@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamkit.functions.vectors import dot, norm
+from loamkit.functions.vectors import dot, norm  # noqa: F401  (dot for callers)
 from loamkit.operators.filters import entry_filter, given
 
 #: Query vectors that are sent to the chunks at once, as one matrix; more go in blocks.
@@ -186,17 +186,43 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, entries: DataFrame, ind
     return hydrate(limited(expand_graph(fuse(vector, keyword), entry_entities, relations, project=project), limit), entries, entry_tags)
 
 
-def near_duplicates(candidates: DataFrame, chunks: DataFrame, threshold: float = 0.85, block: int = QUERY_BLOCK) -> DataFrame:
+def near_duplicates(candidates: DataFrame, chunks: DataFrame, threshold: float = 0.85, block: int = QUERY_BLOCK, own: str | None = None) -> DataFrame:
     """JN-9: (query_id, best, duplicate): whether a candidate (query_id, project_id, embedding) is
     as near as ``threshold`` to any chunk of its project, and how near the nearest such chunk is.
 
-    Candidates of a project meet its chunks in blocks; only pairs at the threshold leave a row."""
-    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block))
-    sizes = candidates.groupBy("project_id").agg(n.alias("_n"))
-    c = candidates.select("query_id", "project_id", unit(F.col("embedding")).alias("u")).where("u IS NOT NULL").join(sizes, "project_id")
-    blocks = c.groupBy("project_id", F.pmod(F.xxhash64("query_id"), F.col("_n")).alias("_b")).agg(F.collect_list(F.struct("query_id", "u")).alias("qs"))
-    v = chunks.select("project_id", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
-    scored = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["u"], F.col("v")), DIGITS).alias("similarity")))
-    hits = v.join(blocks, "project_id").select(F.explode(F.filter(scored, lambda x: x["similarity"] >= threshold)).alias("h"))
-    top = hits.groupBy("h.query_id").agg(F.max("h.similarity").alias("best"))
+    A project's candidates come in blocks and its chunks in slices, each of about ``block`` vectors, and
+    a task multiplies one block by one slice, so that none holds a project. ``own`` names a column of
+    both; a candidate does not meet chunks of its own value. Vectors of other dimensions, without a
+    length, or not finite are near none; candidates without a project neither."""
+    label = F.col(f"`{own}`").cast("string") if own else F.lit(None).cast("string")
+    dim = F.size("embedding").alias("dim")
+    c = candidates.where("embedding IS NOT NULL").select(F.col("query_id").alias("query"), F.col("project_id").alias("project"), dim, label.alias("own"), F.col("embedding").alias("vector"))
+    other = [f"`{name}`" for name in chunks.columns if name != "embedding"]
+    v = chunks.where("embedding IS NOT NULL").select(F.col("project_id").alias("project"), dim, label.alias("own"), F.col("embedding").alias("vector"), F.xxhash64(*other).alias("at"))
+    parts = F.ceil(F.count(F.lit(1)) / block)
+    keys = ["project", "dim"]
+    sizes = c.groupBy(*keys).agg(parts.alias("blocks")).join(v.groupBy(*keys).agg(parts.alias("slices")), keys)
+    c = c.withColumn("own_block", F.xxhash64("query")).join(sizes, keys)
+    c = c.select(*keys, "query", "own", "vector", F.pmod("own_block", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    v = v.join(sizes, keys).select(*keys, "own", "vector", F.pmod("at", "slices").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def nearest(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked, held = asked.combine_chunks(), held.combine_chunks()
+        rows = best = np.zeros(0, np.int64)
+        if asked.num_rows and held.num_rows:
+            size = asked.column("dim")[0].as_py()
+            vectors = lambda t: _units(pa.concat_arrays(t.column("vector").chunks), size)
+            (rows, one), (there, two) = vectors(asked), vectors(held)
+            found = np.round(one @ two.T, DIGITS)
+            if own and len(there):
+                codes = pc.index_in(asked.column("own"), pc.unique(held.column("own"))), pc.index_in(held.column("own"), pc.unique(held.column("own")))
+                mine, theirs = (pc.fill_null(x, n).to_numpy() for x, n in zip(codes, (-1, -2)))
+                found[mine[rows][:, None] == theirs[there][None, :]] = -np.inf
+            best = found.max(axis=1, initial=-np.inf)
+            rows, best = rows[best >= threshold], best[best >= threshold]
+        return pa.table({"query_id": asked.column("query").take(pa.array(rows)), "near": pa.array(best, pa.float64())})
+
+    grid = [*keys, "block", "slice"]
+    pairs = c.groupBy(*grid).cogroup(v.groupBy(*grid)).applyInArrow(nearest, f"query_id {candidates.schema['query_id'].dataType.simpleString()}, near double")
+    top = pairs.groupBy("query_id").agg(F.max("near").alias("best"))
     return candidates.select("query_id").join(top, "query_id", "left").withColumn("duplicate", F.col("best").isNotNull())

@@ -279,16 +279,9 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Every hundredth vector as a candidate against the other chunks of its project."""
     entry, index = m.owners(spark, d)
     v = m.table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0).select("vec_id", entry.alias("entry_id"), index.alias("chunk_index"))
-    cand = m.chunks(spark, d).join(v, ["entry_id", "chunk_index"]).select(F.col("vec_id").alias("query_id"), "project_id", "embedding", "entry_id", "chunk_index")
-    own = v.select("entry_id", "chunk_index")
-    others = m.chunks(spark, d).join(own, ["entry_id", "chunk_index"], "left_anti")
-    held = m.chunks(spark, d).join(own, ["entry_id", "chunk_index"], "left_semi")
-    # a candidate's own chunk is left out; the other candidates' chunks are not
-    far = search.near_duplicates(cand.select("query_id", "project_id", "embedding"), others, 0.25)
-    a = cand.alias("a").join(held.alias("b"), "project_id").where("a.entry_id <> b.entry_id OR a.chunk_index <> b.chunk_index")
-    near = a.groupBy("query_id").agg(F.max(F.round(search.dot(search.unit(F.col("a.embedding")), search.unit(F.col("b.embedding"))), search.DIGITS)).alias("near"))
-    best = F.greatest("best", F.when(F.col("near") >= 0.25, F.col("near")))
-    return far.join(near, "query_id", "left").select("query_id", best.alias("best")).withColumn("duplicate", F.col("best").isNotNull())
+    chunks = m.chunks(spark, d).withColumn("place", F.concat_ws("-", "entry_id", "chunk_index"))
+    asked = chunks.join(v, ["entry_id", "chunk_index"]).select(F.col("vec_id").alias("query_id"), "project_id", "embedding", "place")
+    return search.near_duplicates(asked, chunks, 0.25, own="place").select("query_id", "best", "duplicate")
 
 
 @query(with_sql("entries", "SELECT project_id, count(*) AS total, count(*) FILTER (status = 'classifying') AS classifying, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected FROM entries GROUP BY project_id"))
