@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamkit.functions import text as tx
@@ -77,18 +78,19 @@ def condense(transcripts: DataFrame, extract: Callable[[Column], Column], embed:
     return kept, runs.withColumn("status", F.when(F.col("_none"), "failed").when(F.col("entries_created") > 0, "done").otherwise("skipped")).drop("_none")
 
 
-def store_entries(candidates: DataFrame, kb: dict[str, DataFrame], mode: str) -> dict[str, DataFrame]:
+def store_entries(candidates: DataFrame, kb: dict[str, DataFrame], mode: str, fixed: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> dict[str, DataFrame]:
     """SNK-1: the rows that candidates add to entries, tags, entry_tags, entities, entry_entities
     and relations. Candidates have project_id, title, content, category, source, tags, entities and
-    relations; the caller writes all six to one version directory, so that they appear together."""
+    relations. ``fixed`` writes rows and reads them again, so that ids, once given, are the same in all
+    six; ``commit_entries`` writes them so that they appear together."""
     body = ["project_id", "title", "content", "category", "source"]
-    rows = with_ids(candidates.withColumn("status", ingestion_status(F.col("source"), mode)), kb["entries"], body)
+    rows = fixed(with_ids(candidates.withColumn("status", ingestion_status(F.col("source"), mode)), kb["entries"], body))
     tagged = rows.select("id", "project_id", F.explode("tags").alias("name")).where("name <> ''").distinct()
-    tags = find_or_create_tags(tagged, kb["tags"])
+    tags = fixed(find_or_create_tags(tagged, kb["tags"]))
     ends = F.flatten(F.transform("relations", lambda r: F.array(F.struct(r["subject"].alias("name"), F.lit("").alias("type")), F.struct(r["object"].alias("name"), F.lit("").alias("type")))))
     own = rows.select("id", "project_id", F.explode("entities").alias("e")).select("id", "project_id", "e.name", F.coalesce("e.type", F.lit("")).alias("type")).where("name <> ''")
     far = rows.select("project_id", F.explode(ends).alias("e")).select("project_id", "e.name", "e.type")
-    entities = find_or_create_entities(own.select("project_id", "name", "type").unionByName(far), kb["entities"])
+    entities = fixed(find_or_create_entities(own.select("project_id", "name", "type").unionByName(far), kb["entities"]))
     by_name = entities.where("type = ''").select("project_id", "name", F.col("id").alias("entity_id"))
     said = rows.select(F.col("id").alias("entry_id"), "project_id", F.explode("relations").alias("r")).select("entry_id", "project_id", "r.*")
     triples = said.join(by_name.withColumnsRenamed({"name": "subject", "entity_id": "subject_id"}), ["project_id", "subject"]).join(by_name.withColumnsRenamed({"name": "object", "entity_id": "object_id"}), ["project_id", "object"])
@@ -101,3 +103,51 @@ def store_entries(candidates: DataFrame, kb: dict[str, DataFrame], mode: str) ->
         "entry_entities": own.withColumnRenamed("id", "entry_id").join(entities.select("project_id", "name", "type", F.col("id").alias("entity_id")), ["project_id", "name", "type"]).select("entry_id", "entity_id").distinct(),
         "relations": with_ids(triples.select(*keys).distinct().join(kb["relations"].select(*keys), keys, "left_anti"), kb["relations"], keys),
     }
+
+
+#: The tables that a commit writes, with the columns it gives them.
+STORED = {
+    "entries": "id long, project_id string, title string, content string, category string, source string, status string",
+    "tags": "id long, project_id string, name string",
+    "entry_tags": "entry_id long, tag_id long",
+    "entities": "id long, project_id string, name string, type string",
+    "entry_entities": "entry_id long, entity_id long",
+    "relations": "id long, project_id string, subject_id long, predicate string, object_id long, entry_id long",
+}
+
+
+def read_committed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The six tables of ``commit_entries``: the rows of commits that the list of commits names.
+
+    A table has a folder per commit, so that the join with the list prunes folders."""
+    named = spark.read.schema("commit string").parquet(f"{path}/commits").distinct()
+    return {t: spark.read.schema(f"{columns}, commit string").parquet(f"{path}/{t}").join(named, "commit", "left_semi").drop("commit") for t, columns in STORED.items()}
+
+
+def create_store(spark: SparkSession, path: str) -> None:
+    """An empty store for ``commit_entries``."""
+    for table, columns in STORED.items():
+        spark.createDataFrame([], columns).write.parquet(f"{path}/{table}")
+    spark.createDataFrame([], "commit string").write.parquet(f"{path}/commits")
+
+
+def commit_entries(candidates: DataFrame, path: str, mode: str) -> str:
+    """SNK-1: adds ``store_entries``' six outputs to a store at once, and gives the commit's name.
+
+    All six are written under the commit's name first, and seen only when the name is added to the
+    list of commits, which is one write; a commit that fails before leaves nothing that is read, and
+    may be repeated. Rows are numbered once, into work tables. One writer at a time. No candidates
+    make an empty commit."""
+    spark, commit = candidates.sparkSession, uuid.uuid4().hex
+    made = iter(range(3))
+
+    def fixed(rows: DataFrame) -> DataFrame:
+        work = f"{path}/work/{commit}-{next(made)}"
+        rows.write.parquet(work)
+        return spark.read.schema(rows.schema).parquet(work)
+
+    for table, rows in store_entries(candidates, read_committed(spark, path), mode, fixed).items():
+        columns = [c.split()[0] for c in STORED[table].split(", ")]
+        rows.select(*columns, F.lit(commit).alias("commit")).write.mode("append").partitionBy("commit").parquet(f"{path}/{table}")
+    spark.createDataFrame([(commit,)], "commit string").write.mode("append").parquet(f"{path}/commits")
+    return commit

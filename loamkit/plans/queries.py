@@ -907,3 +907,40 @@ def review_effects(spark: SparkSession, d: str) -> DataFrame:
     e = m.entries(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit(" ")))
     reviewed, _ = filters.review(e, e.where("id % 4 = 0").select("id"), False)
     return ingest.after_review(reviewed, m.chunks(spark, d), hashing_embedder(16)).select("entry_id", "chunk_index")
+
+
+@query("""WITH d AS (SELECT *, CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END AS band FROM documents),
+names AS (SELECT source, count(DISTINCT name) AS n FROM (SELECT source, unnest([lang, band]) AS name FROM d) GROUP BY source),
+ends AS (SELECT source, count(DISTINCT lang) AS n FROM d GROUP BY source)
+SELECT 'doc ' || d.doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'classifying' ELSE 'pending' END AS status, list_sort([lang, band]) AS tags, [source || ':source'] AS entities,
+       [source || ' in ' || lang] AS relations, names.n AS project_tags, 1 + ends.n AS project_entities
+FROM d JOIN names USING (source) JOIN ends USING (source)""")
+def committed_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stored with tags, entities and relations in two commits, an unfinished one between
+    them: every name has one row in its project, and nothing of the unfinished commit is seen."""
+    band = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 5000, "medium").otherwise("long")
+    docs = m.table(spark, d, "documents").select(
+        "doc_id",
+        F.col("source").alias("project_id"),
+        F.concat(F.lit("doc "), F.col("doc_id")).alias("title"),
+        F.col("text").alias("content"),
+        F.lit("insight").alias("category"),
+        F.when(F.col("doc_id") % 2 == 0, "cli").otherwise("manual").alias("source"),
+        F.array("lang", band).alias("tags"),
+        F.array(F.struct(F.col("source").alias("name"), F.lit("source").alias("type"))).alias("entities"),
+        F.array(F.struct(F.col("source").alias("subject"), F.lit("in").alias("predicate"), F.col("lang").alias("object"))).alias("relations"),
+    )
+    path = m.scratch(spark)
+    ingest.create_store(spark, path)
+    ingest.commit_entries(docs.where("doc_id % 3 <> 0").drop("doc_id"), path, "shadow")
+    lost = docs.select(F.lit(-1).cast("long").alias("id"), "project_id", F.lit("lost").alias("name"), F.lit("unfinished").alias("commit"))
+    lost.write.mode("append").partitionBy("commit").parquet(f"{path}/tags")
+    ingest.commit_entries(docs.where("doc_id % 3 = 0").drop("doc_id"), path, "shadow")
+    kb = ingest.read_committed(spark, path)
+    tags = kb["entry_tags"].join(kb["tags"].withColumnRenamed("id", "tag_id"), "tag_id").groupBy("entry_id").agg(F.sort_array(F.collect_list("name")).alias("tags"))
+    own = kb["entry_entities"].join(kb["entities"].withColumnRenamed("id", "entity_id"), "entity_id").groupBy("entry_id").agg(F.sort_array(F.collect_list(F.concat_ws(":", "name", "type"))).alias("entities"))
+    s, o = (kb["entities"].select(F.col("id").alias(f"{end}_id"), F.col("name").alias(end)) for end in ("subject", "object"))
+    said = kb["relations"].join(s, "subject_id").join(o, "object_id").groupBy("entry_id").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "subject", "predicate", "object"))).alias("relations"))
+    sizes = [kb[t].groupBy("project_id").agg(F.count(F.lit(1)).alias(f"project_{t}")) for t in ("tags", "entities")]
+    out = kb["entries"].withColumnRenamed("id", "entry_id").join(tags, "entry_id").join(own, "entry_id").join(said, "entry_id")
+    return out.join(sizes[0], "project_id").join(sizes[1], "project_id").select("title", "status", "tags", "entities", "relations", "project_tags", "project_entities")
