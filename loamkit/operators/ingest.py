@@ -116,38 +116,49 @@ STORED = {
 }
 
 
-def read_committed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The six tables of ``commit_entries``: the rows of commits that the list of commits names.
+def read_committed(spark: SparkSession, path: str, stored: dict[str, str] = STORED) -> dict[str, DataFrame]:
+    """The tables of a store: the rows of commits that the list of commits names.
 
     A table has a folder per commit, so that the join with the list prunes folders."""
     named = spark.read.schema("commit string").parquet(f"{path}/commits").distinct()
-    return {t: spark.read.schema(f"{columns}, commit string").parquet(f"{path}/{t}").join(named, "commit", "left_semi").drop("commit") for t, columns in STORED.items()}
+    return {t: spark.read.schema(f"{columns}, commit string").parquet(f"{path}/{t}").join(named, "commit", "left_semi").drop("commit") for t, columns in stored.items()}
 
 
-def create_store(spark: SparkSession, path: str) -> None:
-    """An empty store for ``commit_entries``."""
-    for table, columns in STORED.items():
+def create_store(spark: SparkSession, path: str, stored: dict[str, str] = STORED) -> None:
+    """An empty store of tables that are written by commits."""
+    for table, columns in stored.items():
         spark.createDataFrame([], columns).write.parquet(f"{path}/{table}")
     spark.createDataFrame([], "commit string").write.parquet(f"{path}/commits")
 
 
-def commit_entries(candidates: DataFrame, path: str, mode: str) -> str:
-    """SNK-1: adds ``store_entries``' six outputs to a store at once, and gives the commit's name.
-
-    All six are written under the commit's name first, and seen only when the name is added to the
-    list of commits, which is one write; a commit that fails before leaves nothing that is read, and
-    may be repeated. Rows are numbered once, into work tables. One writer at a time. No candidates
-    make an empty commit."""
-    spark, commit = candidates.sparkSession, uuid.uuid4().hex
-    made = iter(range(3))
+def work_tables(spark: SparkSession, path: str, commit: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes rows beside a commit's tables and reads them again."""
 
     def fixed(rows: DataFrame) -> DataFrame:
-        work = f"{path}/work/{commit}-{next(made)}"
+        work = f"{path}/work/{commit}-{uuid.uuid4().hex}"
         rows.write.parquet(work)
         return spark.read.schema(rows.schema).parquet(work)
 
-    for table, rows in store_entries(candidates, read_committed(spark, path), mode, fixed).items():
-        columns = [c.split()[0] for c in STORED[table].split(", ")]
-        rows.select(*columns, F.lit(commit).alias("commit")).write.mode("append").partitionBy("commit").parquet(f"{path}/{table}")
+    return fixed
+
+
+def commit_rows(spark: SparkSession, path: str, commit: str, rows: dict[str, DataFrame], stored: dict[str, str] = STORED) -> str:
+    """Adds rows to the tables of a store at once.
+
+    All are written under the commit's name first, and seen only when the name is added to the list of
+    commits, which is one write; a commit that fails before leaves nothing that is read, and may be
+    repeated. One writer at a time."""
+    for table, df in rows.items():
+        columns = [c.split()[0] for c in stored[table].split(", ")]
+        df.select(*columns, F.lit(commit).alias("commit")).write.mode("append").partitionBy("commit").parquet(f"{path}/{table}")
     spark.createDataFrame([(commit,)], "commit string").write.mode("append").parquet(f"{path}/commits")
     return commit
+
+
+def commit_entries(candidates: DataFrame, path: str, mode: str) -> str:
+    """SNK-1: adds ``store_entries``' six outputs to a store at once, and gives the commit's name.
+
+    Rows are numbered once, into work tables. No candidates make an empty commit."""
+    spark, commit = candidates.sparkSession, uuid.uuid4().hex
+    rows = store_entries(candidates, read_committed(spark, path), mode, work_tables(spark, path, commit))
+    return commit_rows(spark, path, commit, rows)

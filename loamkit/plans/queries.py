@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from loamkit.functions import text as tx
 from loamkit.functions.stem import stemmer
 from loamkit.functions.vectors import hashing_embedder
 from loamkit.operators import classify as cl
-from loamkit.operators import evaluate, filters, graph, ingest, projects, reports, search, term_index
+from loamkit.operators import evaluate, filters, graph, ingest, migrate, projects, reports, search, term_index
 from loamkit.plans import model as m
 from loamkit.plans.model import with_sql
 from loamkit.schemas import Settings
@@ -944,3 +945,84 @@ def committed_entries(spark: SparkSession, d: str) -> DataFrame:
     sizes = [kb[t].groupBy("project_id").agg(F.count(F.lit(1)).alias(f"project_{t}")) for t in ("tags", "entities")]
     out = kb["entries"].withColumnRenamed("id", "entry_id").join(tags, "entry_id").join(own, "entry_id").join(said, "entry_id")
     return out.join(sizes[0], "project_id").join(sizes[1], "project_id").select("title", "status", "tags", "entities", "relations", "project_tags", "project_entities")
+
+
+#: Legacy tables as (given table, columns), in words that Spark and DuckDB share.
+_LEGACY = {
+    "projects": ("nation", "'n' || n_nationkey AS id, n_name AS name, '/' || n_name AS root_path, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS description, CASE n_nationkey % 3 WHEN 0 THEN ' php ' WHEN 1 THEN '[\"a\", \"b\"]' ELSE '' END AS project_type, CASE WHEN n_nationkey % 2 = 1 THEN 'pt' END AS language, n_nationkey * 86400 + 0.5 AS created_at, n_nationkey * 86400 + 0.5 AS updated_at"),
+    "project_paths": ("supplier", "'n' || s_nationkey AS project_id, '/' || (s_suppkey % 7) AS path, s_suppkey + 0.25 AS created_at"),
+    "entries": ("customer", "'c' || c_custkey AS id, 'n' || c_nationkey AS project_id, c_mktsegment || (c_custkey % 3) AS title, c_name AS content, 'insight' AS category, CASE WHEN c_custkey % 2 = 0 THEN 'cli' END AS source, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS author, CASE WHEN c_custkey % 2 = 0 THEN 'indexed' ELSE 'pending' END AS status, CASE WHEN c_custkey % 7 = 0 THEN '{\"a\":1}' END AS metadata, c_custkey + 0.5 AS created_at, c_custkey + 1.5 AS updated_at"),
+    "tags": ("part", "'p' || p_partkey AS id, 'n' || (p_partkey % 25) AS project_id, p_brand AS name"),
+    "entry_tags": ("orders", "'c' || o_custkey AS entry_id, 'p' || (o_orderkey % 4001) AS tag_id"),
+    "entities": ("supplier", "'s' || s_suppkey AS id, 'n' || s_nationkey AS project_id, 'E' || (s_suppkey % 4) AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'tool' END AS type"),
+    "relations": ("lineitem", "l_orderkey * 10 + l_linenumber AS id, 'n' || (l_suppkey % 25) AS project_id, 's' || l_suppkey AS subject_id, l_returnflag AS predicate, 's' || (l_partkey % 151) AS object_id, CASE WHEN l_linenumber > 1 THEN 'c' || (l_orderkey % 2003) END AS entry_id, l_orderkey * 10 + l_linenumber + 0.5 AS created_at"),
+    "entry_entities": ("orders", "'c' || o_custkey AS entry_id, 's' || (o_orderkey % 131) AS entity_id"),
+    "entry_links": ("orders", "'c' || o_custkey AS from_entry, 'c' || (o_orderkey % 1999) AS to_entry, o_orderpriority AS relation"),
+}
+#: What the current tables hold before: some projects, entries, tags and entities.
+_HELD = {
+    "projects": ("nation", "'n' || n_nationkey AS id, n_name AS name", "n_nationkey < 5"),
+    "entries": ("nation", "n_nationkey + 1 AS id, 'n' || n_nationkey AS project_id, 'BUILDING0' AS title", "n_nationkey < 12"),
+    "tags": ("nation", "n_nationkey + 1 AS id, 'n' || n_nationkey AS project_id, 'Brand#11' AS name", "n_nationkey < 12"),
+    "entities": ("nation", "n_nationkey + 1 AS id, 'n' || n_nationkey AS project_id, 'E1' AS name", "n_nationkey < 12"),
+}
+
+
+def _select(given: DataFrame, columns: str) -> DataFrame:
+    braced = columns.replace("{", "{{").replace("}", "}}")
+    return given.sparkSession.sql(f"SELECT {braced} FROM {{given}}", given=given)
+
+
+@query(
+    "WITH "
+    + ", ".join(f"old_{t} AS (SELECT {columns} FROM {given})" for t, (given, columns) in _LEGACY.items())
+    + ", "
+    + ", ".join(f"held_{t} AS (SELECT {columns} FROM {given} WHERE {where})" for t, (given, columns, where) in _HELD.items())
+    + """, ek AS (SELECT id, project_id || ' ' || title AS k FROM old_entries), tk AS (SELECT id, project_id || ' ' || name AS k FROM old_tags), nk AS (SELECT id, project_id || ' ' || name AS k FROM old_entities),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, title ORDER BY created_at, id) AS r FROM old_entries) WHERE r = 1 AND (project_id, title) NOT IN (SELECT (project_id, title) FROM held_entries)),
+r AS (SELECT * FROM (SELECT l.project_id, s.k AS s, l.predicate, o.k AS o, ek.k AS e, l.created_at, row_number() OVER (PARTITION BY l.project_id, s.k, l.predicate, o.k ORDER BY l.created_at, l.id) AS n
+  FROM old_relations l JOIN nk s ON s.id = l.subject_id JOIN nk o ON o.id = l.object_id LEFT JOIN ek ON ek.id = l.entry_id) WHERE n = 1)
+SELECT 'projects' AS kind, id AS a, name || ' ' || coalesce(description, '') AS b, CASE WHEN project_type = ' php ' THEN 'php' WHEN project_type = '' THEN '' ELSE 'a,b' END || ' ' || coalesce(language, 'en') AS c, CAST(floor(created_at) AS BIGINT) AS at, false AS known FROM old_projects WHERE id NOT IN (SELECT id FROM held_projects)
+UNION ALL SELECT 'project_paths', project_id, path, '', CAST(floor(min(created_at)) AS BIGINT), false FROM old_project_paths GROUP BY project_id, path
+UNION ALL SELECT 'entries', project_id || ' ' || title, content || ' ' || category || ' ' || coalesce(source, 'manual') || ' ' || coalesce(author, ''), CASE WHEN status = 'indexed' THEN 'approved' ELSE status END || ' ' || coalesce(metadata, '{}'), CAST(floor(created_at) AS BIGINT), false FROM e
+UNION ALL SELECT DISTINCT 'tags', k, '', '', 0, false FROM tk WHERE k NOT IN (SELECT project_id || ' ' || name FROM held_tags)
+UNION ALL SELECT DISTINCT 'entities', k, coalesce(e.type, ''), '', 0, false FROM nk JOIN old_entities e USING (id) WHERE k NOT IN (SELECT project_id || ' ' || name FROM held_entities)
+UNION ALL SELECT DISTINCT 'entry_tags', ek.k, tk.k, '', 0, ek.k IN (SELECT project_id || ' ' || title FROM held_entries) FROM old_entry_tags x JOIN ek ON ek.id = x.entry_id JOIN tk ON tk.id = x.tag_id
+UNION ALL SELECT 'relations', project_id || ' ' || s, predicate || ' ' || o, coalesce(e, ''), CAST(floor(created_at) AS BIGINT), s IN (SELECT project_id || ' ' || name FROM held_entities) FROM r
+UNION ALL SELECT DISTINCT 'entry_entities', ek.k, nk.k, '', 0, ek.k IN (SELECT project_id || ' ' || title FROM held_entries) FROM old_entry_entities x JOIN ek ON ek.id = x.entry_id JOIN nk ON nk.id = x.entity_id
+UNION ALL SELECT DISTINCT 'entry_links', f.k, t.k, x.relation, 0, f.k IN (SELECT project_id || ' ' || title FROM held_entries) FROM old_entry_links x JOIN ek f ON f.id = x.from_entry JOIN ek t ON t.id = x.to_entry"""
+)
+def legacy_import(spark: SparkSession, d: str) -> DataFrame:
+    """Nine legacy tables imported beside what is held: the rows added, ids put back into names;
+    ``known`` rows hang on an entry or entity that was held before."""
+    old = {t: _select(m.table(spark, d, given), columns) for t, (given, columns) in _LEGACY.items()}
+    kb = {t: spark.createDataFrame([], columns) for t, columns in migrate.IMPORTED.items()}
+    for t, (given, columns, where) in _HELD.items():
+        kb[t] = kb[t].unionByName(_select(m.table(spark, d, given).where(where), columns), allowMissingColumns=True)
+    path = m.scratch(spark)
+    new = migrate.import_legacy(old, kb, F.lit(m.AS_OF).cast("timestamp"), ingest.work_tables(spark, path, "import"))
+
+    def named(table: str, name: str) -> DataFrame:
+        rows = kb[table].select("id", "project_id", name, F.lit(True).alias("held")).unionByName(new[table].select("id", "project_id", name, F.lit(False).alias("held")))
+        return rows.select("id", F.concat_ws(" ", "project_id", name).alias("k"), "held")
+
+    e, t, n = named("entries", "title"), named("tags", "name"), named("entities", "name")
+
+    def linked(table: str, one: tuple[str, DataFrame], two: tuple[str, DataFrame], rest: str) -> DataFrame:
+        left, right = (names.select(F.col("id").alias(c), F.col("k").alias(f"k{i}"), F.col("held").alias(f"h{i}")) for i, (c, names) in enumerate((one, two)))
+        return new[table].join(left, one[0]).join(right, two[0]).selectExpr("k0 AS a", "k1 AS b", f"{rest} AS c", "0L AS at", "h0 AS known")
+
+    ends = [n.select(F.col("id").alias(f"{end}_id"), F.col("k").alias(end), F.col("held").alias(f"h_{end}")) for end in ("subject", "object")]
+    said = new["relations"].join(ends[0], "subject_id").join(ends[1], "object_id").join(e.select(F.col("id").alias("entry_id"), "k"), "entry_id", "left")
+    parts = {
+        "projects": new["projects"].selectExpr("id AS a", "name || ' ' || description AS b", "array_join(project_type, ',') || ' ' || language AS c", "unix_timestamp(created_at) AS at", "false AS known"),
+        "project_paths": new["project_paths"].selectExpr("project_id AS a", "path AS b", "'' AS c", "unix_timestamp(created_at) AS at", "false AS known"),
+        "entries": new["entries"].selectExpr("project_id || ' ' || title AS a", "concat_ws(' ', content, category, source, author) AS b", "status || ' ' || metadata AS c", "unix_timestamp(created_at) AS at", "false AS known"),
+        "tags": new["tags"].selectExpr("project_id || ' ' || name AS a", "'' AS b", "'' AS c", "0L AS at", "false AS known"),
+        "entities": new["entities"].selectExpr("project_id || ' ' || name AS a", "type AS b", "'' AS c", "0L AS at", "false AS known"),
+        "entry_tags": linked("entry_tags", ("entry_id", e), ("tag_id", t), "''"),
+        "relations": said.selectExpr("project_id || ' ' || subject AS a", "predicate || ' ' || object AS b", "coalesce(k, '') AS c", "unix_timestamp(created_at) AS at", "h_subject AS known"),
+        "entry_entities": linked("entry_entities", ("entry_id", e), ("entity_id", n), "''"),
+        "entry_links": linked("entry_links", ("from_entry", e), ("to_entry", e), "relation"),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(kind).alias("kind"), "*") for kind, rows in parts.items()])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamkit.functions.text import trimmed
+
 
 def from_epoch(col: str) -> F.Column:
     """DT-1: seconds since 1970, fraction cut off, as a timestamp."""
@@ -45,8 +47,11 @@ def remap(dependent: DataFrame, maps: dict[str, DataFrame], legacy_id: str = "uu
 
 
 def migrate_projects(legacy: DataFrame) -> DataFrame:
-    """SRC-6: projects with a scalar type as a list and epoch times as timestamps."""
-    kinds = F.when(F.coalesce(F.col("project_type"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array("project_type"))
+    """SRC-6: projects with a scalar type as a list, a list in JSON as that list, and epoch times as
+    timestamps."""
+    kind = trimmed(F.coalesce(F.col("project_type"), F.lit("")))
+    listed = F.when(kind.startswith("["), F.from_json(kind, "array<string>"))
+    kinds = F.coalesce(listed, F.when(kind == "", F.array().cast("array<string>")).otherwise(F.array(kind)))
     return legacy.withColumns({"project_type": kinds, "created_at": from_epoch("created_at"), "updated_at": from_epoch("updated_at")})
 
 
