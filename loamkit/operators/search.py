@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamkit.functions.text import snippet
 from loamkit.functions.vectors import dot, norm  # noqa: F401  (dot for callers)
 from loamkit.operators.filters import entry_filter, given
 
@@ -125,17 +126,22 @@ def keyword_search(queries: DataFrame, index: DataFrame, n_entries: Column | flo
     return ranked(hits.where("m = n_terms").select("query_id", "entry_id", "score"), [F.desc("score"), F.asc("entry_id")], k)
 
 
+#: What results keep of the arms that found them: the chunk, its similarity, and the BM25 score.
+DETAILS = ("chunk_index", "similarity", "keyword_score")
+
+
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
-    """OP-3: reciprocal-rank fusion: query_id, entry_id, fusion, matched_by, iter_order, chunk_index.
+    """OP-3: reciprocal-rank fusion: query_id, entry_id, fusion, matched_by, iter_order and DETAILS.
 
     iter_order is the order in which the fused list is walked: vector hits by rank, then those by
     keyword alone."""
-    v = vector.select("query_id", "entry_id", F.col("rank").alias("vrank"), *(["chunk_index"] if "chunk_index" in vector.columns else [F.lit(None).cast("int").alias("chunk_index")]))
-    w = keyword.select("query_id", "entry_id", F.col("rank").alias("krank"))
+    part = lambda hits, name, kind, given: (F.col(given) if given in hits.columns else F.lit(None).cast(kind)).alias(name)
+    v = vector.select("query_id", "entry_id", F.col("rank").alias("vrank"), part(vector, "chunk_index", "int", "chunk_index"), part(vector, "similarity", "double", "similarity"))
+    w = keyword.select("query_id", "entry_id", F.col("rank").alias("krank"), part(keyword, "keyword_score", "double", "score"))
     both = v.join(w, ["query_id", "entry_id"], "full_outer")
     term = lambda r: F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0))
     matched = F.array_compact(F.array(F.when(F.col("vrank").isNotNull(), "vector"), F.when(F.col("krank").isNotNull(), "keyword")))
-    return both.select("query_id", "entry_id", (term("vrank") + term("krank")).alias("fusion"), matched.alias("matched_by"), F.coalesce("vrank", F.col("krank") + 1_000_000_000).alias("iter_order"), "chunk_index")
+    return both.select("query_id", "entry_id", (term("vrank") + term("krank")).alias("fusion"), matched.alias("matched_by"), F.coalesce("vrank", F.col("krank") + 1_000_000_000).alias("iter_order"), *DETAILS)
 
 
 def expand_graph(fused: DataFrame, entry_entities: DataFrame, relations: DataFrame, weight: float = 0.3, project: str | None = None) -> DataFrame:
@@ -150,7 +156,8 @@ def expand_graph(fused: DataFrame, entry_entities: DataFrame, relations: DataFra
     found = steps.where("entry_id <> to_entry").groupBy("query_id", F.col("to_entry").alias("entry_id")).agg(first.alias("p"))
     fresh = found.join(fused.select("query_id", "entry_id"), ["query_id", "entry_id"], "left_anti")
     more = fresh.select("query_id", "entry_id", (F.col("p.fusion") * weight).alias("fusion"), F.array(F.lit("graph")).alias("matched_by"))
-    return fused.select("query_id", "entry_id", "fusion", "matched_by").unionByName(more)
+    kept = [c for c in DETAILS if c in fused.columns]
+    return fused.select("query_id", "entry_id", "fusion", "matched_by", *kept).unionByName(more, allowMissingColumns=True)
 
 
 def limited(results: DataFrame, limit: int = 10) -> DataFrame:
@@ -168,6 +175,18 @@ def hydrate(results: DataFrame, entries: DataFrame, entry_tags: DataFrame | None
     return out
 
 
+def with_snippets(results: DataFrame, queries: DataFrame, chunk_texts: DataFrame) -> DataFrame:
+    """OP-5, TX-4: hydrated results with the snippet of the chunk that matched, of ``chunk_texts``
+    (entry_id, chunk_index, content), else of the entry; and whether the graph alone found them.
+
+    Terms of ``queries`` are in bold; a query without terms shows the beginning."""
+    parts = chunk_texts.select("entry_id", "chunk_index", F.col("content").alias("_part"))
+    asked = queries.select("query_id", F.array_distinct("terms").alias("_terms"))
+    out = results.join(parts, ["entry_id", "chunk_index"], "left").join(asked, "query_id", "left")
+    shown = snippet(F.coalesce("_part", "content"), F.col("_terms"))
+    return out.withColumns({"snippet": shown, "graph_expanded": F.array_contains("matched_by", "graph")}).drop("_part", "_terms")
+
+
 def result_line(position: str = "position") -> Column:
     """TX-10: ``[n] title (category) [tags] [matched] (score)``."""
     tag_text = F.when(F.size("tags") > 0, F.concat(F.lit(" ["), F.array_join("tags", ", "), F.lit("]"))).otherwise("")

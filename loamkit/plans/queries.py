@@ -182,6 +182,26 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "entry_id", "rank", "title", "category", F.round("fusion", 12).alias("fusion"), "matched_by", "tags")
 
 
+_RESULTS = f""", {_SIM}, {_KEY_OK}, {_FUSED}, {_EXPANDED}, asked AS (SELECT query_id, list(term) AS ts FROM tq GROUP BY query_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fusion, 12) DESC, entry_id) - 1 AS rank FROM expanded) WHERE rank < 10),
+found AS (SELECT t.query_id, t.entry_id, t.rank, t.matched_by, v.chunk_index, v.similarity, k.score AS keyword_score, ts, coalesce(string_split(e.content, chr(10))[v.chunk_index + 1], e.content) AS content
+  FROM top t JOIN entries e ON e.id = t.entry_id AND e.status = 'approved' LEFT JOIN vec v ON v.query_id = t.query_id AND v.entry_id = t.entry_id LEFT JOIN kw k ON k.query_id = t.query_id AND k.entry_id = t.entry_id LEFT JOIN asked a ON a.query_id = t.query_id),
+located AS (SELECT *, coalesce(list_min(list_filter(list_transform(ts, lambda t: instr(lower(content), t)), lambda p: p > 0)), 0) AS spot FROM found),
+spaced AS (SELECT *, regexp_replace(substring(content, greatest(spot - 100, 1), 200), '({{word}})', chr(1) || '\\1' || chr(1), 'g') AS part FROM located)
+SELECT query_id, entry_id, rank, chunk_index, similarity, keyword_score, list_contains(matched_by, 'graph') AS graph_expanded,
+       CASE WHEN spot > 0 THEN replace(regexp_replace(part, '(^|\\x01)(' || array_to_string(ts, '|') || ')(\\x01|$)', '<b>\\2</b>', 'gi'), chr(1), '') ELSE substring(content, 1, 200) END AS snippet FROM spaced"""
+
+
+@query(with_sql("entries chunks vq postings tq relations entry_entities", _RESULTS.replace("{word}", r"[^\p{L}\p{N}]")))
+def hybrid_results(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid results as they are shown: which chunk matched and how well, and a snippet of it; a line
+    of an entry stands for its chunk's text."""
+    e, asked = m.entries(spark, d), m.text_queries(spark, d)
+    lines = e.select(F.col("id").alias("entry_id"), F.posexplode(F.split("content", "\n")).alias("chunk_index", "content"))
+    out = search.with_snippets(_hybrid(spark, d, m.relations(spark, d)), asked, lines)
+    return out.select("query_id", "entry_id", "rank", "chunk_index", "similarity", "keyword_score", "graph_expanded", "snippet")
+
+
 def _narrowed(sql: str) -> str:
     return sql.replace("status = 'approved'", "status = 'approved' AND project_id = 'src1' AND category = 'insight'")
 
