@@ -64,7 +64,7 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
 FIXTURE = (
     "struct<id:string,candidate:struct<title:string,content:string,category:string,source:string,tags:array<string>,"
     "entities:array<struct<name:string,type:string>>,relations:array<struct<subject:string,predicate:string,object:string>>>,"
-    "expected:struct<vetoed:boolean,rules:array<string>,semantic_score:int,final_score:int,verdict:string>,candidate_hash:string>"
+    "expected:struct<vetoed:boolean,rules:array<string>,semantic_score:int,final_score:int,verdict:string,verdict_at:map<string,string>>,candidate_hash:string>"
 )
 
 
