@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loamkit.functions import text as tx
 from loamkit.functions.replies import candidates as parse_candidates
 from loamkit.functions.rules import ingestion_status
+from loamkit.operators.classify import release_all
 from loamkit.operators.filters import indexable
 from loamkit.operators.graph import find_or_create_entities, find_or_create_tags
 from loamkit.operators.search import near_duplicates
@@ -53,6 +54,14 @@ def after_review(entries: DataFrame, chunks: DataFrame, embed: Callable[[Column]
     return index(due, kept, embed, max_bytes=max_bytes)
 
 
+def demote_stranded(entries: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], max_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """SC-8: (entries, chunks) once every entry that is still being classified has become pending; each
+    of those is indexed anew, none is lost."""
+    after = release_all(entries)
+    due = after.join(entries.where("status = 'classifying'").select("id"), "id", "left_semi")
+    return after, index(due, chunks, embed, max_bytes=max_bytes)
+
+
 def import_documents(documents: DataFrame, project: str, category: str = "documentation", tags: tuple[str, ...] = ()) -> DataFrame:
     """OP-8: one entry per markdown section or text file, with the tags; pending, never classified."""
     name = F.regexp_extract("path", "([^/]*)\\z", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamkit.functions.text import slug, trimmed
+from loamkit.functions.text import slug, strings_only, technologies, text_config, trimmed
 
 
 def ancestors(path: str) -> F.Column:
@@ -41,3 +41,22 @@ def update_projects(projects: DataFrame, patches: DataFrame, fields: list[str])
     named = patches.select("id", *[F.col(f).alias(f"_{f}") for f in fields])
     out = projects.join(named, "id", "left")
     return out.withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
+
+
+def patch_projects(projects: DataFrame, patches: DataFrame, known: list[str]) -> tuple[DataFrame, DataFrame]:
+    """OP-18, TX-6: (projects, report) after patches (id, technologies, description, language).
+
+    A null field changes nothing, an empty one clears. Technologies replace ``project_type`` as a
+    whole, those not in ``known`` as ``other``. The report has (id, changed, unknown, retold): the
+    names of the fields supplied, what was taken for ``other``, and whether the project's texts are
+    now read in another language, so that their terms are to be made anew (``term_index.retell``).
+    Of several patches of a project one, the least, counts; patches of no project fall away."""
+    fields = ["technologies", "description", "language"]
+    one = patches.groupBy("id").agg(F.min(F.struct(*fields)).alias("p")).select("id", *[F.col(f"p.{f}").alias(f"_{f}") for f in fields])
+    t = technologies(strings_only(F.col("_technologies")), known)
+    out = projects.join(one.withColumn("_t", F.when(F.col("_technologies").isNotNull(), t)), "id", "left").withColumn("_was", F.col("language"))
+    out = out.withColumns({"project_type": F.coalesce("_t.technologies", "project_type"), "description": F.coalesce("_description", "description"), "language": F.coalesce("_language", "language")})
+    changed = F.array_compact(F.array(*[F.when(F.col(f"_{f}").isNotNull(), F.lit(f)) for f in fields]))
+    retold = text_config(F.coalesce("_was", F.lit(""))) != text_config(F.coalesce("language", F.lit("")))
+    report = out.join(one.select("id"), "id", "left_semi").select("id", changed.alias("changed"), F.coalesce(F.array_distinct("_t.unknown"), F.array().cast("array<string>")).alias("unknown"), retold.alias("retold"))
+    return out.drop(*[f"_{f}" for f in fields], "_t", "_was"), report

@@ -110,6 +110,13 @@ def update(path: str, entries: DataFrame, entry_tags: DataFrame, projects: DataF
     held.write.mode("append").parquet(f"{path}/entries")
 
 
+def retell(path: str, report: DataFrame, entries: DataFrame, entry_tags: DataFrame, projects: DataFrame, stems=None) -> None:  # noqa: ANN001
+    """OP-18: the terms of all entries of projects that are now told in another language (``retold`` in
+    the report of ``patch_projects``), made anew; other projects' stay as they are."""
+    due = entries.join(report.where("retold").select(F.col("id").alias("project_id")), "project_id", "left_semi")
+    update(path, due, entry_tags.join(due.select(F.col("id").alias("entry_id")), "entry_id", "left_semi"), projects, stems)
+
+
 def live(spark: SparkSession, path: str) -> DataFrame:
     """(entry_id, edition, len) of the entries in the index."""
     last = log(spark, path).groupBy("entry_id").agg(F.max_by(F.struct("edition", "len"), "seq").alias("l"))

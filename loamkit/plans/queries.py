@@ -671,6 +671,20 @@ def update_projects(spark: SparkSession, d: str) -> DataFrame:
     return projects.update_projects(p, patches, ["name", "language"])
 
 
+@query(f"""WITH {_PROJECTS}, p AS (SELECT *, id IN ('src0', 'src1') AS tech, id = 'src2' AS told, id IN ('src1', 'src3') AS plain FROM projects)
+SELECT id, CASE WHEN tech THEN ['en', 'other'] ELSE [language] END AS technologies, CASE WHEN plain THEN '' ELSE name END AS description, CASE WHEN told THEN CASE WHEN language LIKE 'es%' THEN 'pt' ELSE 'es' END ELSE language END AS language,
+       CASE WHEN tech OR told OR plain THEN list_filter([CASE WHEN tech THEN 'technologies' END, CASE WHEN plain THEN 'description' END, CASE WHEN told THEN 'language' END], lambda x: x IS NOT NULL) END AS changed,
+       CASE WHEN tech THEN [' Cobol', id, 'Cobol'] WHEN told OR plain THEN [] END AS unknown, CASE WHEN tech OR told OR plain THEN told END AS retold FROM p""")
+def project_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Projects with their technologies, descriptions or languages patched, and what was changed."""
+    p = _projects(spark, d).withColumns({"project_type": F.array("language"), "description": F.col("name")})
+    tech, told, plain = F.col("id").isin("src0", "src1"), F.col("id") == "src2", F.col("id").isin("src1", "src3")
+    names = F.array(F.lit("EN "), F.lit(" Cobol"), F.col("id"), F.lit("en"), F.lit(" "), F.lit("Cobol"), F.lit(" Cobol"))
+    patches = p.where(tech | told | plain).select("id", F.when(tech, names).alias("technologies"), F.when(plain, "").alias("description"), F.when(told, F.when(F.col("language").startswith("es"), "pt").otherwise("es")).alias("language"))
+    after, report = projects.patch_projects(p, patches, ["en", "pt", "es"])
+    return after.join(report, "id", "left").select("id", F.col("project_type").alias("technologies"), "description", "language", "changed", "unknown", "retold")
+
+
 _FOC = """want AS (SELECT DISTINCT 'tpch' AS project_id, c_mktsegment AS name, '' AS type FROM customer UNION SELECT DISTINCT 'tpch', n_name, '' FROM nation UNION SELECT DISTINCT 'tpch', p_brand, 'brand' FROM part)"""
 
 
@@ -967,6 +981,18 @@ def committed_entries(spark: SparkSession, d: str) -> DataFrame:
     return out.join(sizes[0], "project_id").join(sizes[1], "project_id").select("title", "status", "tags", "entities", "relations", "project_tags", "project_entities")
 
 
+@query(with_sql("entries chunks", """, now AS (SELECT id, content, status = 'classifying' AS stranded, CASE WHEN status = 'classifying' THEN 'pending' ELSE status END AS status FROM entries)
+SELECT entry_id, chunk_index, n.status, false AS made FROM chunks JOIN now n ON n.id = entry_id WHERE NOT stranded
+UNION ALL SELECT id, 0, status, true FROM now WHERE stranded AND content <> ''"""))
+def stranded_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Entries left being classified become pending and are indexed anew, as one chunk, since lines are
+    joined here; the chunks of the others stay."""
+    e = m.entries(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit(" ")))
+    old = m.chunks(spark, d).withColumn("made", F.lit(False))
+    after, held = ingest.demote_stranded(e, old, hashing_embedder(16))
+    return held.join(after.select(F.col("id").alias("entry_id"), "status"), "entry_id").select("entry_id", "chunk_index", "status", F.coalesce("made", F.lit(True)).alias("made"))
+
+
 #: Legacy tables as (given table, columns), in words that Spark and DuckDB share.
 _LEGACY = {
     "projects": ("nation", "'n' || n_nationkey AS id, n_name AS name, '/' || n_name AS root_path, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS description, CASE n_nationkey % 3 WHEN 0 THEN ' php ' WHEN 1 THEN '[\"a\", \"b\"]' ELSE '' END AS project_type, CASE WHEN n_nationkey % 2 = 1 THEN 'pt' END AS language, n_nationkey * 86400 + 0.5 AS created_at, n_nationkey * 86400 + 0.5 AS updated_at"),
