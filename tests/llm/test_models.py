@@ -63,6 +63,24 @@ def test_mix_numbers_rows_over_many_buckets(spark, monkeypatch):
     assert sorted(r.mix_position for r in got.collect()) == list(range(600))
 
 
+def test_mix_splits_buckets_of_repeated_rows(spark):
+    """5 000 equal rows of one source, among others: every row has a place, no bucket holds them all."""
+    df = spark.range(5000).selectExpr("1L AS doc_id", "'same' AS text", "'a' AS source").union(spark.range(300).selectExpr("id", "'t' || id", "if(id % 3 = 0, 'b', 'a')"))
+    got = pfair_mix.mix(df, block_docs=1, bucket_rows=20).select("source", "mix_position", "text").toPandas()
+    assert sorted(got.mix_position) == list(range(5300)) and (got.text == "same").sum() == 5000
+    keyed = df.selectExpr("*", "0L AS __pf_source", "xxhash64(text) AS __pf_h").selectExpr("*", "pmod(__pf_h, 265) AS __pf_bucket")
+    rows, sizes = pfair_mix._spread(keyed, 20)
+    assert sizes.agg({"n": "sum"}).first()[0] == rows.count() == 5300 and sizes.agg({"n": "max"}).first()[0] <= 160
+
+
+def test_schedule_is_the_same_in_any_pieces():
+    whole = np.concatenate([p.table() for p in pfair_mix._pieces([5, 3, 9], [40, 17, 90])], axis=1)
+    for rows in (1, 7):
+        pieces = list(pfair_mix._pieces([5, 3, 9], [40, 17, 90], rows))
+        assert max(len(p.source) for p in pieces) <= rows
+        assert (np.concatenate([p.table() for p in pieces], axis=1) == whole).all()
+
+
 def test_mix_keeps_to_small_targets(spark):
     """0.99985 and 0.00015 of 20 000 slots: every source within one block of its target."""
     df = spark.createDataFrame([("a", 19_997), ("b", 3)], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS doc_id")
