@@ -1,5 +1,9 @@
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.ml.feature import StopWordsRemover
@@ -111,3 +115,10 @@ def test_an_empty_index_finds_nothing(spark, made):
     path, e, _, projects = made
     queries = ti.query_terms(asked(spark, [(1, "walls", None, None)]), projects)
     assert ti.find(spark, path, queries, e).count() == 0 and ti.statistics(spark, path) == (0.0, 1.0)
+
+
+def test_queries_are_found_where_the_jars_of_spark_lie_elsewhere(tmp_path):
+    code = f"import pyspark; pyspark.__file__ = {str(tmp_path / '__init__.py')!r}; import __spark_entry__ as e; print(len(e.queries()))"
+    root = Path(ti.__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, check=True)
+    assert int(out.stdout) > 100
