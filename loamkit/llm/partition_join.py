@@ -59,9 +59,11 @@ FEW, ROUNDS = 4, 3
 #: 64-bit words of the parities of a set's shingles by places: sets differ in at least as many shingles
 #: as their parities do in places.
 PARITIES = 8
+#: Subsets that are looked at together when those that several crowds have are sought, and those that a
+#: task lays out before it sends them off, a row for each such bucket.
+BUCKET_KEYS, FLUSH_KEYS = 1 << 20, 1 << 20
 #: Bytes of texts in a batch, as a batch gives several times its bytes.
 SMALL_BATCH = 8 << 20
-SIDE, SPARE = 1, 27  # bits of a row's meta below the set's size
 
 
 def differing(total: int, percent: int = PERCENT) -> int:
@@ -110,13 +112,17 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return _joined(x, np.full(1, salt, np.uint64))
 
 
-def _laid(tokens: np.ndarray, band: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per segment the number and the summed hash of its shingles; per shingle segment and hash."""
+def _laid(tokens: np.ndarray, value: np.ndarray, band: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per segment the number and the summed hash of its shingles, of given values; per shingle its
+    segment."""
     place = (_mixed(tokens, band) % np.uint64(segments)).astype(np.int64)
-    value = _mixed(tokens, 1 << 40)
     content = np.zeros(segments, np.uint64)
     np.add.at(content, place, value)
-    return np.bincount(place, minlength=segments), content, place, value
+    return np.bincount(place, minlength=segments), content, place
+
+
+def _values(tokens: np.ndarray) -> np.ndarray:
+    return _mixed(tokens, 1 << 40)
 
 
 def _key(band: int, segment: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -130,11 +136,11 @@ def _next_band(low: int, percent: int) -> int:
 def _placed(tokens: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(side, spare, keys): the subsets of all segments of a set's own band, and of the next band as
     many of the fullest as it may need; spare are those beyond its need."""
-    n = len(tokens)
+    n, value = len(tokens), _values(tokens)
     low, own, following, h_own, h_next = layout(n, percent)
     for side, band, segments, h in ((0, low, own, h_own), (1, _next_band(low, percent), following, h_next)):
         if h or not side and band < _next_band(low, percent) - 1:  # a band of one size has no links of its own
-            number, content, _, _ = _laid(tokens, band, segments)
+            number, content, _ = _laid(tokens, value, band, segments)
             chosen = np.arange(segments)
             if side:
                 wanted = min(segments, h + 3 + int(h * VISITOR_SLACK))
@@ -156,43 +162,79 @@ def _names(prefix: str = "p") -> list[str]:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(uid, doc_id, n, g1, g2, own, next, p0 and so on, text): every row with the size and a hash of
-    its set, its subsets of least hash and its parities."""
+    """(uid, doc_id, n, g1, g2, laid, spare0, spare1, own, next, p0 and so on, text): every row with the size
+    and a hash of its set, the number of its subsets and of those to spare on either side, its subsets of
+    least hash and its parities."""
     lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingles(batch.column(2))
             few: tuple[list[list[int]], list[list[int]]] = ([], [])
-            for tokens in sets:
-                least = {side: np.sort(keys)[:FEW].tolist() for side, _, keys in _placed(tokens, percent)} if len(tokens) else {}
+            counts = np.zeros((3, len(sets)), np.int64)
+            for i, tokens in enumerate(sets):
+                least = {}
+                for side, spare, keys in _placed(tokens, percent) if len(tokens) else ():
+                    least[side] = np.sort(keys)[:FEW].tolist()
+                    counts[0, i] += len(keys)
+                    counts[1 + side, i] = spare
                 for side in (0, 1):
                     few[side].append(least.get(side, []))
             with np.errstate(over="ignore"):
                 sums = [pa.array(np.array([_mixed(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for salt in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *sums, *(pa.array(x, lists) for x in few), *_parities(sets), batch.column(2)], names=["uid", "doc_id", "n", "g1", "g2", "own", "next", *_names(), "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *sums, *map(pa.array, counts), *(pa.array(x, lists) for x in few), *_parities(sets), batch.column(2)], names=["uid", "doc_id", "n", "g1", "g2", "laid", "spare0", "spare1", "own", "next", *_names(), "text"])
 
     small_batches(docs.sparkSession, size=SMALL_BATCH)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "uid long, doc_id long, n long, g1 long, g2 long, own array<long>, next array<long>, " + ", ".join(f"{p} long" for p in _names()) + ", text string")
+    return rows.mapInArrow(run, "uid long, doc_id long, n long, g1 long, g2 long, laid long, spare0 long, spare1 long, own array<long>, next array<long>, " + ", ".join(f"{p} long" for p in _names()) + ", text string")
 
 
-def _subsets(texts: DataFrame, percent: int) -> DataFrame:
-    """(key, node, crowd, meta) of each of (node, crowd, text)."""
+def _subsets(texts: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(bucket, side, keys, nodes, crowds): the subsets of each of (node, crowd, text), as arrays of 64-bit
+    integers, those of a bucket and side in one row for many texts."""
+
+    def dealt(keys: list[np.ndarray], owners: list[tuple[int, int]], sides: list[int]) -> pa.RecordBatch:
+        key, many = np.concatenate(keys), [len(k) for k in keys]
+        place = (key.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets) * np.uint64(2) + np.repeat(np.array(sides, np.uint64), many)
+        order = np.argsort(place, kind="stable")
+        rows, ends = np.unique(place[order], return_index=True)
+        offsets = pa.py_buffer((np.append(ends, len(key)) * 8).astype(np.int32))
+        columns = [key, *(np.repeat(x, many) for x in np.array(owners, np.int64).T)]
+        lists = [pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(x[order]))]) for x in columns]
+        where = rows.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(where >> 1), pa.array(where & 1), *lists], names=["bucket", "side", "keys", "nodes", "crowds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, sides, held = [], [], [], 0
         for batch in batches:
-            keys, owners, metas, many = [np.zeros(0, np.int64)], [], [], []
-            for i, tokens in enumerate(shingles(batch.column(2))):
-                for side, spare, found in _placed(tokens, percent):
+            for owner, tokens in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), shingles(batch.column(2))):
+                for side, _, found in _placed(tokens, percent):
                     keys.append(found)
-                    owners.append(i)
-                    metas.append(len(tokens) << SPARE + SIDE | spare << SIDE | side)
-                    many.append(len(found))
-            owner, meta = (pa.array(np.repeat(np.array(x, np.int64), many)) for x in (owners, metas))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(owner), batch.column(1).take(owner), meta], names=["key", "node", "crowd", "meta"])
-
-    return texts.select("node", "crowd", "text").mapInArrow(run, "key long, node long, crowd long, meta long")
+                    owners.append(owner)
+                    sides.append(side)
+                    held += len(found)
+                if held >= FLUSH_KEYS:
+                    yield dealt(keys, owners, sides)
+                    keys, owners, sides, held = [], [], [], 0
+        if held:
+            yield dealt(keys, owners, sides)
+
+    return texts.select("node", "crowd", "text").mapInArrow(run, "bucket long, side long, keys binary, nodes binary, crowds binary")
+
+
+def _several(bucket: pa.Table) -> pa.Table:
+    """(key, node, crowd, side, owners) of the subsets of a bucket that several crowds have."""
+    whole = lambda name: np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in bucket[name]])
+    key, node, crowd = whole("keys"), whole("nodes"), whole("crowds")
+    side = np.repeat(bucket["side"].to_numpy(), [len(x.as_buffer()) // 8 for x in bucket["keys"]])
+    order = np.argsort(key)
+    key, node, crowd, side = key[order], node[order], crowd[order], side[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    owners = np.add.reduceat(1 - side, first)
+    wanted = (owners > 0) & (np.minimum.reduceat(crowd, first) != np.maximum.reduceat(crowd, first))
+    many = np.diff(np.append(first, len(key)))
+    at = np.flatnonzero(np.repeat(wanted, many))
+    return pa.table({"key": key[at], "node": node[at], "crowd": crowd[at], "side": side[at], "owners": np.repeat(owners, many)[at]})
 
 
 def _neighbourhoods(texts: DataFrame, percent: int) -> DataFrame:
@@ -205,11 +247,11 @@ def _neighbourhoods(texts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             hard = batch.column(2).to_pylist()
             for i, tokens in enumerate(shingles(batch.column(3))):
-                n, parts = len(tokens), []
+                n, value, parts = len(tokens), _values(tokens), []
                 low, own, following, h_own, h_next = layout(n, percent)
                 for side, band, segments, h in ((0, low, own, h_own), (1, _next_band(low, percent), following, h_next)):
                     if not side or (hard[i] and h):
-                        _, content, place, value = _laid(tokens, band, segments)
+                        _, content, place = _laid(tokens, value, band, segments)
                         where = np.concatenate([np.arange(segments), place])
                         what = np.concatenate([content, content[place] - value])
                         less = np.arange(len(where)) >= segments
@@ -266,7 +308,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links)."""
     rows = materialize(_sets(docs, id_col, text_col, percent), "pj-rows")
     keys = ["n", "g1", "g2"]
-    nodes = rows.where("n > 0").groupBy(*keys).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in _names()])
+    nodes = rows.where("n > 0").groupBy(*keys).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in ("laid", "spare0", "spare1", *_names())])
     nodes = materialize(nodes, "pj-nodes")
     parities = sized(nodes.select("node", *_names()))
     # the one text of every different set
@@ -288,26 +330,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = materialize(stars.select("a", "s.b", "ca", "s.cb"), "pj-stars")
         crowds = _moved(crowds, _linked(pairs, texts, percent))
 
-    # all subsets; of use are those that several crowds have. Counts and rows read one shuffle
-    size, side = F.shiftrightunsigned("meta", SPARE + SIDE), F.col("meta").bitwiseAND(F.lit(1))
-    spare = F.shiftrightunsigned("meta", SIDE).bitwiseAND(F.lit((1 << SPARE) - 1))
-    dealt = _subsets(texts.join(sized(crowds), "node"), percent).repartition("key")
-    mixed = dealt.groupBy("key").agg(F.sum(1 - side).alias("owners"), F.min("crowd").alias("low"), F.max("crowd").alias("high"), F.max("node").alias("last"))
-    mixed = mixed.where("owners > 0 AND low <> high AND last IS NOT NULL").select("key", "owners")
-    shared = dealt.join(mixed, "key").select("key", "node", "crowd", size.alias("n"), side.alias("side"), spare.alias("spare"), "owners")
+    # all subsets; of use are those that several crowds have
+    buckets = max(1, -(-(nodes.agg(F.sum("laid")).first()[0] or 0) // BUCKET_KEYS))
+    dealt = _subsets(texts.join(sized(crowds), "node"), percent, buckets)
+    shared = dealt.groupBy("bucket").applyInArrow(_several, "key long, node long, crowd long, side long, owners long")
     shared = materialize(shared, "pj-shared")
+    spares = sized(materialize(nodes.select("node", "n", "spare0", "spare1"), "pj-spares"))
 
     # the cheapest of them for each set, by how many sets of other crowds have them
     whole = Window.partitionBy("node")
     by_crowd = shared.where("side = 0").groupBy("key", "crowd").agg(F.count(F.lit(1)).alias("mine"))
     seeking = shared.join(by_crowd, ["key", "crowd"], "left").withColumn("others", F.col("owners") - F.coalesce("mine", F.lit(0))).where("others > 0")
     cheapest = Window.partitionBy("node", "side").orderBy("others", "key")
-    need = F.count(F.lit(1)).over(Window.partitionBy("node", "side")) - F.col("spare")
-    chosen = seeking.withColumns({"rank": F.row_number().over(cheapest), "need": need}).where("rank <= need")
+    need = F.count(F.lit(1)).over(Window.partitionBy("node", "side")) - F.when(F.col("side") == 0, F.col("spare0")).otherwise(F.col("spare1"))
+    chosen = seeking.join(spares, "node").withColumns({"rank": F.row_number().over(cheapest), "need": need}).where("rank <= need")
     chosen = chosen.withColumn("hard", F.max("others").over(whole) > budget)
     chosen = materialize(chosen.select("key", "node", "crowd", "n", "side", "hard"), "pj-chosen")
 
-    index = shared.where("side = 0").select("key", "node", "crowd", "n")
+    asked_for = sized(materialize(chosen.select("key").distinct(), "pj-keys"))
+    index = materialize(shared.where("side = 0").join(asked_for, "key", "left_semi").select("key", "node", "crowd").join(spares, "node").drop("spare0", "spare1"), "pj-index")
     larger = (F.col("side") == 1) | (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
     apart = (F.col("ca") != F.col("cb")) & larger & _may_link(percent)
     pairs = _as(chosen.where("NOT hard").join(parities, "node"), "a").join(_as(index.join(parities, "node"), "b"), "key").where(apart).select("a", "b", "ca", "cb")
@@ -318,7 +359,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = named.union(hard.select("node", "hard")).groupBy("node").agg(F.bool_or("hard").alias("hard"))
     again = materialize(again.join(crowds, "node"), "pj-again")
     if not again.isEmpty():
-        near = materialize(_neighbourhoods(again.join(texts, "node"), percent), "pj-near")
+        near = materialize(_neighbourhoods(texts.join(sized(again), "node"), percent), "pj-near")
         held = near.where("side = 0")
         of_crowd = held.groupBy("key", "crowd").agg(F.count_if(~F.col("less")).alias("e"), F.count_if("less").alias("d"))
         of_all = of_crowd.groupBy("key").agg(F.sum("e").alias("all_e"), F.sum("d").alias("all_d"), F.min("crowd").alias("low"), F.max("crowd").alias("high"))

@@ -186,3 +186,12 @@ def test_deviations_of_any_size():
     assert chebyshev_whiten._deviations(x, 2, sums).tolist() == [((2 << 30) - 5) ** 2 + 1]
     with pytest.raises(OverflowError):
         chebyshev_whiten._deviations(x, 1 << 20, sums)
+
+
+def test_jaccard_subsets_travel_a_bucket_a_row(spark, monkeypatch):
+    rows = clustered(seed=5)
+    texts = docs(spark, rows).selectExpr("doc_id AS node", "doc_id AS crowd", "text").coalesce(1)
+    dealt = partition_join._subsets(texts, 80, 7).collect()
+    assert len(dealt) <= 14 and sum(len(r["keys"]) for r in dealt) > 8 * 50 * len(dealt)
+    monkeypatch.setattr(partition_join, "BUCKET_KEYS", 500)
+    assert sorted(tuple(r) for r in partition_join.similar_sets(docs(spark, rows)).collect()) == expected(rows)
