@@ -117,6 +117,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def least_of_groups(keyed: DataFrame, found: DataFrame, uid_col: str) -> DataFrame:
+    """Rows of ``keyed`` with one of each group of ``found`` (doc_id, root, uid), a stored table: that of
+    the least id, where null is the least only if all are null."""
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = sized(materialize(best.where("n > 1").select("root", F.col("best.uid").alias("stay")), "best"))
+    drop = found.join(best, "root").where("uid <> stay").select(F.col("uid").alias(uid_col))
+    return keyed.join(sized(materialize(drop, "drop")), uid_col, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph as (node, root), root the least node reachable.
 

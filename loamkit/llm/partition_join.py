@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamkit.llm._shared import components, materialize, sized, small_batches
+from loamkit.llm._shared import components, least_of_groups, materialize, sized, small_batches
 from loamkit.llm.square_catchers import _joined, _words
 
 WORDS, PERCENT = 5, 80
@@ -161,7 +161,7 @@ def _names(prefix: str = "p") -> list[str]:
     return [f"{prefix}{j}" for j in range(PARITIES)]
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int, uid_col: str | None = None) -> DataFrame:
     """(uid, doc_id, n, g1, g2, laid, spare0, spare1, own, next, p0 and so on, text): every row with the size
     and a hash of its set, the number of its subsets and of those to spare on either side, its subsets of
     least hash and its parities."""
@@ -185,7 +185,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *sums, *map(pa.array, counts), *(pa.array(x, lists) for x in few), *_parities(sets), batch.column(2)], names=["uid", "doc_id", "n", "g1", "g2", "laid", "spare0", "spare1", "own", "next", *_names(), "text"])
 
     small_batches(docs.sparkSession, size=SMALL_BATCH)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    uid = F.col(f"`{uid_col}`").cast("long") if uid_col else F.monotonically_increasing_id()
+    rows = docs.select(uid.alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "uid long, doc_id long, n long, g1 long, g2 long, laid long, spare0 long, spare1 long, own array<long>, next array<long>, " + ", ".join(f"{p} long" for p in _names()) + ", text string")
 
 
@@ -304,16 +305,21 @@ def _moved(crowds: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.select("node", F.coalesce("root", "crowd").alias("crowd")), "pj-crowds")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, budget: int = BUDGET) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links)."""
-    rows = materialize(_sets(docs, id_col, text_col, percent), "pj-rows")
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, budget: int = BUDGET, uid_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links).
+
+    If ``uid_col`` names the key of each row of ``docs``, a stored table, the row's key comes along as
+    ``uid`` and its component's as ``root``, which is one component's alone, also where ids repeat or are
+    missing; texts are then read there and not stored again."""
+    rows = _sets(docs, id_col, text_col, percent, uid_col)
+    rows = materialize(rows.drop("text") if uid_col else rows, "pj-rows")
     keys = ["n", "g1", "g2"]
     nodes = rows.where("n > 0").groupBy(*keys).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in ("laid", "spare0", "spare1", *_names())])
     nodes = materialize(nodes, "pj-nodes")
     parities = sized(nodes.select("node", *_names()))
     # the one text of every different set
     ours = rows.withColumnRenamed("uid", "node").join(sized(nodes.select("node")), "node", "left_semi")
-    texts = rows.select(F.col("uid").alias("node"), "text")
+    texts = docs.select(F.col(f"`{uid_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text")) if uid_col else rows.select(F.col("uid").alias("node"), "text")
 
     # crowds, by few subsets of each set
     entry = lambda name, side: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))
@@ -394,6 +400,17 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     placed = nodes.join(final, "node")
     least = placed.groupBy("crowd").agg(F.min("least").alias("component_id"))
-    by_set = materialize(placed.join(least, "crowd").select(*keys, "component_id"), "pj-found")
-    empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").select("doc_id", *keys).join(sized(by_set), keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
+    by_set = materialize(placed.join(least, "crowd").select(*keys, "component_id", F.col("crowd").alias("root")), "pj-found")
+    more = ["root", "uid"] * bool(uid_col)
+    empty = rows.where("n = 0").withColumn("root", F.col("uid")).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more)
+    return rows.where("n > 0").select("doc_id", "uid", *keys).join(sized(by_set), keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more).union(empty)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component of ``similar_sets``: that of its least id; all columns kept.
+
+    A null id is the least only if all are null; of rows that repeat the least id one stays; null and
+    empty texts and those of white space stay, as they link with nothing."""
+    keyed = materialize(docs.withColumn("__pj_uid", F.monotonically_increasing_id()), "pj-docs")
+    found = materialize(similar_sets(keyed, id_col, text_col, percent, uid_col="__pj_uid"), "pj-verdicts")
+    return least_of_groups(keyed, found, "__pj_uid").select(*[f"`{c}`" for c in docs.columns])

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamkit.llm._shared import components, materialize, sized, small_batches
+from loamkit.llm._shared import components, least_of_groups, materialize, sized, small_batches
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -336,8 +336,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     A null id is the least only if all are null; of rows that repeat the least id one stays."""
     keyed = materialize(docs.withColumn("__sh_uid", F.monotonically_increasing_id()), "sh-docs")
     found = materialize(near_groups(keyed, id_col, text_col, tables, rate, "__sh_uid"), "sh-verdicts")
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("n"))
-    best = sized(materialize(best.where("n > 1").select("root", F.col("best.uid").alias("stay")), "sh-best"))
-    drop = found.join(best, "root").where("uid <> stay").select(F.col("uid").alias("__sh_uid"))
-    drop = sized(materialize(drop, "sh-drop"))
-    return keyed.join(drop, "__sh_uid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return least_of_groups(keyed, found, "__sh_uid").select(*[f"`{c}`" for c in docs.columns])
