@@ -320,7 +320,7 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, bucket_span
     copies = materialize(mixed.join(again, ["bucket", "span"], "left_semi").select("uid", "lo", "hi"), "sfx-copies")
 
     lists = kinds.groupBy("r.uid").agg(F.collect_list(F.struct("r.lo", "r.hi", "r.anchor", "bucket")).alias("runs"))
-    lists = sized(materialize(lists, "sfx-lists"), small)
+    lists = materialize(lists, "sfx-lists")  # grows with the texts, which are dealt out at any size
     spans = docs.join(lists, "uid").select("uid", "text", "runs").mapInArrow(_cut(depth), "bucket long, lead long, bytes binary, uid long, lo long")
     # a row that is there twice comes out twice here, and all of it is in ``copies`` already
     spans = materialize(spans, "sfx-spans")

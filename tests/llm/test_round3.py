@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamkit.llm import chebyshev_whiten, partition_join, queries, square_catchers
+from loamkit.llm import chebyshev_whiten, partition_join, queries, square_catchers, suffix_dedup
 from tests.llm.fixtures import awkward, docs, words
 
 
@@ -195,3 +195,14 @@ def test_jaccard_subsets_travel_a_bucket_a_row(spark, monkeypatch):
     assert len(dealt) <= 14 and sum(len(r["keys"]) for r in dealt) > 8 * 50 * len(dealt)
     monkeypatch.setattr(partition_join, "BUCKET_KEYS", 500)
     assert sorted(tuple(r) for r in partition_join.similar_sets(docs(spark, rows)).collect()) == expected(rows)
+
+
+def test_lists_of_spans_are_never_sent_to_all(spark, monkeypatch):
+    """They grow with the texts, so a small run must go the way of a large one."""
+    hinted, sized = [], suffix_dedup.sized
+    monkeypatch.setattr(suffix_dedup, "sized", lambda df, *more: hinted.append(df.columns) or sized(df, *more))
+    shared = words(60, 5)
+    rows = [(i, f"{words(40, 200 + i)} {shared} {words(40, 300 + i)}", "s") for i in range(20)]
+    got = suffix_dedup.remove_repeats(docs(spark, rows)).collect()
+    assert all(r.n_removed >= len(shared) for r in got)
+    assert hinted and not any("runs" in columns for columns in hinted)
