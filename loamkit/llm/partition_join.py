@@ -11,9 +11,11 @@ subset; one-deletion neighbours by hashes of the subset less one shingle.
 
 The allowances go where they cost least. Subsets that no other set has are free. A set with more
 than H free ones has no candidate at all; others add their cheapest shared subsets. Costs are counts
-over all sets. Where a set would have to choose a subset that over BUDGET others have, it and all sets
-that share its chosen subsets are laid out again with their one-deletion neighbourhoods, and allowances of 1
-on cheap segments take the place of dear ones. Candidates are verified on the whole sets.
+over all sets. Subsets that the same sets have are one group, looked up once. Where a set would be compared
+with over BUDGET sets a shingle of its own, which costs more than its neighbourhoods, the subsets it chose
+that over BUDGET others have are given up: it and all sets that have them are laid out again with their
+one-deletion neighbourhoods, and allowances of 1 on cheap segments take the place of dear ones; its other
+subsets are looked up as they are. Candidates are verified on the whole sets.
 
 A crowd of near copies is first drawn together by few links: by the FEW subsets of least hash that
 a set has, it is compared with the set that shares most with all others, twice. Subsets that only one
@@ -51,19 +53,22 @@ WORDS, PERCENT = 5, 80
 #: Segments beyond those that similar sets may differ in, as a part of them; for the sets of a
 #: smaller band, which look into this one, subsets laid out beyond those they need.
 SLACK, VISITOR_SLACK = 0.2, 0.1
-#: Sets of other crowds that may have a set's dearest chosen subset before its allowances are chosen
-#: anew.
+#: Sets of other crowds that a set may be compared with, for each of its shingles, before its allowances
+#: are chosen anew; and those that may have a subset of such a set which is looked up as it is.
 BUDGET = 128
 #: Subsets of a band by which crowds are drawn together, and rounds of that.
 FEW, ROUNDS = 4, 3
+#: Groups, the cheapest of a set, that are looked up before the others, as sets that they join into one
+#: crowd do not meet again at each of those.
+FIRST = 8
 #: 64-bit words of the parities of a set's shingles by places: sets differ in at least as many shingles
 #: as their parities do in places.
-PARITIES = 8
+PARITIES = 16
 #: Subsets that are looked at together when those that several crowds have are sought, and those that a
 #: task lays out before it sends them off, a row for each such bucket.
-BUCKET_KEYS, FLUSH_KEYS = 1 << 20, 1 << 20
+BUCKET_KEYS, FLUSH_KEYS = 1 << 19, 1 << 19
 #: Bytes of texts in a batch, as a batch gives several times its bytes.
-SMALL_BATCH = 8 << 20
+SMALL_BATCH = 2 << 20
 
 
 def differing(total: int, percent: int = PERCENT) -> int:
@@ -192,7 +197,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int, uid_col: st
 
 def _subsets(texts: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(bucket, side, keys, nodes, crowds): the subsets of each of (node, crowd, text), as arrays of 64-bit
-    integers, those of a bucket and side in one row for many texts."""
+    integers, those of a bucket and side in one row for many texts. Crowds are told by the bits in which they
+    differ from the nodes: most are of one node, and zeros take no room when they are compressed."""
 
     def dealt(keys: list[np.ndarray], owners: list[tuple[int, int]], sides: list[int]) -> pa.RecordBatch:
         key, many = np.concatenate(keys), [len(k) for k in keys]
@@ -200,7 +206,8 @@ def _subsets(texts: DataFrame, percent: int, buckets: int) -> DataFrame:
         order = np.argsort(place, kind="stable")
         rows, ends = np.unique(place[order], return_index=True)
         offsets = pa.py_buffer((np.append(ends, len(key)) * 8).astype(np.int32))
-        columns = [key, *(np.repeat(x, many) for x in np.array(owners, np.int64).T)]
+        node, crowd = np.array(owners, np.int64).T
+        columns = [key, np.repeat(node, many), np.repeat(node ^ crowd, many)]
         lists = [pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(x[order]))]) for x in columns]
         where = rows.astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(where >> 1), pa.array(where & 1), *lists], names=["bucket", "side", "keys", "nodes", "crowds"])
@@ -224,18 +231,27 @@ def _subsets(texts: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 def _several(bucket: pa.Table) -> pa.Table:
-    """(key, node, crowd, side, owners) of the subsets of a bucket that several crowds have."""
+    """(group, node, crowd, side, others) of the subsets of a bucket that several crowds have: a hash of the
+    sets that have it in their own band, and how many of those are of other crowds."""
     whole = lambda name: np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in bucket[name]])
-    key, node, crowd = whole("keys"), whole("nodes"), whole("crowds")
-    side = np.repeat(bucket["side"].to_numpy(), [len(x.as_buffer()) // 8 for x in bucket["keys"]])
-    order = np.argsort(key)
-    key, node, crowd, side = key[order], node[order], crowd[order], side[order]
+    key, node = whole("keys"), whole("nodes")
+    crowd = node ^ whole("crowds")
+    own = 1 - np.repeat(bucket["side"].to_numpy(), [len(x.as_buffer()) // 8 for x in bucket["keys"]])
+    order = np.lexsort((crowd, key))
+    key, node, crowd, own = key[order], node[order], crowd[order], own[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    owners = np.add.reduceat(1 - side, first)
-    wanted = (owners > 0) & (np.minimum.reduceat(crowd, first) != np.maximum.reduceat(crowd, first))
     many = np.diff(np.append(first, len(key)))
+    wanted = (np.add.reduceat(own, first) > 0) & (crowd[first] != crowd[first + many - 1])
     at = np.flatnonzero(np.repeat(wanted, many))
-    return pa.table({"key": key[at], "node": node[at], "crowd": crowd[at], "side": side[at], "owners": np.repeat(owners, many)[at]})
+    key, node, crowd, own, many = key[at], node[at], crowd[at], own[at], many[wanted]
+    first = np.cumsum(many) - many
+    if not len(key):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("group", "node", "crowd", "side", "others")})
+    group = np.add.reduceat(np.where(own > 0, _mixed(node.view(np.uint64), 4), np.uint64(0)), first)
+    mine = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (crowd[1:] != crowd[:-1])))
+    of_crowd = np.repeat(np.add.reduceat(own, mine), np.diff(np.append(mine, len(key))))
+    others = np.repeat(np.add.reduceat(own, first), many) - of_crowd
+    return pa.table({"group": np.repeat(group.view(np.int64), many), "node": node, "crowd": crowd, "side": 1 - own, "others": others})
 
 
 def _neighbourhoods(texts: DataFrame, percent: int) -> DataFrame:
@@ -290,6 +306,12 @@ def _may_link(percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= most)
 
 
+def _cut(parities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The parities of these nodes alone, so that few are dealt out."""
+    named = sized(materialize(nodes.select("node").distinct(), "pj-asked"))
+    return sized(materialize(parities.join(named, "node", "left_semi"), "pj-parities"))
+
+
 def _as(df: DataFrame, side: str) -> DataFrame:
     """Columns node, crowd, n and the parities under their names for one side of a pair."""
     return df.withColumnsRenamed({"node": side, "crowd": "c" + side, "n": "n" + side, **dict(zip(_names(), _names(side)))})
@@ -305,6 +327,18 @@ def _moved(crowds: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.select("node", F.coalesce("root", "crowd").alias("crowd")), "pj-crowds")
 
 
+def _tried(pairs: DataFrame, crowds: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """crowds after one pair of each two has been compared, and of the pairs (a, b, ca, cb), a stored
+    table, the others of those that it has not joined, with their crowds as they are now."""
+    low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
+    tried = materialize(pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("a", "b", "ca", "cb")).alias("p"), F.count(F.lit(1)).alias("many")), "pj-tried")
+    joined = _moved(crowds, _linked(tried.select("p.*"), texts, percent))
+    of = joined.join(crowds.withColumnRenamed("crowd", "old"), "node").where("node = old").select("old", F.col("crowd").alias("new"))
+    left = pairs.join(tried.where("many > 1").select("low", "high", F.col("p.a").alias("a1"), F.col("p.b").alias("b1")), (low == F.col("low")) & (high == F.col("high"))).where("a <> a1 OR b <> b1")
+    left = left.join(of.select(F.col("old").alias("ca"), F.col("new").alias("na")), "ca").join(of.select(F.col("old").alias("cb"), F.col("new").alias("nb")), "cb").where("na <> nb")
+    return joined, materialize(left.select("a", "b", F.col("na").alias("ca"), F.col("nb").alias("cb")), "pj-left")
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, budget: int = BUDGET, uid_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links).
 
@@ -316,7 +350,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = ["n", "g1", "g2"]
     nodes = rows.where("n > 0").groupBy(*keys).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), *[F.first(p).alias(p) for p in ("laid", "spare0", "spare1", *_names())])
     nodes = materialize(nodes, "pj-nodes")
-    parities = sized(nodes.select("node", *_names()))
+    parities = nodes.select("node", *_names())
     # the one text of every different set
     ours = rows.withColumnRenamed("uid", "node").join(sized(nodes.select("node")), "node", "left_semi")
     texts = docs.select(F.col(f"`{uid_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text")) if uid_col else rows.select(F.col("uid").alias("node"), "text")
@@ -326,7 +360,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     few = materialize(ours.select("node", "n", F.explode(F.concat(entry("own", 0), entry("next", 1))).alias("f")).select("node", "n", "f.*"), "pj-few")
     few = few.join(few.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "key")
     few = few.withColumn("weight", F.sum("held").over(Window.partitionBy("node"))).drop("held")
-    few = materialize(few.join(parities, "node"), "pj-met")
+    few = materialize(few, "pj-shared-few")
+    few = materialize(few.join(_cut(parities, few), "node"), "pj-met")
     crowds = nodes.select("node", F.col("node").alias("crowd"))
     for _ in range(ROUNDS):
         placed = few.join(sized(crowds), "node")
@@ -339,29 +374,34 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # all subsets; of use are those that several crowds have
     buckets = max(1, -(-(nodes.agg(F.sum("laid")).first()[0] or 0) // BUCKET_KEYS))
     dealt = _subsets(texts.join(sized(crowds), "node"), percent, buckets)
-    shared = dealt.groupBy("bucket").applyInArrow(_several, "key long, node long, crowd long, side long, owners long")
+    shared = dealt.groupBy("bucket").applyInArrow(_several, "group long, node long, crowd long, side long, others long")
     shared = materialize(shared, "pj-shared")
     spares = sized(materialize(nodes.select("node", "n", "spare0", "spare1"), "pj-spares"))
 
     # the cheapest of them for each set, by how many sets of other crowds have them
     whole = Window.partitionBy("node")
-    by_crowd = shared.where("side = 0").groupBy("key", "crowd").agg(F.count(F.lit(1)).alias("mine"))
-    seeking = shared.join(by_crowd, ["key", "crowd"], "left").withColumn("others", F.col("owners") - F.coalesce("mine", F.lit(0))).where("others > 0")
-    cheapest = Window.partitionBy("node", "side").orderBy("others", "key")
+    cheapest = Window.partitionBy("node", "side").orderBy("others", "group")
     need = F.count(F.lit(1)).over(Window.partitionBy("node", "side")) - F.when(F.col("side") == 0, F.col("spare0")).otherwise(F.col("spare1"))
-    chosen = seeking.join(spares, "node").withColumns({"rank": F.row_number().over(cheapest), "need": need}).where("rank <= need")
-    chosen = chosen.withColumn("hard", F.max("others").over(whole) > budget)
-    chosen = materialize(chosen.select("key", "node", "crowd", "n", "side", "hard"), "pj-chosen")
-
-    asked_for = sized(materialize(chosen.select("key").distinct(), "pj-keys"))
-    index = materialize(shared.where("side = 0").join(asked_for, "key", "left_semi").select("key", "node", "crowd").join(spares, "node").drop("spare0", "spare1"), "pj-index")
+    chosen = shared.where("others > 0").join(spares, "node").withColumns({"rank": F.row_number().over(cheapest), "need": need}).where("rank <= need")
+    chosen = chosen.groupBy("node", "group", "crowd", "n", "side").agg(F.first("others").alias("others"))
+    chosen = chosen.withColumn("hard", (F.sum("others").over(whole) > budget * F.col("n")) & (F.col("others") > budget))
+    place = F.row_number().over(whole.orderBy("others", "group", "side"))
+    chosen = materialize(chosen.select("group", "node", "crowd", "n", "side", "hard", (place <= FIRST).alias("first")), "pj-chosen")
+
+    asked_for = sized(materialize(chosen.select("group").distinct(), "pj-groups"))
+    index = shared.where("side = 0").join(asked_for, "group", "left_semi").select("group", "node", "crowd").distinct()
+    index = materialize(index.join(spares, "node").drop("spare0", "spare1"), "pj-index")
     larger = (F.col("side") == 1) | (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
     apart = (F.col("ca") != F.col("cb")) & larger & _may_link(percent)
-    pairs = _as(chosen.where("NOT hard").join(parities, "node"), "a").join(_as(index.join(parities, "node"), "b"), "key").where(apart).select("a", "b", "ca", "cb")
+    bits = _cut(parities, chosen.select("node").union(index.select("node")))
+    met = lambda rows, index: _as(rows.where("NOT hard").drop("hard", "first").join(bits, "node"), "a").join(_as(index.join(bits, "node"), "b"), "group").where(apart).select("a", "b", "ca", "cb")
+    crowds, left = _tried(materialize(met(chosen.where("first"), index).distinct(), "pj-first"), crowds, texts, percent)
+    chosen, index = (df.drop("crowd").join(sized(crowds), "node") for df in (chosen, index))
+    pairs = met(chosen.where("NOT first"), index).union(left)
 
     # sets with many candidates, and those that share their subsets, once more with neighbourhoods
     hard = chosen.where("hard")
-    named = index.join(hard.select("key").distinct(), "key").select("node", F.lit(False).alias("hard"))
+    named = index.join(hard.select("group").distinct(), "group").select("node", F.lit(False).alias("hard"))
     again = named.union(hard.select("node", "hard")).groupBy("node").agg(F.bool_or("hard").alias("hard"))
     again = materialize(again.join(crowds, "node"), "pj-again")
     if not again.isEmpty():
@@ -384,19 +424,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         granted = priced.withColumn("rank", F.row_number().over(order)).where("rank <= need").groupBy("node", "side", "segment").agg(F.max("step").alias("step"))
         looks = asked.where("as_is > 0 OR one_more > 0").join(granted, ["node", "side", "segment"]).where("NOT less OR step = 2")
         kinds = F.when(F.col("less") | (F.col("step") == 1), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-        looks = looks.select("key", F.explode(kinds).alias("less"), "node", "crowd", "n", "side").join(parities, "node")
-        found = _as(looks, "a").join(_as(held.select("key", "less", "node", "crowd", "n").join(parities, "node"), "b"), ["key", "less"]).where(apart)
+        looks = looks.select("key", F.explode(kinds).alias("less"), "node", "crowd", "n", "side")
+        # only what a set looks for is joined with parities
+        asked_for = looks.select("key", "less").distinct()
+        held = held.select("key", "less", "node", "crowd", "n").join(asked_for, ["key", "less"], "left_semi")
+        found = _as(looks.join(bits, "node"), "a").join(_as(held.join(bits, "node"), "b"), ["key", "less"]).where(apart)
         pairs = pairs.union(found.select("a", "b", "ca", "cb"))
     pairs = materialize(pairs.distinct(), "pj-pairs")
 
-    # one pair of each two crowds, then the others of those that it has not joined
-    tried = materialize(pairs.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("a", "b", "ca", "cb")).alias("p"), F.count(F.lit(1)).alias("many")), "pj-tried")
-    joined = _moved(crowds, _linked(tried.select("p.*"), texts, percent))
-    of = joined.join(crowds.withColumnRenamed("crowd", "old"), "node").where("node = old").select("old", F.col("crowd").alias("new"))
-    left = pairs.join(tried.where("many > 1").select("low", "high"), (F.least("ca", "cb") == F.col("low")) & (F.greatest("ca", "cb") == F.col("high")), "left_semi")
-    left = left.join(of.select(F.col("old").alias("ca"), F.col("new").alias("na")), "ca").join(of.select(F.col("old").alias("cb"), F.col("new").alias("nb")), "cb").where("na <> nb")
-    left = materialize(left.select("a", "b", F.col("na").alias("ca"), F.col("nb").alias("cb")), "pj-left")
-    final = _moved(joined, _linked(left, texts, percent))
+    crowds, left = _tried(pairs, crowds, texts, percent)
+    final = _moved(crowds, _linked(left, texts, percent))
 
     placed = nodes.join(final, "node")
     least = placed.groupBy("crowd").agg(F.min("least").alias("component_id"))

@@ -197,6 +197,48 @@ def test_jaccard_subsets_travel_a_bucket_a_row(spark, monkeypatch):
     assert sorted(tuple(r) for r in partition_join.similar_sets(docs(spark, rows)).collect()) == expected(rows)
 
 
+def test_jaccard_neighbourhoods_of_every_set_that_asks(spark):
+    """With a budget of 0 every set that has candidates is laid out with its neighbourhoods."""
+    rows = clustered(seed=9)
+    got = sorted(tuple(r) for r in partition_join.similar_sets(docs(spark, rows), budget=0).collect())
+    assert got == expected(rows)
+
+
+def family(size=300, n=100, seed=21):
+    """A text and copies with so many words changed that many are similar to no other."""
+    r, base = random.Random(seed), words(n, 77).split()
+    out = []
+    for _ in range(size):
+        w = list(base)
+        for at in r.sample(range(n), r.randint(1, 9)):
+            w[at] = f"new{r.randrange(10**9)}"
+        out.append(" ".join(w))
+    return [(i, t, "s") for i, t in enumerate(out)]
+
+
+def test_jaccard_family_is_compared_as_it_is_while_that_costs_less(spark, monkeypatch):
+    """Subsets that over BUDGET others have no longer send all sets that have any of them through their
+    neighbourhoods, of a row a shingle and more; those are for sets with more comparisons than that."""
+    rows, laid = family(), []
+    former = partition_join._neighbourhoods
+    monkeypatch.setattr(partition_join, "_neighbourhoods", lambda texts, percent: laid.append(texts.count()) or former(texts, percent))
+    assert sorted(tuple(r) for r in partition_join.similar_sets(docs(spark, rows)).collect()) == expected(rows)
+    assert not laid
+    assert sorted(tuple(r) for r in partition_join.similar_sets(docs(spark, rows), budget=3).collect()) == expected(rows)
+    assert laid and laid[0] <= len(rows)
+
+
+def test_jaccard_subsets_of_the_same_sets_are_one_group():
+    import pyarrow as pa
+
+    whole = lambda *x: np.array(x, np.int64).tobytes()
+    # keys 5 and 9 are of nodes 1 and 2 (two crowds), and node 3 of crowd 1 looks for 9; key 7 is of one crowd
+    bucket = pa.table({"bucket": [0, 0], "side": [0, 1], "keys": [whole(9, 5, 5, 9, 7, 7), whole(9)], "nodes": [whole(1, 1, 2, 2, 1, 4), whole(3)], "crowds": [whole(0, 0, 0, 0, 0, 4 ^ 1), whole(3 ^ 1)]})
+    got = partition_join._several(bucket).to_pylist()
+    assert len({r["group"] for r in got}) == 1
+    assert sorted((r["node"], r["crowd"], r["side"], r["others"]) for r in got) == [(1, 1, 0, 1), (1, 1, 0, 1), (2, 2, 0, 1), (2, 2, 0, 1), (3, 1, 1, 1)]
+
+
 def test_lists_of_spans_are_never_sent_to_all(spark, monkeypatch):
     """They grow with the texts, so a small run must go the way of a large one."""
     hinted, sized = [], suffix_dedup.sized
