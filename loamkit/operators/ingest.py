@@ -25,15 +25,21 @@ def chunk(entries: DataFrame, max_bytes: int = 0) -> DataFrame:
     return entries.select(F.col("id").alias("entry_id"), "project_id", F.explode(tx.chunks(F.col("content"), max_bytes)).alias("c")).select("entry_id", "project_id", "c.chunk_index", "c.content")
 
 
+def unmoved(entries: DataFrame, current: DataFrame) -> DataFrame:
+    """ST-6: the rows of ``entries`` that are to be indexed and whose content, project and status are the
+    same in ``current``, the entries as they are by now; a missing project or content is the same as a
+    missing one."""
+    now = current.where(indexable(F.col("status"))).select(F.col("id").alias("_id"), F.col("project_id").alias("_p"), F.sha2("content", 256).alias("_h"))
+    same = (F.col("id") == F.col("_id")) & F.col("project_id").eqNullSafe(F.col("_p")) & F.sha2("content", 256).eqNullSafe(F.col("_h"))
+    return entries.where(indexable(F.col("status"))).join(now, same, "left_semi")
+
+
 def index(entries: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], current: DataFrame | None = None, max_bytes: int = 0) -> DataFrame:
     """OP-7: chunks with those of ``entries`` made anew.
 
     With ``current``, the entries as they are when the vectors are ready, results of entries whose
     content, project or status has moved on are thrown away (ST-6)."""
-    due = entries.where(indexable(F.col("status")))
-    if current is not None:
-        now = current.where(indexable(F.col("status"))).select("id", "project_id", F.sha2("content", 256).alias("_h"))
-        due = due.withColumn("_h", F.sha2("content", 256)).join(now, ["id", "project_id", "_h"], "left_semi").drop("_h")
+    due = entries.where(indexable(F.col("status"))) if current is None else unmoved(entries, current)
     fresh = chunk(due, max_bytes).withColumn("embedding", embed(F.col("content")))
     return replace_chunks(chunks, due, fresh)
 
