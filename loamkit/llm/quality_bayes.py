@@ -2,8 +2,9 @@
 
 Two heads, toxic and low quality, are logistic regressions on a few dense features of the text:
 shares of symbols, capitals, separators, repeats, and how strongly its words and word beginnings
-point to a lexicon. The lexicon comes from grouped document counts by label. Both are fitted on a
-bounded sample of labelled rows (FIT_ROWS); everything else covers all rows. The classifier's
+point to a lexicon. The lexicon comes from grouped document counts by label; it is sent to the tasks,
+as it holds only what points to toxic texts. Both are fitted on all labelled rows, the heads by
+Newton's method with one pass of sums a step. The classifier's
 evidence, a log likelihood ratio free of any base rate, is then combined with the rate of the
 document's site, the document itself left out: hosts shrink towards the global rate and paths
 towards their host by grouped aggregation, the more the fewer documents they have, with strengths
@@ -12,7 +13,7 @@ moments).
 
 Defined cases: null or empty texts are rejected as low quality; very long texts count whole, one
 row at a time; sites may be null and are then one site; labels that are null or lack a document are
-ignored, labels that contradict each other all count, and without labels of both kinds a head gives
+ignored, equal ones count once, labels that contradict each other all count, and without labels of both kinds a head gives
 no evidence and rejects nothing; of rows that repeat a labelled id, the one with the least text hash is fitted on;
 repeated rows are judged one by one and all count; a path's only document has its host's rate, a
 host's only document the global one; extra columns are kept by ``keep_good`` and ignored else,
@@ -22,23 +23,20 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamkit.llm._shared import materialize, sized, small_batches
 
-#: Labels that the classifier is fitted on, at most: those first in hash order.
-FIT_ROWS = 16_000
-#: Tasks that share the sample.
-FIT_TASKS = 32
-#: Lexicon entries at most, the strongest first.
-LEXICON = 2_000
+#: Features that a task counts before it sends them off.
+COUNTED = 1 << 18
 #: Beginnings of words that are features beside whole words.
 PREFIXES = (3, 4, 5, 6, 7)
 HEADS = ("toxic", "low")
@@ -111,29 +109,69 @@ class Model:
     heads: dict[str, Head]
 
 
-def fit_head(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Head:
-    """Newton's method with a ridge on all but the intercept."""
-    if not len(y) or y.min() == y.max():
-        return Head(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(0), 0.0)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    w, penalty = np.zeros(z.shape[1]), np.diag([1e-6] + [ridge] * (z.shape[1] - 1))
+def _moments(rows: DataFrame, heads: dict[str, Head]) -> dict[str, np.ndarray]:
+    """For each head the second derivatives of its loss over all of (toxic, low, x), and as a last row
+    the first ones, summed by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(heads), WIDTH + 2, WIDTH + 1))
+        for batch in batches:
+            x = batch.column(2).flatten().to_numpy().reshape(-1, WIDTH)
+            for k, (name, head) in enumerate(heads.items()):
+                y = batch.column(HEADS.index(name)).to_numpy()
+                z = np.hstack([np.ones((len(x), 1)), (x - head.mean) / head.scale])
+                p = 1 / (1 + np.exp(-np.clip(z @ head.weights, -30, 30)))
+                total[k, :-1] += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+                total[k, -1] += z.T @ (y - p)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = sorted(tuple(r["s"]) for r in rows.select(*HEADS, "x").mapInArrow(run, "s array<double>").collect())
+    return dict(zip(heads, np.sum(parts, axis=0).reshape(len(heads), WIDTH + 2, WIDTH + 1)))
+
+
+def fit_heads(rows: DataFrame, ridge: float = 1.0, steps: int = 30) -> dict[str, Head]:
+    """The heads from (toxic, low, x), a stored table, by Newton's method with a ridge on all but the
+    intercept. Each step takes one pass over the rows, of which nothing but sums leaves the tasks."""
+    at = [F.col("x")[i] for i in range(WIDTH)]
+    found = rows.agg(*[F.avg(h).alias(h) for h in HEADS], F.array(*map(F.avg, at)).alias("mean"), F.array(*map(F.stddev_pop, at)).alias("scale")).first()
+    heads = {h: Head(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(0), 0.0) for h in HEADS}
+    moving = {}
+    for h in HEADS:
+        if found[h] is not None and 0 < found[h] < 1:
+            moving[h] = heads[h] = Head(np.array(found["mean"]), np.array(found["scale"]) + 1e-6, np.zeros(WIDTH + 1), math.log(found[h] / (1 - found[h])))
+    penalty = np.diag([1e-6] + [ridge] * WIDTH)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        if not moving:
             break
-    rate = y.mean()
-    return Head(mean, scale, w, math.log(rate / (1 - rate)))
+        for h, sums in _moments(rows, moving).items():
+            step = np.linalg.solve(sums[:-1] + penalty, sums[-1] - penalty @ heads[h].weights)
+            heads[h].weights = heads[h].weights + step
+            if np.abs(step).max() < 1e-6:
+                del moving[h]
+    return heads
+
+
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """(f, bad, n) of (toxic, text): the documents that have a feature, and those of them that are toxic;
+    a feature has a row for each time that a task has sent off what it has counted."""
 
+    def sent(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["f", "bad", "n"])
 
-def _features_udf() -> Callable[..., Column]:
-    @F.pandas_udf("array<string>")
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(features_of(set(WORD.findall((t or "").lower())))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for f in features_of(set(WORD.findall((text.as_py() or "").lower()))):
+                    c = counts.setdefault(f, [0, 0])
+                    c[0] += toxic
+                    c[1] += 1
+                if len(counts) >= COUNTED:
+                    yield sent(counts)
+                    counts = {}
+        yield sent(counts)
 
-    return features
+    return rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "f string, bad long, n long")
 
 
 def _dense_udf(lexicon: dict[str, float]) -> Callable[..., Column]:
@@ -144,31 +182,36 @@ def _dense_udf(lexicon: dict[str, float]) -> Callable[..., Column]:
     return featured
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """The model, from at most ``fit_rows`` labels, each with one row of its document.
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, toxic, low, text): every different label with one row of its document. Texts are shuffled only
+    where an id is repeated, or where the labels are too many to be sent to the tasks."""
+    wanted = labels.select(F.col("doc_id").alias("__qb_id"), F.col("toxic").cast("int").alias("toxic"), (F.col("quality") == 0).cast("int").alias("low"))
+    wanted = sized(materialize(wanted.dropna().distinct(), "fit-labels"))
+    ids = docs.select(F.col("doc_id").alias("__qb_id")).join(wanted.select("__qb_id"), "__qb_id", "left_semi")
+    repeated = sized(materialize(ids.groupBy("__qb_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__qb_id"), "fit-repeated"))
+    found = docs.select(F.col("doc_id").alias("__qb_id"), "text").join(wanted, "__qb_id").select("__qb_id", "toxic", "low", "text")
+    one = found.join(repeated, "__qb_id", "left_semi").groupBy("__qb_id", "toxic", "low").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    every = found.join(repeated, "__qb_id", "left_anti").unionByName(one)
+    return every.select(F.xxhash64("__qb_id", "toxic", "low").alias("h"), "toxic", "low", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model, from all labels, each with one row of its document.
 
-    Two thirds of the sample, by hash, make the lexicon; the heads are fitted on the other third,
-    so that they learn how far the lexicon can be trusted."""
+    Two thirds of them, by hash, make the lexicon; the heads are fitted on the other third, so that
+    they learn how far the lexicon can be trusted."""
     small_batches(docs.sparkSession)
-    wanted = labels.select(F.col("doc_id").alias("__qb_id"), F.col("toxic").cast("int").alias("toxic"), (F.col("quality") == 0).cast("int").alias("low")).dropna()
-    wanted = wanted.withColumn("h", F.xxhash64("__qb_id", "toxic", "low")).orderBy("h").limit(fit_rows)
-    wanted = F.broadcast(materialize(wanted, "fit-labels"))
-    found = docs.select(F.col("doc_id").alias("__qb_id"), "text").join(wanted, "__qb_id").repartition(FIT_TASKS, "h")
-    one = found.groupBy("h", "toxic", "low").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = materialize(one, "fit-sample")
+    sample = materialize(labelled(docs, labels), "fit-sample")
     totals = {r["toxic"]: r["n"] for r in sample.where("pmod(h, 3) > 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     lexicon: dict[str, float] = {}
     if totals.get(0) and totals.get(1):
-        seen = sample.where("pmod(h, 3) > 0").select("toxic", F.explode(_features_udf()("text")).alias("f"))
-        per = seen.groupBy("f").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where(F.col("bad") >= MIN_DOCS)
+        per = feature_counts(sample.where("pmod(h, 3) > 0")).groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= MIN_DOCS)
         base = totals[1] / (totals[0] + totals[1])
         shrunk = (F.col("bad") + SHRINK * base) / (F.col("n") + SHRINK)
         odds = F.log(shrunk / (1 - shrunk)) - math.log(base / (1 - base))
-        best = per.select("f", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "f").limit(LEXICON)
-        lexicon = {r["f"]: float(r["odds"]) for r in best.collect()}
-    rest = sample.where("pmod(h, 3) = 0").select("toxic", "low", _dense_udf(lexicon)("text").alias("x")).collect()
-    x = np.array([r["x"] for r in rest]).reshape(-1, WIDTH)
-    return Model(lexicon, {h: fit_head(x, np.array([r[h] for r in rest], float)) for h in HEADS})
+        lexicon = {r["f"]: float(r["odds"]) for r in per.select("f", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).collect()}
+    rest = sample.where("pmod(h, 3) = 0").select(*[F.col(h).cast("double").alias(h) for h in HEADS], _dense_udf(lexicon)("text").alias("x"))
+    return Model(lexicon, fit_heads(materialize(rest, "fit-features")))
 
 
 def evidence(model: Model) -> Callable[..., Column]:
@@ -254,20 +297,20 @@ def _keyed(docs: DataFrame, model: Model, host_col: str, path_col: str) -> DataF
     return docs.withColumns({"site_host": F.coalesce(F.col(host_col), F.lit("")), "site_path": F.coalesce(F.col(path_col), F.lit("")), "ev": evidence(model)(text), "__qb_some": text.rlike(r"\S")})
 
 
-def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, site, shrunk site rates, p_toxic, p_low, keep."""
-    model = fit(docs, labels, fit_rows)
+    model = fit(docs, labels)
     rows = docs.select("doc_id", "text", F.col(f"`{host_col}`").alias("h"), F.col(f"`{path_col}`").alias("p"))
     scored = materialize(_keyed(rows, model, "h", "p").drop("text", "h", "p"), "scored")
     return _judged(scored, model).select("doc_id", "site_host", "site_path", "toxic_host", "toxic_rate", "low_host", "low_rate", "p_toxic", "p_low", "keep")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """docs without those that the classifier rejects; all columns kept.
 
     Scored rows are written once with their texts, since sites need every score before a text can
     be judged."""
-    model = fit(docs, labels, fit_rows)
+    model = fit(docs, labels)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(own, F.col("text"), F.col(f"`{host_col}`").alias("h"), F.col(f"`{path_col}`").alias("p"))
     scored = materialize(_keyed(rows, model, "h", "p").drop("text", "h", "p"), "scored-rows")
