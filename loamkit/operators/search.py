@@ -22,6 +22,8 @@ from loamkit.operators.filters import entry_filter, given
 QUERY_BLOCK = 2_048
 #: Digits to which scores are rounded before ranking, so that ranks do not hang on the last bit.
 DIGITS = 9
+#: Of BM25: how soon repeats of a term count less, and how far long entries are held against.
+K1, B = 1.2, 0.75
 
 
 def unit(embedding: Column) -> Column:
@@ -111,7 +113,7 @@ def postings(entries: DataFrame, text: Column, stop_words: list[str]) -> DataFra
     return listed.select("entry_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("entry_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def keyword_search(queries: DataFrame, index: DataFrame, n_entries: Column | float, avg_len: Column | float, k: int | None = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def keyword_search(queries: DataFrame, index: DataFrame, n_entries: Column | float, avg_len: Column | float, k: int | None = 20, k1: float = K1, b: float = B) -> DataFrame:
     """OP-2: entries with all terms of a query (query_id, terms), by BM25: query_id, entry_id,
     score, rank.
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from loamkit.functions.vectors import hashing_embedder
-from loamkit.operators import graph, ingest
+from loamkit.operators import graph, ingest, term_index
 from loamkit.plans.queries import ORACLES, QUERIES
 from tests.compare import assert_same
 
@@ -83,3 +83,20 @@ def test_two_steps_equal_brute_force(spark, monkeypatch, block, most):
     rel = spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "id long, subject_id long, object_id long")
     found = graph.explore(spark.createDataFrame(seeds, "seed string, entity_id long"), rel, 2)[0].collect()
     assert sorted((r.seed or "", r.entity_id or -1, r.hop) for r in found) == sorted((s or "", e or -1, h) for (s, e), h in want.items())
+
+
+def test_index_shuffles_lists_and_queries_meet_their_rarest_term(spark, tmp_path):
+    """500 entries of 60 words, one of them common to all; 500 queries of that and a rare word."""
+    path = f"file://{tmp_path}/index"
+    e = spark.range(500).selectExpr("id", "'p' AS project_id", "'' AS title", "concat('common rare', id, ' ', array_join(transform(sequence(1, 58), x -> concat('w', id % 10, 'x', x)), ' ')) AS content", "'c' AS category", "'approved' AS status")
+    projects = spark.createDataFrame([("p", "en")], "id string, language string")
+    tags = spark.createDataFrame([], "entry_id long, name string")
+    term_index.create(spark, path)
+    before = set(records_shuffled(spark))
+    term_index.update(path, e, tags, projects)
+    assert sum(n for k, n in records_shuffled(spark).items() if k not in before) < 20_000
+    asked = e.selectExpr("id AS query_id", "concat('common rare', id) AS text", "CAST(NULL AS string) AS project_id", "CAST(NULL AS string) AS category")
+    before = set(records_shuffled(spark))
+    found = term_index.find(spark, path, term_index.query_terms(asked, projects), e).collect()
+    assert sum(n for k, n in records_shuffled(spark).items() if k not in before) < 50_000
+    assert sorted((r.query_id, r.entry_id, r["rank"]) for r in found) == [(i, i, 0) for i in range(500)]
